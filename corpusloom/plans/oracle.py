@@ -160,3 +160,81 @@ SELECT week, CAST(sum(bullish) AS BIGINT) AS sum_bullish, CAST(sum(bearish) AS B
   {r9('median(votes_mkt)')} AS median_votes, {r9('avg(abs(bullish_pct - bearish_pct))')} AS avg_diff,
   count(*) AS n
 FROM f GROUP BY week"""
+
+
+# ------------------------------------------------------------------ joins
+META = """meta AS (
+  SELECT CAST(doc_id AS VARCHAR) AS key, doc_id, quality,
+         CASE WHEN doc_id % 7 = 0 THEN NULL ELSE toxic END AS toxic, 0 AS ord,
+         CAST(CASE WHEN doc_id % 17 = 0 THEN 1 END AS INTEGER) AS remove FROM labels
+  UNION ALL
+  SELECT CAST(doc_id AS VARCHAR), doc_id, 1 - quality,
+         CASE WHEN doc_id % 7 = 0 THEN NULL ELSE toxic END, 1,
+         CAST(CASE WHEN doc_id % 17 = 0 THEN 1 END AS INTEGER) FROM labels WHERE doc_id % 10 = 0
+  UNION ALL
+  SELECT CAST(doc_id + 1000000 AS VARCHAR), doc_id, quality,
+         CASE WHEN doc_id % 7 = 0 THEN NULL ELSE toxic END, 0,
+         CAST(CASE WHEN doc_id % 17 = 0 THEN 1 END AS INTEGER) FROM labels WHERE doc_id % 13 = 0)"""
+
+META_FIRST = """meta_first AS (SELECT * EXCLUDE (rn) FROM (
+  SELECT *, row_number() OVER (PARTITION BY key ORDER BY ord, doc_id) AS rn FROM meta) WHERE rn = 1)"""
+META_LAST = """meta_last AS (SELECT * EXCLUDE (rn) FROM (
+  SELECT *, row_number() OVER (PARTITION BY key ORDER BY ord DESC, doc_id DESC) AS rn FROM meta) WHERE rn = 1)"""
+DOCS_FIRST = """docs_first AS (SELECT * EXCLUDE (rn) FROM (
+  SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS rn FROM documents) WHERE rn = 1)"""
+
+ORACLE["dedup_text_first"] = f"WITH {DOCS_FIRST} SELECT doc_id, lang, n_chars FROM docs_first"
+ORACLE["dedup_key_last"] = f"WITH {META}, {META_LAST} SELECT key, doc_id, quality, toxic, ord, remove FROM meta_last"
+ORACLE["dedup_key_first"] = f"WITH {META}, {META_FIRST} SELECT key, doc_id, quality, toxic, ord, remove FROM meta_first"
+ORACLE["semi_both"] = """
+SELECT 'documents' AS side, doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)
+UNION ALL
+SELECT 'labels' AS side, doc_id FROM labels WHERE doc_id IN (SELECT doc_id FROM documents)"""
+ORACLE["anti_removals"] = f"""WITH {META}
+SELECT key, doc_id, ord, quality FROM meta m
+WHERE NOT EXISTS (SELECT 1 FROM meta r WHERE r.remove = 1 AND r.key = m.key)"""
+ORACLE["inner_join_metadata"] = f"""WITH {META}, {META_LAST}
+SELECT CAST(d.doc_id AS VARCHAR) AS key, d.lang, d.source,
+  coalesce(CAST(m.doc_id AS VARCHAR), '') AS doc_id, coalesce(CAST(m.quality AS VARCHAR), '') AS quality,
+  coalesce(CAST(m.toxic AS VARCHAR), '') AS toxic, coalesce(CAST(m.ord AS VARCHAR), '') AS ord,
+  coalesce(CAST(m.remove AS VARCHAR), '') AS remove
+FROM documents d JOIN meta_last m ON CAST(d.doc_id AS VARCHAR) = m.key"""
+ORACLE["left_join_suffix"] = f"""WITH {META}
+SELECT m.key, m.doc_id, m.quality, m.toxic, m.ord,
+  coalesce(l.quality, 0) AS quality_pos, coalesce(l.toxic, 0) AS toxic_pos
+FROM meta m LEFT JOIN labels l ON m.doc_id IS NOT DISTINCT FROM l.doc_id"""
+ORACLE["merge_precedence"] = f"""WITH {META}, {META_FIRST}, {DOCS_FIRST}
+SELECT CAST(d.doc_id AS VARCHAR) AS key, d.doc_id, d.lang, d.n_chars, m.ord, m.quality, m.remove,
+  d.source, m.toxic
+FROM docs_first d JOIN meta_first m ON CAST(d.doc_id AS VARCHAR) = m.key"""
+ORACLE["join_reconciliation"] = f"""WITH {META},
+lk AS (SELECT CAST(doc_id AS VARCHAR) AS key, count(*) AS ln FROM documents GROUP BY 1),
+rk AS (SELECT key, count(*) AS rn FROM meta GROUP BY 1),
+j AS (SELECT ln, rn FROM lk FULL OUTER JOIN rk USING (key))
+SELECT CAST(coalesce(sum(ln), 0) AS BIGINT) AS left_rows, CAST(coalesce(sum(rn), 0) AS BIGINT) AS right_rows,
+  count(ln) AS left_keys, count(rn) AS right_keys,
+  count_if(ln IS NOT NULL AND rn IS NOT NULL) AS common_keys, count_if(rn IS NULL) AS left_only_keys,
+  count_if(ln IS NULL) AS right_only_keys, count_if(ln > 1) AS left_dup_keys,
+  count_if(rn > 1) AS right_dup_keys
+FROM j"""
+
+DATED = """dated AS (
+  SELECT doc_id, text, lang, source,
+    ['social', 'patents', 'literature'][doc_id % 3 + 1] AS corpus,
+    CASE WHEN doc_id % 97 = 0 THEN 'bad' || CAST(doc_id AS VARCHAR)
+         WHEN doc_id % 89 = 0 THEN '1999-01-01'
+         WHEN doc_id % 50 = 0 AND doc_id % 3 = 2 THEN NULL
+         ELSE CAST(2013 + floor(doc_id / 3) % 12 AS BIGINT)::VARCHAR || '-0'
+              || CAST(1 + doc_id % 9 AS VARCHAR) || '-01' END AS date_text
+  FROM documents)"""
+
+ORACLE["review_roundtrip"] = f"""WITH {META}, {META_FIRST}, {DATED},
+papers AS (SELECT CAST(doc_id AS VARCHAR) AS key, doc_id, corpus,
+    CASE WHEN length(split_part(date_text, '-', 1)) = 4
+         THEN TRY_CAST(TRY_CAST(split_part(date_text, '-', 1) AS DOUBLE) AS INTEGER) END AS year
+  FROM dated),
+decisions AS (
+  SELECT p.key, f.remove FROM papers p LEFT JOIN meta_first f USING (key) WHERE p.year <= 2008
+  UNION ALL
+  SELECT p.key, f.remove FROM papers p LEFT JOIN meta_first f USING (key) WHERE p.year > 2008)
+SELECT * FROM papers WHERE key NOT IN (SELECT key FROM decisions WHERE remove = 1)"""
