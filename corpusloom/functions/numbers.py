@@ -44,8 +44,10 @@ def scale(c, factor: float = 1e9) -> Column:
 
 
 def round_half_even(c, digits: int = 3) -> Column:
-    """F-24: pandas/Python rounding (half to even)."""
-    return F.bround(_c(c), digits)
+    """F-24: pandas/numpy rounding - scale, round half to even, unscale
+    (``np.round``), rather than rounding the exact binary value."""
+    f = float(10 ** digits)
+    return F.rint(_c(c).cast("double") * f) / f
 
 
 def human_number(c, style: str = "short") -> Column:

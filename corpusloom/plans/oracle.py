@@ -238,3 +238,142 @@ decisions AS (
   UNION ALL
   SELECT p.key, f.remove FROM papers p LEFT JOIN meta_first f USING (key) WHERE p.year > 2008)
 SELECT * FROM papers WHERE key NOT IN (SELECT key FROM decisions WHERE remove = 1)"""
+
+
+# ------------------------------------------------------------- vocabulary
+def toks(x: str) -> str:
+    return f"regexp_extract_all({x}, '{TOKRE}')"
+
+
+def clean(w: str) -> str:
+    return f"lower({alnum(w)})"
+
+
+CORPORA = """corpora AS (
+  SELECT lang AS corpus, doc_id, text FROM documents
+  UNION ALL SELECT 'benchmark' AS corpus, item_id AS doc_id, text FROM benchmark)"""
+TT = f"""tt AS (SELECT corpus, token, count(*) AS cnt FROM (
+  SELECT corpus, unnest({toks('text')}) AS token FROM corpora) GROUP BY corpus, token)"""
+TOT = """tot AS (SELECT corpus, CAST(sum(cnt) AS BIGINT) AS total_tokens, count(*) AS unique_tokens,
+  CAST(sum(cnt) AS DOUBLE) / count(*) AS avg_freq FROM tt GROUP BY corpus)"""
+TTR = f"""sz AS (SELECT corpus, doc_id, {toks('text')} AS tk FROM corpora WHERE len({toks('text')}) > 0),
+off AS (SELECT corpus, tk, coalesce(sum(len(tk)) OVER (PARTITION BY corpus ORDER BY doc_id
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM sz),
+pos AS (SELECT corpus, start, unnest(tk) AS token, unnest(range(len(tk))) AS p FROM off WHERE start < 100000),
+ttr AS (SELECT corpus, CAST(count(DISTINCT token) AS DOUBLE) / count(*) AS ttr FROM pos
+        WHERE start + p < 100000 GROUP BY corpus)"""
+VOCAB = f"""vocab AS (
+  SELECT DISTINCT term FROM (
+    SELECT {alnum('w')} AS term FROM (SELECT unnest({words('lower(text)')}) AS w FROM benchmark)) t
+  WHERE length(term) >= 6
+  UNION SELECT unnest(['two words', 'UPPER', 'hy-phen']) AS term)"""
+HITS = f"""cw AS (SELECT corpus, doc_id, {clean('w')} AS term FROM (
+  SELECT corpus, doc_id, unnest({words('lower(text)')}) AS w FROM corpora)),
+hits AS (SELECT corpus, doc_id, term, count(*) AS n FROM cw WHERE term IN (SELECT term FROM vocab)
+  GROUP BY corpus, doc_id, term)"""
+KD = f"""found AS (SELECT corpus, sum(n) AS total_occurrences, count(DISTINCT term) AS unique_found,
+  count(DISTINCT doc_id) AS docs_with_keywords FROM hits GROUP BY corpus),
+base AS (SELECT corpus, sum(len({words('lower(text)')})) AS total_words, count(*) AS n_docs FROM corpora GROUP BY corpus),
+vs AS (SELECT count(*) AS n FROM vocab),
+mt AS (SELECT count(*) AS n FROM vocab WHERE term = {clean('term')} AND length(term) > 0),
+kd AS (SELECT b.corpus, CAST(b.total_words AS BIGINT) AS total_words, b.n_docs,
+  CAST(coalesce(f.total_occurrences, 0) AS BIGINT) AS total_occurrences,
+  CAST(coalesce(f.unique_found, 0) AS BIGINT) AS unique_found,
+  CAST(coalesce(f.docs_with_keywords, 0) AS BIGINT) AS docs_with_keywords,
+  vs.n AS vocab_size, mt.n AS matchable_terms,
+  CASE WHEN b.total_words > 0 THEN CAST(coalesce(f.total_occurrences, 0) AS DOUBLE) / b.total_words * 1000
+       ELSE 0.0 END AS density_per_1k,
+  CAST(coalesce(f.unique_found, 0) AS DOUBLE) / vs.n * 100 AS coverage,
+  CASE WHEN b.n_docs > 0 THEN CAST(coalesce(f.docs_with_keywords, 0) AS DOUBLE) / b.n_docs * 100
+       ELSE 0.0 END AS doc_coverage
+  FROM base b LEFT JOIN found f USING (corpus), vs, mt)"""
+BPAIRS = """bpairs AS (SELECT DISTINCT corpus AS domain, 'benchmark' AS baseline FROM tt WHERE corpus <> 'benchmark')"""
+ENR = """ctot AS (SELECT corpus, sum(cnt) AS total FROM tt GROUP BY corpus),
+enr AS (SELECT p.domain, p.baseline, d.token, d.cnt AS cd, td.total AS td,
+    (CAST(d.cnt AS DOUBLE) / td.total) / (CAST(coalesce(b.cnt, 1) AS DOUBLE) / tb.total) AS enrichment
+  FROM bpairs p JOIN tt d ON d.corpus = p.domain JOIN ctot td ON td.corpus = p.domain
+  LEFT JOIN tt b ON b.corpus = p.baseline AND b.token = d.token JOIN ctot tb ON tb.corpus = p.baseline),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY domain, baseline ORDER BY enrichment DESC, token) AS rank FROM enr)"""
+CONC = """conc AS (SELECT domain, baseline, count(*) AS top_n,
+  CAST(sum(cd) AS DOUBLE) / max(td) * 100 AS concentration FROM ranked WHERE rank <= 1000 GROUP BY domain, baseline)"""
+
+
+def _js(pairs_cte: str) -> str:
+    return f"""{pairs_cte},
+sh AS (SELECT p.corpus_a, p.corpus_b, a.token, a.cnt AS ca, b.cnt AS cb FROM pairs p
+  JOIN tt a ON a.corpus = p.corpus_a JOIN tt b ON b.corpus = p.corpus_b AND b.token = a.token),
+ss AS (SELECT corpus_a, corpus_b, sum(ca) AS sa, sum(cb) AS sb FROM sh GROUP BY corpus_a, corpus_b),
+pq AS (SELECT sh.corpus_a, sh.corpus_b, CAST(ca AS DOUBLE) / sa AS p, CAST(cb AS DOUBLE) / sb AS q
+  FROM sh JOIN ss USING (corpus_a, corpus_b)),
+jsd AS (SELECT corpus_a, corpus_b,
+  sqrt(greatest(0.0, (sum(p * ln(p / ((p + q) / 2))) + sum(q * ln(q / ((p + q) / 2)))) / 2)) AS js_distance,
+  count(*) AS shared_tokens FROM pq GROUP BY corpus_a, corpus_b),
+js AS (SELECT p.corpus_a, p.corpus_b, coalesce(jsd.js_distance, 1.0) AS js_distance,
+  CAST(coalesce(jsd.shared_tokens, 0) AS BIGINT) AS shared_tokens FROM pairs p LEFT JOIN jsd USING (corpus_a, corpus_b))"""
+
+
+def rhe(x: str, d: int = 3) -> str:
+    f = 10 ** d
+    return f"(round_even(CAST({x} AS DOUBLE) * {f}.0, 0) / {f}.0)"
+
+
+ORACLE["token_counts"] = f"""SELECT doc_id, lang,
+  CAST(coalesce(len({toks('text')}), 0) + 2 AS BIGINT) AS total_tokens FROM documents"""
+
+ORACLE["corpus_size"] = f"""WITH {DATED},
+d AS (SELECT corpus, coalesce(len({toks('text')}), 0) + 2 AS t FROM dated),
+s AS (SELECT count(*) AS n, sum(t) AS tt FROM d)
+SELECT corpus, count(*) AS documents, CAST(sum(t) AS BIGINT) AS tokens, {r9('avg(t)')} AS avg_tokens,
+  {r9('CAST(count(*) AS DOUBLE) / max(s.n) * 100')} AS doc_share,
+  {r9('CAST(sum(t) AS DOUBLE) / max(s.tt) * 100')} AS token_share
+FROM d, s GROUP BY corpus"""
+
+ORACLE["vocab_stats"] = f"""WITH {CORPORA}, {TT}, {TOT}, {TTR}
+SELECT tot.corpus, total_tokens, unique_tokens, {r9('avg_freq')} AS avg_freq, {r9('coalesce(ttr, 0.0)')} AS ttr
+FROM tot LEFT JOIN ttr USING (corpus)"""
+
+ORACLE["js_distance"] = f"""WITH {CORPORA}, {TT}, {_js('''pairs AS (SELECT a.corpus AS corpus_a, b.corpus AS corpus_b
+  FROM (SELECT DISTINCT corpus FROM tt) a JOIN (SELECT DISTINCT corpus FROM tt) b ON a.corpus < b.corpus)''')}
+SELECT corpus_a, corpus_b, {r9('js_distance')} AS js_distance, shared_tokens FROM js"""
+
+ORACLE["domain_concentration"] = f"""WITH {CORPORA}, {TT}, {BPAIRS}, {ENR}, {CONC}
+SELECT domain, baseline, top_n, {r9('concentration')} AS concentration FROM conc"""
+
+ORACLE["enriched_tokens"] = f"""WITH {CORPORA}, {TT}, {BPAIRS}, {ENR}
+SELECT domain, baseline, CAST(rank AS INTEGER) AS rank, token, {r9('enrichment')} AS enrichment, cd AS cnt
+FROM ranked WHERE rank <= 25"""
+
+ORACLE["keyword_density"] = f"""WITH {CORPORA}, {VOCAB}, {HITS}, {KD}
+SELECT corpus, total_words, n_docs, total_occurrences, unique_found, docs_with_keywords, vocab_size,
+  matchable_terms, {r9('density_per_1k')} AS density_per_1k, {r9('coverage')} AS coverage,
+  {r9('doc_coverage')} AS doc_coverage FROM kd"""
+
+ORACLE["top_keywords"] = f"""WITH {CORPORA}, {VOCAB}, {HITS},
+c AS (SELECT corpus, term, CAST(sum(n) AS BIGINT) AS cnt FROM hits GROUP BY corpus, term)
+SELECT corpus, term, cnt, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY corpus ORDER BY cnt DESC, term) AS rank FROM c) WHERE rank <= 20"""
+
+ORACLE["corpus_keyword_profile"] = f"""WITH {CORPORA}, {TT}, {TOT}, {TTR}, {VOCAB}, {HITS}, {KD}
+SELECT kd.corpus, n_docs, total_words, {r9('density_per_1k')} AS density_per_1k, {r9('coverage')} AS coverage,
+  {r9('doc_coverage')} AS doc_coverage, total_tokens, unique_tokens, {r9('avg_freq')} AS avg_freq,
+  {r9('coalesce(ttr, 0.0)')} AS ttr
+FROM kd JOIN tot USING (corpus) LEFT JOIN ttr USING (corpus)"""
+
+ORACLE["corpus_summary"] = f"""WITH {CORPORA}, {TT}, {TOT}, {TTR}, {VOCAB}, {HITS}, {KD}, {BPAIRS}, {ENR}, {CONC},
+{_js('pairs AS (SELECT domain AS corpus_a, baseline AS corpus_b FROM bpairs)')}
+SELECT tot.corpus, total_tokens, unique_tokens, {rhe('avg_freq')} AS avg_freq, {rhe('ttr')} AS ttr,
+  {rhe('kd.density_per_1k')} AS density_per_1k, {rhe('kd.doc_coverage')} AS doc_coverage,
+  {rhe('js.js_distance')} AS js_vs_benchmark, {rhe('conc.concentration')} AS concentration_vs_benchmark
+FROM tot LEFT JOIN ttr USING (corpus) LEFT JOIN kd USING (corpus)
+  LEFT JOIN js ON js.corpus_a = tot.corpus LEFT JOIN conc ON conc.domain = tot.corpus"""
+
+ORACLE["corpus_class_means"] = f"""WITH {CORPORA}, {TT}, {TOT}, {TTR}, {VOCAB}, {HITS}, {KD},
+st AS (SELECT tot.corpus, ttr.ttr, kd.density_per_1k,
+  CASE WHEN tot.corpus = 'benchmark' THEN 'general' ELSE 'domain' END AS corpus_class
+  FROM tot LEFT JOIN ttr USING (corpus) JOIN kd USING (corpus)),
+g AS (SELECT corpus_class, avg(ttr) AS mean_ttr, avg(density_per_1k) AS mean_density FROM st GROUP BY corpus_class),
+gen AS (SELECT mean_ttr AS t, mean_density AS d FROM g WHERE corpus_class = 'general')
+SELECT corpus_class, {r9('mean_ttr')} AS mean_ttr, {r9('mean_density')} AS mean_density,
+  {r9('CASE WHEN gen.t = 0 THEN NULL ELSE mean_ttr / gen.t END')} AS ttr_ratio,
+  {r9('CASE WHEN gen.d = 0 THEN NULL ELSE mean_density / gen.d END')} AS density_ratio
+FROM g, gen"""
