@@ -377,3 +377,63 @@ SELECT corpus_class, {r9('mean_ttr')} AS mean_ttr, {r9('mean_density')} AS mean_
   {r9('CASE WHEN gen.t = 0 THEN NULL ELSE mean_ttr / gen.t END')} AS ttr_ratio,
   {r9('CASE WHEN gen.d = 0 THEN NULL ELSE mean_density / gen.d END')} AS density_ratio
 FROM g, gen"""
+
+
+# ----------------------------------------------------------------- trends
+DATED_YEARS = f"""{DATED},
+dy AS (SELECT *, CASE
+    WHEN corpus = 'literature' THEN (CASE WHEN split_part(date_text, '-', 1) IS NOT NULL
+         THEN TRY_CAST(TRY_CAST(split_part(date_text, '-', 1) AS DOUBLE) AS INTEGER) END)
+    ELSE (CASE WHEN length(split_part(date_text, '-', 1)) = 4 AND starts_with(split_part(date_text, '-', 1), '2')
+         THEN TRY_CAST(TRY_CAST(split_part(date_text, '-', 1) AS DOUBLE) AS INTEGER) END) END AS year
+  FROM dated),
+dyv AS (SELECT * FROM dy WHERE year IS NOT NULL)"""
+
+_TERMS = ["tion", "ment", " der ", " und ", "eau", "qxz"]
+
+
+def _yearly_mentions() -> str:
+    flags = {f"contains_{t}": f"contains(lower(text), '{t}')" for t in _TERMS}
+    flags["contains_tion_or_ment"] = "(" + flags.pop("contains_tion") + " OR " + flags.pop("contains_ment") + ")"
+    aggs = ", ".join(f"avg(CAST({e} AS INTEGER)) AS \"{k}\"" for k, e in flags.items())
+    cols = ", ".join(f'"{k}"' for k in flags)
+    return f"""WITH {DATED_YEARS},
+wide AS (SELECT corpus, year, {aggs} FROM dyv GROUP BY corpus, year),
+longt AS (UNPIVOT wide ON {cols} INTO NAME term VALUE rate),
+nser AS (SELECT count(DISTINCT corpus) AS n FROM longt),
+common AS (SELECT term, year FROM longt GROUP BY term, year HAVING count(DISTINCT corpus) = (SELECT n FROM nser)),
+al AS (SELECT l.corpus, l.term, l.year, greatest(l.rate, 0.0) AS rate FROM longt l JOIN common c USING (term, year)),
+fr AS (SELECT *, min(CASE WHEN rate > 0.0001 THEN year END) OVER (PARTITION BY corpus, term) AS first FROM al)
+SELECT corpus, year, term, {r9('rate')} AS rate FROM fr WHERE year >= first"""
+
+
+ORACLE["yearly_mentions"] = _yearly_mentions()
+
+ORACLE["sentiment_share"] = f"""WITH {DATED_YEARS},
+j AS (SELECT d.year, CASE WHEN l.toxic = 1 THEN 'bearish' WHEN l.quality = 1 THEN 'bullish' ELSE 'neutral' END
+        AS sentiment_label FROM dyv d JOIN labels l USING (doc_id) WHERE d.corpus = 'social'),
+c AS (SELECT year, sentiment_label, count(*) AS count FROM j GROUP BY year, sentiment_label)
+SELECT year, sentiment_label, count, {r9('CAST(count AS DOUBLE) / sum(count) OVER (PARTITION BY year) * 100')} AS percent
+FROM c"""
+
+ORACLE["market_yearly"] = f"""WITH m AS (SELECT epoch_ms(o_orderdate) AS snapped_at, o_totalprice * 1e6 AS market_cap FROM orders)
+SELECT year(epoch_ms(snapped_at)) AS year, {r9('median(market_cap) / 1e9')} AS market_cap FROM m
+GROUP BY year(epoch_ms(snapped_at))"""
+
+ORACLE["counts_before"] = """WITH c AS (SELECT year(o_orderdate) AS year, count(*) AS cnt FROM orders GROUP BY 1)
+SELECT CAST(coalesce(sum(CASE WHEN year < 1998 THEN cnt END), 0) AS BIGINT) AS before,
+  CAST(coalesce(sum(CASE WHEN year BETWEEN 1998 AND 2000 THEN cnt END), 0) AS BIGINT) AS within,
+  CAST(coalesce(sum(CASE WHEN year > 2000 THEN cnt END), 0) AS BIGINT) AS after,
+  CAST(coalesce(sum(CASE WHEN year IS NULL THEN cnt END), 0) AS BIGINT) AS undated FROM c"""
+
+ORACLE["lag_correlation"] = f"""WITH
+a AS (SELECT year(l_shipdate) * 100 + month(l_shipdate) AS period, count(*) AS activity FROM lineitem GROUP BY 1),
+b AS (SELECT year(o_orderdate) * 100 + month(o_orderdate) AS period, median(o_totalprice) AS price FROM orders GROUP BY 1),
+j AS (SELECT period, activity, price, row_number() OVER (ORDER BY period) - 1 AS pos FROM a JOIN b USING (period)),
+lags AS (SELECT unnest(range(-5, 6)) AS lag),
+xs AS (SELECT j.pos AS pos_x, j.activity AS x, lags.lag FROM j, lags),
+pr AS (SELECT xs.lag, xs.x, y.price AS y FROM xs JOIN j y ON y.pos = xs.pos_x - xs.lag),
+rk AS (SELECT lag,
+  rank() OVER (PARTITION BY lag ORDER BY x) + (count(*) OVER (PARTITION BY lag, x) - 1) / 2.0 AS rx,
+  rank() OVER (PARTITION BY lag ORDER BY y) + (count(*) OVER (PARTITION BY lag, y) - 1) / 2.0 AS ry FROM pr)
+SELECT CAST(lag AS INTEGER) AS lag, count(*) AS n, {r9('corr(rx, ry)')} AS spearman_correlation FROM rk GROUP BY lag"""
