@@ -42,7 +42,11 @@ def ordered_prefix(df: DataFrame, order_cols: list, value_col=None, out: str = "
     """
     partition_cols = list(partition_cols or [])
     n_buckets = n_buckets or default_buckets(df)
+    # value_col may be a list (then ``out`` is a list of the same length)
     key = _asc(order_cols[0]).cast("double")
+    if isinstance(value_col, (list, tuple)):
+        return _multi_prefix(df, order_cols, list(value_col), out, partition_cols, n_buckets,
+                             inclusive, descending)
     val = F.lit(1).cast("bigint") if value_col is None else _asc(value_col)
 
     probs = [i / n_buckets for i in range(1, n_buckets)]
@@ -73,3 +77,36 @@ def ordered_prefix(df: DataFrame, order_cols: list, value_col=None, out: str = "
     if not inclusive:
         running = running - F.col("_pv")
     return joined.withColumn(out, running).drop("_pv", "_pb", "_po")
+
+
+def _multi_prefix(df, order_cols, value_cols, outs, partition_cols, n_buckets, inclusive, descending):
+    """Several running sums over the same order in one pass: the values are
+    packed into a struct, bucketed once and summed field by field."""
+    tmp = [f"_mv{i}" for i in range(len(value_cols))]
+    base = df.withColumns({t: _asc(v) for t, v in zip(tmp, value_cols)})
+    # bucket/offset machinery is shared: run it for the first value and
+    # reuse the bucket column for the others through explicit windows
+    key = _asc(order_cols[0]).cast("double")
+    probs = [i / n_buckets for i in range(1, n_buckets)]
+    splits = df.select(F.percentile_approx(key, probs, 10000).alias("s")).scalar()
+    if descending:
+        bucket = F.size(F.filter(F.col("_ps"), lambda s: s > key))
+    else:
+        bucket = F.size(F.filter(F.col("_ps"), lambda s: s <= key))
+    base = base.withColumn("_ps", splits).withColumn("_pb", bucket.cast("int")).drop("_ps")
+    totals = base.groupBy(*partition_cols, "_pb").agg(*[F.sum(t).alias(t + "_t") for t in tmp])
+    ow = Window.partitionBy(*partition_cols).orderBy("_pb").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*partition_cols, "_pb",
+                            *[F.coalesce(F.sum(t + "_t").over(ow), F.lit(0)).alias(t + "_o") for t in tmp])
+    if not partition_cols:
+        offsets = F.broadcast(offsets)
+    joined = base.join(offsets, [*partition_cols, "_pb"], "inner")
+    order = [(_asc(c).desc() if (descending and i == 0) else _asc(c).asc())
+             for i, c in enumerate(order_cols)]
+    w = (Window.partitionBy(*partition_cols, "_pb").orderBy(*order)
+         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    cols = {}
+    for t, o in zip(tmp, outs):
+        r = F.sum(t).over(w) + F.col(t + "_o")
+        cols[o] = r if inclusive else r - F.col(t)
+    return joined.withColumns(cols).drop("_pb", *tmp, *[t + "_o" for t in tmp])

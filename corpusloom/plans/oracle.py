@@ -437,3 +437,164 @@ rk AS (SELECT lag,
   rank() OVER (PARTITION BY lag ORDER BY x) + (count(*) OVER (PARTITION BY lag, x) - 1) / 2.0 AS rx,
   rank() OVER (PARTITION BY lag ORDER BY y) + (count(*) OVER (PARTITION BY lag, y) - 1) / 2.0 AS ry FROM pr)
 SELECT CAST(lag AS INTEGER) AS lag, count(*) AS n, {r9('corr(rx, ry)')} AS spearman_correlation FROM rk GROUP BY lag"""
+
+
+# ------------------------------------------------------------- evaluation
+PREDS = """preds AS (SELECT doc_id, list_transform(range(doc_id % 5), lambda i: {
+    'entity_group': ['ESG', 'Consensus', 'Identifiers'][((doc_id + i) % 3) + 1],
+    'score': 0.98 + ((doc_id * 37 + i * 101) % 2000) / 100000}) AS predictions FROM documents),
+esc AS (SELECT doc_id, predictions, len(predictions) AS num_preds,
+    list_transform(list_filter(predictions, lambda x: x.entity_group <> 'ESG'), lambda x: x.score) AS sc
+  FROM preds),
+pm0 AS (SELECT e.doc_id, coalesce(list_max(e.sc), 0.0) AS prediction_max, e.num_preds,
+    coalesce(l.quality, 0) AS class FROM esc e LEFT JOIN labels l USING (doc_id))"""
+
+ORACLE["entity_filter"] = f"""WITH {PREDS}
+SELECT doc_id, CAST(num_preds AS INTEGER) AS num_preds, CAST(len(sc) AS INTEGER) AS n_scores,
+  {r9('list_max(sc)')} AS prediction_max, {r9("list_aggregate(sc, 'median')")} AS prediction_median,
+  true AS max_pred FROM esc WHERE list_max(sc) > 0.995"""
+
+ORACLE["confusion"] = f"""WITH {PREDS},
+d AS (SELECT coalesce(list_max(e.sc) > 0.995, false) AS p, coalesce(l.quality, 0) = 1 AS g
+  FROM esc e LEFT JOIN labels l USING (doc_id))
+SELECT count_if(NOT g AND NOT p) AS tn, count_if(NOT g AND p) AS fp, count_if(g AND NOT p) AS fn,
+  count_if(g AND p) AS tp FROM d"""
+
+ORACLE["threshold_sweep"] = f"""WITH {PREDS},
+g AS (SELECT unnest(range(9900, 10001)) / 10000 AS t)
+SELECT {r9('t')} AS threshold,
+  {r9('CAST(sum(CASE WHEN (prediction_max > t) = (class = 1) THEN 1 ELSE 0 END) AS DOUBLE) / count(*)')} AS accuracy
+FROM g, pm0 GROUP BY t"""
+
+ORACLE["class_describe"] = f"""WITH {PREDS}
+SELECT class, count(prediction_max) AS count, {r9('avg(prediction_max)')} AS mean,
+  {r9('stddev_samp(prediction_max)')} AS std, {r9('min(prediction_max)')} AS min,
+  {r9('quantile_cont(prediction_max, 0.25)')} AS p25, {r9('quantile_cont(prediction_max, 0.5)')} AS p50,
+  {r9('quantile_cont(prediction_max, 0.75)')} AS p75, {r9('max(prediction_max)')} AS max
+FROM pm0 GROUP BY class"""
+
+ORACLE["class_box_stats"] = f"""WITH {PREDS},
+q AS (SELECT class, quantile_cont(num_preds, 0.25) AS p25, quantile_cont(num_preds, 0.5) AS p50,
+  quantile_cont(num_preds, 0.75) AS p75 FROM pm0 GROUP BY class),
+j AS (SELECT p.num_preds AS v, q.*, q.p75 - q.p25 AS iqr FROM pm0 p JOIN q USING (class))
+SELECT class, {r9('p25')} AS p25, {r9('p50')} AS p50, {r9('p75')} AS p75, {r9('iqr')} AS iqr,
+  CAST(min(CASE WHEN v >= p25 - 1.5 * iqr THEN v END) AS INTEGER) AS whisker_low,
+  CAST(max(CASE WHEN v <= p75 + 1.5 * iqr THEN v END) AS INTEGER) AS whisker_high,
+  count_if(v < p25 - 1.5 * iqr OR v > p75 + 1.5 * iqr) AS outliers
+FROM j GROUP BY class, p25, p50, p75, iqr"""
+
+ORACLE["pct_histogram"] = f"""WITH {VOTES}, {MKT},
+v AS (SELECT bullish_pct AS x FROM mkt WHERE bullish_pct IS NOT NULL),
+s AS (SELECT min(x) AS lo, max(x) AS hi, count(x) AS n FROM v),
+b AS (SELECT least(CASE WHEN hi = lo THEN 0 ELSE CAST(floor((x - lo) / ((hi - lo) / 10)) AS INTEGER) END, 9) AS bin,
+  lo, (hi - lo) / 10 AS w, n FROM v, s)
+SELECT bin, {r9('lo + bin * w')} AS bin_start, {r9('lo + (bin + 1) * w')} AS bin_end, count(*) AS count,
+  {r9('CASE WHEN n * w = 0 THEN NULL ELSE count(*) / (n * w) END')} AS density
+FROM b GROUP BY bin, lo, w, n"""
+
+LOGITS = """lg AS (SELECT vec_id AS row_id, list_slice(embedding, 1, 10) AS logits, label FROM embeddings),
+sm0 AS (SELECT row_id, label, list_transform(logits, lambda x: CAST(x AS DOUBLE)) AS a FROM lg),
+sm1 AS (SELECT row_id, label, list_transform(a, lambda x: exp(x - list_max(a))) AS e FROM sm0),
+sm AS (SELECT row_id, label, list_transform(e, lambda x: x / list_sum(e)) AS pr FROM sm1)"""
+
+ORACLE["classification_report"] = f"""WITH {LOGITS},
+pp AS (SELECT label AS y, CAST(list_position(logits, list_max(logits)) - 1 AS INTEGER) AS p FROM lg),
+pairs AS (SELECT y, p, count(*) AS n FROM pp GROUP BY y, p),
+bt AS (SELECT y AS cls, sum(n) AS support, sum(CASE WHEN y = p THEN n END) AS tp FROM pairs GROUP BY y),
+bp AS (SELECT p AS cls, sum(n) AS predicted FROM pairs GROUP BY p),
+per AS (SELECT coalesce(bt.support, 0) AS support, coalesce(bt.tp, 0) AS tp, coalesce(bp.predicted, 0) AS predicted
+  FROM bt FULL OUTER JOIN bp ON bt.cls = bp.cls),
+m AS (SELECT *, CASE WHEN predicted > 0 THEN CAST(tp AS DOUBLE) / predicted ELSE 0.0 END AS pr,
+  CASE WHEN support > 0 THEN CAST(tp AS DOUBLE) / support ELSE 0.0 END AS rc FROM per),
+m2 AS (SELECT *, CASE WHEN pr + rc > 0 THEN 2 * pr * rc / (pr + rc) ELSE 0.0 END AS f1 FROM m)
+SELECT {r9('CAST(sum(tp) AS DOUBLE) / sum(support)')} AS accuracy,
+  {r9('sum(pr * support) / sum(support)')} AS precision_weighted,
+  {r9('sum(rc * support) / sum(support)')} AS recall_weighted,
+  {r9('sum(f1 * support) / sum(support)')} AS f1_weighted,
+  {r9('avg(pr)')} AS precision_macro, {r9('avg(rc)')} AS recall_macro, {r9('avg(f1)')} AS f1_macro FROM m2"""
+
+ORACLE["roc_points"] = f"""WITH {LOGITS},
+ex AS (SELECT label AS y, unnest(pr) AS score, unnest(range(len(pr))) AS cls FROM sm),
+agg AS (SELECT cls, round(score, 9) AS score, count_if(y = cls) AS pos, count_if(y <> cls) AS neg
+  FROM ex GROUP BY cls, round(score, 9)),
+tot AS (SELECT cls, sum(pos) AS P, sum(neg) AS N FROM agg GROUP BY cls),
+cum AS (SELECT cls, score,
+  sum(pos) OVER (PARTITION BY cls ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cp,
+  sum(neg) OVER (PARTITION BY cls ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cn FROM agg)
+SELECT CAST(cls AS INTEGER) AS cls, {r9('score')} AS threshold,
+  {r9('CASE WHEN P = 0 THEN NULL ELSE cp / P END')} AS tpr,
+  {r9('CASE WHEN N = 0 THEN NULL ELSE cn / N END')} AS fpr FROM cum JOIN tot USING (cls)"""
+
+ORACLE["prediction_summary"] = f"""WITH {LOGITS},
+top AS (SELECT 'class_' || CAST(list_position(pr, list_max(pr)) - 1 AS VARCHAR) AS sentiment_label,
+  round(list_max(pr), 9) AS s FROM sm),
+b AS (SELECT sentiment_label, CASE WHEN s IS NULL THEN NULL WHEN s > 0.9 THEN 'high' WHEN s > 0.7 THEN 'medium'
+  ELSE 'low' END AS confidence_level FROM top)
+SELECT sentiment_label, confidence_level, count(*) AS count,
+  {r9('CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM b) * 100')} AS percent
+FROM b GROUP BY sentiment_label, confidence_level"""
+
+
+def _spans(src: str, tag: str, strict: bool, name: str) -> str:
+    typ = "regexp_replace(tag, '^.*-', '')"
+    if strict:
+        return f"""{name}_a AS (SELECT doc, pos, {tag} AS tag,
+    last_value(CASE WHEN {tag} NOT LIKE 'I-%' THEN {tag} END IGNORE NULLS) OVER (PARTITION BY doc ORDER BY pos
+      ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS lni FROM {src}),
+{name}_b AS (SELECT *, tag LIKE 'B-%' OR (tag LIKE 'I-%' AND coalesce(lni LIKE 'B-%'
+    AND regexp_replace(lni, '^.*-', '') = {typ}, false)) AS inside, tag LIKE 'B-%' AS st FROM {name}_a),
+{name}_c AS (SELECT *, sum(CASE WHEN st AND inside THEN 1 ELSE 0 END) OVER (PARTITION BY doc ORDER BY pos
+    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS sid FROM {name}_b),
+{name} AS (SELECT doc, min(pos) AS s, max(pos) AS e, first({typ}) AS typ FROM {name}_c WHERE inside GROUP BY doc, sid)"""
+    return f"""{name}_a AS (SELECT doc, pos, {tag} AS tag,
+    lag({tag}) OVER (PARTITION BY doc ORDER BY pos) AS prev FROM {src}),
+{name}_b AS (SELECT *, tag LIKE 'B-%' OR tag LIKE 'I-%' AS inside,
+    tag LIKE 'B-%' OR (tag LIKE 'I-%' AND (prev IS NULL OR prev = 'O'
+      OR regexp_replace(prev, '^.*-', '') <> {typ})) AS st FROM {name}_a),
+{name}_c AS (SELECT *, sum(CASE WHEN st AND inside THEN 1 ELSE 0 END) OVER (PARTITION BY doc ORDER BY pos
+    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS sid FROM {name}_b),
+{name} AS (SELECT doc, min(pos) AS s, max(pos) AS e, first({typ}) AS typ FROM {name}_c WHERE inside GROUP BY doc, sid)"""
+
+
+def _span_report() -> str:
+    parts = []
+    for mode, strict in (("strict", True), ("lenient", False)):
+        parts.append(_spans("tk", "gold", strict, f"{mode}_g"))
+        parts.append(_spans("tk", "pred", strict, f"{mode}_p"))
+        parts.append(f"""{mode} AS (SELECT count(g.doc) AS gold_n, count(p.doc) AS pred_n,
+  count_if(g.doc IS NOT NULL AND p.doc IS NOT NULL) AS tp
+  FROM {mode}_g g FULL OUTER JOIN {mode}_p p ON g.doc = p.doc AND g.s = p.s AND g.e = p.e AND g.typ = p.typ)""")
+    sel = []
+    for mode in ("strict", "lenient"):
+        pr = f"CASE WHEN {mode}.pred_n > 0 THEN CAST({mode}.tp AS DOUBLE) / {mode}.pred_n ELSE 0.0 END"
+        rc = f"CASE WHEN {mode}.gold_n > 0 THEN CAST({mode}.tp AS DOUBLE) / {mode}.gold_n ELSE 0.0 END"
+        f1 = f"CASE WHEN ({pr}) + ({rc}) > 0 THEN 2 * ({pr}) * ({rc}) / (({pr}) + ({rc})) ELSE 0.0 END"
+        sel += [f"{r9(pr)} AS {mode}_precision", f"{r9(rc)} AS {mode}_recall", f"{r9(f1)} AS {mode}_f1",
+                f"{mode}.gold_n AS {mode}_gold_spans", f"{mode}.pred_n AS {mode}_pred_spans"]
+    return f"""WITH
+wd AS (SELECT doc_id AS doc, unnest(ws) AS w, unnest(range(len(ws))) AS pos FROM (
+  SELECT doc_id, {words('text')} AS ws FROM documents)),
+lb AS (SELECT doc, pos, length(w) AS ln, last_value(CASE WHEN length(w) < 5 OR length(w) >= 7 THEN length(w) END
+  IGNORE NULLS) OVER (PARTITION BY doc ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS lastbreak FROM wd),
+t0 AS (SELECT doc, pos, CASE WHEN ln >= 7 THEN 1 WHEN ln >= 5 AND lastbreak >= 7 THEN 2 ELSE 0 END AS g FROM lb),
+tk AS (SELECT doc, pos, ['O', 'B-T', 'I-T'][g + 1] AS gold,
+  ['O', 'B-T', 'I-T'][(CASE WHEN (doc + pos) % 11 = 0 THEN 0 ELSE g END) + 1] AS pred FROM t0 WHERE pos % 13 <> 0),
+acc AS (SELECT count(*) AS n_tokens, avg(CASE WHEN pred = gold THEN 1.0 ELSE 0.0 END) AS token_accuracy FROM tk),
+{", ".join(parts)}
+SELECT acc.n_tokens, {r9('acc.token_accuracy')} AS token_accuracy, {", ".join(sel)}
+FROM acc, strict, lenient"""
+
+
+ORACLE["span_report"] = _span_report()
+
+ORACLE["parse_printed_list"] = f"""WITH {PREDS}
+SELECT doc_id, CAST(len(predictions) AS INTEGER) AS n_parsed,
+  {r9('list_max(list_transform(predictions, lambda x: x.score))')} AS max_score,
+  CAST(len(list_filter(predictions, lambda x: x.entity_group = 'ESG')) AS INTEGER) AS n_esg FROM preds"""
+
+ORACLE["label_id_roundtrip"] = f"""WITH {VOTES}, {MKT},
+q AS (SELECT quantile_cont(bullish_pct, 0.25) AS p25, quantile_cont(bullish_pct, 0.75) AS p75 FROM mkt),
+l AS (SELECT user_id, week, {_label_case('bullish_pct', 'p25', 'p75', 'bearish', 'bullish')} AS market_direction
+  FROM mkt, q)
+SELECT user_id, week, market_direction, {_id_case('market_direction', PAIRS[0][3])} AS market_direction_id,
+  market_direction AS decoded FROM l"""
