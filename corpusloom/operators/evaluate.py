@@ -118,42 +118,25 @@ def roc_points(df: DataFrame, logits_col: str, label_col: str, digits: int = 9)
         F.try_divide(F.col("cum_neg"), F.col("N")).alias("fpr"))
 
 
-def _span_table(tokens: DataFrame, tag_col: str, strict: bool) -> DataFrame:
-    """Spans (doc, start, end, type) of IOB2 tags in a (doc, pos, tag)
-    table.  Lenient (seqeval default): B starts, I after O starts.  Strict
-    (IOB2): only B starts; an I belongs to a span only if the run of I tags
-    it is in is preceded by B."""
-    w = Window.partitionBy("doc").orderBy("pos")
-    t = tokens.select("doc", "pos", F.col(tag_col).alias("tag"))
-    prev = F.lag("tag").over(w)
-    typ = F.substring_index(F.col("tag"), "-", -1)
-    prev_typ = F.substring_index(prev, "-", -1)
-    is_b = F.col("tag").startswith("B-")
-    is_i = F.col("tag").startswith("I-")
+def _span_flags(tag, prev, last_non_i, strict: bool):
+    """(inside, start) flags of one IOB2 tag column at one position.
+    Lenient (seqeval default): B starts, I after O / another type starts.
+    Strict (IOB2): only B starts; an I is inside only when the run of I tags
+    it belongs to is preceded by B of the same type."""
+    typ = F.substring_index(tag, "-", -1)
+    is_b, is_i = tag.startswith("B-"), tag.startswith("I-")
     if strict:
-        last_non_i = F.last(F.when(~F.col("tag").startswith("I-"), F.col("tag")), ignorenulls=True) \
-            .over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        t = t.withColumn("_lni", last_non_i)
-        inside = is_b | (is_i & F.coalesce(F.col("_lni").startswith("B-") &
-                                           (F.substring_index(F.col("_lni"), "-", -1) == typ), F.lit(False)))
-        start = is_b
-    else:
-        inside = is_b | is_i
-        start = is_b | (is_i & (prev.isNull() | (prev == "O") | (prev_typ != typ)))
-    t = t.withColumn("_in", inside).withColumn("_st", start & inside)
-    t = t.withColumn("_sid", F.sum(F.col("_st").cast("int")).over(
-        w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    return (t.where(F.col("_in")).groupBy("doc", "_sid")
-            .agg(F.min("pos").alias("start"), F.max("pos").alias("end"),
-                 F.first(F.substring_index(F.col("tag"), "-", -1)).alias("type"))
-            .drop("_sid"))
+        ok = F.coalesce(last_non_i.startswith("B-") & (F.substring_index(last_non_i, "-", -1) == typ),
+                        F.lit(False))
+        return is_b | (is_i & ok), is_b
+    start = is_b | (is_i & (prev.isNull() | (prev == "O") | (F.substring_index(prev, "-", -1) != typ)))
+    return is_b | is_i, start
 
 
 def span_report(df: DataFrame, doc_col: str, pred_ids: str, gold_ids: str, labels: list[str],
                 ignore: int = -100) -> DataFrame:
-    """M-17 + F-30: entity-level precision/recall/F1 in strict (IOB2) and
-    lenient (default) modes plus token accuracy, after dropping ignored
-    positions (trap T-27 names)."""
+    """M-17 + F-30 on array-shaped data: drop ignored positions, map ids to
+    names, then :func:`span_report_rows`."""
     pairs = df.select(F.col(doc_col).alias("doc"),
                       F.posexplode(drop_ignored(pred_ids, gold_ids, labels, ignore)).alias("pos", "pg"))
     tok = pairs.select("doc", "pos", F.col("pg.pred").alias("pred"), F.col("pg.gold").alias("gold"))
@@ -162,32 +145,57 @@ def span_report(df: DataFrame, doc_col: str, pred_ids: str, gold_ids: str, label
 
 def span_report_rows(tok: DataFrame) -> DataFrame:
     """M-17 on a (doc, pos, pred, gold) tag-name table (ignored positions
-    already removed).  Spans are found with per-document windows."""
-    out = {}
-    for mode, strict in (("strict", True), ("lenient", False)):
-        gs = _span_table(tok, "gold", strict)
-        ps = _span_table(tok, "pred", strict)
-        m = gs.withColumn("_g", F.lit(1)).join(ps.withColumn("_p", F.lit(1)),
-                                              ["doc", "start", "end", "type"], "full_outer")
-        out[mode] = m.agg(F.count("_g").alias(f"{mode}_gold"), F.count("_p").alias(f"{mode}_pred"),
-                          F.count_if(F.col("_g").isNotNull() & F.col("_p").isNotNull()).alias(f"{mode}_tp"))
+    already removed): entity-level strict and lenient P/R/F1 and token
+    accuracy (trap T-27 names).
+
+    One per-document window pass computes span ids for gold and predicted
+    tags in both modes; spans are aggregated once and matched by grouping
+    on (mode, doc, start, end, type) instead of a join."""
+    w = Window.partitionBy("doc").orderBy("pos")
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cols = {}
+    for src in ("gold", "pred"):
+        t = F.col(src)
+        prev = F.lag(src).over(w)
+        lni = F.last(F.when(~t.startswith("I-"), t), ignorenulls=True).over(upto)
+        for mode, strict in (("strict", True), ("lenient", False)):
+            inside, start = _span_flags(t, prev, lni, strict)
+            cols[f"{src}_{mode}_in"] = inside
+            cols[f"{src}_{mode}_st"] = start & inside
+    flagged = tok.withColumns(cols)
+    sids = {f"{k[:-3]}_sid": F.sum(F.col(k).cast("int")).over(upto) for k in cols if k.endswith("_st")}
+    flagged = flagged.withColumns(sids)
+    members = F.array(*[
+        F.struct(F.lit(src).alias("src"), F.lit(mode).alias("mode"),
+                 F.col(f"{src}_{mode}_sid").alias("sid"), F.col(f"{src}_{mode}_in").alias("inside"),
+                 F.substring_index(F.col(src), "-", -1).alias("type"))
+        for src in ("gold", "pred") for mode in ("strict", "lenient")])
+    m = flagged.select("doc", "pos", F.explode(members).alias("m")).where(F.col("m.inside"))
+    spans = m.groupBy("doc", "m.src", "m.mode", "m.sid").agg(
+        F.min("pos").alias("start"), F.max("pos").alias("end"), F.first("m.type").alias("type"))
+    keyed = spans.groupBy("mode", "doc", "start", "end", "type").agg(
+        F.max((F.col("src") == "gold").cast("int")).alias("g"),
+        F.max((F.col("src") == "pred").cast("int")).alias("p"))
+    per_mode = keyed.groupBy("mode").agg(F.sum("g").alias("gold_n"), F.sum("p").alias("pred_n"),
+                                         F.count_if((F.col("g") == 1) & (F.col("p") == 1)).alias("tp"))
+    stats = per_mode.agg(*[F.max(F.when(F.col("mode") == md, F.struct("gold_n", "pred_n", "tp"))).alias(md)
+                           for md in ("strict", "lenient")])
     acc = tok.agg(F.count("*").alias("n_tokens"),
                   F.avg((F.col("pred") == F.col("gold")).cast("double")).alias("token_accuracy"))
-    # each report is a one-row aggregate: attach them as scalar subqueries
-    r = acc.withColumn("_s", out["strict"].select(F.struct("*").alias("s")).scalar()) \
-        .withColumn("_l", out["lenient"].select(F.struct("*").alias("s")).scalar())
-    cols = ["n_tokens", "token_accuracy"]
-    for mode, ref in (("strict", "_s"), ("lenient", "_l")):
-        g, p, tp = (F.col(f"{ref}.{mode}_gold"), F.col(f"{ref}.{mode}_pred"), F.col(f"{ref}.{mode}_tp"))
+    r = acc.withColumn("_m", stats.select(F.struct("strict", "lenient").alias("s")).scalar())
+    out = ["n_tokens", "token_accuracy"]
+    for mode in ("strict", "lenient"):
+        g = F.coalesce(F.col(f"_m.{mode}.gold_n"), F.lit(0)).cast("bigint")
+        p = F.coalesce(F.col(f"_m.{mode}.pred_n"), F.lit(0)).cast("bigint")
+        tp = F.coalesce(F.col(f"_m.{mode}.tp"), F.lit(0))
         prec = F.when(p > 0, tp / p).otherwise(F.lit(0.0))
         rec = F.when(g > 0, tp / g).otherwise(F.lit(0.0))
         r = r.withColumn(f"{mode}_precision", prec).withColumn(f"{mode}_recall", rec)
         pc, rc = F.col(f"{mode}_precision"), F.col(f"{mode}_recall")
         r = r.withColumn(f"{mode}_f1", F.when(pc + rc > 0, 2 * pc * rc / (pc + rc)).otherwise(F.lit(0.0)))
         r = r.withColumn(f"{mode}_gold_spans", g).withColumn(f"{mode}_pred_spans", p)
-        cols += [f"{mode}_precision", f"{mode}_recall", f"{mode}_f1", f"{mode}_gold_spans",
-                 f"{mode}_pred_spans"]
-    return r.select(*cols)
+        out += [f"{mode}_precision", f"{mode}_recall", f"{mode}_f1", f"{mode}_gold_spans", f"{mode}_pred_spans"]
+    return r.select(*out)
 
 
 def group_describe(df: DataFrame, group_col: str, value_col: str) -> DataFrame:

@@ -598,3 +598,152 @@ l AS (SELECT user_id, week, {_label_case('bullish_pct', 'p25', 'p75', 'bearish',
   FROM mkt, q)
 SELECT user_id, week, market_direction, {_id_case('market_direction', PAIRS[0][3])} AS market_direction_id,
   market_direction AS decoded FROM l"""
+
+
+# ---------------------------------------------------------------- textprep
+NL = "chr(10)"
+
+
+def collapse(x: str) -> str:
+    return f"trim(regexp_replace({x}, '[{WSRE}]+', ' ', 'g'), {WS})"
+
+
+ORACLE["clean_text"] = f"""WITH c AS (SELECT doc_id, {collapse('text')} AS text FROM documents)
+SELECT doc_id, text FROM c WHERE coalesce(length({strip('text')}) >= 1, false)
+  AND text <> 'null' AND text <> '-' AND NOT starts_with(text, 'RT @')"""
+
+
+def _news() -> str:
+    pct = ",\n  ".join(f"CAST({c} AS DOUBLE) / NULLIF({neg} + {pos}, 0) * 100 AS {c}_pct"
+                       for _n, neg, pos, _l in PAIRS for c in (neg, pos))
+    q = ", ".join(f"quantile_cont({pos}_pct, 0.25) AS {n}_p25, quantile_cont({pos}_pct, 0.75) AS {n}_p75"
+                  for n, _neg, pos, _l in PAIRS)
+    lab = ",\n  ".join(f"{_label_case(pos + '_pct', 'q.' + n + '_p25', 'q.' + n + '_p75', neg, pos)} AS {n}"
+                       for n, neg, pos, _l in PAIRS)
+    ids = ", ".join(f"{_id_case(n, labs)} AS {n}_id" for n, _a, _b, labs in PAIRS)
+    return f"""WITH {VOTES},
+art AS (SELECT v.*, split_part(d.text, {NL}, 1) AS title,
+    NULLIF(regexp_extract(d.text, '(?s)^[^\\n]*\\n(.*)$', 1), '') AS description
+  FROM votes v JOIN documents d ON d.doc_id = v.user_id * 5 + v.week),
+t AS (SELECT *, CAST(bearish + bullish + liked + disliked + important + lol AS INTEGER) AS total_votes,
+  bearish + bullish AS m, liked + disliked AS e, important + lol AS c FROM art),
+pos AS (SELECT * FROM t WHERE total_votes > 0),
+f0 AS (SELECT * FROM pos WHERE total_votes >= (SELECT least(median(m), median(e), median(c)) FROM pos)),
+f1 AS (SELECT * EXCLUDE (description), coalesce(description, '') AS description FROM f0 WHERE title IS NOT NULL),
+f2 AS (SELECT * FROM f1 WHERE coalesce(length({strip('description')}) >= 1, false) AND description <> 'null'
+  AND length(description) > 0 AND NOT starts_with(description, 'RT @') AND description <> '-'),
+p AS (SELECT *, {pct} FROM f2),
+q AS (SELECT {q} FROM p),
+l AS (SELECT p.*, {lab} FROM p, q)
+SELECT user_id, week, {strip(f"{strip('title')} || {NL} || {NL} || {strip('description')}")} AS text,
+  {ids}, total_votes, bearish, bullish, liked, disliked, important, lol FROM l"""
+
+
+ORACLE["news_labelled"] = _news()
+
+ORACLE["fixed_windows"] = f"""WITH t AS (SELECT doc_id, text, {toks('text')} AS tk FROM documents),
+ch AS (SELECT doc_id, CASE WHEN len(tk) > 512
+    THEN list_transform(range(1, len(tk) + 1, 512), lambda s: array_to_string(list_slice(tk, s, s + 511), ' '))
+    ELSE [text] END AS chunks FROM t),
+ex AS (SELECT doc_id, unnest(chunks) AS chunk_text, unnest(range(len(chunks))) AS chunk_id FROM ch)
+SELECT doc_id, CAST(chunk_id AS INTEGER) AS chunk_id, chunk_text,
+  CAST(len({toks('chunk_text')}) AS INTEGER) AS n_tokens
+FROM ex WHERE length({strip('chunk_text')}) > 0"""
+
+ORACLE["overlap_windows"] = f"""WITH t AS (SELECT doc_id, lang, text, {toks('text')} AS tk FROM documents),
+ch AS (SELECT doc_id, lang, CASE WHEN len(tk) > 510
+    THEN list_transform(range(0, (CAST(ceil((len(tk) - 510) / 460) AS BIGINT)) * 460 + 1, 460),
+                        lambda s: array_to_string(list_slice(tk, s + 1, s + 510), ' '))
+    ELSE [text] END AS chunks FROM t)
+SELECT doc_id, lang, CAST(unnest(range(len(chunks))) AS INTEGER) AS chunk_id, unnest(chunks) AS chunk_text FROM ch"""
+
+ORACLE["pack_blocks"] = f"""WITH t AS (SELECT doc_id, coalesce({toks('text')}, []) AS tk FROM documents),
+p AS (SELECT doc_id, tk, len(tk) AS n, (row_number() OVER (ORDER BY doc_id) - 1) // 1000 AS batch FROM t),
+o AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY batch ORDER BY doc_id
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
+      sum(n) OVER (PARTITION BY batch) AS tot FROM p),
+u AS (SELECT *, CASE WHEN tot >= 512 THEN floor(tot / 512) * 512 ELSE tot END AS usable FROM o),
+ex AS (SELECT batch, start, usable, unnest(tk) AS token, unnest(range(len(tk))) AS i FROM u),
+k AS (SELECT batch, CAST((start + i) // 512 AS BIGINT) AS block_id, start + i AS off, token FROM ex
+      WHERE start + i < usable)
+SELECT CAST(batch AS BIGINT) AS batch, block_id, CAST(count(*) AS INTEGER) AS n_tokens,
+  string_agg(token, ' ' ORDER BY off) AS block_text FROM k GROUP BY batch, block_id"""
+
+ORACLE["pad_truncate"] = f"""WITH t AS (SELECT doc_id, list_slice(coalesce({toks('text')}, []), 1, 64) AS kept FROM documents)
+SELECT doc_id, array_to_string(list_concat(kept, list_transform(range(64 - len(kept)), lambda x: '[PAD]')), ' ')
+  AS input_text, CAST(len(kept) AS INTEGER) AS n_real FROM t"""
+
+WORD_TAGS = f"""wd AS (SELECT doc_id AS doc, unnest(ws) AS w, unnest(range(len(ws))) AS pos FROM (
+  SELECT doc_id, {words('text')} AS ws FROM documents)),
+lb AS (SELECT doc, pos, w, length(w) AS ln, last_value(CASE WHEN length(w) < 5 OR length(w) >= 7 THEN length(w) END
+  IGNORE NULLS) OVER (PARTITION BY doc ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS lastbreak FROM wd),
+t0 AS (SELECT doc, pos, w, CASE WHEN ln >= 7 THEN 1 WHEN ln >= 5 AND lastbreak >= 7 THEN 2 ELSE 0 END AS g FROM lb)"""
+
+ORACLE["label_alignment"] = f"""WITH {WORD_TAGS},
+pc AS (SELECT doc, pos, g, unnest({toks('w')}) AS piece, unnest(range(len({toks('w')}))) AS pi FROM t0),
+lab AS (SELECT doc, list(CASE WHEN pi = 0 THEN g ELSE -100 END ORDER BY pos, pi) AS l FROM pc GROUP BY doc),
+fin AS (SELECT doc AS doc_id, list_concat(list_concat([-100], list_slice(l, 1, 510)), [-100]) AS labels FROM lab)
+SELECT doc_id, CAST(len(labels) AS INTEGER) AS n_labels,
+  CAST(len(list_filter(labels, lambda x: x <> -100)) AS INTEGER) AS n_labelled,
+  array_to_string(labels, ' ') AS labels_text FROM fin"""
+
+ORACLE["row_label_mode"] = f"""WITH {WORD_TAGS},
+c AS (SELECT doc, g, count(*) AS n, min(pos) AS f FROM t0 WHERE pos % 13 <> 0 GROUP BY doc, g),
+b AS (SELECT doc, g FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY n DESC, f) AS r FROM c) WHERE r = 1),
+docs AS (SELECT DISTINCT doc FROM t0)
+SELECT d.doc AS doc_id, CAST(coalesce(b.g, 0) AS INTEGER) AS label_mode FROM docs d LEFT JOIN b USING (doc)"""
+
+
+def _html(x: str) -> str:
+    def rr(e, pat, rep):
+        return f"regexp_replace({e}, '{pat}', {rep}, 'g')"
+    e = x
+    e = rr(e, r"(?is)<script\b[^>]*>.*?</script>", "''")
+    e = rr(e, r"(?is)<style\b[^>]*>.*?</style>", "''")
+    e = rr(e, r"(?s)<!--.*?-->", "''")
+    for n in range(1, 7):
+        e = rr(e, rf"(?is)<h{n}\b[^>]*>(.*?)</h{n}>", f"{NL} || '{'#' * n} \\1' || {NL}")
+    e = rr(e, r"(?is)<li\b[^>]*>(.*?)</li>", f"{NL} || '* \\1'")
+    e = rr(e, r'(?is)<a\b[^>]*href="([^"]*)"[^>]*>(.*?)</a>', r"'[\2](\1)'")
+    e = rr(e, r"(?i)<br\s*/?>", NL)
+    e = rr(e, r"(?i)</?p\b[^>]*>", f"{NL} || {NL}")
+    e = rr(e, r"<[^>]+>", "''")
+    for ent, ch in [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"),
+                    ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]:
+        e = f"replace({e}, '{ent}', '{ch}')"
+    e = rr(e, r"[ \t]+", "' '")
+    e = rr(e, r" ?\n ?", NL)
+    e = rr(e, r"\n{3,}", f"{NL} || {NL}")
+    e = strip(e)
+    banner = "'# US Patent & Trademark Office Patent Public Search | Text View'"
+    e = f"replace({e}, {banner} || {NL} || {NL}, '')"
+    e = f"replace({e}, {banner}, '')"
+    return e
+
+
+ORACLE["html_to_text"] = f"SELECT page_id, {_html('html')} AS text FROM pages"
+
+CSIZE = f"""{DATED},
+d AS (SELECT corpus, coalesce(len({toks('text')}), 0) + 2 AS t FROM dated),
+cs AS (SELECT corpus, count(*) AS documents, CAST(sum(t) AS BIGINT) AS tokens FROM d GROUP BY corpus)"""
+
+ORACLE["human_numbers"] = f"""WITH {CSIZE}
+SELECT corpus,
+  CASE WHEN tokens >= 1e9 THEN CAST(CAST(round_even(tokens / 1e9, 0) AS BIGINT) AS VARCHAR) || 'B'
+       WHEN tokens >= 1e6 THEN CAST(CAST(round_even(tokens / 1e6, 0) AS BIGINT) AS VARCHAR) || 'M'
+       WHEN tokens >= 1e3 THEN CAST(CAST(round_even(tokens / 1e3, 0) AS BIGINT) AS VARCHAR) || 'K'
+       ELSE CAST(tokens AS VARCHAR) END AS tokens_short,
+  CASE WHEN documents >= 1e6 THEN printf('%.2fM', documents / 1e6)
+       WHEN documents >= 1e3 THEN printf('%.1fK', documents / 1e3)
+       ELSE printf('%.0f', CAST(documents AS DOUBLE)) END AS documents_label,
+  CASE WHEN tokens > 1000 THEN printf('%.1fK', tokens / 1000) ELSE printf('%.0f', CAST(tokens AS DOUBLE)) END
+    AS tokens_label
+FROM cs"""
+
+ORACLE["clip_scale"] = f"""WITH {CSIZE}
+SELECT corpus, {r9('greatest(tokens - 50000, 0.0) / 1e3')} AS excess_k FROM cs"""
+
+ORACLE["strip_text"] = f"""WITH t0 AS (SELECT conv_id, text AS title FROM conversations WHERE turn = 0),
+t1 AS (SELECT conv_id, text AS body FROM conversations WHERE turn = 1)
+SELECT conv_id, {strip(f"{strip('title')} || {NL} || {NL} || {strip('body')}")} AS text,
+  CAST(length({strip('title')}) AS INTEGER) AS title_len FROM t0 JOIN t1 USING (conv_id)"""

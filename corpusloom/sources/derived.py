@@ -114,7 +114,7 @@ def logits(embeddings: DataFrame) -> DataFrame:
 
 
 def word_tag_rows(documents: DataFrame) -> DataFrame:
-    """IN-7 as one row per word: (doc_id, pos, word, gold_id, pred_id).
+    """IN-7 as one row per word: (doc_id, pos, word, tag_id, gold_id, pred_id).
 
     gold at a word: ``B-T`` (1) when its length >= 7; ``I-T`` (2) when length
     >= 5 and the previous gold tag is not ``O``; else ``O`` (0).  The
@@ -132,7 +132,7 @@ def word_tag_rows(documents: DataFrame) -> DataFrame:
             .when((ln >= 5) & F.coalesce(last_break >= 7, F.lit(False)), F.lit(2))
             .otherwise(F.lit(0)))
     t = w.withColumn("_g", gold)
-    return t.select("doc_id", "pos", "word",
+    return t.select("doc_id", "pos", "word", F.col("_g").alias("tag_id"),
                     F.when(F.col("pos") % 13 == 0, F.lit(IGNORE_INDEX)).otherwise(F.col("_g")).alias("gold_id"),
                     F.when((F.col("doc_id") + F.col("pos")) % 11 == 0, F.lit(0)).otherwise(F.col("_g"))
                     .alias("pred_id"))
