@@ -18,12 +18,29 @@ QUOTE_MAP = [("‘", "'"), ("’", "'"), ("“", '"'), ("”", '"')]
 # ------------------------------------------------------------------------------
 
 
+# "sloppy" cp1252: the five bytes cp1252 leaves undefined (0x81, 0x8D,
+# 0x8F, 0x90, 0x9D) map to the code point of the same number, so every byte
+# sequence decodes and the round trip is lossless.
+_HIGH = bytes(range(0x80, 0xA0))
+_CP = [(_HIGH[i:i + 1].decode("cp1252", errors="ignore") or chr(0x80 + i)) for i in range(32)]
+_TO_CP = {0x80 + i: c for i, c in enumerate(_CP)}          # latin-1 char -> cp1252 char
+_FROM_CP = {ord(c): chr(0x80 + i) for i, c in enumerate(_CP)}  # cp1252 char -> latin-1 char
+
+
+def sloppy_cp1252_decode(b: bytes) -> str:
+    return b.decode("latin-1").translate(_TO_CP)
+
+
+def sloppy_cp1252_encode(s: str) -> bytes:
+    return s.translate(_FROM_CP).encode("latin-1")
+
+
 def _round_trip(s: pd.Series) -> pd.Series:
     def fix(x):
         if x is None:
             return None
         try:
-            return x.encode("cp1252").decode("utf-8")
+            return sloppy_cp1252_encode(x).decode("utf-8")
         except (UnicodeEncodeError, UnicodeDecodeError):
             return x
     return s.map(fix)
@@ -33,13 +50,12 @@ def _break(s: pd.Series) -> pd.Series:
     def brk(x):
         if x is None:
             return None
-        return x.encode("utf-8").decode("cp1252", errors="replace")
+        return sloppy_cp1252_decode(x.encode("utf-8"))
     return s.map(brk)
 
 
 def as_mojibake(c) -> Column:
-    """IN-8 helper: UTF-8 bytes of the text re-read as cp1252 (undefined
-    bytes become U+FFFD)."""
+    """IN-8 helper: UTF-8 bytes of the text re-read as (sloppy) cp1252."""
     col = F.col(c) if isinstance(c, str) else c
     return F.pandas_udf(_break, "string")(col)
 
