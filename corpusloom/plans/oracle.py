@@ -747,3 +747,37 @@ ORACLE["strip_text"] = f"""WITH t0 AS (SELECT conv_id, text AS title FROM conver
 t1 AS (SELECT conv_id, text AS body FROM conversations WHERE turn = 1)
 SELECT conv_id, {strip(f"{strip('title')} || {NL} || {NL} || {strip('body')}")} AS text,
   CAST(length({strip('title')}) AS INTEGER) AS title_len FROM t0 JOIN t1 USING (conv_id)"""
+
+
+# ----------------------------------------------------------------- sampling
+ORACLE["bounded_scan"] = "SELECT doc_id, lang, n_chars FROM documents ORDER BY doc_id LIMIT 100"
+ORACLE["value_extremes"] = """SELECT event_type, min(value) AS min_value, max(value) AS max_value,
+  min(strftime(ts, '%Y-%m-%d %H:%M:%S')) AS first_ts, max(strftime(ts, '%Y-%m-%d %H:%M:%S')) AS last_ts
+FROM events GROUP BY event_type"""
+ORACLE["distinct_keys"] = "SELECT DISTINCT o_custkey FROM orders ORDER BY o_custkey"
+ORACLE["text_join"] = f"""WITH {DOCS_FIRST}
+SELECT d.doc_id, f.doc_id AS first_doc_id FROM documents d JOIN docs_first f ON d.text = f.text"""
+ORACLE["year_lookup"] = f"""WITH
+a AS (SELECT year(l_shipdate) * 100 + month(l_shipdate) AS period, count(*) AS activity FROM lineitem GROUP BY 1),
+b AS (SELECT year(o_orderdate) * 100 + month(o_orderdate) AS period, median(o_totalprice) AS price FROM orders GROUP BY 1)
+SELECT a.period, a.activity, {r9('b.price')} AS price, b.price IS NULL AS missing FROM a LEFT JOIN b USING (period)"""
+
+
+def _per_fold() -> str:
+    return f"""WITH {LOGITS},
+pp AS (SELECT CAST(row_id % 5 AS INTEGER) AS fold, label AS y,
+  CAST(list_position(logits, list_max(logits)) - 1 AS INTEGER) AS p FROM lg),
+pairs AS (SELECT fold, y, p, count(*) AS n FROM pp GROUP BY fold, y, p),
+bt AS (SELECT fold, y AS cls, sum(n) AS support, sum(CASE WHEN y = p THEN n END) AS tp FROM pairs GROUP BY fold, y),
+bp AS (SELECT fold, p AS cls, sum(n) AS predicted FROM pairs GROUP BY fold, p),
+per AS (SELECT coalesce(bt.fold, bp.fold) AS fold, coalesce(bt.support, 0) AS support, coalesce(bt.tp, 0) AS tp,
+  coalesce(bp.predicted, 0) AS predicted FROM bt FULL OUTER JOIN bp ON bt.fold = bp.fold AND bt.cls = bp.cls),
+m AS (SELECT *, CASE WHEN predicted > 0 THEN CAST(tp AS DOUBLE) / predicted ELSE 0.0 END AS pr,
+  CASE WHEN support > 0 THEN CAST(tp AS DOUBLE) / support ELSE 0.0 END AS rc FROM per),
+m2 AS (SELECT *, CASE WHEN pr + rc > 0 THEN 2 * pr * rc / (pr + rc) ELSE 0.0 END AS f1 FROM m)
+SELECT fold, {r9('CAST(sum(tp) AS DOUBLE) / sum(support)')} AS eval_accuracy,
+  {r9('avg(f1)')} AS f1_macro, {r9('avg(pr)')} AS precision_macro, {r9('avg(rc)')} AS recall_macro
+FROM m2 GROUP BY fold"""
+
+
+ORACLE["per_fold_report"] = _per_fold()

@@ -253,3 +253,28 @@ def test_clip_and_year_helpers(spark):
     assert [r.y for r in got] == [2013, None, 1999, None]
     assert [r.ok for r in got] == [True, False, False, False]
     assert [r.c for r in got] == [0.0, 2.0, None, 1.0]
+
+
+def test_group_folds_match_sequential_greedy(spark):
+    from corpusloom.operators.splits import group_folds, group_folds_greedy_reference
+    sizes = {f"g{i}": (i * 7919) % 13 + 1 for i in range(120)}
+    sizes.update({"big1": 40, "big2": 40, "huge": 90})
+    rows = [(g, j) for g, n in sizes.items() for j in range(n)]
+    df = spark.createDataFrame(rows, "g string, j int")
+    got = {r.g: r.fold for r in group_folds(df, "g", k=5).collect()}
+    hashes = {r.g: r.h for r in df.select("g").distinct()
+              .select("g", F.xxhash64(F.lit(0), F.col("g")).alias("h")).collect()}
+    expect = group_folds_greedy_reference(sizes, 5, lambda g: (hashes[g], g))
+    assert got == expect
+
+
+def test_splits_exact_sizes(spark):
+    from corpusloom.operators.splits import split_exact, split_stratified
+    df = spark.createDataFrame([(i, i % 3) for i in range(101)], "id int, lab int")
+    s = split_exact(df, "id", 0.1).groupBy("split").count().collect()
+    assert {r.split: r["count"] for r in s} == {"test": 11, "train": 90}
+    st_ = split_stratified(df, "id", "lab", 0.1)
+    c = {(r.lab, r.split): r["count"] for r in st_.groupBy("lab", "split").count().collect()}
+    assert sum(v for (lab, sp), v in c.items() if sp == "test") == 11
+    assert all(c[(lab, "test")] in (3, 4) for lab in range(3))
+    assert st_.count() == 101
