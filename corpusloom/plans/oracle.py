@@ -781,3 +781,59 @@ FROM m2 GROUP BY fold"""
 
 
 ORACLE["per_fold_report"] = _per_fold()
+
+
+# ------------------------------------------------------------------- ingest
+VIEWS_SQL = """cv AS (SELECT *, '2020-' || lpad(CAST(conv_id % 12 + 1 AS VARCHAR), 2, '0') || '-01' AS d,
+    lpad(CAST(turn % 24 AS VARCHAR), 2, '0') || ':00:00' AS clk, conv_id * 1000 + turn AS ord FROM conversations),
+std AS (
+  SELECT d AS timestamp, role AS username, text AS tweet, 'view_created_at' AS source, 0 AS src_rank, ord
+    FROM cv WHERE turn % 3 = 0
+  UNION ALL SELECT d, NULL, text, 'view_date_time', 1, ord FROM cv WHERE turn % 3 = 1
+  UNION ALL SELECT d || ' ' || clk, NULL, text, 'view_datetime', 2, ord FROM cv WHERE turn % 3 = 2)"""
+
+ORACLE["standardise_columns"] = f"WITH {VIEWS_SQL} SELECT timestamp, username, tweet, source FROM std"
+ORACLE["standardise_merge_date_time"] = f"""WITH {VIEWS_SQL}
+SELECT CASE WHEN source = 'view_date_time' THEN timestamp || ' ' || clk2 ELSE timestamp END AS timestamp,
+  username, tweet, source FROM (SELECT std.*, lpad(CAST((ord % 1000) % 24 AS VARCHAR), 2, '0') || ':00:00' AS clk2
+  FROM std)"""
+ORACLE["union_sources"] = f"""WITH {VIEWS_SQL}
+SELECT source, count(*) AS rows, {r9('CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM std) * 100')} AS percent
+FROM std GROUP BY source"""
+ORACLE["posts_ingest"] = f"""WITH {VIEWS_SQL},
+c AS (SELECT timestamp, username, {collapse('tweet')} AS tweet, src_rank, ord FROM std),
+f AS (SELECT * FROM c WHERE coalesce(length({strip('tweet')}) >= 1, false)),
+k AS (SELECT *, row_number() OVER (PARTITION BY tweet ORDER BY src_rank, ord) AS rn FROM f)
+SELECT timestamp, username, tweet FROM k WHERE rn = 1"""
+ORACLE["combine_text_sources"] = f"""WITH {VIEWS_SQL},
+u AS (SELECT text, 'documents' AS source FROM documents
+  UNION ALL SELECT text, 'conversations' FROM conversations
+  UNION ALL SELECT tweet, 'posts' FROM std WHERE source = 'view_created_at'
+  UNION ALL SELECT text, 'benchmark' FROM benchmark)
+SELECT source, count(*) AS rows, sum(length(text)) AS chars,
+  {r9('CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM u) * 100')} AS percent FROM u GROUP BY source"""
+
+RECORDS = f"""{META},
+recs AS (SELECT CASE WHEN doc_id % 23 = 0 THEN '' ELSE key END AS paperId, doc_id, ord, quality, toxic,
+  CASE WHEN doc_id % 3 = 0 THEN NULL ELSE 'v' || key END AS venue_id,
+  CASE WHEN doc_id % 3 = 0 THEN NULL ELSE 'Venue ' || CAST(doc_id % 11 AS VARCHAR) END AS venue_name,
+  CASE WHEN doc_id % 4 = 0 THEN 0 ELSE 2 END AS n_fields,
+  CASE WHEN doc_id % 9 = 0 THEN NULL ELSE CAST(2000 + doc_id % 25 AS VARCHAR) END AS year_text FROM meta)"""
+
+ORACLE["standardise_records"] = f"""WITH {RECORDS}
+SELECT paperId, doc_id, ord, TRY_CAST(TRY_CAST(year_text AS DOUBLE) AS INTEGER) AS year, n_fields,
+  venue_id IS NOT NULL AS has_venue, venue_name FROM recs
+WHERE paperId IS NOT NULL AND paperId <> '' AND TRY_CAST(TRY_CAST(year_text AS DOUBLE) AS INTEGER) IS NOT NULL"""
+
+ORACLE["literature_join"] = f"""WITH {RECORDS}, {DOCS_FIRST},
+rf AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY paperId ORDER BY ord, doc_id) AS rn
+  FROM recs WHERE paperId <> '') WHERE rn = 1)
+SELECT CAST(d.doc_id AS VARCHAR) AS paperId, d.doc_id, d.lang, CAST(n_fields AS INTEGER) AS n_fields, r.ord,
+  r.quality, CAST(length(d.text) AS INTEGER) AS text_chars, r.venue_name AS venue
+FROM docs_first d JOIN rf r ON CAST(d.doc_id AS VARCHAR) = r.paperId"""
+
+ORACLE["patent_join"] = f"""WITH {META}, {META_LAST}
+SELECT CAST(d.doc_id AS VARCHAR) AS key, CAST(length(d.text) AS INTEGER) AS text_chars,
+  coalesce(CAST(m.doc_id AS VARCHAR), '') AS doc_id, coalesce(CAST(m.quality AS VARCHAR), '') AS quality,
+  coalesce(CAST(m.toxic AS VARCHAR), '') AS toxic, coalesce(CAST(m.ord AS VARCHAR), '') AS ord
+FROM documents d JOIN meta_last m ON CAST(d.doc_id AS VARCHAR) = m.key"""

@@ -148,19 +148,21 @@ def word_tags(documents: DataFrame) -> DataFrame:
                     F.col("_r.pred_id").alias("pred_ids"))
 
 
-def mixed_header_sources(conversations: DataFrame) -> list[DataFrame]:
+def mixed_header_sources(conversations: DataFrame, carry: tuple[str, ...] = ()) -> list[DataFrame]:
     """IN-9: three views of ``conversations`` with different raw headers:
     (created_at, user_name, tweet), (Date, time, content), (datetime,
-    full_text).  Rows are split by ``turn % 3`` so every row appears once."""
+    full_text).  Rows are split by ``turn % 3`` so every row appears once.
+    ``carry`` names extra columns passed through unchanged (order keys)."""
     c = conversations
     date = F.concat(F.lit("2020-"), F.lpad(((F.col("conv_id") % 12) + 1).cast("string"), 2, "0"),
                     F.lit("-01"))
     clock = F.concat(F.lpad((F.col("turn") % 24).cast("string"), 2, "0"), F.lit(":00:00"))
     t = F.col("turn") % 3
+    extra = list(carry)
     v1 = c.where(t == 0).select(date.alias("created_at"), F.col("role").alias("user_name"),
-                                F.col("text").alias("tweet"))
+                                F.col("text").alias("tweet"), *extra)
     v2 = c.where(t == 1).select(date.alias("Date"), clock.alias("time"),
-                                F.col("text").alias("content"))
+                                F.col("text").alias("content"), *extra)
     v3 = c.where(t == 2).select(F.concat(date, F.lit(" "), clock).alias("datetime"),
-                                F.col("text").alias("full_text"))
+                                F.col("text").alias("full_text"), *extra)
     return [v1, v2, v3]
