@@ -78,10 +78,12 @@ def combine_text_sources(sources: dict[str, DataFrame]) -> DataFrame:
     return union_all(parts)
 
 
-VENUE_NULL = F.struct(*[F.lit(None).cast(t).alias(n) for n, t in [
-    ("id", "string"), ("name", "string"), ("type", "string"), ("alternate_names", "array<string>"),
-    ("issn", "string"), ("url", "string"), ("alternate_urls", "array<string>")]])
-PDF_NULL = F.struct(*[F.lit(None).cast("string").alias(n) for n in ("url", "status", "license", "disclaimer")])
+def _null_struct(dt: T.StructType):
+    """A struct of typed NULLs matching ``dt`` (built lazily: Column objects
+    need an active session)."""
+    return F.struct(*[F.lit(None).cast(f.dataType).alias(f.name) for f in dt.fields])
+
+
 LIST_FIELDS = ["publicationTypes", "references", "fieldsOfStudy", "s2FieldsOfStudy", "authors"]
 
 
@@ -89,10 +91,9 @@ def normalise_records(df: DataFrame) -> DataFrame:
     """P-08: NULL ``publicationVenue`` / ``openAccessPdf`` become structs of
     typed NULLs; NULL list fields become empty lists."""
     out = df
-    if "publicationVenue" in df.columns:
-        out = out.withColumn("publicationVenue", F.coalesce("publicationVenue", VENUE_NULL))
-    if "openAccessPdf" in df.columns:
-        out = out.withColumn("openAccessPdf", F.coalesce("openAccessPdf", PDF_NULL))
+    for f in ("publicationVenue", "openAccessPdf"):
+        if f in df.columns and isinstance(df.schema[f].dataType, T.StructType):
+            out = out.withColumn(f, F.coalesce(F.col(f), _null_struct(df.schema[f].dataType)))
     for f in LIST_FIELDS:
         if f in df.columns:
             dt = df.schema[f].dataType

@@ -13,7 +13,7 @@ QueryFn = Callable[[SparkSession, str], DataFrame]
 
 def _collect() -> dict[str, QueryFn]:
     mods = [labeling]
-    for name in ("joining", "vocabulary", "trends", "evaluation", "textprep", "sampling", "ingest"):
+    for name in ("joining", "vocabulary", "trends", "evaluation", "textprep", "sampling", "ingest", "inference"):
         try:
             mods.append(__import__(f"corpusloom.plans.{name}", fromlist=[name]))
         except ModuleNotFoundError as e:  # module not written yet

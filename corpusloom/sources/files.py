@@ -42,8 +42,24 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
     df = r.csv(path).withColumn("_source_file", F.col("_metadata.file_path"))
     if CORRUPT not in df.columns:
         return df, df.limit(0).select("_source_file", F.lit(None).cast("string").alias(CORRUPT))
-    good = df.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
-    bad = df.where(F.col(CORRUPT).isNotNull()).select("_source_file", CORRUPT)
+    return _split(df)
+
+
+def _guard(df: DataFrame):
+    """Spark refuses raw-file queries whose scan would read only the
+    corrupt-record column (e.g. a ``count`` after filtering on it).
+    ``length(coalesce(x, 'x')) >= 0`` is always true but the optimizer
+    does not fold it away, so the scan keeps one parsed column.  Returns
+    (first parsed column, guard)."""
+    first = [c for c in df.columns if c not in (CORRUPT, "_source_file")][0]
+    return first, F.length(F.coalesce(F.col(first).cast("string"), F.lit("x"))) >= 0
+
+
+def _split(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(good rows without the corrupt column, quarantined rows with file)."""
+    first, keep = _guard(df)
+    good = df.where(F.col(CORRUPT).isNull() & keep).drop(CORRUPT)
+    bad = df.where(F.col(CORRUPT).isNotNull() & keep).select("_source_file", CORRUPT, first)
     return good, bad
 
 
@@ -57,9 +73,7 @@ def read_json_records(spark: SparkSession, path: str, schema: T.StructType, mult
           .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
           .option("recursiveFileLookup", True).option("pathGlobFilter", glob)
           .json(path).withColumn("_source_file", F.col("_metadata.file_path")))
-    good = df.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
-    bad = df.where(F.col(CORRUPT).isNotNull()).select("_source_file", CORRUPT)
-    return good, bad
+    return _split(df)
 
 
 def file_key(path_col, extension: str = ".md"):
