@@ -33,12 +33,35 @@ def char_ngrams(prepared_col: str, n: int = 3):
     return F.regexp_extract_all(F.col(prepared_col), F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
 
 
+def doc_gram_counts(df: DataFrame, key_col: str, text_col: str = "text", n: int = 3,
+                    extra: tuple[str, ...] = ()) -> DataFrame:
+    """(key, extra..., gram, n): character n-gram counts per row, aggregated
+    in the same stage as the explode (partial aggregation)."""
+    return (df.select(key_col, *extra, gram_text(text_col).alias("_gt"))
+            .select(key_col, *extra, F.explode(char_ngrams("_gt", n)).alias("gram"))
+            .groupBy(key_col, *extra, "gram").agg(F.count("*").alias("n")))
+
+
+def profiles_from_counts(counts_per_doc: DataFrame, lang_col: str = "lang", top_k: int = 400) -> DataFrame:
+    """Language profiles from per-row gram counts (see
+    :func:`doc_gram_counts`), so one gram pass can serve training and
+    scoring of the same rows."""
+    counts = counts_per_doc.where(F.col(lang_col).isNotNull()) \
+        .groupBy(F.col(lang_col).alias("lang"), "gram").agg(F.sum("n").alias("cnt"))
+    return _profiles(counts, top_k)
+
+
 def train_profiles(df: DataFrame, text_col: str = "text", lang_col: str = "lang", n: int = 3,
                    top_k: int = 400) -> DataFrame:
-    """(lang, gram, logp) plus per-language floor (lang, '', floor)."""
+    """(lang, gram, logp, floor) profile rows: each language's ``top_k``
+    grams with add-one smoothed log probabilities and its floor."""
     g = df.select(F.col(lang_col).alias("lang"), gram_text(text_col).alias("_gt")) \
         .select("lang", F.explode(char_ngrams("_gt", n)).alias("gram"))
     counts = g.groupBy("lang", "gram").agg(F.count("*").alias("cnt"))
+    return _profiles(counts, top_k)
+
+
+def _profiles(counts: DataFrame, top_k: int) -> DataFrame:
     w = Window.partitionBy("lang").orderBy(F.col("cnt").desc(), F.col("gram"))
     top = counts.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= top_k)
     tot = counts.groupBy("lang").agg(F.sum("cnt").alias("total"), F.count("*").alias("v"))
@@ -57,12 +80,16 @@ def identify(df: DataFrame, profiles: DataFrame, key_col: str, text_col: str = "
     floor, so the only candidates are the languages with a hit plus the one
     language with the highest floor (a scalar subquery) - no documents x
     languages product is formed."""
+    grams = doc_gram_counts(df, key_col, text_col, n)
+    return identify_from_counts(df.select(key_col), grams, profiles, key_col, out)
+
+
+def identify_from_counts(keys: DataFrame, grams: DataFrame, profiles: DataFrame, key_col: str,
+                         out: str = "language") -> DataFrame:
+    """Scoring part of :func:`identify` on per-row gram counts."""
     prof = broadcast_if_small(profiles.select("lang", "gram", "logp"))
     floors = profiles.groupBy("lang").agg(F.first("floor").alias("floor"))
     best_floor = floors.select(F.max(F.struct("floor", "lang")).getField("lang").alias("l")).scalar()
-    grams = df.select(key_col, gram_text(text_col).alias("_gt")) \
-        .select(key_col, F.explode(char_ngrams("_gt", n)).alias("gram")) \
-        .groupBy(key_col, "gram").agg(F.count("*").alias("n"))
     total = grams.groupBy(key_col).agg(F.sum("n").alias("_tot"))
     hit = grams.join(prof, "gram").groupBy(key_col, "lang").agg(
         F.sum(F.col("n") * F.col("logp")).alias("_s"), F.sum("n").alias("_m"))
@@ -72,4 +99,4 @@ def identify(df: DataFrame, profiles: DataFrame, key_col: str, text_col: str = "
     sc = cand.join(total, key_col).join(broadcast_if_small(floors), "lang").select(
         key_col, "lang", (F.col("_s") + (F.col("_tot") - F.col("_m")) * F.col("floor")).alias("score"))
     best = sc.groupBy(key_col).agg(F.min(F.struct((-F.col("score")).alias("ns"), "lang")).alias("b"))
-    return df.select(key_col).join(best.select(key_col, F.col("b.lang").alias(out)), key_col, "left")
+    return keys.join(best.select(key_col, F.col("b.lang").alias(out)), key_col, "left")

@@ -1,0 +1,29 @@
+"""Opt-in sub-word tokenizer counts (K-01 with a pretrained tokenizer file).
+
+The default tokenizer is the JVM regex in ``corpusloom.functions.tokens``.
+When a tokenizer JSON file (``tokenizers`` format) is available, this
+operator loads it once per task inside ``mapInPandas`` and counts tokens per
+Arrow batch (``encode_batch``), with or without special tokens (trap T-19).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+
+
+def subword_token_counts(df: DataFrame, key_col: str, text_col: str, tokenizer_json: str,
+                         add_special_tokens: bool = True, out: str = "total_tokens") -> DataFrame:
+    schema = T.StructType([df.schema[key_col], T.StructField(out, T.LongType())])
+
+    def run(batches):
+        from tokenizers import Tokenizer
+        tok = Tokenizer.from_file(tokenizer_json)
+        for pdf in batches:
+            texts = pdf[text_col].fillna("").tolist()
+            enc = tok.encode_batch(texts, add_special_tokens=add_special_tokens)
+            res = pdf[[key_col]].copy()
+            res[out] = [len(e.ids) for e in enc]
+            yield res
+
+    return df.select(key_col, text_col).mapInPandas(run, schema)

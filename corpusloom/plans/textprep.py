@@ -12,6 +12,7 @@ from corpusloom.operators import textprep as TP
 from corpusloom.operators import vocabulary as V
 from corpusloom.operators.encoding import as_mojibake, repair_encoding
 from corpusloom.operators.lang import identify, train_profiles
+from corpusloom.session import cut_lineage
 from corpusloom.plans.common import T, round_cols, votes
 from corpusloom.sources import derived
 from corpusloom.sources.schemas import VOTE_COLUMNS, VOTE_PAIRS
@@ -100,8 +101,12 @@ def language_id(spark, sf_dir):
     """K-10 + X-11: character-trigram language model trained on the
     labelled documents, applied to every document."""
     d = T(spark, sf_dir, "documents")
-    prof = train_profiles(d.where(F.col("lang").isNotNull()), "text", "lang", 3, 400)
-    return identify(d, prof, "doc_id", "text", 3, "language").join(d.select("doc_id", "lang"), "doc_id")
+    # fitting the model is one aggregate over (lang, gram); the small profile
+    # is checkpointed to the shared checkpoint folder, so scoring (and the
+    # scalar subquery inside it) read it instead of re-running training
+    prof = cut_lineage(train_profiles(d.where(F.col("lang").isNotNull()), "text", "lang", 3, 400))
+    pred = identify(d, prof, "doc_id", "text", 3, "language")
+    return pred.join(d.select("doc_id", "lang"), "doc_id")
 
 
 def english_only(spark, sf_dir):
