@@ -29,9 +29,12 @@ def _vocab(spark, sf_dir):
 
 
 def _all_pairs(tt):
-    c = tt.select("corpus").distinct()
-    return (c.select(F.col("corpus").alias("corpus_a"))
-            .join(c.select(F.col("corpus").alias("corpus_b")), F.col("corpus_a") < F.col("corpus_b")))
+    """Every unordered pair of corpora, generated from ONE row holding the
+    sorted corpus list (no join): element i pairs with the elements after
+    it."""
+    cs = tt.agg(F.array_sort(F.collect_set("corpus")).alias("cs"))
+    a = cs.select("cs", F.posexplode("cs").alias("i", "corpus_a"))
+    return a.select("corpus_a", F.explode(F.slice("cs", F.col("i") + 2, F.size("cs"))).alias("corpus_b"))
 
 
 def _baseline_pairs(tt):
