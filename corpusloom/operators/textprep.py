@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import collapse_ws, non_blank, py_strip, remove_literals
+from corpusloom.functions.text import WS_CLASS_JVM, collapse_ws, jvm_re, py_strip, remove_literals
 from corpusloom.functions.tokens import tokens
 from corpusloom.operators.prefix import ordered_prefix
 
@@ -22,11 +22,19 @@ def clean_posts(df: DataFrame, text_col: str = "text", min_length: int = 1) -> D
     then drop blank texts, the sentinel strings ``'null'`` and ``'-'``, and
     reposts starting with ``'RT @'``.  NULL text is dropped first (a bare
     ``<> 'null'`` test would also drop it, trap in X-03)."""
-    c = collapse_ws(text_col)
-    out = df.withColumn(text_col, c)
-    t = F.col(text_col)
-    return out.where(non_blank(text_col, min_length) & (t != "null") & (t != "-")
-                     & ~t.startswith("RT @"))
+    # The predicates are evaluated on the raw text with cheap equivalents of
+    # the tests on the collapsed text, so that pushing the filter below the
+    # projection does not repeat the whitespace regex once per predicate:
+    #   collapsed is blank        <=> no non-whitespace character
+    #   collapsed == 'null' / '-' <=> stripped raw text == 'null' / '-'
+    #   collapsed starts 'RT @'   <=> stripped raw text matches ^RT<ws>+@
+    raw = F.col(text_col)
+    stripped = py_strip(raw)
+    keep = (F.coalesce(raw.rlike(jvm_re(f"[^{WS_CLASS_JVM}]")), F.lit(False))
+            & (stripped != "null") & (stripped != "-") & ~stripped.rlike(jvm_re(f"^RT[{WS_CLASS_JVM}]+@")))
+    if min_length > 1:
+        keep = keep & (F.length(py_strip(collapse_ws(raw))) >= min_length)
+    return df.where(keep).withColumn(text_col, collapse_ws(text_col))
 
 
 def fixed_windows(df: DataFrame, key_col: str, text_col: str = "text", window: int = 512) -> DataFrame:

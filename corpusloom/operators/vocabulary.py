@@ -128,32 +128,38 @@ def keyword_hits(df: DataFrame, vocab: DataFrame, corpus_col: str = "corpus",
 def keyword_density(df: DataFrame, vocab: DataFrame, corpus_col: str = "corpus",
                     doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """M-13: per corpus - words, documents, keyword occurrences, distinct
-    keywords found, density per 1,000 words, vocabulary coverage % (over the
-    FULL term list, trap T-23), matchable terms, document coverage %."""
-    hits = keyword_hits(df, vocab, corpus_col, doc_col, text_col)
-    found = hits.groupBy("corpus").agg(F.sum("n").alias("total_occurrences"),
-                                       F.count_distinct("term").alias("unique_found"),
-                                       F.count_distinct("doc").alias("docs_with_keywords"))
-    base = df.groupBy(F.col(corpus_col).alias("corpus")).agg(
-        F.sum(F.size(split_words(F.lower(text_col)))).alias("total_words"),
-        F.count("*").alias("n_docs"))
+    keywords found, documents with a keyword, density per 1,000 words,
+    vocabulary coverage % (over the FULL term list, trap T-23), matchable
+    terms and document coverage %.
+
+    One pass over the text: cleaned words are exploded once
+    (``explode_outer`` keeps documents without words), left-joined with the
+    broadcast vocabulary, and aggregated per (corpus, doc, matched term);
+    every total comes from that small table."""
+    v = broadcast_if_small(vocab.select(F.col("term").alias("_mt")).distinct())
+    w = df.select(F.col(corpus_col).alias("corpus"), F.col(doc_col).alias("doc"),
+                  F.explode_outer(clean_words(text_col)).alias("w"))
+    j = w.join(v, F.col("w") == F.col("_mt"), "left")
+    per = j.groupBy("corpus", "doc", "_mt").agg(F.count("w").alias("n"))
+    hit = F.col("_mt").isNotNull()
+    agg = per.groupBy("corpus").agg(
+        F.sum("n").cast("bigint").alias("total_words"), F.count_distinct("doc").alias("n_docs"),
+        F.coalesce(F.sum(F.when(hit, F.col("n"))), F.lit(0)).cast("bigint").alias("total_occurrences"),
+        F.count_distinct("_mt").cast("bigint").alias("unique_found"),
+        F.count_distinct(F.when(hit, F.col("doc"))).cast("bigint").alias("docs_with_keywords"))
     vs = vocab.select("term").distinct()
-    vsize = vs.select(F.count("*").alias("n")).scalar()
     # a term can match only if it equals its own cleaned, lower-cased form
     cleaned = F.lower(alnum_only("term"))
-    matchable = (vs.where((F.col("term") == cleaned) & (F.length("term") > 0))
-                 .select(F.count("*").alias("n")).scalar())
-    out = base.join(found, "corpus", "left").na.fill(0, ["total_occurrences", "unique_found",
-                                                          "docs_with_keywords"])
+    sizes = vs.agg(F.count("*").alias("n"),
+                   F.count_if((F.col("term") == cleaned) & (F.length("term") > 0)).alias("m"))
+    st = sizes.select(F.struct("n", "m").alias("s")).scalar()
+    out = agg.withColumn("_v", st)
     return out.select(
-        "corpus", F.col("total_words").cast("bigint").alias("total_words"), "n_docs",
-        F.col("total_occurrences").cast("bigint").alias("total_occurrences"),
-        F.col("unique_found").cast("bigint").alias("unique_found"),
-        F.col("docs_with_keywords").cast("bigint").alias("docs_with_keywords"),
-        vsize.alias("vocab_size"), matchable.alias("matchable_terms"),
+        "corpus", "total_words", "n_docs", "total_occurrences", "unique_found", "docs_with_keywords",
+        F.col("_v.n").alias("vocab_size"), F.col("_v.m").alias("matchable_terms"),
         F.when(F.col("total_words") > 0, F.col("total_occurrences") / F.col("total_words") * 1000)
         .otherwise(F.lit(0.0)).alias("density_per_1k"),
-        (F.col("unique_found") / vsize * 100).alias("coverage"),
+        (F.col("unique_found") / F.col("_v.n") * 100).alias("coverage"),
         F.when(F.col("n_docs") > 0, F.col("docs_with_keywords") / F.col("n_docs") * 100)
         .otherwise(F.lit(0.0)).alias("doc_coverage"))
 
