@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions.arrays import encode_label
 from corpusloom.functions.numbers import pct_of, row_sum, smoothed_ratio
 from corpusloom.operators.prefix import ordered_prefix
+from corpusloom.session import cut_lineage
 from corpusloom.sources.schemas import (CONTENT_LABELS, ENGAGEMENT_LABELS, MARKET_LABELS,
                                         VOTE_COLUMNS, VOTE_PAIRS)
 
@@ -97,6 +98,9 @@ def average_pct_rank(df: DataFrame, col: str, out: str = "pct_rank") -> DataFram
     (range-bucketed, no global window), join the per-value rank back.
     """
     counts = (df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count("*").alias("_cnt")))
+    # the distinct-value table is read by the split points, the prefix and
+    # the total: checkpoint it once (shared checkpoint folder)
+    counts = cut_lineage(counts)
     ranked = ordered_prefix(counts, [col], "_cnt", out="_below", inclusive=False)
     n = counts.select(F.sum("_cnt").alias("n")).scalar()
     ranked = ranked.select(col, ((F.col("_below") + (F.col("_cnt") + 1) / 2) / n * 100)

@@ -32,14 +32,23 @@ def _asc(c) -> Column:
 
 def ordered_prefix(df: DataFrame, order_cols: list, value_col=None, out: str = "prefix",
                    partition_cols: list | None = None, n_buckets: int | None = None,
-                   inclusive: bool = True, descending: bool = False) -> DataFrame:
+                   inclusive: bool = True, descending: bool = False,
+                   materialize: bool = False) -> DataFrame:
     """Add ``out`` = running sum of ``value_col`` (1 per row when ``None``)
     in (partition_cols, order_cols) order.
 
     ``order_cols[0]`` must be numeric (it is range-bucketed).  ``inclusive``
     includes the current row; ``descending`` orders the leading key from
     high to low (used for score-ordered cumulative counts).
+
+    The input is read three times (split points, bucket totals, running
+    sums).  ``materialize`` checkpoints it first (shared checkpoint folder),
+    which is worth it when the input is an expensive aggregate - pass a
+    narrow table, not text.
     """
+    if materialize:
+        from corpusloom.session import cut_lineage
+        df = cut_lineage(df)
     partition_cols = list(partition_cols or [])
     n_buckets = n_buckets or default_buckets(df)
     # value_col may be a list (then ``out`` is a list of the same length)

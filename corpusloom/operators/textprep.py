@@ -100,18 +100,24 @@ def pack_blocks(df: DataFrame, order_col: str, text_col: str = "text", block_siz
     (no global window); every row emits one token slice per block it
     overlaps; blocks are assembled by grouping those slices (at most
     ``block_size`` tokens per group)."""
-    base = df.select(F.col(order_col).alias("_ord"), tokens(text_col).alias("_tk")) \
-        .withColumn("_n", F.coalesce(F.size("_tk"), F.lit(0)))
-    pos = ordered_prefix(base, ["_ord"], None, out="_row").withColumn("batch", ((F.col("_row") - 1) / batch_rows)
-                                                                       .cast("bigint"))
-    off = ordered_prefix(pos, ["_ord"], "_n", out="_start", partition_cols=["batch"], inclusive=False)
-    totals = pos.groupBy("batch").agg(F.sum("_n").alias("_tot"))
+    # offsets are computed on a narrow (order, n_tokens) table, checkpointed
+    # once, so the documents are tokenised once for counting and once for
+    # slicing - not once per pass of the prefix computations
+    narrow = df.select(F.col(order_col).alias("_ord"),
+                       F.coalesce(F.size(tokens(text_col)), F.lit(0)).alias("_n"))
+    pos = ordered_prefix(narrow, ["_ord"], None, out="_row", materialize=True) \
+        .withColumn("batch", ((F.col("_row") - 1) / batch_rows).cast("bigint"))
+    off = ordered_prefix(pos, ["_ord"], "_n", out="_start", partition_cols=["batch"], inclusive=False,
+                         materialize=True)
+    totals = off.groupBy("batch").agg(F.sum("_n").alias("_tot"))
     b = F.lit(block_size)
     usable = F.when(F.col("_tot") >= b, F.floor(F.col("_tot") / b) * b) \
         .otherwise(F.col("_tot") if keep_short else F.lit(0))
     j = off.join(totals.withColumn("_use", usable.cast("bigint")), "batch")
     j = j.withColumn("_keep", F.greatest(F.lit(0), F.least(F.col("_n"), F.col("_use") - F.col("_start"))))
-    j = j.where(F.col("_keep") > 0)
+    j = j.where(F.col("_keep") > 0).select("_ord", "batch", "_start", "_keep")
+    docs = df.select(F.col(order_col).alias("_ord"), tokens(text_col).alias("_tk"))
+    j = j.join(docs, "_ord")
     first = F.floor(F.col("_start") / b).cast("bigint")
     last = F.floor((F.col("_start") + F.col("_keep") - 1) / b).cast("bigint")
     j = j.withColumn("block_id", F.explode(F.sequence(first, last)))

@@ -119,7 +119,8 @@ def lagged_spearman(a: DataFrame, b: DataFrame, period_col: str, x_col: str, y_c
     ``pos_y = pos_x - lag``.
     """
     j = a.select(period_col, x_col).join(b.select(period_col, y_col), period_col, "inner")
-    j = ordered_prefix(j, [period_col], None, out="_pos").withColumn("_pos", F.col("_pos") - 1)
+    # the aligned series is one row per common period: materialise it once
+    j = ordered_prefix(j, [period_col], None, out="_pos", materialize=True).withColumn("_pos", F.col("_pos") - 1)
     xs = j.select(F.col("_pos").alias("pos_x"), F.col(x_col).alias("x"),
                   F.explode(F.sequence(F.lit(-max_lag), F.lit(max_lag))).alias("lag"))
     ys = j.select(F.col("_pos").alias("pos_y"), F.col(y_col).alias("y"))

@@ -50,7 +50,7 @@ def ttr_prefix(df: DataFrame, corpus_col: str = "corpus", text_col: str = "text"
     counts = df.select(F.col(corpus_col).alias("corpus"), F.col(order_col).alias("_ord"),
                        F.size(tokens(text_col)).alias("_n")).where(F.col("_n") > 0)
     starts = ordered_prefix(counts, ["_ord"], "_n", out="_start", partition_cols=["corpus"],
-                            inclusive=False).where(F.col("_start") < sample_tokens)
+                            inclusive=False, materialize=True).where(F.col("_start") < sample_tokens)
     docs = df.select(F.col(corpus_col).alias("corpus"), F.col(order_col).alias("_ord"),
                      F.col(text_col).alias("_t"))
     head = docs.join(starts.select("corpus", "_ord", "_start"), ["corpus", "_ord"], "inner")
