@@ -178,11 +178,20 @@ def span_report_rows(tok: DataFrame) -> DataFrame:
         F.max((F.col("src") == "pred").cast("int")).alias("p"))
     per_mode = keyed.groupBy("mode").agg(F.sum("g").alias("gold_n"), F.sum("p").alias("pred_n"),
                                          F.count_if((F.col("g") == 1) & (F.col("p") == 1)).alias("tp"))
-    stats = per_mode.agg(*[F.max(F.when(F.col("mode") == md, F.struct("gold_n", "pred_n", "tp"))).alias(md)
-                           for md in ("strict", "lenient")])
-    acc = tok.agg(F.count("*").alias("n_tokens"),
-                  F.avg((F.col("pred") == F.col("gold")).cast("double")).alias("token_accuracy"))
-    r = acc.withColumn("_m", stats.select(F.struct("strict", "lenient").alias("s")).scalar())
+    # token accuracy comes from the same flagged table in the same plan (the
+    # per-document window exchange is shared), not from a second pipeline
+    acc = flagged.agg(F.count("*").alias("n_tokens"),
+                      F.sum((F.col("pred") == F.col("gold")).cast("long")).alias("n_correct")) \
+        .select(F.lit("acc").alias("mode"), F.lit(None).cast("long").alias("gold_n"),
+                F.lit(None).cast("long").alias("pred_n"), F.lit(None).cast("long").alias("tp"),
+                "n_tokens", "n_correct")
+    both = per_mode.withColumns({"n_tokens": F.lit(None).cast("long"),
+                                 "n_correct": F.lit(None).cast("long")}).unionByName(acc)
+    row = both.agg(*[F.max(F.when(F.col("mode") == md, F.struct("gold_n", "pred_n", "tp"))).alias(md)
+                     for md in ("strict", "lenient")],
+                   F.max("n_tokens").alias("n_tokens"), F.max("n_correct").alias("n_correct"))
+    r = row.select(F.struct("strict", "lenient").alias("_m"), F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"),
+                   F.try_divide(F.col("n_correct").cast("double"), F.col("n_tokens")).alias("token_accuracy"))
     out = ["n_tokens", "token_accuracy"]
     for mode in ("strict", "lenient"):
         g = F.coalesce(F.col(f"_m.{mode}.gold_n"), F.lit(0)).cast("bigint")

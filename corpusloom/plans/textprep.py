@@ -40,7 +40,9 @@ def news_labelled(spark, sf_dir):
     """M-02 (+F-10, P-09, P-10, M-01, F-16): quality filters with the
     data-dependent median threshold, three quantile labelings, title +
     description text, vote struct (expanded in place)."""
-    a = L.median_quality_filter(_articles(spark, sf_dir))
+    # the joined article table feeds two global aggregates (medians, then
+    # percentiles): checkpoint it once instead of re-aggregating the events
+    a = L.median_quality_filter(cut_lineage(_articles(spark, sf_dir)))
     a = a.where(F.col("title").isNotNull()).na.fill("", ["description"])
     d = F.col("description")
     a = a.where(non_blank("description") & (d != "null") & (F.length(d) > 0)
