@@ -68,6 +68,16 @@ def clean_words(c) -> Column:
     return F.transform(split_words(F.lower(_c(c))), lambda w: F.lower(alnum_only(w)))
 
 
+def clean_word_list(c) -> Column:
+    """The non-empty words of :func:`clean_words`, computed on the whole text:
+    removing every character that is neither a letter/digit nor whitespace
+    and then splitting gives the same non-empty cleaned words as splitting
+    first and cleaning each word, without a per-word (interpreted) lambda.
+    Words made only of punctuation - which clean to '' - are not returned."""
+    kept = F.regexp_replace(F.lower(_c(c)), F.lit(jvm_re(f"[^{ALNUM_CLASS}{WS_CLASS_JVM}]")), F.lit(""))
+    return split_words(kept)
+
+
 def contains_term(text_lower, term: str) -> Column:
     """F-06: substring test on already lower-cased text.  ``term`` is used
     verbatim (edge spaces are significant)."""

@@ -170,7 +170,8 @@ def span_report_rows(tok: DataFrame) -> DataFrame:
                  F.col(f"{src}_{mode}_sid").alias("sid"), F.col(f"{src}_{mode}_in").alias("inside"),
                  F.substring_index(F.col(src), "-", -1).alias("type"))
         for src in ("gold", "pred") for mode in ("strict", "lenient")])
-    m = flagged.select("doc", "pos", F.explode(members).alias("m")).where(F.col("m.inside"))
+    # only tokens inside a span are exploded (most tokens are outside)
+    m = flagged.select("doc", "pos", F.explode(F.filter(members, lambda x: x["inside"])).alias("m"))
     spans = m.groupBy("doc", "m.src", "m.mode", "m.sid").agg(
         F.min("pos").alias("start"), F.max("pos").alias("end"), F.first("m.type").alias("type"))
     keyed = spans.groupBy("mode", "doc", "start", "end", "type").agg(

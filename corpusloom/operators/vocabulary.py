@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import alnum_only, clean_words, split_words
+from corpusloom.functions.text import alnum_only, clean_word_list, split_words
 from corpusloom.functions.tokens import token_count, tokens
 from corpusloom.operators.joins import broadcast_if_small
 from corpusloom.operators.prefix import ordered_prefix
@@ -120,8 +120,8 @@ def keyword_hits(df: DataFrame, vocab: DataFrame, corpus_col: str = "corpus",
     whitespace words with non-alphanumerics removed, semi-joined with the
     vocabulary (broadcast after a size check)."""
     w = df.select(F.col(corpus_col).alias("corpus"), F.col(doc_col).alias("doc"),
-                  F.explode(clean_words(text_col)).alias("term"))
-    v = broadcast_if_small(vocab.select("term").distinct())
+                  F.explode(clean_word_list(text_col)).alias("term"))
+    v = broadcast_if_small(vocab.select("term").distinct().where(F.length("term") > 0))
     return w.join(v, "term", "inner").groupBy("corpus", "doc", "term").agg(F.count("*").alias("n"))
 
 
@@ -136,14 +136,23 @@ def keyword_density(df: DataFrame, vocab: DataFrame, corpus_col: str = "corpus",
     (``explode_outer`` keeps documents without words), left-joined with the
     broadcast vocabulary, and aggregated per (corpus, doc, matched term);
     every total comes from that small table."""
-    v = broadcast_if_small(vocab.select(F.col("term").alias("_mt")).distinct())
-    w = df.select(F.col(corpus_col).alias("corpus"), F.col(doc_col).alias("doc"),
-                  F.explode_outer(clean_words(text_col)).alias("w"))
+    v = broadcast_if_small(vocab.select(F.col("term").alias("_mt")).distinct().where(F.length("_mt") > 0))
+    # word totals: a plain whitespace split, carried on the first exploded
+    # row of each document; matching uses the cleaned non-empty words
+    # per-row values are computed in a projection BELOW the generator:
+    # expressions placed next to an explode are evaluated once per
+    # generated row, which would re-split the whole text for every word
+    pre = df.select(F.col(corpus_col).alias("corpus"), F.col(doc_col).alias("doc"),
+                    F.size(split_words(text_col)).alias("_nw"), clean_word_list(text_col).alias("_cw"))
+    w = pre.select("corpus", "doc", "_nw", F.posexplode_outer("_cw").alias("_p", "w"))
     j = w.join(v, F.col("w") == F.col("_mt"), "left")
-    per = j.groupBy("corpus", "doc", "_mt").agg(F.count("w").alias("n"))
+    first = F.col("_p").isNull() | (F.col("_p") == 0)
+    per = j.groupBy("corpus", "doc", "_mt").agg(F.count("w").alias("n"),
+                                                F.sum(F.when(first, F.col("_nw"))).alias("nw"))
     hit = F.col("_mt").isNotNull()
     agg = per.groupBy("corpus").agg(
-        F.sum("n").cast("bigint").alias("total_words"), F.count_distinct("doc").alias("n_docs"),
+        F.coalesce(F.sum("nw"), F.lit(0)).cast("bigint").alias("total_words"),
+        F.count_distinct("doc").alias("n_docs"),
         F.coalesce(F.sum(F.when(hit, F.col("n"))), F.lit(0)).cast("bigint").alias("total_occurrences"),
         F.count_distinct("_mt").cast("bigint").alias("unique_found"),
         F.count_distinct(F.when(hit, F.col("doc"))).cast("bigint").alias("docs_with_keywords"))
