@@ -90,28 +90,39 @@ def js_distance(tt: DataFrame, pairs: DataFrame) -> DataFrame:
                     F.coalesce("shared_tokens", F.lit(0)).cast("bigint").alias("shared_tokens")))
 
 
-def domain_concentration(tt: DataFrame, pairs: DataFrame, top_k: int = 1000) -> tuple[DataFrame, DataFrame]:
-    """M-12: for each ``(domain, baseline)`` pair, enrichment of every
-    domain token = domain freq / baseline freq (missing baseline count = 1,
-    J-11); the share of domain tokens covered by the ``top_k`` most enriched
-    (ties by token, trap T-14).  Returns (summary, top tokens).  The
-    per-pair top-k uses ``row_number() <= k``, which Spark plans as a
-    group limit applied before the shuffle."""
-    tot = tt.groupBy("corpus").agg(F.sum("cnt").alias("total"))
-    d = (tt.select(F.col("corpus").alias("domain"), "token", F.col("cnt").alias("cd"))
-         .join(tot.select(F.col("corpus").alias("domain"), F.col("total").alias("td")), "domain"))
-    bl = tt.select(F.col("corpus").alias("baseline"), "token", F.col("cnt").alias("cb"))
-    btot = tot.select(F.col("corpus").alias("baseline"), F.col("total").alias("tb"))
-    j = (pairs.join(d, "domain").join(bl, ["baseline", "token"], "left").join(btot, "baseline"))
-    enr = j.withColumn("enrichment", (F.col("cd") / F.col("td")) /
-                       (F.coalesce(F.col("cb"), F.lit(1)) / F.col("tb")))
-    w = Window.partitionBy("domain", "baseline").orderBy(F.col("enrichment").desc(), F.col("token"))
-    top = enr.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_k)
-    summary = (top.groupBy("domain", "baseline", "td")
-               .agg(F.sum("cd").alias("top_mass"), F.count("*").alias("top_n"))
-               .select("domain", "baseline", "top_n",
-                       (F.col("top_mass") / F.col("td") * 100).alias("concentration")))
-    return summary, top.select("domain", "baseline", "rank", "token", "enrichment", F.col("cd").alias("cnt"))
+def domain_concentration(tt: DataFrame, baselines: list[str], top_k: int = 1000) -> tuple[DataFrame, DataFrame]:
+    """M-12: for every corpus against each baseline in ``baselines`` (a
+    caller-given list), the enrichment of each domain token = domain
+    frequency / baseline frequency (a token missing from the baseline counts
+    1, J-11), and the share of the domain's tokens covered by its ``top_k``
+    most enriched tokens (ties by token, trap T-14).  Returns (summary, top
+    tokens).
+
+    Per baseline: the domain token table is left-joined with that baseline's
+    tokens on ``token`` (an equi-join), the baseline total is a scalar
+    subquery, and the per-pair top-k is ``row_number() <= k`` (planned as a
+    group limit before the shuffle)."""
+    tot = tt.groupBy("corpus").agg(F.sum("cnt").alias("td"))
+    summaries, tops = [], []
+    for base in baselines:
+        bl = tt.where(F.col("corpus") == base).select("token", F.col("cnt").alias("cb"))
+        tb = bl.select(F.sum("cb").alias("tb")).scalar()
+        d = (tt.where(F.col("corpus") != base).select(F.col("corpus").alias("domain"), "token",
+                                                      F.col("cnt").alias("cd"))
+             .join(tot.withColumnRenamed("corpus", "domain"), "domain"))
+        enr = d.join(bl, "token", "left").withColumn("baseline", F.lit(base)).withColumn(
+            "enrichment", (F.col("cd") / F.col("td")) / (F.coalesce(F.col("cb"), F.lit(1)) / tb))
+        w = Window.partitionBy("domain").orderBy(F.col("enrichment").desc(), F.col("token"))
+        top = enr.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_k)
+        summaries.append(top.groupBy("domain", "baseline", "td")
+                         .agg(F.sum("cd").alias("top_mass"), F.count("*").alias("top_n"))
+                         .select("domain", "baseline", "top_n",
+                                 (F.col("top_mass") / F.col("td") * 100).alias("concentration")))
+        tops.append(top.select("domain", "baseline", "rank", "token", "enrichment", F.col("cd").alias("cnt")))
+    out_s, out_t = summaries[0], tops[0]
+    for a, b in zip(summaries[1:], tops[1:]):
+        out_s, out_t = out_s.unionByName(a), out_t.unionByName(b)
+    return out_s, out_t
 
 
 def keyword_hits(df: DataFrame, vocab: DataFrame, corpus_col: str = "corpus",

@@ -73,14 +73,14 @@ def domain_concentration(spark, sf_dir):
     """M-12 + J-11 + O-03: share of each language corpus covered by its 1,000
     tokens most enriched against the benchmark corpus."""
     tt = V.token_table(_corpora(spark, sf_dir))
-    s, _top = V.domain_concentration(tt, _baseline_pairs(tt), 1000)
+    s, _top = V.domain_concentration(tt, [BASELINE], 1000)
     return round_cols(s, ["concentration"])
 
 
 def enriched_tokens(spark, sf_dir):
     """O-03: the 25 most enriched tokens per (corpus, baseline) pair."""
     tt = V.token_table(_corpora(spark, sf_dir))
-    _s, top = V.domain_concentration(tt, _baseline_pairs(tt), 25)
+    _s, top = V.domain_concentration(tt, [BASELINE], 25)
     return round_cols(top, ["enrichment"])
 
 
@@ -118,7 +118,7 @@ def corpus_summary(spark, sf_dir):
     js = V.js_distance(tt, bp.select(F.col("domain").alias("corpus_a"), F.col("baseline").alias("corpus_b")))
     js_w = js.groupBy(F.col("corpus_a").alias("corpus")).pivot("corpus_b", [BASELINE]) \
         .agg(F.first("js_distance")).withColumnRenamed(BASELINE, f"js_vs_{BASELINE}")
-    conc, _t = V.domain_concentration(tt, bp, 1000)
+    conc, _t = V.domain_concentration(tt, [BASELINE], 1000)
     conc_w = conc.groupBy(F.col("domain").alias("corpus")).pivot("baseline", [BASELINE]) \
         .agg(F.first("concentration")).withColumnRenamed(BASELINE, f"concentration_vs_{BASELINE}")
     out = vs.join(kd, "corpus", "left").join(js_w, "corpus", "left").join(conc_w, "corpus", "left")
