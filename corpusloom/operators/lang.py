@@ -79,20 +79,26 @@ def identify(df: DataFrame, profiles: DataFrame, key_col: str, text_col: str = "
     grams x the language's floor.  A matched gram never scores below the
     floor, so the only candidates are the languages with a hit plus the one
     language with the highest floor (a scalar subquery) - no documents x
-    languages product is formed."""
-    grams = doc_gram_counts(df, key_col, text_col, n)
-    return identify_from_counts(df.select(key_col), grams, profiles, key_col, out)
+    languages product is formed.
+
+    Plan: grams are exploded and joined map-side with the broadcast profile
+    (bounded: languages x top_k rows), so only (doc, language) partial sums
+    are shuffled - never (doc, gram) pairs; a row's gram total comes from
+    its length, not from counting."""
+    pre = df.select(key_col, gram_text(text_col).alias("_gt"))
+    pre = pre.select(key_col, "_gt", F.greatest(F.length("_gt") - n + 1, F.lit(0)).cast("bigint").alias("_tot"))
+    total = pre.select(key_col, "_tot").where(F.col("_tot") > 0)
+    grams = pre.select(key_col, F.explode(char_ngrams("_gt", n)).alias("gram"))
+    prof = broadcast_if_small(profiles.select("lang", "gram", "logp"))
+    hit = grams.join(prof, "gram").groupBy(key_col, "lang").agg(
+        F.sum("logp").alias("_s"), F.count("*").alias("_m"))
+    return _best_language(df.select(key_col), total, hit, profiles, key_col, out)
 
 
-def identify_from_counts(keys: DataFrame, grams: DataFrame, profiles: DataFrame, key_col: str,
-                         out: str = "language") -> DataFrame:
-    """Scoring part of :func:`identify` on per-row gram counts."""
-    prof = broadcast_if_small(profiles.select("lang", "gram", "logp"))
+def _best_language(keys: DataFrame, total: DataFrame, hit: DataFrame, profiles: DataFrame, key_col: str,
+                   out: str) -> DataFrame:
     floors = profiles.groupBy("lang").agg(F.first("floor").alias("floor"))
     best_floor = floors.select(F.max(F.struct("floor", "lang")).getField("lang").alias("l")).scalar()
-    total = grams.groupBy(key_col).agg(F.sum("n").alias("_tot"))
-    hit = grams.join(prof, "gram").groupBy(key_col, "lang").agg(
-        F.sum(F.col("n") * F.col("logp")).alias("_s"), F.sum("n").alias("_m"))
     fallback = total.select(key_col, best_floor.alias("lang"), F.lit(0.0).alias("_s"),
                             F.lit(0).cast("bigint").alias("_m"))
     cand = hit.unionByName(fallback).groupBy(key_col, "lang").agg(F.sum("_s").alias("_s"), F.sum("_m").alias("_m"))
@@ -100,3 +106,13 @@ def identify_from_counts(keys: DataFrame, grams: DataFrame, profiles: DataFrame,
         key_col, "lang", (F.col("_s") + (F.col("_tot") - F.col("_m")) * F.col("floor")).alias("score"))
     best = sc.groupBy(key_col).agg(F.min(F.struct((-F.col("score")).alias("ns"), "lang")).alias("b"))
     return keys.join(best.select(key_col, F.col("b.lang").alias(out)), key_col, "left")
+
+
+def identify_from_counts(keys: DataFrame, grams: DataFrame, profiles: DataFrame, key_col: str,
+                         out: str = "language") -> DataFrame:
+    """Scoring on precomputed per-row gram counts (key, gram, n)."""
+    prof = broadcast_if_small(profiles.select("lang", "gram", "logp"))
+    total = grams.groupBy(key_col).agg(F.sum("n").alias("_tot"))
+    hit = grams.join(prof, "gram").groupBy(key_col, "lang").agg(
+        F.sum(F.col("n") * F.col("logp")).alias("_s"), F.sum("n").alias("_m"))
+    return _best_language(keys, total, hit, profiles, key_col, out)
