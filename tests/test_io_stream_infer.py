@@ -100,3 +100,21 @@ def test_entity_inference_chunks_in_order(spark):
     chunk_ids = [p.chunk_id for p in r.predictions]
     assert chunk_ids == sorted(chunk_ids) and chunk_ids[-1] > 0
     assert r.num_preds == 30
+
+
+def test_review_files_round_trip(spark):
+    """M-21 through files: review lists split at 2008 written as CSV (S-15),
+    read back (S-01) with column pruning (S-02), unioned, flagged keys
+    anti-joined away (J-05)."""
+    from corpusloom.operators.joins import anti_by_keys
+    root = _tmp()
+    papers = spark.createDataFrame([(f"p{i}", 1995 + i, f"T{i}", (1 if i % 4 == 0 else None)) for i in range(30)],
+                                   "paperId string, year int, title string, remove int")
+    IO.write_csv(papers.where("year <= 2008").orderBy("year"), os.path.join(root, "old"), single_file=True)
+    IO.write_csv(papers.where("year > 2008").orderBy("year"), os.path.join(root, "new"), single_file=True)
+    schema = papers.schema
+    good, bad = IO.read_csv(spark, root, schema=schema)
+    decisions = good.select("paperId", "remove")
+    assert bad.count() == 0 and decisions.count() == 30
+    kept = anti_by_keys(papers, decisions.where("remove = 1"), "paperId")
+    assert sorted(r.paperId for r in kept.collect()) == sorted(f"p{i}" for i in range(30) if i % 4)
