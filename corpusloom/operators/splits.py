@@ -108,20 +108,6 @@ def _class_plan(loads: list[int], s: int, m: int, k: int):
     return segments, counts
 
 
-def fold_expr(t: Column, segments) -> Column:
-    """Fold of the t-th (0-based) group of a size class: the segment holding
-    t, then position (t - start) mod (active folds) in that segment."""
-    expr = None
-    for start, span, active in segments:
-        arr = F.array(*[F.lit(f) for f in active])
-        fold = F.element_at(arr, (F.pmod(t - F.lit(start), F.lit(len(active))) + 1).cast("int"))
-        if span is None:
-            return fold if expr is None else expr.otherwise(fold)
-        cond = t < F.lit(start + span)
-        expr = F.when(cond, fold) if expr is None else expr.when(cond, fold)
-    return expr
-
-
 def group_folds(df: DataFrame, group_col: str, k: int = 5, seed: int = 0,
                 max_classes: int = 5_000_000) -> DataFrame:
     """O-10: group k-fold.  Groups are taken in (size desc, seeded hash,
