@@ -168,30 +168,31 @@ def span_report_rows(tok: DataFrame) -> DataFrame:
     members = F.array(*[
         F.struct(F.lit(src).alias("src"), F.lit(mode).alias("mode"),
                  F.col(f"{src}_{mode}_sid").alias("sid"), F.col(f"{src}_{mode}_in").alias("inside"),
-                 F.substring_index(F.col(src), "-", -1).alias("type"))
-        for src in ("gold", "pred") for mode in ("strict", "lenient")])
-    # only tokens inside a span are exploded (most tokens are outside)
+                 F.substring_index(F.col(src), "-", -1).alias("type"), F.lit(None).cast("int").alias("ok"))
+        for src in ("gold", "pred") for mode in ("strict", "lenient")],
+        # one extra member per token carries token accuracy through the same
+        # pipeline (a second branch would re-read and re-window the tokens)
+        F.struct(F.lit("tok").alias("src"), F.lit("acc").alias("mode"), F.lit(0).cast("long").alias("sid"),
+                 F.lit(True).alias("inside"), F.lit("-").alias("type"),
+                 (F.col("pred") == F.col("gold")).cast("int").alias("ok")))
+    # only tokens inside a span (plus the accuracy member) are exploded
     m = flagged.select("doc", "pos", F.explode(F.filter(members, lambda x: x["inside"])).alias("m"))
     spans = m.groupBy("doc", "m.src", "m.mode", "m.sid").agg(
-        F.min("pos").alias("start"), F.max("pos").alias("end"), F.first("m.type").alias("type"))
+        F.min("pos").alias("start"), F.max("pos").alias("end"), F.first("m.type").alias("type"),
+        F.count("*").alias("n_tok"), F.sum("m.ok").alias("n_ok"))
     keyed = spans.groupBy("mode", "doc", "start", "end", "type").agg(
         F.max((F.col("src") == "gold").cast("int")).alias("g"),
-        F.max((F.col("src") == "pred").cast("int")).alias("p"))
+        F.max((F.col("src") == "pred").cast("int")).alias("p"),
+        F.sum("n_tok").alias("n_tok"), F.sum("n_ok").alias("n_ok"))
     per_mode = keyed.groupBy("mode").agg(F.sum("g").alias("gold_n"), F.sum("p").alias("pred_n"),
-                                         F.count_if((F.col("g") == 1) & (F.col("p") == 1)).alias("tp"))
-    # token accuracy comes from the same flagged table in the same plan (the
-    # per-document window exchange is shared), not from a second pipeline
-    acc = flagged.agg(F.count("*").alias("n_tokens"),
-                      F.sum((F.col("pred") == F.col("gold")).cast("long")).alias("n_correct")) \
-        .select(F.lit("acc").alias("mode"), F.lit(None).cast("long").alias("gold_n"),
-                F.lit(None).cast("long").alias("pred_n"), F.lit(None).cast("long").alias("tp"),
-                "n_tokens", "n_correct")
-    both = per_mode.withColumns({"n_tokens": F.lit(None).cast("long"),
-                                 "n_correct": F.lit(None).cast("long")}).unionByName(acc)
-    row = both.agg(*[F.max(F.when(F.col("mode") == md, F.struct("gold_n", "pred_n", "tp"))).alias(md)
-                     for md in ("strict", "lenient")],
-                   F.max("n_tokens").alias("n_tokens"), F.max("n_correct").alias("n_correct"))
-    r = row.select(F.struct("strict", "lenient").alias("_m"), F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"),
+                                         F.count_if((F.col("g") == 1) & (F.col("p") == 1)).alias("tp"),
+                                         F.sum("n_tok").alias("n_tokens"), F.sum("n_ok").alias("n_correct"))
+    row = per_mode.agg(*[F.max(F.when(F.col("mode") == md, F.struct("gold_n", "pred_n", "tp"))).alias(md)
+                         for md in ("strict", "lenient")],
+                       F.max(F.when(F.col("mode") == "acc", F.col("n_tokens"))).alias("n_tokens"),
+                       F.max(F.when(F.col("mode") == "acc", F.col("n_correct"))).alias("n_correct"))
+    r = row.select(F.struct("strict", "lenient").alias("_m"),
+                   F.coalesce("n_tokens", F.lit(0)).cast("bigint").alias("n_tokens"),
                    F.try_divide(F.col("n_correct").cast("double"), F.col("n_tokens")).alias("token_accuracy"))
     out = ["n_tokens", "token_accuracy"]
     for mode in ("strict", "lenient"):
