@@ -278,3 +278,20 @@ def test_splits_exact_sizes(spark):
     assert sum(v for (lab, sp), v in c.items() if sp == "test") == 11
     assert all(c[(lab, "test")] in (3, 4) for lab in range(3))
     assert st_.count() == 101
+
+
+def test_hot_key_dedup_is_exact(spark):
+    """One key and one duplicated text hold a third of all rows: keyed dedup
+    is an aggregate (partial aggregation collapses the hot key map-side) and
+    stays exact."""
+    n = 3000
+    rows = [("hot" if i % 3 == 0 else f"k{i}", i, "same text" if i % 3 == 0 else f"text {i}") for i in range(n)]
+    df = spark.createDataFrame(rows, "k string, o int, text string").repartition(7)
+    first = {r.k: r.o for r in J.keep_first(df, "k", "o").collect()}
+    last = {r.k: r.o for r in J.keep_last(df, "k", "o").collect()}
+    assert first["hot"] == 0 and last["hot"] == max(i for i in range(n) if i % 3 == 0)
+    assert len(first) == 1 + sum(1 for i in range(n) if i % 3)
+    d = {r.text: r.o for r in J.dedup_text(df.select("o", "text"), "text", "o").collect()}
+    assert d["same text"] == 0
+    plan = J.keep_first(df, "k", "o")._jdf.queryExecution().executedPlan().toString()
+    assert "partial_min" in plan  # map-side combine before the shuffle
