@@ -105,15 +105,18 @@ def pack_blocks(df: DataFrame, order_col: str, text_col: str = "text", block_siz
     # slicing - not once per pass of the prefix computations
     narrow = df.select(F.col(order_col).alias("_ord"),
                        F.coalesce(F.size(tokens(text_col)), F.lit(0)).alias("_n"))
-    pos = ordered_prefix(narrow, ["_ord"], None, out="_row", materialize=True) \
-        .withColumn("batch", ((F.col("_row") - 1) / batch_rows).cast("bigint"))
-    off = ordered_prefix(pos, ["_ord"], "_n", out="_start", partition_cols=["batch"], inclusive=False,
+    # one pass gives both the row number and the global token offset; a
+    # batch's own offsets are the global ones minus the batch's first offset
+    pos = ordered_prefix(narrow, ["_ord"], [F.lit(1).cast("bigint"), F.col("_n")], out=["_row", "_cum"],
                          materialize=True)
-    totals = off.groupBy("batch").agg(F.sum("_n").alias("_tot"))
+    pos = pos.withColumn("batch", ((F.col("_row") - 1) / batch_rows).cast("bigint")) \
+        .withColumn("_excl", F.col("_cum") - F.col("_n"))
+    totals = pos.groupBy("batch").agg(F.min("_excl").alias("_b0"), F.sum("_n").alias("_tot"))
+    off = pos.join(totals, "batch").withColumn("_start", F.col("_excl") - F.col("_b0"))
     b = F.lit(block_size)
     usable = F.when(F.col("_tot") >= b, F.floor(F.col("_tot") / b) * b) \
         .otherwise(F.col("_tot") if keep_short else F.lit(0))
-    j = off.join(totals.withColumn("_use", usable.cast("bigint")), "batch")
+    j = off.withColumn("_use", usable.cast("bigint"))
     j = j.withColumn("_keep", F.greatest(F.lit(0), F.least(F.col("_n"), F.col("_use") - F.col("_start"))))
     j = j.where(F.col("_keep") > 0).select("_ord", "batch", "_start", "_keep")
     docs = df.select(F.col(order_col).alias("_ord"), tokens(text_col).alias("_tk"))
