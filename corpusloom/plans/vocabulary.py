@@ -11,12 +11,20 @@ from pyspark.sql import functions as F
 from corpusloom.functions.numbers import round_half_even
 from corpusloom.operators import vocabulary as V
 from corpusloom.plans.common import T, round_cols
+from corpusloom.session import cut_lineage
 from corpusloom.sources import derived
 
 BASELINE = "benchmark"
 SPECIAL_TOKENS = 2  # [CLS] + [SEP] added by the reference's default tokenizer call
 
 
+def _token_table(spark, sf_dir):
+    """The central (corpus, token, cnt) table, checkpointed once: every
+    pairwise measure, total and scalar statistic reads this vocabulary-sized
+    table instead of re-tokenising the text."""
+    return cut_lineage(V.token_table(_corpora(spark, sf_dir)))
+
+
 def _corpora(spark, sf_dir):
     docs = T(spark, sf_dir, "documents").select(F.col("lang").alias("corpus"), "doc_id", "text")
     bench = T(spark, sf_dir, "benchmark").select(F.lit(BASELINE).alias("corpus"),
@@ -65,21 +73,21 @@ def vocab_stats(spark, sf_dir):
 
 def js_distance(spark, sf_dir):
     """M-11 + J-10 + J-13: JS distance for every pair of corpora."""
-    tt = V.token_table(_corpora(spark, sf_dir))
+    tt = _token_table(spark, sf_dir)
     return round_cols(V.js_distance(tt, _all_pairs(tt)), ["js_distance"])
 
 
 def domain_concentration(spark, sf_dir):
     """M-12 + J-11 + O-03: share of each language corpus covered by its 1,000
     tokens most enriched against the benchmark corpus."""
-    tt = V.token_table(_corpora(spark, sf_dir))
+    tt = _token_table(spark, sf_dir)
     s, _top = V.domain_concentration(tt, [BASELINE], 1000)
     return round_cols(s, ["concentration"])
 
 
 def enriched_tokens(spark, sf_dir):
     """O-03: the 25 most enriched tokens per (corpus, baseline) pair."""
-    tt = V.token_table(_corpora(spark, sf_dir))
+    tt = _token_table(spark, sf_dir)
     _s, top = V.domain_concentration(tt, [BASELINE], 25)
     return round_cols(top, ["enrichment"])
 
@@ -111,7 +119,7 @@ def corpus_summary(spark, sf_dir):
     density, JS distance and concentration against the baseline (NULL for
     the baseline itself), rounded half-even to 3 digits."""
     c = _corpora(spark, sf_dir)
-    tt = V.token_table(c)
+    tt = _token_table(spark, sf_dir)
     vs = V.corpus_totals(tt).join(V.ttr_prefix(c), "corpus", "left")
     kd = V.keyword_density(c, _vocab(spark, sf_dir)).select("corpus", "density_per_1k", "doc_coverage")
     bp = _baseline_pairs(tt)
@@ -131,7 +139,7 @@ def corpus_class_means(spark, sf_dir):
     """A-23: mean TTR and keyword density of domain corpora vs the general
     baseline, and their ratio."""
     c = _corpora(spark, sf_dir)
-    tt = V.token_table(c)
+    tt = _token_table(spark, sf_dir)
     st = V.corpus_totals(tt).join(V.ttr_prefix(c), "corpus", "left") \
         .join(V.keyword_density(c, _vocab(spark, sf_dir)).select("corpus", "density_per_1k"), "corpus")
     cls = F.when(F.col("corpus") == BASELINE, F.lit("general")).otherwise(F.lit("domain"))
