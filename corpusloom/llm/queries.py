@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, exactdedup, tokenfiles, warc
+from corpusloom.llm import ann, bpe, exactdedup, htmltext, langid, ngramjoin, tokenfiles, warc
 from corpusloom.sources.tables import load_table
 
 
@@ -26,6 +26,26 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(load_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
 
+def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every twentieth one of ``embeddings``."""
+    return ann.nearest(load_table(spark, sf_dir, "embeddings"))
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every text of ``documents``."""
+    return langid.identify(load_table(spark, sf_dir, "documents"))
+
+
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 3-word shingle sets reach Jaccard 0.9."""
+    return ngramjoin.jaccard_components(load_table(spark, sf_dir, "documents"))
+
+
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page of ``pages``."""
+    return htmltext.extract(load_table(spark, sf_dir, "pages"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write the token files of ``documents`` and read them back."""
     manifest = tokenfiles.token_files(load_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
@@ -42,7 +62,8 @@ def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return bpe.encode_digests(docs, _tokenizer("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_bpe, op8_token_files, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_bpe, op3_nearest, op5_language, op6_ngram_join, op8_token_files, op9_html_text,
+                                     op10_exact_dedup)}
 
 ORACLE_SQL = {
     "op1_warc": """
