@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import ann, bpe, exactdedup, htmltext, langid, ngramjoin, tokenfiles, warc
+from corpusloom.llm import ann, bpe, exactdedup, htmltext, langid, linededup, mixing, ngramjoin, tokenfiles, warc
 from corpusloom.sources.tables import load_table
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer(name: str) -> str:
+    """Place of a public tokenizer file; the operators take any path."""
     import public_tokenizers
 
     return str(public_tokenizers.path(name))
@@ -23,7 +24,7 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every text of ``documents``."""
-    return bpe.encode_digests(load_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
+    return bpe.encode_digests(load_table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
 def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +32,11 @@ def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(load_table(spark, sf_dir, "embeddings"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of ``documents`` that repeat another line but for one edit."""
+    return linededup.report(load_table(spark, sf_dir, "documents"))
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every text of ``documents``."""
     return langid.identify(load_table(spark, sf_dir, "documents"))
@@ -46,9 +52,14 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(load_table(spark, sf_dir, "pages"))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slots and positions of all ``documents`` in the mix of their sources."""
+    return mixing.mix_order(load_table(spark, sf_dir, "documents"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write the token files of ``documents`` and read them back."""
-    manifest = tokenfiles.token_files(load_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+    manifest = tokenfiles.token_files(load_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
     return tokenfiles.read_digests(manifest)
 
 
@@ -57,13 +68,8 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdedup.exact_groups(load_table(spark, sf_dir, "documents"))
 
 
-def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Last stage: the encoded digests of every document."""
-    return bpe.encode_digests(docs, _tokenizer("word_bpe_49k.json"))
-
-
-QUERIES = {f.__name__: f for f in (op1_warc, op2_bpe, op3_nearest, op5_language, op6_ngram_join, op8_token_files, op9_html_text,
-                                     op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_bpe, op3_nearest, op4_line_dedup, op5_language, op6_ngram_join, op7_mixing,
+                                   op8_token_files, op9_html_text, op10_exact_dedup)}
 
 ORACLE_SQL = {
     "op1_warc": """
@@ -76,6 +82,53 @@ ORACLE_SQL = {
           CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
           CASE WHEN page_id <> first_id THEN first_id END AS refers_to
         FROM d""",
+    "op4_line_dedup": """
+        WITH RECURSIVE occ AS (
+          SELECT doc_id, pos - 1 AS pos, trim(raw) AS line FROM (
+            SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS raw,
+              generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents) WHERE trim(raw) <> ''),
+        ln AS (SELECT DISTINCT line, length(line) AS n FROM occ WHERE length(line) >= 32),
+        cand AS (
+          SELECT x.line AS a, y.line AS b, x.n AS n, y.n AS m FROM ln x JOIN ln y
+            ON x.n = y.n AND left(x.line, x.n // 2) = left(y.line, x.n // 2) AND x.line < y.line
+          UNION SELECT x.line, y.line, x.n, y.n FROM ln x JOIN ln y
+            ON x.n = y.n AND right(x.line, x.n - x.n // 2) = right(y.line, x.n - x.n // 2) AND x.line < y.line
+          UNION SELECT x.line, y.line, x.n, y.n FROM ln x JOIN ln y
+            ON x.n = y.n - 1 AND left(x.line, x.n // 2) = left(y.line, x.n // 2)
+          UNION SELECT x.line, y.line, x.n, y.n FROM ln x JOIN ln y
+            ON x.n = y.n - 1 AND right(x.line, x.n - x.n // 2) = right(y.line, x.n - x.n // 2)),
+        link AS (SELECT a, b FROM cand WHERE len([p for p in range(m) if
+            left(a, p) = left(b, p) AND substr(a, p + 1 + n - m + 1) = substr(b, p + 2)]) > 0),
+        both_ AS (SELECT a AS u, b AS v FROM link UNION SELECT b, a FROM link),
+        reach(u, v) AS (SELECT u, u FROM both_ UNION SELECT r.u, e.v FROM reach r JOIN both_ e ON r.v = e.u),
+        class_ AS (SELECT u AS line, min(v) AS class_line FROM reach GROUP BY u),
+        f AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY coalesce(class_line, line) ORDER BY doc_id, pos) AS k
+              FROM occ LEFT JOIN class_ USING (line)),
+        g AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (k > 1) AS n_removed,
+                string_agg(pos::VARCHAR, ',' ORDER BY pos) FILTER (k > 1) AS removed FROM f GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(removed, '') AS removed
+        FROM documents d LEFT JOIN g USING (doc_id)""",
+    "op7_mixing": """
+        WITH RECURSIVE d AS (SELECT doc_id, source, coalesce('=' || source, '') AS key FROM documents),
+        sz AS (SELECT key, sqrt(count(*)::DOUBLE) AS w FROM d GROUP BY key),
+        sh AS (SELECT key, (1000 - count(*) OVER ()) * w / sum(w) OVER (ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS x FROM sz),
+        lo AS (SELECT key, 1 + floor(x)::INT AS c, round(x - floor(x), 9) AS rest FROM sh),
+        tg AS (SELECT key, c + (row_number() OVER (ORDER BY rest DESC, key) <= 1000 - sum(c) OVER ())::INT AS c FROM lo),
+        ar AS (SELECT list(c ORDER BY key) AS cs, list(key ORDER BY key) AS ks FROM tg),
+        edf(t, done, pick) AS (
+          SELECT -1, [0 for c in cs], 0::BIGINT FROM ar
+          UNION ALL
+          SELECT t + 1, [n + (i = pk)::INT for n, i in done], pk FROM (
+            SELECT t, done, list_min([CASE WHEN done[i] < c AND done[i] * 1000 // c <= t + 1
+              THEN ((done[i] + 1) * 1000 + c - 1) // c * 1000000 + i END for c, i in cs]) % 1000000 AS pk
+            FROM edf, ar WHERE t < 999)),
+        cy AS (SELECT ks[pick] AS key, cs[pick] AS c, t AS slot, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS j
+               FROM edf, ar WHERE t >= 0),
+        rk AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id) - 1 AS r FROM d),
+        bl AS (SELECT rk.*, r // 16 AS block, (r // 16) // tg.c AS turn, (r // 16) % tg.c AS j FROM rk JOIN tg USING (key)),
+        pl AS (SELECT doc_id, source, r, block, turn * 1000 + slot AS slot, turn * 1000 + j * 1000 // c AS release,
+                 turn * 1000 + ((j + 1) * 1000 + c - 1) // c AS deadline FROM bl JOIN cy USING (key, j))
+        SELECT doc_id, source, block, slot, release, deadline, row_number() OVER (ORDER BY slot, r) - 1 AS position FROM pl""",
     "op10_exact_dedup": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
         g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
