@@ -3,8 +3,7 @@
 No pretrained sub-word tokenizer files are available offline, so the default
 tokenizer is a regular expression: runs of letters/digits, or any single
 other non-whitespace character.  The same pattern runs in RE2, so counts can
-be checked by an independent SQL engine.  A sub-word tokenizer can be plugged
-in through :func:`corpusloom.operators.tokens.subword_token_counts`.
+be checked by an independent SQL engine.
 """
 
 from __future__ import annotations
@@ -30,6 +29,12 @@ def tokens(text, lowercase: bool = False) -> Column:
     return F.regexp_extract_all(t, F.lit(TOKEN_PATTERN_JVM), F.lit(0))
 
 
+def token_spans(text) -> Column:
+    """Each token with the white space after it: joined by nothing they are
+    the text again, but for white space at its start."""
+    return F.regexp_extract_all(_c(text), F.lit(f"(?:{TOKEN_PATTERN_JVM})[{WS_CLASS_JVM}]*"), F.lit(0))
+
+
 def token_count(text, special_tokens: int = 0) -> Column:
     """K-01: number of tokens plus ``special_tokens`` per document (trap T-19:
     the reference counts tokenizer special tokens in totals).  NULL text

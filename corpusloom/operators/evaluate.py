@@ -100,20 +100,19 @@ def with_argmax(df: DataFrame, logits_col: str = "logits", out: str = "pred") ->
 
 def roc_points(df: DataFrame, logits_col: str, label_col: str, digits: int = 9) -> DataFrame:
     """M-18 (F-26 + W-09): one-vs-rest ROC points per class.  Softmax
-    probabilities (rounded to ``digits`` so ties are engine-independent) are
+    probabilities are
     aggregated to distinct scores; cumulative positives/negatives in
     descending score order come from :func:`ordered_prefix` partitioned by
     class (no class-sized single window)."""
     probs = df.select(F.col(label_col).alias("y"), softmax(logits_col).alias("pr"))
-    ex = probs.select("y", F.posexplode("pr").alias("cls", "score")) \
-        .withColumn("score", F.round("score", digits))
+    ex = probs.select("y", F.posexplode("pr").alias("cls", "score"))
     agg = ex.groupBy("cls", "score").agg(F.count_if(F.col("y") == F.col("cls")).alias("pos"),
                                          F.count_if(F.col("y") != F.col("cls")).alias("neg"))
     tot = agg.groupBy("cls").agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
     cum = ordered_prefix(agg, ["score"], ["pos", "neg"], out=["cum_pos", "cum_neg"],
-                         partition_cols=["cls"], descending=True)
+                         partition_cols=["cls"], descending=True, materialize=True)
     return cum.join(tot, "cls").select(
-        F.col("cls").cast("int").alias("cls"), F.col("score").alias("threshold"),
+        F.col("cls").cast("int").alias("cls"), F.round("score", digits).alias("threshold"),
         F.try_divide(F.col("cum_pos"), F.col("P")).alias("tpr"),
         F.try_divide(F.col("cum_neg"), F.col("N")).alias("fpr"))
 

@@ -28,44 +28,23 @@ def gram_text(text):
 def char_ngrams(prepared_col: str, n: int = 3):
     """Overlapping character n-grams of an already prepared text column, in
     one linear regex pass: a zero-width lookahead captures the ``n``
-    characters starting at every position (per-position ``substring`` would
+    characters at every position, and one character (code point) is taken (per-position ``substring`` would
     rescan UTF-8 text from the start each time)."""
-    return F.regexp_extract_all(F.col(prepared_col), F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
+    return F.regexp_extract_all(F.col(prepared_col), F.lit(f"(?s)(?=(.{{{n}}}))."), F.lit(1))
 
 
-def doc_gram_counts(df: DataFrame, key_col: str, text_col: str = "text", n: int = 3,
-                    extra: tuple[str, ...] = ()) -> DataFrame:
-    """(key, extra..., gram, n): character n-gram counts per row, aggregated
-    in the same stage as the explode (partial aggregation)."""
-    return (df.select(key_col, *extra, gram_text(text_col).alias("_gt"))
-            .select(key_col, *extra, F.explode(char_ngrams("_gt", n)).alias("gram"))
-            .groupBy(key_col, *extra, "gram").agg(F.count("*").alias("n")))
-
-
-def profiles_from_counts(counts_per_doc: DataFrame, lang_col: str = "lang", top_k: int = 400) -> DataFrame:
-    """Language profiles from per-row gram counts (see
-    :func:`doc_gram_counts`), so one gram pass can serve training and
-    scoring of the same rows."""
-    counts = counts_per_doc.where(F.col(lang_col).isNotNull()) \
-        .groupBy(F.col(lang_col).alias("lang"), "gram").agg(F.sum("n").alias("cnt"))
-    return _profiles(counts, top_k)
-
-
-def train_profiles(df: DataFrame, text_col: str = "text", lang_col: str = "lang", n: int = 3,
-                   top_k: int = 400) -> DataFrame:
-    """(lang, gram, logp, floor) profile rows: each language's ``top_k``
+def train_profiles(df: DataFrame, text_col: str = "text", lang_col: str = "lang", n: int = 3) -> DataFrame:
+    """(lang, gram, logp, floor) profile rows: all of each language's
     grams with add-one smoothed log probabilities and its floor."""
     g = df.select(F.col(lang_col).alias("lang"), gram_text(text_col).alias("_gt")) \
         .select("lang", F.explode(char_ngrams("_gt", n)).alias("gram"))
     counts = g.groupBy("lang", "gram").agg(F.count("*").alias("cnt"))
-    return _profiles(counts, top_k)
+    return _profiles(counts)
 
 
-def _profiles(counts: DataFrame, top_k: int) -> DataFrame:
-    w = Window.partitionBy("lang").orderBy(F.col("cnt").desc(), F.col("gram"))
-    top = counts.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= top_k)
+def _profiles(counts: DataFrame) -> DataFrame:
     tot = counts.groupBy("lang").agg(F.sum("cnt").alias("total"), F.count("*").alias("v"))
-    prof = top.join(tot, "lang").select(
+    prof = counts.join(tot, "lang").select(
         "lang", "gram", F.log((F.col("cnt") + 1) / (F.col("total") + F.col("v"))).alias("logp"),
         F.log(F.lit(1.0) / (F.col("total") + F.col("v"))).alias("floor"))
     return prof
@@ -81,8 +60,8 @@ def identify(df: DataFrame, profiles: DataFrame, key_col: str, text_col: str = "
     language with the highest floor (a scalar subquery) - no documents x
     languages product is formed.
 
-    Plan: grams are exploded and joined map-side with the broadcast profile
-    (bounded: languages x top_k rows), so only (doc, language) partial sums
+    Plan: grams are exploded and joined with the profile (map-side while it
+    is small, by gram beyond), so only (doc, language) partial sums
     are shuffled - never (doc, gram) pairs; a row's gram total comes from
     its length, not from counting."""
     pre = df.select(key_col, gram_text(text_col).alias("_gt"))
@@ -106,13 +85,3 @@ def _best_language(keys: DataFrame, total: DataFrame, hit: DataFrame, profiles:
         key_col, "lang", (F.col("_s") + (F.col("_tot") - F.col("_m")) * F.col("floor")).alias("score"))
     best = sc.groupBy(key_col).agg(F.min(F.struct((-F.col("score")).alias("ns"), "lang")).alias("b"))
     return keys.join(best.select(key_col, F.col("b.lang").alias(out)), key_col, "left")
-
-
-def identify_from_counts(keys: DataFrame, grams: DataFrame, profiles: DataFrame, key_col: str,
-                         out: str = "language") -> DataFrame:
-    """Scoring on precomputed per-row gram counts (key, gram, n)."""
-    prof = broadcast_if_small(profiles.select("lang", "gram", "logp"))
-    total = grams.groupBy(key_col).agg(F.sum("n").alias("_tot"))
-    hit = grams.join(prof, "gram").groupBy(key_col, "lang").agg(
-        F.sum(F.col("n") * F.col("logp")).alias("_s"), F.sum("n").alias("_m"))
-    return _best_language(keys, total, hit, profiles, key_col, out)

@@ -17,6 +17,8 @@ by the remaining ``order_cols`` for a repeatable result.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,7 +78,7 @@ def ordered_prefix(df: DataFrame, order_cols: list, value_col=None, out: str = "
     if not partition_cols:
         # bounded by n_buckets rows: safe to broadcast
         offsets = F.broadcast(offsets)
-    joined = base.join(offsets, [*partition_cols, "_pb"], "inner")
+    joined = _join_offsets(base, offsets, partition_cols)
 
     order = [(_asc(c).desc() if (descending and i == 0) else _asc(c).asc())
              for i, c in enumerate(order_cols)]
@@ -88,6 +90,15 @@ def ordered_prefix(df: DataFrame, order_cols: list, value_col=None, out: str = "
     return joined.withColumn(out, running).drop("_pv", "_pb", "_po")
 
 
+def _join_offsets(base: DataFrame, offsets: DataFrame, partition_cols: list[str]) -> DataFrame:
+    """Rows with the offset of their bucket; a NULL partition key is a
+    partition like any other."""
+    keys = [*partition_cols, "_pb"]
+    renamed = offsets.withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(keys)})
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    return base.join(renamed, reduce(lambda a, b: a & b, same)).drop(*[f"_k{i}" for i in range(len(keys))])
+
+
 def _multi_prefix(df, order_cols, value_cols, outs, partition_cols, n_buckets, inclusive, descending):
     """Several running sums over the same order in one pass: the values are
     packed into a struct, bucketed once and summed field by field."""
@@ -109,7 +120,7 @@ def _multi_prefix(df, order_cols, value_cols, outs, partition_cols, n_buckets, i
                             *[F.coalesce(F.sum(t + "_t").over(ow), F.lit(0)).alias(t + "_o") for t in tmp])
     if not partition_cols:
         offsets = F.broadcast(offsets)
-    joined = base.join(offsets, [*partition_cols, "_pb"], "inner")
+    joined = _join_offsets(base, offsets, partition_cols)
     order = [(_asc(c).desc() if (descending and i == 0) else _asc(c).asc())
              for i, c in enumerate(order_cols)]
     w = (Window.partitionBy(*partition_cols, "_pb").orderBy(*order)

@@ -12,21 +12,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.sources.schemas import STANDARD_POST_COLUMNS, TEXT_ALIASES
+from corpusloom.sources.schemas import LIST_FIELDS, NULL_STRUCT_FIELDS, STANDARD_POST_COLUMNS, TEXT_ALIASES
 
 
 def resolve_synonyms(columns: list[str], variants: dict[str, list[str]] = STANDARD_POST_COLUMNS) -> dict:
     """P-01: map raw column names to standard names.  Matching is
     case-insensitive; for each target the first variant (priority order)
     present wins and only that one is kept (trap T-01)."""
-    lower = [c.lower() for c in columns]
-    out = {}
-    for target, options in variants.items():
-        for v in options:
-            if v in lower:
-                out[columns[lower.index(v)]] = target
-                break
-    return out
+    # of columns that differ only in case the first one counts
+    raw_of = {c.lower(): c for c in reversed(columns)}
+    found = {target: next((raw_of[v] for v in options if v in raw_of), None) for target, options in variants.items()}
+    return {raw: target for target, raw in found.items() if raw is not None}
 
 
 def standardise_columns(df: DataFrame, variants: dict[str, list[str]] = STANDARD_POST_COLUMNS,
@@ -84,14 +80,11 @@ def _null_struct(dt: T.StructType):
     return F.struct(*[F.lit(None).cast(f.dataType).alias(f.name) for f in dt.fields])
 
 
-LIST_FIELDS = ["publicationTypes", "references", "fieldsOfStudy", "s2FieldsOfStudy", "authors"]
-
-
 def normalise_records(df: DataFrame) -> DataFrame:
     """P-08: NULL ``publicationVenue`` / ``openAccessPdf`` become structs of
     typed NULLs; NULL list fields become empty lists."""
     out = df
-    for f in ("publicationVenue", "openAccessPdf"):
+    for f in NULL_STRUCT_FIELDS:
         if f in df.columns and isinstance(df.schema[f].dataType, T.StructType):
             out = out.withColumn(f, F.coalesce(F.col(f), _null_struct(df.schema[f].dataType)))
     for f in LIST_FIELDS:
@@ -107,20 +100,8 @@ def extend_schema(df: DataFrame, new_cols: dict, types: dict[str, str]) -> DataF
                            for c, e in new_cols.items()})
 
 
-def merge_left_wins(left: DataFrame, right: DataFrame, key) -> DataFrame:
-    """P-12 alias of :func:`corpusloom.operators.joins.merge_precedence`."""
-    from corpusloom.operators.joins import merge_precedence
-    return merge_precedence(left, right, key)
-
-
 def order_columns(df: DataFrame, base: list[str], metrics: list[str]) -> DataFrame:
     """P-13: base columns, then the metric columns present, then the rest."""
     present = [m for m in metrics if m in df.columns]
     rest = [c for c in df.columns if c not in base and c not in present]
     return df.select(*[c for c in base if c in df.columns], *present, *rest)
-
-
-def empty_to_null_numeric(df: DataFrame, cols: list[str]) -> DataFrame:
-    """NaN -> NULL at the boundary (pandas uses NaN for missing)."""
-    return df.withColumns({c: F.when(F.isnan(c), F.lit(None).cast(T.DoubleType())).otherwise(F.col(c))
-                           for c in cols})

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import WS_CLASS_JVM, collapse_ws, jvm_re, py_strip, remove_literals
-from corpusloom.functions.tokens import tokens
+from corpusloom.functions.tokens import token_spans, tokens
 from corpusloom.operators.prefix import ordered_prefix
 
 
@@ -38,44 +38,42 @@ def clean_posts(df: DataFrame, text_col: str = "text", min_length: int = 1) -> D
 
 
 def fixed_windows(df: DataFrame, key_col: str, text_col: str = "text", window: int = 512) -> DataFrame:
-    """K-03: split texts longer than ``window`` tokens into consecutive
-    non-overlapping windows decoded back to text; shorter texts stay whole
-    (original string).  Blank windows are skipped.  One output row per
-    window: (key, chunk_id, chunk_text, n_tokens)."""
-    # the token array is materialised first: lambdas must reference a column,
+    """K-03: consecutive non-overlapping windows of ``window`` tokens, cut
+    verbatim from the text (surrounding white space stripped) whatever its
+    length.  Texts without a token have no window.  One output row per window:
+    (key, chunk_id, chunk_text, n_tokens)."""
+    # the spans are materialised first: lambdas must reference a column,
     # or the tokenizer would run once per window
-    base = df.select(key_col, text_col, tokens(text_col).alias("_tk"))
-    tk = F.col("_tk")
-    n = F.size(tk)
-    starts = F.sequence(F.lit(1), n, F.lit(window))
-    chunks = F.when(n > window, F.transform(starts, lambda s: F.array_join(F.slice(tk, s, window), " "))) \
-        .otherwise(F.array(F.col(text_col)))
-    out = base.select(key_col, F.posexplode(chunks).alias("chunk_id", "chunk_text"))
-    out = out.where(F.length(py_strip("chunk_text")) > 0)
-    return out.withColumn("n_tokens", F.size(tokens("chunk_text")))
+    base = df.select(key_col, token_spans(text_col).alias("_sp")).where(F.size("_sp") > 0)
+    sp = F.col("_sp")
+    starts = F.sequence(F.lit(1), F.size(sp), F.lit(window))
+    chunks = F.transform(starts, lambda s: F.slice(sp, s, window))
+    out = base.select(key_col, F.posexplode(chunks).alias("chunk_id", "_c"))
+    return out.select(key_col, "chunk_id", py_strip(F.array_join("_c", "")).alias("chunk_text"), F.size("_c").alias("n_tokens"))
 
 
 def overlap_windows(df: DataFrame, key_col: str, label_col: str, text_col: str = "text",
                     max_length: int = 512, overlap: int = 50) -> DataFrame:
     """K-04: overlapping windows of ``max_length - 2`` tokens with step
-    ``size - overlap``, each carrying the row label; texts that fit are kept
-    as the original string; the last window is the first that reaches the
-    end of the text."""
+    ``size - overlap``, each carrying the row label, cut verbatim from the
+    text; the last window is the first that reaches the end of the text.  A
+    text without tokens keeps one (empty or NULL) window."""
     size = max_length - 2
     step = size - overlap
     if step <= 0:
         raise ValueError("overlap must be smaller than max_length - 2")
-    base = df.select(key_col, label_col, text_col, tokens(text_col).alias("_tk"))
-    tk = F.col("_tk")
-    n = F.size(tk)
-    k = F.ceil((n - size) / F.lit(step)).cast("int") + 1  # windows when n > size
+    base = df.select(key_col, label_col, text_col, token_spans(text_col).alias("_sp"))
+    sp = F.col("_sp")
+    n = F.size(sp)
+    k = F.greatest(F.ceil((n - size) / F.lit(step)).cast("int"), F.lit(0)) + 1
     starts = F.sequence(F.lit(0), (k - 1) * step, F.lit(step))
-    chunks = F.when(n > size, F.transform(starts, lambda s: F.array_join(F.slice(tk, s + 1, size), " "))) \
+    chunks = F.when(n > 0, F.transform(starts, lambda s: F.array_join(F.slice(sp, s + 1, size), ""))) \
         .otherwise(F.array(F.col(text_col)))
-    return base.select(key_col, label_col, F.posexplode(chunks).alias("chunk_id", "chunk_text"))
+    out = base.select(key_col, label_col, F.posexplode(chunks).alias("chunk_id", "_c"))
+    return out.select(key_col, label_col, "chunk_id", py_strip("_c").alias("chunk_text"))
 
 
-def pad_truncate(df: DataFrame, key_col: str, text_col: str = "text", max_length: int = 64,
+def pad_truncate(df: DataFrame, key_col: str, text_col: str = "text", max_length: int = 512,
                  pad: str = "[PAD]") -> DataFrame:
     """K-06: truncate/pad the token sequence to ``max_length`` with an
     attention mask (1 for real tokens, 0 for padding)."""
@@ -89,63 +87,54 @@ def pad_truncate(df: DataFrame, key_col: str, text_col: str = "text", max_length
 
 
 def pack_blocks(df: DataFrame, order_col: str, text_col: str = "text", block_size: int = 512,
-                batch_rows: int = 1000, keep_short: bool = True) -> DataFrame:
-    """K-05 + W-08 (trap T-20): concatenate token sequences and cut them into
-    ``block_size`` blocks, per batch of ``batch_rows`` consecutive rows in
-    ``order_col`` order (the reference packs per map batch); each batch
-    drops its own remainder, and a batch shorter than one block is kept as
-    one short block when ``keep_short``.
-
-    Plan: row positions and token offsets come from :func:`ordered_prefix`
-    (no global window); every row emits one token slice per block it
-    overlaps; blocks are assembled by grouping those slices (at most
-    ``block_size`` tokens per group)."""
-    # offsets are computed on a narrow (order, n_tokens) table, checkpointed
-    # once, so the documents are tokenised once for counting and once for
-    # slicing - not once per pass of the prefix computations
-    narrow = df.select(F.col(order_col).alias("_ord"),
-                       F.coalesce(F.size(tokens(text_col)), F.lit(0)).alias("_n"))
-    # one pass gives both the row number and the global token offset; a
-    # batch's own offsets are the global ones minus the batch's first offset
-    pos = ordered_prefix(narrow, ["_ord"], [F.lit(1).cast("bigint"), F.col("_n")], out=["_row", "_cum"],
-                         materialize=True)
-    pos = pos.withColumn("batch", ((F.col("_row") - 1) / batch_rows).cast("bigint")) \
-        .withColumn("_excl", F.col("_cum") - F.col("_n"))
-    totals = pos.groupBy("batch").agg(F.min("_excl").alias("_b0"), F.sum("_n").alias("_tot"))
-    off = pos.join(totals, "batch").withColumn("_start", F.col("_excl") - F.col("_b0"))
+                scope_col: str | None = None) -> DataFrame:
+    """K-05 + W-08 (trap T-20): concatenate token sequences in ``order_col``
+    order and cut them into ``block_size`` blocks, over the whole input or per
+    value of ``scope_col`` (NULL is a scope of its own).  The last block of a
+    scope may be short: tokens out = tokens in.
+
+    Plan: token offsets come from :func:`ordered_prefix` (no global window)
+    over a narrow (scope, order, n) table; every row emits one token slice per
+    block it overlaps; blocks are assembled by grouping those slices (at most
+    ``block_size`` tokens per group).  Texts are joined to their offsets
+    before they are tokenised, so no token array is shuffled whole.
+    ``order_col`` must identify a row within its scope."""
+    scope = F.lit(0) if scope_col is None else F.col(scope_col)
     b = F.lit(block_size)
-    usable = F.when(F.col("_tot") >= b, F.floor(F.col("_tot") / b) * b) \
-        .otherwise(F.col("_tot") if keep_short else F.lit(0))
-    j = off.withColumn("_use", usable.cast("bigint"))
-    j = j.withColumn("_keep", F.greatest(F.lit(0), F.least(F.col("_n"), F.col("_use") - F.col("_start"))))
-    j = j.where(F.col("_keep") > 0).select("_ord", "batch", "_start", "_keep")
-    docs = df.select(F.col(order_col).alias("_ord"), tokens(text_col).alias("_tk"))
-    j = j.join(docs, "_ord")
-    first = F.floor(F.col("_start") / b).cast("bigint")
-    last = F.floor((F.col("_start") + F.col("_keep") - 1) / b).cast("bigint")
-    j = j.withColumn("block_id", F.explode(F.sequence(first, last)))
+    base = df.select(scope.alias("_scope"), F.col(order_col).alias("_ord"), F.col(text_col).alias("_text"))
+    narrow = base.select("_scope", "_ord", F.size(tokens("_text")).alias("_n")).where(F.col("_n") > 0)
+    start = ordered_prefix(narrow, ["_ord"], "_n", out="_start", partition_cols=["_scope"], inclusive=False, materialize=True)
+    start = start.select(F.col("_scope").alias("_s2"), F.col("_ord").alias("_o2"), "_start", "_n")
+    j = base.join(start, base["_scope"].eqNullSafe(start["_s2"]) & (base["_ord"] == start["_o2"])) \
+        .select("_scope", "_start", "_n", tokens("_text").alias("_tk"))
+    j = j.withColumn("block_id", F.explode(F.sequence(F.floor(F.col("_start") / b).cast("bigint"),
+                                                      F.floor((F.col("_start") + F.col("_n") - 1) / b).cast("bigint"))))
     lo = F.greatest(F.col("block_id") * b - F.col("_start"), F.lit(0))
-    hi = F.least((F.col("block_id") + 1) * b - F.col("_start"), F.col("_keep"))
+    hi = F.least((F.col("block_id") + 1) * b - F.col("_start"), F.col("_n"))
     piece = F.slice("_tk", (lo + 1).cast("int"), (hi - lo).cast("int"))
-    pieces = j.select("batch", "block_id", F.struct(F.col("_start").alias("s"), piece.alias("p")).alias("pc"))
-    blocks = pieces.groupBy("batch", "block_id").agg(F.sort_array(F.collect_list("pc")).alias("_pcs"))
-    return blocks.select("batch", "block_id", F.flatten(F.col("_pcs.p")).alias("block_tokens")) \
+    pieces = j.select("_scope", "block_id", F.struct(F.col("_start").alias("s"), piece.alias("p")).alias("pc"))
+    blocks = pieces.groupBy("_scope", "block_id").agg(F.sort_array(F.collect_list("pc")).alias("_pcs"))
+    out = blocks.select("_scope", "block_id", F.flatten(F.col("_pcs.p")).alias("block_tokens")) \
         .withColumn("n_tokens", F.size("block_tokens"))
+    return out.drop("_scope") if scope_col is None else out.withColumnRenamed("_scope", scope_col)
 
 
 def align_labels(words_df: DataFrame, doc_col: str, pos_col: str, word_col: str, tag_col: str,
                  max_length: int = 512, ignore: int = -100) -> DataFrame:
     """K-07: sub-word label alignment.  Each word is split into pieces by the
     tokenizer; its first piece carries the word's tag, the other pieces get
-    ``ignore``; [CLS]/[SEP] positions get ``ignore``; sequences are truncated
-    to ``max_length`` including the two special positions."""
+    ``ignore``; [CLS]/[SEP] positions get ``ignore``.  A document longer than
+    ``max_length`` (with the two special positions) goes on in further
+    sequences, numbered by ``part``: every word keeps its label."""
     pieces = tokens(word_col)
     lab = F.transform(pieces, lambda _p, i: F.when(i == 0, F.col(tag_col)).otherwise(F.lit(ignore)))
     per_word = words_df.select(doc_col, F.struct(F.col(pos_col).alias("pos"), lab.alias("l")).alias("w"))
     g = per_word.groupBy(doc_col).agg(F.sort_array(F.collect_list("w")).alias("_ws"))
-    body = F.slice(F.flatten(F.col("_ws.l")), 1, max_length - 2)
-    labels = F.concat(F.array(F.lit(ignore)), body, F.array(F.lit(ignore)))
-    return g.select(doc_col, labels.alias("labels"))
+    g = g.select(doc_col, F.flatten(F.col("_ws.l")).alias("_l")).where(F.size("_l") > 0)
+    size = max_length - 2
+    parts = F.transform(F.sequence(F.lit(1), F.size("_l"), F.lit(size)), lambda s: F.slice("_l", s, size))
+    g = g.select(doc_col, F.posexplode(parts).alias("part", "_b"))
+    return g.select(doc_col, "part", F.concat(F.array(F.lit(ignore)), "_b", F.array(F.lit(ignore))).alias("labels"))
 
 
 def row_label_mode(df: DataFrame, key_col: str, labels_col: str, ignore: int = -100,
@@ -180,6 +169,7 @@ def html_to_text(c, banner: list[str] | None = None) -> Column:
     paragraphs line breaks; other tags removed; entities decoded; blank
     space normalised; a banner literal removed."""
     x = F.col(c) if isinstance(c, str) else c
+    x = _re(x, r"(?is)<head\b[^>]*>.*?</head>", "")
     x = _re(x, r"(?is)<script\b[^>]*>.*?</script>", "")
     x = _re(x, r"(?is)<style\b[^>]*>.*?</style>", "")
     x = _re(x, r"(?s)<!--.*?-->", "")
@@ -189,6 +179,9 @@ def html_to_text(c, banner: list[str] | None = None) -> Column:
     x = _re(x, r'(?is)<a\b[^>]*href="([^"]*)"[^>]*>(.*?)</a>', "[$2]($1)")
     x = _re(x, r"(?i)<br\s*/?>", "\n")
     x = _re(x, r"(?i)</?p\b[^>]*>", "\n\n")
+    # block tags part the words of their neighbours
+    x = _re(x, r"(?i)</?(?:div|section|article|header|footer|nav|main|aside|table|tr|ul|ol|form|body)\b[^>]*>", "\n")
+    x = _re(x, r"(?i)</?(?:td|th)\b[^>]*>", " ")
     x = _re(x, r"<[^>]+>", "")
     for ent, ch in HTML_ENTITIES:
         x = F.replace(x, F.lit(ent), F.lit(ch))

@@ -11,6 +11,8 @@ from __future__ import annotations
 import math
 
 import pandas as pd
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,18 +35,14 @@ def keyword_flags(df: DataFrame, text_col: str, terms: list[str],
     lower-cased text; each merge target is the OR of its present sources,
     which are then dropped.  Returns (frame, flag columns)."""
     low = F.lower(F.col(text_col))
-    flags = {f"contains_{t}": contains_term(low, t) for t in terms}
-    drop: set[str] = set()
-    for target, sources in (merges or {}).items():
-        present = [s for s in sources if s in flags]
-        if present:
-            expr = flags[present[0]]
-            for s in present[1:]:
-                expr = expr | flags[s]
-            flags[target] = expr
-            drop.update(present)
-    cols = [c for c in flags if c not in drop]
-    return df.withColumns({c: flags[c] for c in cols}), cols
+    # target -> its terms; a term that no target takes stands for itself
+    named = {f"contains_{t}": t for t in terms}
+    grouped = {target: [s for s in sources if s in named] for target, sources in (merges or {}).items()}
+    grouped = {target: sources for target, sources in grouped.items() if sources}
+    merged = {s for sources in grouped.values() for s in sources}
+    wanted = {name: [name] for name in named if name not in merged} | grouped
+    flags = {out: reduce(lambda a, b: a | b, [contains_term(low, named[s]) for s in sources]) for out, sources in wanted.items()}
+    return df.withColumns(flags), list(flags)
 
 
 def yearly_rates(df: DataFrame, group_cols: list[str], flag_cols: list[str]) -> DataFrame:

@@ -53,19 +53,28 @@ def ttr_prefix(df: DataFrame, corpus_col: str = "corpus", text_col: str = "text"
                             inclusive=False, materialize=True).where(F.col("_start") < sample_tokens)
     docs = df.select(F.col(corpus_col).alias("corpus"), F.col(order_col).alias("_ord"),
                      F.col(text_col).alias("_t"))
-    head = docs.join(starts.select("corpus", "_ord", "_start"), ["corpus", "_ord"], "inner")
+    starts = starts.select(F.col("corpus").alias("_c"), F.col("_ord").alias("_o"), "_start")
+    head = docs.join(starts, F.col("corpus").eqNullSafe(F.col("_c")) & (F.col("_ord") == F.col("_o")))
     toks = head.select("corpus", "_start", F.posexplode(tokens("_t")).alias("_p", "token")) \
         .where(F.col("_start") + F.col("_p") < sample_tokens)
     return toks.groupBy("corpus").agg(
         (F.count_distinct("token") / F.count("*")).alias("ttr"))
 
 
+def with_ttr(totals: DataFrame) -> DataFrame:
+    """Type-token ratio of the whole corpus, from its totals."""
+    return totals.withColumn("ttr", F.col("unique_tokens") / F.col("total_tokens"))
+
+
 def vocab_stats(df: DataFrame, corpus_col: str = "corpus", text_col: str = "text",
-                order_col: str = "doc_id", sample_tokens: int = 100_000) -> DataFrame:
-    """M-10: total, unique, average frequency and TTR per corpus."""
+                order_col: str = "doc_id", sample_tokens: int | None = None) -> DataFrame:
+    """M-10: total, unique, average frequency and TTR per corpus, the ratio
+    over the whole corpus or, on request, over its first ``sample_tokens``."""
     tot = corpus_totals(token_table(df, corpus_col, text_col))
-    ttr = ttr_prefix(df, corpus_col, text_col, order_col, sample_tokens)
-    return tot.join(ttr, "corpus", "left").withColumn("ttr", F.coalesce("ttr", F.lit(0.0)))
+    if sample_tokens is None:
+        return with_ttr(tot)
+    ttr = ttr_prefix(df, corpus_col, text_col, order_col, sample_tokens).withColumnRenamed("corpus", "_c")
+    return tot.join(ttr, F.col("corpus").eqNullSafe(F.col("_c")), "left").drop("_c").withColumn("ttr", F.coalesce("ttr", F.lit(0.0)))
 
 
 def js_distance(tt: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -256,12 +256,7 @@ TT = f"""tt AS (SELECT corpus, token, count(*) AS cnt FROM (
   SELECT corpus, unnest({toks('text')}) AS token FROM corpora) GROUP BY corpus, token)"""
 TOT = """tot AS (SELECT corpus, CAST(sum(cnt) AS BIGINT) AS total_tokens, count(*) AS unique_tokens,
   CAST(sum(cnt) AS DOUBLE) / count(*) AS avg_freq FROM tt GROUP BY corpus)"""
-TTR = f"""sz AS (SELECT corpus, doc_id, {toks('text')} AS tk FROM corpora WHERE len({toks('text')}) > 0),
-off AS (SELECT corpus, tk, coalesce(sum(len(tk)) OVER (PARTITION BY corpus ORDER BY doc_id
-        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM sz),
-pos AS (SELECT corpus, start, unnest(tk) AS token, unnest(range(len(tk))) AS p FROM off WHERE start < 100000),
-ttr AS (SELECT corpus, CAST(count(DISTINCT token) AS DOUBLE) / count(*) AS ttr FROM pos
-        WHERE start + p < 100000 GROUP BY corpus)"""
+TTR = "ttr AS (SELECT corpus, CAST(unique_tokens AS DOUBLE) / total_tokens AS ttr FROM tot)"
 VOCAB = f"""vocab AS (
   SELECT DISTINCT term FROM (
     SELECT {alnum('w')} AS term FROM (SELECT unnest({words('lower(text)')}) AS w FROM benchmark)) t
@@ -492,7 +487,7 @@ SELECT bin, {r9('lo + bin * w')} AS bin_start, {r9('lo + (bin + 1) * w')} AS bin
   {r9('CASE WHEN n * w = 0 THEN NULL ELSE count(*) / (n * w) END')} AS density
 FROM b GROUP BY bin, lo, w, n"""
 
-LOGITS = """lg AS (SELECT vec_id AS row_id, list_slice(embedding, 1, 10) AS logits, label FROM embeddings),
+LOGITS = """lg AS (SELECT vec_id AS row_id, [list_sum([CAST(x AS DOUBLE) for x, i in embedding if (i - 1) % 10 = k]) for k in range(10)] AS logits, label FROM embeddings),
 sm0 AS (SELECT row_id, label, list_transform(logits, lambda x: CAST(x AS DOUBLE)) AS a FROM lg),
 sm1 AS (SELECT row_id, label, list_transform(a, lambda x: exp(x - list_max(a))) AS e FROM sm0),
 sm AS (SELECT row_id, label, list_transform(e, lambda x: x / list_sum(e)) AS pr FROM sm1)"""
@@ -515,8 +510,7 @@ SELECT {r9('CAST(sum(tp) AS DOUBLE) / sum(support)')} AS accuracy,
 
 ORACLE["roc_points"] = f"""WITH {LOGITS},
 ex AS (SELECT label AS y, unnest(pr) AS score, unnest(range(len(pr))) AS cls FROM sm),
-agg AS (SELECT cls, round(score, 9) AS score, count_if(y = cls) AS pos, count_if(y <> cls) AS neg
-  FROM ex GROUP BY cls, round(score, 9)),
+agg AS (SELECT cls, score, count_if(y = cls) AS pos, count_if(y <> cls) AS neg FROM ex GROUP BY cls, score),
 tot AS (SELECT cls, sum(pos) AS P, sum(neg) AS N FROM agg GROUP BY cls),
 cum AS (SELECT cls, score,
   sum(pos) OVER (PARTITION BY cls ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cp,
@@ -624,7 +618,8 @@ def _news() -> str:
     return f"""WITH {VOTES},
 art AS (SELECT v.*, split_part(d.text, {NL}, 1) AS title,
     NULLIF(regexp_extract(d.text, '(?s)^[^\\n]*\\n(.*)$', 1), '') AS description
-  FROM votes v JOIN documents d ON d.doc_id = v.user_id * 5 + v.week),
+  , d.doc_id AS article_id FROM votes v JOIN documents d
+    ON d.doc_id % (SELECT max(user_id * 5 + week) + 1 FROM votes) = v.user_id * 5 + v.week),
 t AS (SELECT *, CAST(bearish + bullish + liked + disliked + important + lol AS INTEGER) AS total_votes,
   bearish + bullish AS m, liked + disliked AS e, important + lol AS c FROM art),
 pos AS (SELECT * FROM t WHERE total_votes > 0),
@@ -635,42 +630,36 @@ f2 AS (SELECT * FROM f1 WHERE coalesce(length({strip('description')}) >= 1, fals
 p AS (SELECT *, {pct} FROM f2),
 q AS (SELECT {q} FROM p),
 l AS (SELECT p.*, {lab} FROM p, q)
-SELECT user_id, week, {strip(f"{strip('title')} || {NL} || {NL} || {strip('description')}")} AS text,
+SELECT article_id, user_id, week, {strip(f"{strip('title')} || {NL} || {NL} || {strip('description')}")} AS text,
   {ids}, total_votes, bearish, bullish, liked, disliked, important, lol FROM l"""
 
 
 ORACLE["news_labelled"] = _news()
 
-ORACLE["fixed_windows"] = f"""WITH t AS (SELECT doc_id, text, {toks('text')} AS tk FROM documents),
-ch AS (SELECT doc_id, CASE WHEN len(tk) > 512
-    THEN list_transform(range(1, len(tk) + 1, 512), lambda s: array_to_string(list_slice(tk, s, s + 511), ' '))
-    ELSE [text] END AS chunks FROM t),
-ex AS (SELECT doc_id, unnest(chunks) AS chunk_text, unnest(range(len(chunks))) AS chunk_id FROM ch)
-SELECT doc_id, CAST(chunk_id AS INTEGER) AS chunk_id, chunk_text,
-  CAST(len({toks('chunk_text')}) AS INTEGER) AS n_tokens
-FROM ex WHERE length({strip('chunk_text')}) > 0"""
-
-ORACLE["overlap_windows"] = f"""WITH t AS (SELECT doc_id, lang, text, {toks('text')} AS tk FROM documents),
-ch AS (SELECT doc_id, lang, CASE WHEN len(tk) > 510
-    THEN list_transform(range(0, (CAST(ceil((len(tk) - 510) / 460) AS BIGINT)) * 460 + 1, 460),
-                        lambda s: array_to_string(list_slice(tk, s + 1, s + 510), ' '))
-    ELSE [text] END AS chunks FROM t)
+def spans(x: str) -> str:
+    return f"regexp_extract_all({x}, '(?:{TOKRE})[{WSRE}]*')"
+
+
+ORACLE["fixed_windows"] = f"""WITH t AS (SELECT doc_id, {spans('text')} AS sp FROM documents),
+ch AS (SELECT doc_id, unnest(range(0, len(sp), 512)) AS s, sp FROM t WHERE len(sp) > 0)
+SELECT doc_id, CAST(s // 512 AS INTEGER) AS chunk_id, {strip("array_to_string(list_slice(sp, s + 1, s + 512), '')")} AS chunk_text,
+  CAST(least(512, len(sp) - s) AS INTEGER) AS n_tokens FROM ch"""
+
+ORACLE["overlap_windows"] = f"""WITH t AS (SELECT doc_id, lang, text, {spans('text')} AS sp FROM documents),
+k AS (SELECT *, CASE WHEN len(sp) > 0 THEN greatest(CAST(ceil((len(sp) - 510) / 460) AS BIGINT), 0) + 1 END AS k FROM t),
+ch AS (SELECT doc_id, lang, CASE WHEN k IS NOT NULL THEN list_transform(range(0, k),
+    lambda w: {strip("array_to_string(list_slice(sp, w * 460 + 1, w * 460 + 510), '')")}) ELSE [{strip('text')}] END AS chunks FROM k)
 SELECT doc_id, lang, CAST(unnest(range(len(chunks))) AS INTEGER) AS chunk_id, unnest(chunks) AS chunk_text FROM ch"""
 
-ORACLE["pack_blocks"] = f"""WITH t AS (SELECT doc_id, coalesce({toks('text')}, []) AS tk FROM documents),
-p AS (SELECT doc_id, tk, len(tk) AS n, (row_number() OVER (ORDER BY doc_id) - 1) // 1000 AS batch FROM t),
-o AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY batch ORDER BY doc_id
-        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
-      sum(n) OVER (PARTITION BY batch) AS tot FROM p),
-u AS (SELECT *, CASE WHEN tot >= 512 THEN floor(tot / 512) * 512 ELSE tot END AS usable FROM o),
-ex AS (SELECT batch, start, usable, unnest(tk) AS token, unnest(range(len(tk))) AS i FROM u),
-k AS (SELECT batch, CAST((start + i) // 512 AS BIGINT) AS block_id, start + i AS off, token FROM ex
-      WHERE start + i < usable)
-SELECT CAST(batch AS BIGINT) AS batch, block_id, CAST(count(*) AS INTEGER) AS n_tokens,
-  string_agg(token, ' ' ORDER BY off) AS block_text FROM k GROUP BY batch, block_id"""
-
-ORACLE["pad_truncate"] = f"""WITH t AS (SELECT doc_id, list_slice(coalesce({toks('text')}, []), 1, 64) AS kept FROM documents)
-SELECT doc_id, array_to_string(list_concat(kept, list_transform(range(64 - len(kept)), lambda x: '[PAD]')), ' ')
+ORACLE["pack_blocks"] = f"""WITH t AS (SELECT doc_id, lang, coalesce({toks('text')}, []) AS tk FROM documents),
+o AS (SELECT *, coalesce(sum(len(tk)) OVER (PARTITION BY lang ORDER BY doc_id
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM t),
+ex AS (SELECT lang, start, unnest(tk) AS token, unnest(range(len(tk))) AS i FROM o)
+SELECT lang, CAST((start + i) // 512 AS BIGINT) AS block_id, CAST(count(*) AS INTEGER) AS n_tokens,
+  string_agg(token, ' ' ORDER BY start + i) AS block_text FROM ex GROUP BY lang, (start + i) // 512"""
+
+ORACLE["pad_truncate"] = f"""WITH t AS (SELECT doc_id, list_slice(coalesce({toks('text')}, []), 1, 512) AS kept FROM documents)
+SELECT doc_id, array_to_string(list_concat(kept, list_transform(range(512 - len(kept)), lambda x: '[PAD]')), ' ')
   AS input_text, CAST(len(kept) AS INTEGER) AS n_real FROM t"""
 
 WORD_TAGS = f"""wd AS (SELECT doc_id AS doc, unnest(ws) AS w, unnest(range(len(ws))) AS pos FROM (
@@ -682,8 +671,10 @@ t0 AS (SELECT doc, pos, w, CASE WHEN ln >= 7 THEN 1 WHEN ln >= 5 AND lastbreak >
 ORACLE["label_alignment"] = f"""WITH {WORD_TAGS},
 pc AS (SELECT doc, pos, g, unnest({toks('w')}) AS piece, unnest(range(len({toks('w')}))) AS pi FROM t0),
 lab AS (SELECT doc, list(CASE WHEN pi = 0 THEN g ELSE -100 END ORDER BY pos, pi) AS l FROM pc GROUP BY doc),
-fin AS (SELECT doc AS doc_id, list_concat(list_concat([-100], list_slice(l, 1, 510)), [-100]) AS labels FROM lab)
-SELECT doc_id, CAST(len(labels) AS INTEGER) AS n_labels,
+cut AS (SELECT doc, l, unnest(range(0, len(l), 510)) AS s FROM lab),
+fin AS (SELECT doc AS doc_id, CAST(s // 510 AS INTEGER) AS part,
+  list_concat(list_concat([-100], list_slice(l, s + 1, s + 510)), [-100]) AS labels FROM cut)
+SELECT doc_id, part, CAST(len(labels) AS INTEGER) AS n_labels,
   CAST(len(list_filter(labels, lambda x: x <> -100)) AS INTEGER) AS n_labelled,
   array_to_string(labels, ' ') AS labels_text FROM fin"""
 
@@ -698,6 +689,7 @@ def _html(x: str) -> str:
     def rr(e, pat, rep):
         return f"regexp_replace({e}, '{pat}', {rep}, 'g')"
     e = x
+    e = rr(e, r"(?is)<head\b[^>]*>.*?</head>", "''")
     e = rr(e, r"(?is)<script\b[^>]*>.*?</script>", "''")
     e = rr(e, r"(?is)<style\b[^>]*>.*?</style>", "''")
     e = rr(e, r"(?s)<!--.*?-->", "''")
@@ -707,6 +699,8 @@ def _html(x: str) -> str:
     e = rr(e, r'(?is)<a\b[^>]*href="([^"]*)"[^>]*>(.*?)</a>', r"'[\2](\1)'")
     e = rr(e, r"(?i)<br\s*/?>", NL)
     e = rr(e, r"(?i)</?p\b[^>]*>", f"{NL} || {NL}")
+    e = rr(e, r"(?i)</?(?:div|section|article|header|footer|nav|main|aside|table|tr|ul|ol|form|body)\b[^>]*>", NL)
+    e = rr(e, r"(?i)</?(?:td|th)\b[^>]*>", "' '")
     e = rr(e, r"<[^>]+>", "''")
     for ent, ch in [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"),
                     ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]:
@@ -837,3 +831,18 @@ SELECT CAST(d.doc_id AS VARCHAR) AS key, CAST(length(d.text) AS INTEGER) AS text
   coalesce(CAST(m.doc_id AS VARCHAR), '') AS doc_id, coalesce(CAST(m.quality AS VARCHAR), '') AS quality,
   coalesce(CAST(m.toxic AS VARCHAR), '') AS toxic, coalesce(CAST(m.ord AS VARCHAR), '') AS ord
 FROM documents d JOIN meta_last m ON CAST(d.doc_id AS VARCHAR) = m.key"""
+
+ORACLE["language_id"] = f"""WITH dd AS (SELECT doc_id, lang, ' ' || lower({collapse('text')}) || ' ' AS t,
+    substr(md5(CAST(doc_id AS VARCHAR)), 1, 1) < '8' AS train FROM documents),
+g AS (SELECT doc_id, lang, train, unnest([substr(t, i, 3) for i in range(1, length(t) - 1)]) AS gram FROM dd),
+cnt AS (SELECT lang, gram, count(*) AS c FROM g WHERE train AND lang IS NOT NULL GROUP BY lang, gram),
+tot AS (SELECT lang, sum(c) AS total, count(*) AS v FROM cnt GROUP BY lang),
+dt AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+hit AS (SELECT g.doc_id, cnt.lang, sum(ln((c + 1) / CAST(total + v AS DOUBLE))) AS s, count(*) AS m
+  FROM g JOIN cnt USING (gram) JOIN tot ON tot.lang = cnt.lang GROUP BY g.doc_id, cnt.lang),
+sc AS (SELECT dt.doc_id, tot.lang, coalesce(s, 0) + (n - coalesce(m, 0)) * ln(1.0 / CAST(total + v AS DOUBLE)) AS score
+  FROM dt CROSS JOIN tot LEFT JOIN hit ON hit.doc_id = dt.doc_id AND hit.lang = tot.lang),
+best AS (SELECT doc_id, lang AS language FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, lang) AS r FROM sc) WHERE r = 1)
+SELECT d.doc_id, b.language, d.lang, NOT d.train AS held_out FROM dd d LEFT JOIN best b USING (doc_id)"""
+
+ORACLE["english_only"] = f"SELECT doc_id FROM ({ORACLE['language_id']}) WHERE language = 'en'"

@@ -26,14 +26,16 @@ def clean_text(spark, sf_dir):
 
 def _articles(spark, sf_dir):
     """News articles: IN-1 votes with title = first line and description =
-    the rest of document ``user_id * 5 + week``."""
+    the rest of a document; document ids wrap around the votes' keys
+    (``user_id * 5 + week``), so every document is an article."""
     d = T(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("article_id"),
         F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"),
         F.regexp_extract("text", r"(?s)^[^\n]*\n(.*)$", 1).alias("description"))
     d = d.withColumn("description", F.when(F.col("description") == "", F.lit(None)).otherwise(F.col("description")))
-    v = votes(spark, sf_dir).withColumn("article_id", F.col("user_id") * 5 + F.col("week"))
-    return v.join(d, "article_id", "inner")
+    v = votes(spark, sf_dir).withColumn("_key", F.col("user_id") * 5 + F.col("week"))
+    keys = v.select((F.max("_key") + 1).alias("n")).scalar()
+    return v.join(d.withColumn("_key", F.col("article_id") % keys), "_key", "inner").drop("_key")
 
 
 def news_labelled(spark, sf_dir):
@@ -51,7 +53,7 @@ def news_labelled(spark, sf_dir):
     a = a.withColumn("text", title_body("title", "description"))
     a = a.withColumn("vote_counts", F.struct(*[F.col(c).cast("int").alias(c) for c in VOTE_COLUMNS]))
     ids = [f"{n}_id" for n, _a, _b in VOTE_PAIRS]
-    return a.select("user_id", "week", "text", *ids, "total_votes", "vote_counts.*")
+    return a.select("article_id", "user_id", "week", "text", *ids, "total_votes", "vote_counts.*")
 
 
 def fixed_windows(spark, sf_dir):
@@ -65,24 +67,24 @@ def overlap_windows(spark, sf_dir):
 
 
 def pack_blocks(spark, sf_dir):
-    """K-05 + W-08: 512-token blocks per 1,000-document batch in doc_id
-    order (remainders dropped per batch)."""
-    b = TP.pack_blocks(T(spark, sf_dir, "documents"), "doc_id", "text", 512, 1000)
-    return b.select("batch", "block_id", "n_tokens", F.array_join("block_tokens", " ").alias("block_text"))
+    """K-05 + W-08: 512-token blocks per language in doc_id order; the last
+    one of a language is short."""
+    b = TP.pack_blocks(T(spark, sf_dir, "documents"), "doc_id", "text", 512, "lang")
+    return b.select("lang", "block_id", "n_tokens", F.array_join("block_tokens", " ").alias("block_text"))
 
 
 def pad_truncate(spark, sf_dir):
-    """K-06: tokens truncated/padded to 64 with an attention mask."""
-    r = TP.pad_truncate(T(spark, sf_dir, "documents"), "doc_id", "text", 64)
+    """K-06: tokens truncated/padded to 512 with an attention mask."""
+    r = TP.pad_truncate(T(spark, sf_dir, "documents"), "doc_id", "text", 512)
     return r.select("doc_id", F.array_join("input_tokens", " ").alias("input_text"),
                     F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("n_real"))
 
 
 def label_alignment(spark, sf_dir):
-    """K-07: first-piece label alignment of IN-7 word tags, 512 max."""
+    """K-07: first-piece label alignment of IN-7 word tags in sequences of 512."""
     w = derived.word_tag_rows(T(spark, sf_dir, "documents"))
     r = TP.align_labels(w, "doc_id", "pos", "word", "tag_id", 512)
-    return r.select("doc_id", F.size("labels").alias("n_labels"),
+    return r.select("doc_id", "part", F.size("labels").alias("n_labels"),
                     F.size(F.filter("labels", lambda x: x != -100)).alias("n_labelled"),
                     F.array_join(F.col("labels").cast("array<string>"), " ").alias("labels_text"))
 
@@ -101,14 +103,16 @@ def html_to_text(spark, sf_dir):
 
 def language_id(spark, sf_dir):
     """K-10 + X-11: character-trigram language model trained on the
-    labelled documents, applied to every document."""
+    labelled documents of one half (by a hash of the id), applied to every
+    document; ``held_out`` marks those it has not seen."""
     d = T(spark, sf_dir, "documents")
+    train = F.substring(F.md5(F.col("doc_id").cast("string").cast("binary")), 1, 1) < "8"
     # fitting the model is one aggregate over (lang, gram); the small profile
     # is checkpointed to the shared checkpoint folder, so scoring (and the
     # scalar subquery inside it) read it instead of re-running training
-    prof = cut_lineage(train_profiles(d.where(F.col("lang").isNotNull()), "text", "lang", 3, 400))
+    prof = cut_lineage(train_profiles(d.where(F.col("lang").isNotNull() & train), "text", "lang", 3))
     pred = identify(d, prof, "doc_id", "text", 3, "language")
-    return pred.join(d.select("doc_id", "lang"), "doc_id")
+    return pred.join(d.select("doc_id", "lang", (~train).alias("held_out")), "doc_id")
 
 
 def english_only(spark, sf_dir):

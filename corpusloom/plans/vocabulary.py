@@ -65,9 +65,9 @@ def corpus_size(spark, sf_dir):
 
 
 def vocab_stats(spark, sf_dir):
-    """M-10 + A-14 + A-15: totals, distinct tokens, average frequency, TTR of
-    the first 100,000 tokens per corpus."""
-    r = V.vocab_stats(_corpora(spark, sf_dir), "corpus", "text", "doc_id", 100_000)
+    """M-10 + A-14 + A-15: totals, distinct tokens, average frequency, TTR
+    per corpus."""
+    r = V.vocab_stats(_corpora(spark, sf_dir), "corpus", "text")
     return round_cols(r, ["avg_freq", "ttr"])
 
 
@@ -109,7 +109,7 @@ def corpus_keyword_profile(spark, sf_dir):
     c = _corpora(spark, sf_dir)
     kd = V.keyword_density(c, _vocab(spark, sf_dir)).select(
         "corpus", "n_docs", "total_words", "density_per_1k", "coverage", "doc_coverage")
-    vs = V.vocab_stats(c, "corpus", "text", "doc_id", 100_000)
+    vs = V.vocab_stats(c, "corpus", "text")
     r = kd.join(vs, "corpus", "inner")
     return round_cols(r, ["density_per_1k", "coverage", "doc_coverage", "avg_freq", "ttr"])
 
@@ -120,7 +120,7 @@ def corpus_summary(spark, sf_dir):
     the baseline itself), rounded half-even to 3 digits."""
     c = _corpora(spark, sf_dir)
     tt = _token_table(spark, sf_dir)
-    vs = V.corpus_totals(tt).join(V.ttr_prefix(c), "corpus", "left")
+    vs = V.with_ttr(V.corpus_totals(tt))
     kd = V.keyword_density(c, _vocab(spark, sf_dir)).select("corpus", "density_per_1k", "doc_coverage")
     bp = _baseline_pairs(tt)
     js = V.js_distance(tt, bp.select(F.col("domain").alias("corpus_a"), F.col("baseline").alias("corpus_b")))
@@ -140,7 +140,7 @@ def corpus_class_means(spark, sf_dir):
     baseline, and their ratio."""
     c = _corpora(spark, sf_dir)
     tt = _token_table(spark, sf_dir)
-    st = V.corpus_totals(tt).join(V.ttr_prefix(c), "corpus", "left") \
+    st = V.with_ttr(V.corpus_totals(tt)) \
         .join(V.keyword_density(c, _vocab(spark, sf_dir)).select("corpus", "density_per_1k"), "corpus")
     cls = F.when(F.col("corpus") == BASELINE, F.lit("general")).otherwise(F.lit("domain"))
     g = st.groupBy(cls.alias("corpus_class")).agg(F.avg("ttr").alias("mean_ttr"),

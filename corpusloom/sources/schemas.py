@@ -85,3 +85,7 @@ PAPER_METADATA = T.StructType([
     T.StructField("references", T.ArrayType(T.StructType([
         T.StructField("paperId", T.StringType()), T.StructField("title", T.StringType())]))),
 ])
+
+# --- fixed values: record fields normalised when null ------------------------
+LIST_FIELDS = ["publicationTypes", "references", "fieldsOfStudy", "s2FieldsOfStudy", "authors"]
+NULL_STRUCT_FIELDS = ["publicationVenue", "openAccessPdf"]

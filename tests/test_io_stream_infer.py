@@ -137,22 +137,3 @@ def test_json_directory_standardised(spark):
         parts.append(standardise_columns(raw))
     rows = sorted(tuple(r) for r in union_all(parts).collect())
     assert rows == [("2021-01-01", "ann", "hi"), ("2021-01-02", "bob", "yo"), ("2022-05-05", None, "hello there")]
-
-
-def test_subword_tokenizer_hook(spark):
-    """K-01 opt-in: a tokenizers JSON file loaded once per task counts
-    tokens per row (with and without special tokens)."""
-    from tokenizers import Tokenizer, models, pre_tokenizers, processors
-
-    from corpusloom.operators.tokens import subword_token_counts
-    vocab = {"[UNK]": 0, "[CLS]": 1, "[SEP]": 2, "hello": 3, "world": 4}
-    tok = Tokenizer(models.WordLevel(vocab, unk_token="[UNK]"))
-    tok.pre_tokenizer = pre_tokenizers.Whitespace()
-    tok.post_processor = processors.TemplateProcessing(single="[CLS] $A [SEP]", special_tokens=[("[CLS]", 1), ("[SEP]", 2)])
-    path = os.path.join(_tmp(), "tok.json")
-    tok.save(path)
-    df = spark.createDataFrame([(1, "hello world"), (2, "hello there big world"), (3, None)], "k int, text string")
-    with_special = {r.k: r.total_tokens for r in subword_token_counts(df, "k", "text", path).collect()}
-    plain = {r.k: r.total_tokens for r in subword_token_counts(df, "k", "text", path, add_special_tokens=False).collect()}
-    assert plain == {1: 2, 2: 4, 3: 0}
-    assert with_special == {1: 4, 2: 6, 3: 2}
