@@ -8,7 +8,7 @@ import tempfile
 import uuid
 
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -126,10 +126,14 @@ def with_shards(df: DataFrame, id_col: str, size: Column, target: int, source: D
     bin_ = F.coalesce(F.floor((F.col(id_col).cast("decimal(20,0)") - lo) / width).cast("int"), F.lit(-1))
     binned = df.withColumn("_bin", bin_)
     hist = source.withColumn("_bin", bin_).groupBy("_bin").agg(F.sum(size).cast("long").alias("_n"))
-    # one row per bin: at most ID_BINS + 1 rows in this window and broadcast
-    from pyspark.sql import Window
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    shards = hist.select("_bin", F.floor(before / F.lit(target)).cast("long").alias("_shard"))
+    # at most ID_BINS + 1 bins: offsets of groups of 256, then of the bins in each
+    group = F.floor(F.col("_bin") / 256)
+    head = Window.orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
+    heads = hist.groupBy(group.alias("_group")).agg(F.sum("_n").alias("_t")).select(
+        "_group", F.coalesce(F.sum("_t").over(head), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("_group").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    shards = hist.withColumn("_group", group).withColumn("_in", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(
+        F.broadcast(heads), "_group").select("_bin", F.floor((F.col("_before") + F.col("_in")) / F.lit(target)).cast("long").alias("_shard"))
     return binned.join(F.broadcast(shards), "_bin").drop("_bin")
 
 

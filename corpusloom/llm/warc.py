@@ -28,7 +28,9 @@ from corpusloom.llm.common import AtomicFile, arrow_schema, filesystem, save, sh
 #: Fixed, so that equal input gives equal bytes.
 WARC_DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-RECORDS = "page_id long, url string, payload binary, payload_bytes long, refers_to long, refers_url string, digest string"
+#: Pages by digest, and per page and digest the record that a copy refers to.
+RECORDS = "page_id long, digest string, url string, payload binary"
+ROLES = "page_id long, digest string, payload_bytes long, refers_to long, refers_url string"
 MANIFEST = "shard long, seq int, path string, n_records long, n_bytes long, sha256 string"
 READ = ("page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, "
         "refers_to long, file string, offset long")
@@ -116,25 +118,32 @@ class ShardWriter:
             self.out, self.seq = None, self.seq + 1
 
 
-def write_archives(records: DataFrame, folder: str, max_bytes: int = 64 << 20,
-                   shard_bytes: int = 32 << 20, sizes: DataFrame | None = None) -> DataFrame:
-    """Write ``records`` (columns of ``RECORDS``) as WARC files below
-    ``folder``; returns the saved manifest, one row per file.  ``sizes``
-    (``page_id``, ``payload_bytes``) may give the shards' histogram a cheaper
-    source than ``records``."""
+def write_archives(records: DataFrame, roles: DataFrame, folder: str, max_bytes: int = 64 << 20,
+                   shard_bytes: int = 32 << 20) -> DataFrame:
+    """Write ``records`` (``RECORDS``) as WARC files below ``folder``, copies
+    as revisits according to ``roles`` (``ROLES``, one row per page and
+    digest); returns the saved manifest, one row per file.
+
+    Payloads are shuffled once: a role travels beside its record and sorts
+    before it."""
     schema = arrow_schema(records.sparkSession.createDataFrame([], MANIFEST).schema)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        writer = None
+        writer, role = None, None
         for batch in batches:
-            cols = [batch.column(c) for c in ("_shard", "page_id", "url", "payload", "payload_bytes", "refers_to", "refers_url", "digest")]
-            for shard, page, url, payload, n, ref, ref_url, digest in zip(*(c.to_pylist() for c in cols)):
-                if writer is None or writer.shard != shard:
+            for row in batch.to_pylist():
+                if row["role"]:
+                    role = row
+                    continue
+                if (row["page_id"], row["digest"]) != (role["page_id"], role["digest"]):
+                    raise ValueError(f"page {row['page_id']} has no role")
+                if writer is None or writer.shard != row["_shard"]:
                     if writer:
                         writer.close()
                         yield rows(writer.done)
-                    writer = ShardWriter(folder, shard, max_bytes)
-                writer.add(response_record(page, url, payload or b"", n, ref, ref_url, digest))
+                    writer = ShardWriter(folder, row["_shard"], max_bytes)
+                writer.add(response_record(row["page_id"], row["url"], row["payload"], role["payload_bytes"], role["refers_to"],
+                                           role["refers_url"], row["digest"]))
         if writer:
             writer.close()
             yield rows(writer.done)
@@ -142,9 +151,14 @@ def write_archives(records: DataFrame, folder: str, max_bytes: int = 64 << 20,
     def rows(done: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done), schema)], schema=schema)
 
-    dealt = with_shards(records, "page_id", F.col("payload_bytes") + 1024, shard_bytes, sizes)
+    none = F.lit(None)
+    sent = records.select("page_id", "digest", F.lit(False).alias("role"), "url", "payload", none.cast("long").alias("payload_bytes"),
+                          none.cast("long").alias("refers_to"), none.cast("string").alias("refers_url"))
+    sent = sent.unionAll(roles.select("page_id", "digest", F.lit(True), none.cast("string"), none.cast("binary"), "payload_bytes",
+                                      "refers_to", "refers_url"))
+    dealt = with_shards(sent, "page_id", F.col("payload_bytes") + 1024, shard_bytes, roles)
     n = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = dealt.repartition(n, "_shard").sortWithinPartitions("_shard", "page_id", "url", "digest")
+    placed = dealt.repartition(n, "_shard").sortWithinPartitions("_shard", "page_id", "digest", F.desc("role"), "url")
     return save(placed.mapInArrow(write, MANIFEST), f"{folder}/manifest")
 
 
@@ -208,28 +222,28 @@ def parse_file(path: str) -> Iterator[tuple]:
                    digest, head["warc-type"], None if ref is None else int(ref), name, here)
 
 
-def with_roles(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
-               min_bytes: int = 0) -> DataFrame:
-    """``RECORDS`` of ``pages``: of equal payloads of at
-    least ``min_bytes`` bytes the one with the smallest id keeps its payload,
-    the others name it in ``refers_to``.
-
-    Only digests are grouped.  Payloads are joined to their group's first id
-    by digest, where a large group is spread by the skew-join rule."""
+def page_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """``RECORDS`` of ``pages``; null html is an empty payload."""
     payload = F.encode(F.coalesce(F.col(f"`{html_col}`").cast("string"), F.lit("")), "UTF-8")
-    base = (pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"),
-                         F.col(f"`{url_col}`").cast("string").alias("url"), payload.alias("payload"))
-            .withColumn("payload_bytes", F.octet_length("payload").cast("long"))
-            .withColumn("sha", F.sha1("payload")))
-    first = (base.where(F.col("page_id").isNotNull() & (F.col("payload_bytes") >= min_bytes))
-             .groupBy("sha", "payload_bytes").agg(F.min("page_id").alias("first_id"),
-                                                  F.min_by("url", "page_id").alias("first_url")))
-    joined = base.join(first, ["sha", "payload_bytes"], "left")
-    own = F.col("first_id").isNull() | F.col("page_id").eqNullSafe(F.col("first_id"))
-    return joined.select("page_id", "url", F.when(own, F.col("payload")).alias("payload"), "payload_bytes",
-                         F.when(~own, F.col("first_id")).alias("refers_to"),
-                         F.when(~own, F.col("first_url")).alias("refers_url"),
-                         base32(F.col("sha")).alias("digest"))
+    base = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"),
+                        payload.alias("payload"))
+    return base.withColumn("digest", F.sha1("payload")).withColumn("digest", base32(F.col("digest")))
+
+
+def record_roles(records: DataFrame, min_bytes: int = 0) -> DataFrame:
+    """``ROLES`` of ``records``: of equal payloads of at least ``min_bytes``
+    bytes the one with the smallest id keeps its payload, the others name it
+    in ``refers_to``.  Only ids and digests are shuffled; copies meet as one
+    row per map task, and a digest of very many pages is spread by the
+    skew-join rule."""
+    narrow = (records.select("page_id", "digest", "url", F.octet_length("payload").cast("long").alias("payload_bytes"))
+              .groupBy("page_id", "digest", "payload_bytes").agg(F.min("url").alias("url")))
+    first = (narrow.where(F.col("page_id").isNotNull() & (F.col("payload_bytes") >= min_bytes)).groupBy("digest", "payload_bytes")
+             .agg(F.min("page_id").alias("first_id"), F.min_by("url", "page_id").alias("first_url")))
+    other = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
+    return narrow.join(first, ["digest", "payload_bytes"], "left").select(
+        "page_id", "digest", "payload_bytes", F.when(other, F.col("first_id")).alias("refers_to"),
+        F.when(other, F.col("first_url")).alias("refers_url"))
 
 
 def base32(sha1_hex):
@@ -255,6 +269,6 @@ def archive_pages(pages: DataFrame, folder: str | None = None, max_bytes: int =
     ``urn:page:<id>``; control characters in a url are percent-encoded.  An
     empty table gives no archives; other columns are ignored."""
     folder = folder or shared_dir(pages.sparkSession, "warc")
-    sizes = pages.select(F.col("page_id").cast("long").alias("page_id"),
-                         F.coalesce(F.octet_length(F.col("html").cast("string")), F.lit(0)).cast("long").alias("payload_bytes"))
-    return read_archives(write_archives(with_roles(pages, min_bytes=min_bytes), folder, max_bytes, sizes=sizes))
+    records = page_records(pages)
+    roles = save(record_roles(records, min_bytes), f"{folder}/roles")
+    return read_archives(write_archives(records, roles, folder, max_bytes))
