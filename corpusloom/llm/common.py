@@ -172,9 +172,14 @@ def _fingerprint(e: DataFrame) -> tuple:
     return r["n"], r["h"], r["s"]
 
 
-def column_or_null(df: DataFrame, name: str, kind: str) -> Column:
-    """Column ``name`` cast to ``kind``, or null of that type."""
-    return (F.col(f"`{name}`") if name in df.columns else F.lit(None)).cast(kind)
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with underscores added until ``df`` has no such column."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
 
 
 def arrow_schema(schema: T.StructType):

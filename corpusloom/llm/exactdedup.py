@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import save, shared_dir
+from corpusloom.llm.common import free_names, save, shared_dir
 
 MAX_DEPTH = 16
 
@@ -86,8 +86,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that ``exact_groups`` marks as dropped."""
+    id_, sha = free_names(docs, "_id", "_sha")
     lost = (exact_groups(docs, id_col, text_col).where("not kept")
-            .select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct())
-    sha = F.sha2(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), 256)
-    return docs.join(lost, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_id")) & (sha == F.col("_sha")),
-                     "left_anti")
+            .select(F.col("doc_id").alias(id_), F.col("text_sha256").alias(sha)).distinct())
+    own = F.sha2(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), 256)
+    return docs.join(lost, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(id_)) & (own == F.col(sha)), "left_anti")

@@ -17,13 +17,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusloom.llm.arrays import U64, Rolling, mix, runs
-from corpusloom.llm.common import arrow_schema
+from corpusloom.llm.common import arrow_schema, free_names
 
 MAX_GRAM = 5
 #: Expected number of labelled rows that the classifier is fitted on, at most.
-SAMPLE_ROWS = 6_000
+SAMPLE_ROWS = 4_000
 SMOOTH = 0.5
 CHUNK = 1 << 19
 PREDICTED = "doc_id long, lang_pred string, score double"
@@ -103,30 +104,32 @@ def train(docs: DataFrame, labelled: Column, text_col: str = "text", lang_col: s
                     for n in range(MAX_GRAM + 1):
                         s = start if n == 0 else _grams(start, end, n)[1]
                         h, c = np.unique(rolling(s, end if n == 0 else s + n), return_counts=True)
-                        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(h)), pa.array(np.full(len(h), n, np.int32)), pa.array(h.astype(np.int64)), pa.array(c)], names=["lang", "size", "hash", "count"])
+                        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(h), pa.string()), pa.array(np.full(len(h), n, np.int32)), pa.array(h.astype(np.int64)), pa.array(c.astype(np.int64))], names=["lang", "size", "hash", "count"])
 
     counts = (rows.mapInArrow(count, "lang string, size int, hash long, count long")
-              .groupBy("lang", "size", "hash").agg(F.sum("count").alias("count")).toPandas())
-    return Model(counts)
+              .groupBy("lang", "size", "hash").agg(F.sum("count").alias("count")))
+    langs = sorted(r["lang"] for r in rows.select("lang").distinct().collect())
+    number = F.coalesce(*[F.when(F.col("lang") == x, F.lit(k)) for k, x in enumerate(langs)], F.lit(-1)).cast("int")
+    return Model(langs, counts.select(number.alias("lang"), "size", "hash", "count").toPandas())
 
 
 class Model:
     """Log frequencies: for words (size 0) and n-grams, sorted hashes and one
     column per language."""
 
-    def __init__(self, counts):
-        self.langs = sorted(counts["lang"].unique())
-        lang = counts["lang"].map({x: k for k, x in enumerate(self.langs)}).to_numpy(np.int64)
-        size, hashes, count = (counts[c].to_numpy() for c in ("size", "hash", "count"))
+    def __init__(self, langs: list[str], counts):
+        self.langs = langs
+        lang, size, hashes, count = (counts[c].to_numpy(np.int64) for c in ("lang", "size", "hash", "count"))
+        words = np.bincount(lang[size == 0], weights=count[size == 0], minlength=len(self.langs))
         self.keys, self.logs = [], []
         for n in range(MAX_GRAM + 1):
             at = size == n
-            keys, place = np.unique(hashes[at].astype(np.int64).view(U64), return_inverse=True)
+            keys, place = np.unique(hashes[at].view(U64), return_inverse=True)
             table = np.full((len(keys), len(self.langs)), SMOOTH)
             np.add.at(table, (place, lang[at]), count[at])
+            # per word of the language, also for n-grams that a language hardly has
             self.keys.append(keys)
-            self.logs.append(np.log(table / np.maximum(table.sum(axis=0), 1)).astype(np.float32))
-        words = np.bincount(lang[size == 0], weights=count[size == 0], minlength=len(self.langs))
+            self.logs.append(np.log(table / (words + SMOOTH * max(len(keys), 1))).astype(np.float32))
         #: For texts whose words say nothing.
         self.usual = int(np.argmax(words)) if self.langs else -1
 
@@ -181,13 +184,15 @@ class Model:
         return out
 
 
-def predict(docs: DataFrame, model: Model, text_col: str = "text", extra: list[Column] | None = None,
-            extra_schema: str = "") -> DataFrame:
-    """The columns ``extra`` of ``docs`` with ``lang_pred`` and ``score`` of
-    the whole text.  Ties go to the language that sorts first."""
+def predict(docs: DataFrame, model: Model, columns: dict[str, Column], text_col: str = "text",
+            names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``columns`` of ``docs``, then the language of the whole text and its
+    score under ``names``.  Ties go to the language that sorts first."""
     held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
-    schema = f"{extra_schema}, lang_pred string, score double"
-    target = arrow_schema(docs.sparkSession.createDataFrame([], schema).schema)
+    whole, = free_names(docs, "_text")
+    picked = docs.select(F.col(f"`{text_col}`").cast("string").alias(whole), *(c.alias(n) for n, c in columns.items()))
+    schema = T.StructType([*picked.schema.fields[1:], T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
+    target = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,7 +200,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", extra: list[C
             cols = [*batch.columns[1:], pa.array(lang, pa.string()), pa.array(score, pa.float64())]
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, target)], schema=target)
 
-    return docs.select(F.col(f"`{text_col}`").cast("string").alias("_text"), *extra).mapInArrow(run, schema)
+    return picked.mapInArrow(run, schema)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -211,14 +216,12 @@ def identify(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     when no row is labelled.  A null id is not held out.  Repeated rows are
     predicted each; empty input gives no rows; other columns are ignored."""
     model = train(docs, ~held_out() & F.col("doc_id").isNotNull(), sample_rows=sample_rows)
-    return predict(docs, model, "text", [F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out")],
-                   "doc_id long, held_out boolean")
+    return predict(docs, model, {"doc_id": F.col("doc_id").cast("long"), "held_out": held_out()})
 
 
 def accept(docs: DataFrame, min_score: float = 0.5, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """``docs`` whose language is recognised with at least ``min_score``; same columns."""
     model = train(docs, ~held_out() & F.col("doc_id").isNotNull(), sample_rows=sample_rows)
-    cols = [f"`{c}`" for c in docs.columns]
-    schema = ", ".join(f"{c} {t}" for c, t in zip(cols, (t for _, t in docs.dtypes)))
-    found = predict(docs, model, "text", [F.col(c) for c in cols], schema)
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= min_score)).select(*cols)
+    names = tuple(free_names(docs, "lang_pred", "score"))
+    found = predict(docs, model, {c: F.col(f"`{c}`") for c in docs.columns}, names=names)
+    return found.where((F.col(names[0]) != "und") & (F.col(names[1]) >= min_score)).drop(*names)

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import save, shared_dir
+from corpusloom.llm.common import free_names, save, shared_dir
 from corpusloom.operators.prefix import ordered_prefix
 
 #: Slots of a cycle: target weights hold to 1 / CYCLE.
@@ -58,7 +58,7 @@ def schedule(targets: DataFrame, cycle: int = CYCLE) -> DataFrame:
         (a, t) -> transform(array({pick.format(P=cycle)}),
             p -> named_struct('done', transform(a.done, (d, i) -> d + IF(i = p, 1L, 0L)), 'order', concat(a.order, array(p))))[0],
         a -> slice(a.order, 2, {cycle}))"""
-    chosen = state.select("s", F.posexplode(F.expr(step)).alias("slot", "i")).select("slot", F.expr("s[int(i)].key").alias("key"), F.expr("s[int(i)].c").alias("c"))
+    chosen = state.select("s", F.posexplode(F.expr(step)).alias("slot", "i")).select("slot", F.expr("get(s, int(i)).key").alias("key"), F.expr("get(s, int(i)).c").alias("c")).where("key is not null")
     j = F.row_number().over(Window.partitionBy("key").orderBy("slot")) - 1
     return chosen.withColumn("j", j).select(
         "key", "c", "j", "slot", F.expr(f"j * {cycle} DIV c").alias("release"), F.expr(f"((j + 1) * {cycle} + c - 1) DIV c").alias("deadline"))
@@ -109,14 +109,15 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str =
     position, so files written from it hold the mix in file order.  Rows with
     equal id and source, whatever their other columns, share the positions of
     that id in any order."""
-    order = mix_order(docs, weights, id_col, source_col, block_rows, cycle)
+    id_, key, nth, place = free_names(docs, "_id", "_key", "_n", "_position")
+    order = mix_order(docs, weights, id_col, source_col, block_rows, cycle).withColumn("key", source_key("source"))
     again = Window.partitionBy("doc_id", "key").orderBy("position")
-    order = order.withColumn("key", source_key("source")).withColumn("_n", F.row_number().over(again)).select(
-        F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "_n", F.col("position").alias("_position"))
-    numbered = docs.withColumn("_id", F.col(f"`{id_col}`").cast("long")).withColumn("_key", source_key(source_col))
-    numbered = numbered.withColumn("_n", F.row_number().over(Window.partitionBy("_id", "_key").orderBy(F.lit(0))))
-    joined = numbered.join(order, numbered["_id"].eqNullSafe(order["_id"]) & (numbered["_key"] == order["_key"])
-                           & (numbered["_n"] == order["_n"]))
+    order = order.select(F.col("doc_id").alias(id_), F.col("key").alias(key), F.row_number().over(again).alias(nth),
+                         F.col("position").alias(place))
+    numbered = docs.withColumn(id_, F.col(f"`{id_col}`").cast("long")).withColumn(key, source_key(source_col))
+    numbered = numbered.withColumn(nth, F.row_number().over(Window.partitionBy(id_, key).orderBy(F.lit(0))))
+    joined = numbered.join(order, numbered[id_].eqNullSafe(order[id_]) & (numbered[key] == order[key])
+                           & (numbered[nth] == order[nth]))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return (joined.select(*[numbered[f"`{c}`"] for c in docs.columns], order["_position"])
-            .repartitionByRange(n, "_position").sortWithinPartitions("_position").drop("_position"))
+    return (joined.select(*[numbered[f"`{c}`"] for c in docs.columns], order[place])
+            .repartitionByRange(n, place).sortWithinPartitions(place).drop(place))
