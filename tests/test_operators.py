@@ -135,15 +135,14 @@ def test_ordered_prefix_matches_cumsum(spark, descending):
 def test_pack_blocks_conserves_tokens(spark):
     texts = [(i, " ".join(f"w{i}x{j}" for j in range(i % 7 + 1))) for i in range(40)]
     df = spark.createDataFrame(texts, "doc_id int, text string")
-    blocks = TP.pack_blocks(df, "doc_id", "text", block_size=5, batch_rows=10).collect()
-    for batch in range(4):
-        tot = sum(i % 7 + 1 for i in range(batch * 10, batch * 10 + 10))
-        got = sum(b.n_tokens for b in blocks if b.batch == batch)
-        assert got == (tot // 5) * 5
-        assert all(b.n_tokens == 5 for b in blocks if b.batch == batch)
-    flat = [t for b in sorted(blocks, key=lambda b: (b.batch, b.block_id)) for t in b.block_tokens]
-    order = [t for i, s in texts for t in s.split()]
-    assert flat == [t for t in order if t in set(flat)]
+    df = df.withColumn("scope", F.when(F.col("doc_id") < 30, F.col("doc_id") % 2))  # NULL is a scope too
+    for scope in (None, "scope"):
+        blocks = TP.pack_blocks(df, "doc_id", "text", block_size=5, scope_col=scope).collect()
+        for part in ([None] if scope is None else [0, 1, None]):
+            own = [s for i, s in texts if scope is None or (i % 2 if i < 30 else None) == part]
+            mine = sorted((b for b in blocks if scope is None or b.scope == part), key=lambda b: b.block_id)
+            assert [t for b in mine for t in b.block_tokens] == [t for s in own for t in s.split()]
+            assert all(b.n_tokens == 5 for b in mine[:-1]) and 0 < mine[-1].n_tokens <= 5
 
 
 def test_threshold_sweep_matches_brute_force(spark):
