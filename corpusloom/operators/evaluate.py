@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions.arrays import (argmax, array_max_or, array_median, drop_ignored,
                                          scores_excluding, softmax)
 from corpusloom.operators.prefix import ordered_prefix
+from corpusloom.operators.quantiles import exact_quantiles
 
 
 def entity_filter(df: DataFrame, pred_col: str = "predictions", threshold: float = 0.995,
@@ -212,11 +213,11 @@ def group_describe(df: DataFrame, group_col: str, value_col: str) -> DataFrame:
     """A-13: pandas ``describe`` per group: count, mean, std (sample), min,
     quartiles (linear interpolation), max."""
     v = F.col(value_col)
-    q = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return df.groupBy(group_col).agg(
-        F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
-        F.min(v).alias("min"), q[0].alias("p25"), q[1].alias("p50"), q[2].alias("p75"),
-        F.max(v).alias("max"))
+    q = exact_quantiles(df, value_col, {"p25": 0.25, "p50": 0.5, "p75": 0.75}, [group_col]).withColumnRenamed(group_col, "_g")
+    plain = df.groupBy(group_col).agg(F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
+                                      F.min(v).alias("min"), F.max(v).alias("max"))
+    return plain.join(q, F.col(group_col).eqNullSafe(F.col("_g")), "left").select(
+        group_col, "count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 def box_stats(df: DataFrame, group_col: str, value_col: str) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions.arrays import encode_label
 from corpusloom.functions.numbers import pct_of, row_sum, smoothed_ratio
 from corpusloom.operators.prefix import ordered_prefix
+from corpusloom.operators.quantiles import exact_quantiles, named_quantiles
 from corpusloom.session import cut_lineage
 from corpusloom.sources.schemas import (CONTENT_LABELS, ENGAGEMENT_LABELS, MARKET_LABELS,
                                         VOTE_COLUMNS, VOTE_PAIRS)
@@ -54,17 +55,15 @@ def quantile_labels(df: DataFrame, pairs=VOTE_PAIRS, low_q: float = 0.25,
     positive label's ``low_q``/``high_q`` percentiles (linear interpolation,
     NULLs skipped) split rows into high / low / neutral.
 
-    All percentiles come from ONE aggregate attached as a scalar subquery.
+    All percentiles come from one table of distinct values, attached as a
+    scalar subquery.
     """
     out = df
     for name, neg, pos in pairs:
         tot = row_sum([neg, pos])
         out = (out.withColumn(f"{neg}_pct", pct_of(neg, tot))
                   .withColumn(f"{pos}_pct", pct_of(pos, tot)))
-    qs = F.array(F.lit(low_q), F.lit(high_q))
-    stats = out.select(F.struct(*[F.percentile(f"{pos}_pct", qs).alias(name)
-                                  for name, _neg, pos in pairs]).alias("q")).scalar()
-    out = out.withColumn("_q", stats)
+    out = out.withColumn("_q", named_quantiles(out, {name: f"{pos}_pct" for name, _neg, pos in pairs}, [low_q, high_q]))
     for name, neg, pos in pairs:
         p = F.col("_q")[name]
         out = out.withColumn(name, threshold_label(f"{pos}_pct", p[0], p[1], neg, pos))
@@ -78,14 +77,14 @@ def median_quality_filter(df: DataFrame, pairs=VOTE_PAIRS) -> DataFrame:
     least the minimum of the per-pair vote medians (medians computed after
     the positive-total filter)."""
     base = add_vote_totals(df, pairs=pairs).where(F.col("total_votes") > 0)
-    meds = base.select(F.least(*[F.median(f"pair_votes_{n}") for n, _a, _b in pairs])
-                       .alias("m")).scalar()
-    return base.where(F.col("total_votes") >= meds)
+    meds = named_quantiles(base, {n: f"pair_votes_{n}" for n, _a, _b in pairs}, [0.5])
+    least = F.array_min(F.flatten(F.map_values("_q")))
+    return base.withColumn("_q", meds).where(F.col("total_votes") >= least).drop("_q")
 
 
 def median_filter(df: DataFrame, col: str) -> DataFrame:
     """X-07: keep rows whose ``col`` is at least its median."""
-    med = df.select(F.median(col).alias("m")).scalar()
+    med = exact_quantiles(df, col, {"m": 0.5}).scalar()
     return df.where(F.col(col) >= med)
 
 

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions.numbers import clip_lower
 from corpusloom.functions.text import contains_term, valid_year, year_int, year_part
 from corpusloom.operators.prefix import ordered_prefix
+from corpusloom.operators.quantiles import exact_quantiles
 
 
 def with_year(df: DataFrame, date_col: str, mode: str = "len4_2", out: str = "year") -> DataFrame:
@@ -94,7 +95,7 @@ def yearly_median(df: DataFrame, epoch_ms_col: str, value_col: str, scale: float
     """M-07 (F-21 + A-04 + F-23): epoch milliseconds -> year, median value
     per year, divided by ``scale``."""
     y = F.year(F.timestamp_millis(F.col(epoch_ms_col).cast("bigint")))
-    return (df.groupBy(y.alias("year")).agg(F.median(value_col).alias(value_col))
+    return (exact_quantiles(df.withColumn("year", y), value_col, {"_m": 0.5}, ["year"]).withColumnRenamed("_m", value_col)
             .withColumn(value_col, F.col(value_col) / F.lit(float(scale))))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpusloom.operators.quantiles import exact_quantiles
 from corpusloom.functions.numbers import pct_of, row_sum
 from corpusloom.operators import labels as L
 from corpusloom.plans.common import round_cols, votes
@@ -85,7 +86,7 @@ def vote_pair_study(spark, sf_dir):
     m = m.withColumn("sentiment_diff", F.abs(F.col("bullish_pct") - F.col("bearish_pct")))
     out = m.groupBy("week").agg(F.sum("bullish").cast("bigint").alias("sum_bullish"),
                                 F.sum("bearish").cast("bigint").alias("sum_bearish"),
-                                F.median("votes_mkt").alias("median_votes"),
                                 F.avg("sentiment_diff").alias("avg_diff"),
                                 F.count("*").alias("n"))
-    return round_cols(out, ["median_votes", "avg_diff"])
+    med = exact_quantiles(m, "votes_mkt", {"median_votes": 0.5}, ["week"])
+    return round_cols(out.join(med, "week"), ["median_votes", "avg_diff"])

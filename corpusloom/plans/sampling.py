@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpusloom.operators.quantiles import exact_quantiles
 from corpusloom.functions.arrays import argmax
 from corpusloom.operators import evaluate as EV
 from corpusloom.operators import joins as J
@@ -80,7 +81,7 @@ def year_lookup(spark, sf_dir):
     o = T(spark, sf_dir, "orders")
     ym = lambda c: (F.year(c) * 100 + F.month(c)).alias("period")
     a = li.groupBy(ym("l_shipdate")).agg(F.count("*").alias("activity"))
-    b = o.groupBy(ym("o_orderdate")).agg(F.median("o_totalprice").alias("price"))
+    b = exact_quantiles(o.withColumn("period", ym("o_orderdate")), "o_totalprice", {"price": 0.5}, ["period"])
     r = a.join(b, "period", "left").withColumn("missing", F.col("price").isNull())
     return round_cols(r, ["price"])
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpusloom.operators.quantiles import exact_quantiles
 from corpusloom.functions.text import valid_year, year_int, year_part
 from corpusloom.operators import trends as TR
 from corpusloom.plans.common import T, round_cols
@@ -70,7 +71,7 @@ def _monthly(spark, sf_dir):
     o = T(spark, sf_dir, "orders")
     ym = lambda c: (F.year(c) * 100 + F.month(c)).alias("period")
     a = li.groupBy(ym("l_shipdate")).agg(F.count("*").alias("activity"))
-    b = o.groupBy(ym("o_orderdate")).agg(F.median("o_totalprice").alias("price"))
+    b = exact_quantiles(o.withColumn("period", ym("o_orderdate")), "o_totalprice", {"price": 0.5}, ["period"])
     return a, b
 
 
