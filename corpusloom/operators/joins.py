@@ -41,10 +41,23 @@ def keep_last(df: DataFrame, key, order) -> DataFrame:
     return _pick(df, key, order, F.max)
 
 
+def text_digest(text_col: str):
+    """Stands for a text as a key of joins and groups."""
+    return F.sha2(F.col(text_col).cast("string"), 256)
+
+
 def dedup_text(df: DataFrame, text_col: str = "text", order="doc_id") -> DataFrame:
-    """W-06: keep the first row of every distinct text (exact text equality;
-    NULL texts form one group, like ``unique``)."""
-    return keep_first(df, text_col, order)
+    """W-06: keep the first row of every distinct text (NULL texts form one
+    group, like ``unique``).  Texts are told apart by their SHA-256, so only
+    digests and order columns are grouped; the winning rows are picked by a
+    semi join.  ``order`` must be unique among the rows of a text."""
+    order = _cols(order)
+    first = (df.select(text_digest(text_col).alias("_d"), *order).groupBy("_d").agg(F.min(F.struct(*order)).alias("_f"))
+             .select(F.col("_d").alias("_first"), *[F.col(f"_f.{c}").alias(f"_o{i}") for i, c in enumerate(order)]))
+    same = text_digest(text_col).eqNullSafe(F.col("_first"))
+    for i, c in enumerate(order):
+        same = same & F.col(c).eqNullSafe(F.col(f"_o{i}"))
+    return df.join(first, same, "left_semi")
 
 
 def semi_both(left: DataFrame, right: DataFrame, key) -> tuple[DataFrame, DataFrame]:

@@ -54,7 +54,7 @@ def posts_ingest(spark, sf_dir):
              for i, v in enumerate(_views(spark, sf_dir, with_order=True).values())]
     u = SH.union_all(parts).withColumn("tweet", F.when(F.col("tweet").isNotNull(), collapse_ws("tweet")))
     u = repair_encoding(u, "tweet").where(non_blank("tweet"))
-    first = J.keep_first(u, "tweet", ["src_rank", "_ord"])
+    first = J.dedup_text(u, "tweet", ["src_rank", "_ord"])
     return first.select("timestamp", "username", "tweet")
 
 

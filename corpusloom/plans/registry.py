@@ -3,22 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.plans import labeling
-
+MODULES = ("labeling", "joining", "vocabulary", "trends", "evaluation", "textprep", "sampling", "ingest", "inference")
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 
 def _collect() -> dict[str, QueryFn]:
-    mods = [labeling]
-    for name in ("joining", "vocabulary", "trends", "evaluation", "textprep", "sampling", "ingest", "inference"):
-        try:
-            mods.append(__import__(f"corpusloom.plans.{name}", fromlist=[name]))
-        except ModuleNotFoundError as e:  # module not written yet
-            if e.name != f"corpusloom.plans.{name}":
-                raise
+    mods = [import_module(f"corpusloom.plans.{name}") for name in MODULES]
     out: dict[str, QueryFn] = {}
     for m in mods:
         for key in getattr(m, "__all__", None) or [k for k in dir(m) if not k.startswith("_")]:

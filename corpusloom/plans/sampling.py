@@ -69,9 +69,9 @@ def distinct_keys(spark, sf_dir):
 def text_join(spark, sf_dir):
     """J-04: every document joined on exact text with the first document of
     that text (canonical id)."""
-    d = T(spark, sf_dir, "documents").select("doc_id", "text")
-    first = J.dedup_text(d, "text", "doc_id").select(F.col("doc_id").alias("first_doc_id"), "text")
-    return d.join(first, "text").select("doc_id", "first_doc_id")
+    d = T(spark, sf_dir, "documents").select("doc_id", J.text_digest("text").alias("digest"))
+    first = d.groupBy("digest").agg(F.min("doc_id").alias("first_doc_id"))
+    return d.join(first, "digest").select("doc_id", "first_doc_id")
 
 
 def year_lookup(spark, sf_dir):

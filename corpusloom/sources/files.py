@@ -27,37 +27,41 @@ def header_probe(spark: SparkSession, path: str) -> list[str]:
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None, glob: str = "*.csv",
-             recursive: bool = True) -> tuple[DataFrame, DataFrame]:
-    """S-01 + S-02 + S-04 + S-05: header CSV (quoted multi-line fields)
-    over a directory tree; PERMISSIVE mode keeps malformed rows, which go to
-    the quarantine frame with their file path.  Returns (good, quarantine).
+             recursive: bool = True, multi_line: bool = False) -> tuple[DataFrame, DataFrame]:
+    """S-01 + S-02 + S-04 + S-05: header CSV over a directory tree;
+    PERMISSIVE mode keeps malformed rows, which go to the quarantine frame
+    with their file path, also when the schema is inferred.  ``multi_line``
+    reads quoted fields that span lines, at the price of one task per file.
+    Returns (good, quarantine).
     Column pruning is a ``select`` on the result (pushed into the scan)."""
-    r = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+    r = (spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
          .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
          .option("recursiveFileLookup", recursive).option("pathGlobFilter", glob))
-    if schema is not None:
-        r = r.schema(_with_corrupt(schema))
-    else:
-        r = r.option("inferSchema", True)
-    df = r.csv(path).withColumn("_source_file", F.col("_metadata.file_path"))
-    if CORRUPT not in df.columns:
-        return df, df.limit(0).select("_source_file", F.lit(None).cast("string").alias(CORRUPT))
-    return _split(df)
+    if schema is None:
+        inferred = (spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
+                    .option("recursiveFileLookup", recursive).option("pathGlobFilter", glob).option("inferSchema", True))
+        schema = inferred.csv(path).schema
+    df = r.schema(_with_corrupt(schema)).csv(path).withColumn("_source_file", F.col("_metadata.file_path"))
+    return _split(df, whole=True)
 
 
-def _guard(df: DataFrame):
+def _guard(df: DataFrame, whole: bool = False):
     """Spark refuses raw-file queries whose scan would read only the
     corrupt-record column (e.g. a ``count`` after filtering on it).
     ``length(coalesce(x, 'x')) >= 0`` is always true but the optimizer
-    does not fold it away, so the scan keeps one parsed column.  Returns
-    (first parsed column, guard)."""
-    first = [c for c in df.columns if c not in (CORRUPT, "_source_file")][0]
-    return first, F.length(F.coalesce(F.col(first).cast("string"), F.lit("x"))) >= 0
+    does not fold it away, so the scan keeps one parsed column; with
+    ``whole`` all of them, as a CSV scan of fewer columns does not notice
+    that a row has too many or too few.  Returns (first parsed column,
+    guard)."""
+    parsed = [c for c in df.columns if c not in (CORRUPT, "_source_file")]
+    if not whole:
+        return parsed[0], F.length(F.coalesce(F.col(parsed[0]).cast("string"), F.lit("x"))) >= 0
+    return parsed[0], F.length(F.concat_ws("", *[F.col(f"`{c}`").cast("string") for c in parsed])) >= 0
 
 
-def _split(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _split(df: DataFrame, whole: bool = False) -> tuple[DataFrame, DataFrame]:
     """(good rows without the corrupt column, quarantined rows with file)."""
-    first, keep = _guard(df)
+    first, keep = _guard(df, whole)
     good = df.where(F.col(CORRUPT).isNull() & keep).drop(CORRUPT)
     bad = df.where(F.col(CORRUPT).isNotNull() & keep).select("_source_file", CORRUPT, first)
     return good, bad

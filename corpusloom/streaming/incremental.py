@@ -21,17 +21,18 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from corpusloom.operators.textprep import html_to_text
-from corpusloom.session import ensure_checkpoint_dir
 
 PAGES = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()),
                       T.StructField("html", T.StringType())])
 
 
 def convert_pages(spark: SparkSession, input_dir: str, output_dir: str, quarantine_dir: str,
-                  checkpoint: str | None = None, fmt: str = "parquet", schema: T.StructType = PAGES,
+                  checkpoint: str, fmt: str = "parquet", schema: T.StructType = PAGES,
                   max_files_per_trigger: int = 1000, wait: bool = True) -> StreamingQuery:
-    """K-12 + R-01: convert every not-yet-converted page file to text."""
-    ckpt = checkpoint or os.path.join(ensure_checkpoint_dir(spark), "convert_pages")
+    """K-12 + R-01: convert every not-yet-converted page file to text.
+
+    ``checkpoint`` is the ledger of what has been converted: a shared folder
+    of its own per input and output, given again after a restart."""
     src = (spark.readStream.schema(schema).format(fmt)
            .option("maxFilesPerTrigger", max_files_per_trigger).load(input_dir))
     converted = src.select("page_id", "url", html_to_text("html").alias("text"))
@@ -42,7 +43,7 @@ def convert_pages(spark: SparkSession, input_dir: str, output_dir: str, quaranti
         batch.where(~ok).select("page_id", "url", F.lit("empty conversion").alias("error")) \
             .write.mode("overwrite").parquet(os.path.join(quarantine_dir, f"batch={batch_id}"))
 
-    q = (converted.writeStream.foreachBatch(write_batch).option("checkpointLocation", ckpt)
+    q = (converted.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     if wait:
         q.awaitTermination()

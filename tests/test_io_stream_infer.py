@@ -58,7 +58,7 @@ def test_csv_header_probe_and_tolerant_read(spark):
     with open(os.path.join(root, "x.csv"), "w") as f:
         f.write('created_at,User_Name,tweet\n2020-01-01,ann,"hello\nworld"\n2020-01-02,bob,plain\n')
     assert IO.header_probe(spark, root) == ["created_at", "User_Name", "tweet"]
-    good, bad = IO.read_csv(spark, root)
+    good, bad = IO.read_csv(spark, root, multi_line=True)
     rows = sorted(r.tweet for r in good.collect())
     assert rows == ["hello\nworld", "plain"]
 
@@ -137,3 +137,34 @@ def test_json_directory_standardised(spark):
         parts.append(standardise_columns(raw))
     rows = sorted(tuple(r) for r in union_all(parts).collect())
     assert rows == [("2021-01-01", "ann", "hi"), ("2021-01-02", "bob", "yo"), ("2022-05-05", None, "hello there")]
+
+
+def test_csv_without_schema_quarantines_ragged_rows(spark):
+    root = _tmp()
+    with open(os.path.join(root, "a.csv"), "w") as f:
+        f.write("a,b\n1,2\n3\n4,5,6\n7,8\n")
+    good, bad = IO.read_csv(spark, root)
+    assert sorted((r.a, r.b) for r in good.collect()) == [(1, 2), (7, 8)]
+    assert bad.count() == 2
+
+
+def test_prefix_and_split_keep_null_keys(spark):
+    from corpusloom.operators.prefix import ordered_prefix
+    from corpusloom.operators.splits import split_stratified
+    rows = [(i, None if i % 4 == 0 else "ab"[i % 2]) for i in range(100)]
+    df = spark.createDataFrame(rows, "id long, label string")
+    got = ordered_prefix(df, ["id"], None, partition_cols=["label"]).collect()
+    assert len(got) == 100 and max(r.prefix for r in got if r.label is None) == 25
+
+
+def test_exact_quantiles_equal_numpy(spark):
+    import numpy as np
+    from corpusloom.operators.quantiles import exact_quantiles
+    rng = np.random.default_rng(3)
+    rows = [(None if k % 5 == 0 else k % 3, None if k % 11 == 0 else float(v)) for k, v in enumerate(rng.integers(0, 40, 500))]
+    df = spark.createDataFrame(rows, "g int, v double")
+    probs = {"q0": 0.0, "q1": 0.25, "q2": 0.5, "q9": 0.9}
+    for r in exact_quantiles(df, "v", probs, ["g"]).collect():
+        v = [x for g, x in rows if g == r.g and x is not None]
+        assert np.allclose([r[n] for n in probs], np.quantile(v, list(probs.values())))
+    assert exact_quantiles(df.limit(0), "v", probs).first().q2 is None
