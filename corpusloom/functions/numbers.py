@@ -83,11 +83,6 @@ def confidence_band(score) -> Column:
             .otherwise(F.lit("low")))
 
 
-def epoch_ms_year(ms) -> Column:
-    """F-21: epoch milliseconds -> calendar year."""
-    return F.year(F.timestamp_millis(_c(ms).cast("bigint")))
-
-
 def rounded(c, digits: int = 9) -> Column:
     """Round a derived double so results compare stably across engines."""
     return F.round(_c(c).cast("double"), digits)

@@ -63,11 +63,6 @@ def alnum_only(c) -> Column:
     return F.regexp_replace(_c(c), F.lit(f"[^{ALNUM_CLASS}]"), F.lit(""))
 
 
-def clean_words(c) -> Column:
-    """F-04 + F-05 + F-01 per word: the keyword-matching form of a text."""
-    return F.transform(split_words(F.lower(_c(c))), lambda w: F.lower(alnum_only(w)))
-
-
 def clean_word_list(c) -> Column:
     """The non-empty words of :func:`clean_words`, computed on the whole text:
     removing every character that is neither a letter/digit nor whitespace
@@ -84,12 +79,6 @@ def contains_term(text_lower, term: str) -> Column:
     return F.contains(_c(text_lower), F.lit(term))
 
 
-def term_flags(text, terms: list[str], prefix: str = "contains_") -> list[Column]:
-    """F-06 for many terms: one boolean column per term, named prefix+term."""
-    low = F.lower(_c(text))
-    return [contains_term(low, t).alias(f"{prefix}{t}") for t in terms]
-
-
 def year_part(c) -> Column:
     """F-07: first ``-``-separated part of a date string."""
     return F.split_part(_c(c), F.lit("-"), F.lit(1))

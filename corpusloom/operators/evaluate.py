@@ -69,14 +69,16 @@ def threshold_sweep(df: DataFrame, gold_col: str, score_col: str, lo: int = 9900
                       (F.col("correct") / total).alias("accuracy"))
 
 
-def classification_report(df: DataFrame, label_col: str, pred_col: str) -> DataFrame:
+def classification_report(df: DataFrame, label_col: str, pred_col: str, group_cols: tuple[str, ...] = ()) -> DataFrame:
     """M-16: accuracy plus weighted and macro precision / recall / F1 over
-    the classes present in either column (undefined ratios count as 0)."""
-    pairs = df.groupBy(F.col(label_col).alias("y"), F.col(pred_col).alias("p")).agg(F.count("*").alias("n"))
-    by_true = pairs.groupBy(F.col("y").alias("cls")).agg(
+    the classes present in either column (undefined ratios count as 0), one
+    row per group when ``group_cols`` are given."""
+    g = list(group_cols)
+    pairs = df.groupBy(*g, F.col(label_col).alias("y"), F.col(pred_col).alias("p")).agg(F.count("*").alias("n"))
+    by_true = pairs.groupBy(*g, F.col("y").alias("cls")).agg(
         F.sum("n").alias("support"), F.sum(F.when(F.col("y") == F.col("p"), F.col("n"))).alias("tp"))
-    by_pred = pairs.groupBy(F.col("p").alias("cls")).agg(F.sum("n").alias("predicted"))
-    per = by_true.join(by_pred, "cls", "full_outer").na.fill(0, ["support", "tp", "predicted"])
+    by_pred = pairs.groupBy(*g, F.col("p").alias("cls")).agg(F.sum("n").alias("predicted"))
+    per = by_true.join(by_pred, [*g, "cls"], "full_outer").na.fill(0, ["support", "tp", "predicted"])
     prec = F.when(F.col("predicted") > 0, F.col("tp") / F.col("predicted")).otherwise(F.lit(0.0))
     rec = F.when(F.col("support") > 0, F.col("tp") / F.col("support")).otherwise(F.lit(0.0))
     per = per.withColumn("precision", prec).withColumn("recall", rec)
@@ -85,7 +87,7 @@ def classification_report(df: DataFrame, label_col: str, pred_col: str) -> DataF
         .otherwise(F.lit(0.0))
     per = per.withColumn("f1", f1)
     tot = F.sum("support")
-    return per.agg(
+    return per.groupBy(*g).agg(
         (F.sum("tp") / tot).alias("accuracy"),
         (F.sum(F.col("precision") * F.col("support")) / tot).alias("precision_weighted"),
         (F.sum(F.col("recall") * F.col("support")) / tot).alias("recall_weighted"),

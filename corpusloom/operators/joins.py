@@ -132,22 +132,8 @@ def join_reconciliation(left: DataFrame, right: DataFrame, key) -> DataFrame:
         F.count_if(rn > 1).alias("right_dup_keys"))
 
 
-def key_intersection(a: DataFrame, b: DataFrame, key) -> DataFrame:
-    """U-03: distinct keys present in both."""
-    key = _cols(key)
-    return a.select(*key).intersect(b.select(*key))
-
-
 def broadcast_if_small(df: DataFrame, max_rows: int = 2_000_000) -> DataFrame:
     """Broadcast a lookup side only after checking its size (one count on
     the small side); beyond the bound the planner's shuffle join is kept."""
     n = df.count()
     return F.broadcast(df) if n <= max_rows else df
-
-
-def in_vocabulary(words_df: DataFrame, word_col: str, vocab: DataFrame, term_col: str = "term",
-                  max_broadcast_rows: int = 2_000_000) -> DataFrame:
-    """J-12: semi-join of words to a vocabulary (broadcast when the
-    vocabulary's size is checked small)."""
-    v = vocab.select(F.col(term_col).alias(word_col)).distinct()
-    return words_df.join(broadcast_if_small(v, max_broadcast_rows), word_col, "left_semi")

@@ -69,7 +69,8 @@ def split_stratified(df: DataFrame, key_cols, label_col: str, test_fraction: flo
     q = q.withColumn("_quota", F.col("_floor") + F.when(F.row_number().over(w) <= short, 1).otherwise(0))
     h = df.withColumn("_h", seeded_hash(keys, seed))
     pos = ordered_prefix(h, ["_h", *keys], None, out="_pos", partition_cols=[label_col]).drop("_h")
-    j = pos.join(broadcast_if_small(q.select(label_col, "_quota")), label_col, "left")
+    quota = broadcast_if_small(q.select(F.col(label_col).alias("_label"), "_quota"))
+    j = pos.join(quota, F.col(label_col).eqNullSafe(F.col("_label")), "left").drop("_label")
     return j.withColumn("split", F.when(F.col("_pos") <= F.col("_quota"), F.lit("test"))
                         .otherwise(F.lit("train"))).drop("_pos", "_quota")
 
@@ -139,19 +140,3 @@ def group_folds(df: DataFrame, group_col: str, k: int = 5, seed: int = 0) -> Dat
         .where((F.col("_t") >= F.col("_start")) & (F.col("_end").isNull() | (F.col("_t") < F.col("_end"))))
     fold = F.element_at("_active", (F.pmod(F.col("_t") - F.col("_start"), F.size("_active")) + 1).cast("int"))
     return j.select(group_col, F.col("_size").alias("group_size"), fold.cast("int").alias("fold"))
-
-
-def group_folds_greedy_reference(sizes: dict, k: int, order_key) -> dict:
-    """Plain sequential greedy on a {group: size} dict, used by tests."""
-    loads = [0] * k
-    out = {}
-    for gname in sorted(sizes, key=lambda g: (-sizes[g], order_key(g))):
-        f = min(range(k), key=lambda i: (loads[i], i))
-        out[gname] = f
-        loads[f] += sizes[gname]
-    return out
-
-
-def fold_sizes(assigned: DataFrame) -> DataFrame:
-    """Rows and groups per fold."""
-    return assigned.groupBy("fold").agg(F.sum("group_size").alias("rows"), F.count("*").alias("groups"))

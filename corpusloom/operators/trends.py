@@ -17,19 +17,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.numbers import clip_lower
-from corpusloom.functions.text import contains_term, valid_year, year_int, year_part
+from corpusloom.functions.text import contains_term
 from corpusloom.operators.prefix import ordered_prefix
 from corpusloom.operators.quantiles import exact_quantiles
 
 
-def with_year(df: DataFrame, date_col: str, mode: str = "len4_2", out: str = "year") -> DataFrame:
-    """F-07 + X-08/X-09 + P-16: year from the first ``-`` part of a date
-    string, kept only when valid under ``mode`` and castable to INT."""
-    y = year_part(date_col)
-    return (df.withColumn(out, F.when(valid_year(y, mode), year_int(y)))
-            .where(F.col(out).isNotNull()))
-
-
 def keyword_flags(df: DataFrame, text_col: str, terms: list[str],
                   merges: dict[str, list[str]] | None = None) -> tuple[DataFrame, list[str]]:
     """F-06 + F-14: one boolean ``contains_<term>`` column per term on the

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpusloom.operators.shape import order_columns
 from corpusloom.operators.quantiles import exact_quantiles
 from corpusloom.functions.arrays import argmax
 from corpusloom.operators import evaluate as EV
@@ -88,18 +89,11 @@ def year_lookup(spark, sf_dir):
 
 def per_fold_report(spark, sf_dir):
     """M-25 + P-02 + P-13: classification report per fold (fold = vec_id
-    mod 5), macro columns selected by suffix, fold id added, folds unioned,
-    columns ordered base-then-metrics."""
+    mod 5) in one grouped pass, macro columns selected by suffix, columns ordered base-then-metrics."""
     lg = derived.logits(T(spark, sf_dir, "embeddings")).withColumn("fold", (F.col("row_id") % 5).cast("int"))
     lg = lg.withColumn("pred", argmax("logits"))
-    parts = []
-    for f in range(5):
-        rep = EV.classification_report(lg.where(F.col("fold") == f), "label", "pred")
-        keep = [c for c in rep.columns if c.endswith("_macro") or c == "accuracy"]
-        parts.append(rep.select(F.lit(f).alias("fold"), *keep))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    out = EV.classification_report(lg, "label", "pred", ("fold",))
+    out = out.select("fold", "accuracy", *[c for c in out.columns if c.endswith("_macro")])
     out = out.withColumnsRenamed({"accuracy": "eval_accuracy"})
     metrics = sorted(c for c in out.columns if c != "fold")
-    return round_cols(out.select("fold", *metrics), metrics)
+    return round_cols(order_columns(out, ["fold"], metrics), metrics)

@@ -20,19 +20,3 @@ def load_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """S-12: load a named table.  Column pruning and filter pushdown reach the
     Parquet scan because nothing here is eager."""
     return spark.read.parquet(table_path(sf_dir, name))
-
-
-class Catalog:
-    """Small convenience wrapper: ``Catalog(spark, dir).documents``."""
-
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark = spark
-        self.sf_dir = sf_dir
-
-    def __getattr__(self, name: str) -> DataFrame:
-        if name in TABLES:
-            return load_table(self.spark, self.sf_dir, name)
-        raise AttributeError(name)
-
-    def table(self, name: str) -> DataFrame:
-        return load_table(self.spark, self.sf_dir, name)

@@ -155,6 +155,8 @@ def test_prefix_and_split_keep_null_keys(spark):
     df = spark.createDataFrame(rows, "id long, label string")
     got = ordered_prefix(df, ["id"], None, partition_cols=["label"]).collect()
     assert len(got) == 100 and max(r.prefix for r in got if r.label is None) == 25
+    split = split_stratified(df, "id", "label", 0.2).collect()
+    assert len(split) == 100 and sum(r.split == "test" for r in split if r.label is None) == 5
 
 
 def test_exact_quantiles_equal_numpy(spark):

@@ -23,6 +23,17 @@ from corpusloom.operators.prefix import ordered_prefix
 WS_SAMPLE = ["a b", "  lead", "trail \t", "x　y z", " line ", "", "\x1c\x1dq\x85"]
 
 
+def group_folds_greedy_reference(sizes: dict, k: int, order_key) -> dict:
+    """Plain sequential greedy on a {group: size} dict, used by tests."""
+    loads = [0] * k
+    out = {}
+    for gname in sorted(sizes, key=lambda g: (-sizes[g], order_key(g))):
+        f = min(range(k), key=lambda i: (loads[i], i))
+        out[gname] = f
+        loads[f] += sizes[gname]
+    return out
+
+
 def test_whitespace_functions_match_python(spark):
     df = spark.createDataFrame([(s,) for s in WS_SAMPLE], "t string")
     got = df.select("t", X.py_strip("t").alias("s"), X.collapse_ws("t").alias("c"),
@@ -255,7 +266,7 @@ def test_clip_and_year_helpers(spark):
 
 
 def test_group_folds_match_sequential_greedy(spark):
-    from corpusloom.operators.splits import group_folds, group_folds_greedy_reference
+    from corpusloom.operators.splits import group_folds
     sizes = {f"g{i}": (i * 7919) % 13 + 1 for i in range(120)}
     sizes.update({"big1": 40, "big2": 40, "huge": 90})
     rows = [(g, j) for g, n in sizes.items() for j in range(n)]
