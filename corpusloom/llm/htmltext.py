@@ -39,7 +39,7 @@ ENDS_P = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset",
           "h5", "h6", "header", "hr", "main", "nav", "ol", "pre", "section", "table", "ul"}
 SCOPE = {"article", "aside", "blockquote", "body", "div", "dl", "footer", "form", "header", "main", "nav", "ol", "section", "table", "ul"}
 #: Words of a class, id or role that mark what is around the article.
-AROUND = re.compile(r"(?:^|[-_\s])(?:ad|ads|adv|advert\w*|banner|breadcrumbs?|byline|comments?|complementary|consent|contentinfo|cookies?|"
+AROUND = re.compile(r"(?:^|[-_\s])(?:ad|ads|adv|advert\w*|banner|breadcrumbs?|comments?|complementary|consent|contentinfo|cookies?|"
                     r"dialog|disclaimer|disqus|footer|gdpr|header|login|masthead|menu|modal|nav\w*|newsletter|notices?|pager|"
                     r"pagination|popup|promo\w*|recommend\w*|related|replies|reply|respond|search|share|sharing|sidebar\w*|"
                     r"signup|social|sponsor\w*|subscribe|tags|teaser|toolbar|widget\w*|alert|feedback|copyright|skip)(?:$|[-_\s\d])", re.I)
@@ -89,6 +89,8 @@ def read_page(source: str) -> Page:
             continue
         if name in ENDS_P:
             _close(page, stack, {"p"}, SCOPE)
+        if name in ("article", "main"):  # never part of a menu that was left open
+            _close(page, stack, {"nav", "header"}, {"article", "main", "aside", "footer"})
         if name in CLOSES:
             _close(page, stack, CLOSES[name], SCOPE - CLOSES[name])
         if name not in INLINE:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from corpusloom.llm import ann, bpe, exactdedup, htmltext, langid, linededup, mixing, ngramjoin, tokenfiles, warc
 from corpusloom.sources.tables import load_table

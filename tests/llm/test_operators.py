@@ -370,6 +370,7 @@ WANT = "Title & more First bold paragraph, long enough to count as text. Second
 @pytest.mark.parametrize("around", [
     '<nav><ul><li><a href="/a">Menu</a></ul></nav><article>{}</article><footer>Foot</footer>',
     '<div class="header">Head</div><div class="content">{}<div class="comments"><p>Reader says so.</p></div></div><div id="sidebar">Side</div>',
+    '<nav><ul><li>Menu<li>left open<article>{}</article>',
     '<header>Site</header><main><div class="ad">Buy</div>{}<form><p>Sign up</p><input></form></main><aside>Side</aside>',
     '<script>var t="</p><p>no</p>";</script><style>p{{}}</style><!-- <p>gone</p> --><section class="post-12">{}</section><div class="cookie-notice">ok</div>',
 ])

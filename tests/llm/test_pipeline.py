@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 import corpus_pipeline
-from corpusloom.llm import bpe, langid, queries
+from corpusloom.llm import bpe, queries
 from corpusloom.llm.common import save, shared_dir
 
 SF = "/root/testdata/sf0.001"
