@@ -9,11 +9,9 @@ by the number of periods, not by the data.
 from __future__ import annotations
 
 import math
-
-import pandas as pd
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.numbers import clip_lower
@@ -121,61 +119,28 @@ def lagged_spearman(a: DataFrame, b: DataFrame, period_col: str, x_col: str, y_c
                                 F.corr("rx", "ry").alias("spearman_correlation"))
 
 
-def _t_two_sided_p(r: float, n: int) -> float:
-    """Two-sided p-value of a correlation under Student's t with n-2 df,
-    via the regularised incomplete beta function (continued fraction)."""
-    if r is None or n is None or n < 3 or (isinstance(r, float) and math.isnan(r)):
-        return float("nan")
-    df_ = n - 2
-    if abs(r) >= 1.0:
-        return 0.0
-    t2 = r * r * df_ / (1.0 - r * r)
-    x = df_ / (df_ + t2)
-    return _betainc(df_ / 2.0, 0.5, x)
-
-
-def _betainc(a: float, b: float, x: float) -> float:
-    if x <= 0.0:
-        return 0.0
-    if x >= 1.0:
-        return 1.0
-    lbeta = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
-    front = math.exp(lbeta + a * math.log(x) + b * math.log(1.0 - x))
-    if x < (a + 1.0) / (a + b + 2.0):
-        return front * _betacf(a, b, x) / a
-    return 1.0 - front * _betacf(b, a, 1.0 - x) / b
-
-
-def _betacf(a: float, b: float, x: float, eps: float = 1e-15, it: int = 500) -> float:
-    tiny = 1e-300
-    c, d = 1.0, 1.0 - (a + b) * x / (a + 1.0)
-    d = 1.0 / (d if abs(d) > tiny else tiny)
-    h = d
-    for m in range(1, it + 1):
-        m2 = 2 * m
-        aa = m * (b - m) * x / ((a + m2 - 1.0) * (a + m2))
-        d = 1.0 + aa * d
-        d = 1.0 / (d if abs(d) > tiny else tiny)
-        c = 1.0 + aa / c if abs(1.0 + aa / c) > tiny else tiny
-        h *= d * c
-        aa = -(a + m) * (a + b + m) * x / ((a + m2) * (a + m2 + 1.0))
-        d = 1.0 + aa * d
-        d = 1.0 / (d if abs(d) > tiny else tiny)
-        c = 1.0 + aa / c if abs(1.0 + aa / c) > tiny else tiny
-        delta = d * c
-        h *= delta
-        if abs(delta - 1.0) < eps:
-            break
-    return h
-
-
-def _p_values(r: pd.Series, n: pd.Series) -> pd.Series:
-    return pd.Series([_t_two_sided_p(None if pd.isna(a) else float(a), None if pd.isna(b) else int(b))
-                      for a, b in zip(r, n)], dtype="float64")
-
-
-def correlation_p_value(r, n):
-    """Student-t p-value for (correlation, sample size) columns, as an Arrow
-    batched pandas UDF; it runs on the at most 2k+1 result rows of
-    :func:`lagged_spearman`."""
-    return F.pandas_udf(_p_values, "double")(r, n)
+def correlation_p_value(r, n) -> Column:
+    """Two-sided p-value of a correlation ``r`` of ``n`` pairs under Student's
+    t with ``n - 2`` degrees of freedom; NULL below three pairs.
+
+    For whole degrees of freedom the distribution is a finite sum in
+    ``sin = |r|`` and ``cos^2 = 1 - r^2``."""
+    r, n = (F.col(c) if isinstance(c, str) else c for c in (r, n))
+    sin, cos2, df = F.least(F.abs(r), F.lit(1.0)), 1 - F.least(r * r, F.lit(1.0)), n - 2
+    even = df % 2 == 0
+
+    def series(first: Column, last: Column, ratio) -> Column:
+        """first * (1 + ratio(1) cos^2 (1 + ratio(2) cos^2 (...))) up to term ``last``."""
+        start = F.struct(first.alias("sum"), first.alias("term"))
+        steps = F.when(last >= 1, F.sequence(F.lit(1), F.greatest(last, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+
+        def add(a, k):
+            term = a["term"] * ratio(k) * cos2
+            return F.struct((a["sum"] + term).alias("sum"), term.alias("term"))
+
+        return F.aggregate(steps, start, add, lambda a: a["sum"])
+
+    inside = F.when(even, sin * series(F.lit(1.0), (df / 2 - 1).cast("int"), lambda k: (2 * k - 1) / (2 * k)))
+    odd = F.when(df > 1, sin * series(F.sqrt(cos2), ((df - 3) / 2).cast("int"), lambda k: 2 * k / (2 * k + 1))).otherwise(F.lit(0.0))
+    inside = inside.otherwise((F.asin(sin) + odd) * (2 / math.pi))
+    return F.when((n >= 3) & r.isNotNull() & ~F.isnan(r), F.greatest(1 - inside, F.lit(0.0)))

@@ -846,3 +846,11 @@ best AS (SELECT doc_id, lang AS language FROM (SELECT *, row_number() OVER (PART
 SELECT d.doc_id, b.language, d.lang, NOT d.train AS held_out FROM dd d LEFT JOIN best b USING (doc_id)"""
 
 ORACLE["english_only"] = f"SELECT doc_id FROM ({ORACLE['language_id']}) WHERE language = 'en'"
+
+ORACLE["lag_correlation_p"] = f"""WITH lc AS ({ORACLE['lag_correlation'].replace(r9('corr(rx, ry)'), 'corr(rx, ry)')}),
+t AS (SELECT *, abs(spearman_correlation) AS s, 1 - spearman_correlation * spearman_correlation AS c2, n - 2 AS df FROM lc),
+a AS (SELECT *, CASE WHEN df % 2 = 0
+  THEN s * list_sum([exp(lgamma(k + 0.5) - lgamma(k + 1)) / sqrt(pi()) * pow(c2, k) for k in range(df // 2)])
+  ELSE (asin(s) + CASE WHEN df > 1 THEN s * list_sum([exp(lgamma(k + 1) - lgamma(k + 1.5)) * sqrt(pi()) / 2
+    * pow(c2, k + 0.5) for k in range((df - 1) // 2)]) ELSE 0 END) * 2 / pi() END AS inside FROM t)
+SELECT lag, n, {r9('spearman_correlation')} AS spearman_correlation, {r9('greatest(1 - inside, 0.0)')} AS p_value FROM a"""

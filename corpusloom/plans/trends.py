@@ -84,7 +84,7 @@ def lag_correlation(spark, sf_dir):
 
 
 def lag_correlation_p(spark, sf_dir):
-    """M-06 with Student-t p-values (Python on the 2k+1 result rows only)."""
+    """M-06 with Student-t p-values."""
     a, b = _monthly(spark, sf_dir)
     r = TR.lagged_spearman(a, b, "period", "activity", "price", 5)
-    return r.withColumn("p_value", TR.correlation_p_value("spearman_correlation", "n"))
+    return round_cols(r.withColumn("p_value", TR.correlation_p_value("spearman_correlation", "n")), ["spearman_correlation", "p_value"])

@@ -231,10 +231,20 @@ def test_lagged_spearman_matches_numpy(spark):
         assert got[lag] == pytest.approx(expect)
 
 
-def test_t_p_value():
-    # r = 0.5, n = 10 -> two-sided p = 0.14111 (t = 1.633, df = 8)
-    assert TR._t_two_sided_p(0.5, 10) == pytest.approx(0.14111, abs=1e-4)
-    assert TR._t_two_sided_p(0.0, 10) == pytest.approx(1.0)
+def test_t_p_value(spark):
+    """Against the area under the density of Student's t."""
+    def area(r, n):
+        if r is None or n < 3:
+            return None
+        df, t = n - 2, abs(r) * math.sqrt((n - 2) / (1 - r * r))
+        x = [t * k / 2000 for k in range(2001)]
+        y = [math.exp(math.lgamma((df + 1) / 2) - math.lgamma(df / 2)) / math.sqrt(df * math.pi) * (1 + v * v / df) ** (-(df + 1) / 2) for v in x]
+        return 1 - 2 * sum((1, 4, 2)[0 if k in (0, 2000) else 1 if k % 2 else 2] * v for k, v in enumerate(y)) * t / 6000
+
+    rows = [(0.5, 10), (0.0, 10), (0.5, 3), (-0.8, 7), (0.3, 2), (None, 9), (0.2, 102), (0.6, 4), (0.1, 5)]
+    got = [r.p for r in spark.createDataFrame(rows, "r double, n long").select(TR.correlation_p_value("r", "n").alias("p")).collect()]
+    assert all(a == b if b is None else abs(a - b) < 1e-6 for a, b in zip(got, (area(*x) for x in rows)))
+    assert spark.sql("SELECT 1.0D AS r, 9L AS n").select(TR.correlation_p_value("r", "n").alias("p")).first().p == 0
 
 
 def test_html_to_text(spark):
