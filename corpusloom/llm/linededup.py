@@ -26,7 +26,7 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import components, save, shared_dir
+from corpusloom.llm.common import components, free_names, save, shared_dir
 
 #: Lines shorter than this are equal or different, never near.
 MIN_CHARS = 32
@@ -157,9 +157,11 @@ def within(x: str, y: str, threshold: int) -> Column:
 
 def verified(pairs: DataFrame, lines: DataFrame, threshold: int) -> DataFrame:
     """The pairs (``a``, ``b`` hashes, ``b`` not shorter) within ``threshold`` edits."""
-    left, right = (lines.select(F.col("h").alias(k), F.split("line", "", -1).alias(c)) for k, c in (("a", "x"), ("b", "y")))
-    met = pairs.join(left.select("a", "x"), "a").join(right, "b")
-    met = met.select("a", "b", *(F.filter(c, lambda z: z != "").alias(c) for c in ("x", "y")))
+    left, right = (lines.select(F.col("h").alias(k), F.col("line").alias(c)) for k, c in (("a", "x"), ("b", "y")))
+    met = pairs.join(left, "a").join(right, "b")
+    chars = (F.filter(F.split(c, "", -1), lambda z: z != "").alias(c) for c in ("x", "y"))
+    # a generator's output is computed once; other columns would be computed again for every step of a lambda
+    met = met.select("a", "b", F.explode(F.array(F.struct(*chars))).alias("c")).select("a", "b", "c.x", "c.y")
     return met.where(within("x", "y", threshold)).select("a", "b").distinct()
 
 
@@ -255,14 +257,18 @@ def remove_lines(docs: DataFrame, threshold: int = 1, min_chars: int = MIN_CHARS
     """``docs`` without the lines that ``line_classes`` rejects, and without
     the documents of which only blank lines are left; texts that had no line
     before stay as they are.  An ``n_chars`` column follows the new text."""
+    id_, row, gone, lines = free_names(docs, "_id", "_row", "_removed", "_lines")
     removed = removed_lines(docs, threshold, min_chars, id_col, text_col, share).select(
-        F.col("doc_id").alias("_id"), F.col("row").alias("_row"), F.col("removed").alias("_removed"))
-    joined = docs.join(removed, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_id")) & (row_key(text_col) == F.col("_row")), "left")
+        F.col("doc_id").alias(id_), F.col("row").alias(row), F.col("removed").alias(gone))
+    joined = docs.join(removed, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(id_)) & (row_key(text_col) == F.col(row)), "left")
     kept = F.filter(F.transform(lines_of(F.col(f"`{text_col}`")), lambda x, i: F.struct(x.alias("x"), i.alias("i"))),
-                    lambda z: ~F.array_contains("_removed", z["i"]))
-    joined = joined.withColumn("_lines", F.when(F.col("_removed").isNotNull(), F.transform(kept, lambda z: z["x"])))
-    joined = joined.where(F.col("_lines").isNull() | F.exists("_lines", lambda x: F.trim(x) != ""))
-    text = F.coalesce(F.array_join("_lines", "\n"), F.col(f"`{text_col}`"))
-    cols = [text.alias(c) if c == text_col else F.when(F.col("_lines").isNotNull(), F.char_length(text)).otherwise(F.col(c)).cast("long").alias(c)
-            if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
+                    lambda z: ~F.array_contains(F.col(gone), z["i"]))
+    joined = joined.withColumn(lines, F.when(F.col(gone).isNotNull(), F.transform(kept, lambda z: z["x"])))
+    joined = joined.where(F.col(lines).isNull() | F.exists(lines, lambda x: F.trim(x) != ""))
+    text = F.coalesce(F.array_join(lines, "\n"), F.col(f"`{text_col}`"))
+    size = F.when(F.col(lines).isNotNull(), F.char_length(text).cast("long"))
+    cols = []
+    for c in docs.columns:
+        value = text if c == text_col else F.coalesce(size, F.col(c)) if c == "n_chars" else F.col(f"`{c}`")
+        cols.append(value.alias(c))
     return joined.select(*cols)
