@@ -38,6 +38,12 @@ def save(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def maybe_broadcast(df: DataFrame, row_bytes: int, limit: int = 16 << 20) -> DataFrame:
+    """``df``, a saved table, to be broadcast if its rows fit ``limit`` bytes;
+    beyond that the planner shuffles both sides."""
+    return F.broadcast(df) if df.count() * row_bytes <= limit else df
+
+
 def filesystem(path: str):
     """(pyarrow file system, path in it) of a plain path or URI."""
     from pyarrow import fs

@@ -2,13 +2,16 @@
 
 All n-grams stand in one global order: rare ones first (a bounded histogram
 of the corpus tells the heavy ones), equal ones by hash.  Documents of equal
-sets form classes.  Two classes can only link if the first few n-grams of
-their sets in that order (the prefix that the threshold leaves) share one,
-which gives the candidate pairs.  To verify them the order is cut into
+sets form classes.  A set that links with another lacks fewer than ``p`` of
+its n-grams there, so the k-th common n-gram is among its first ``p + k - 1``:
+two classes can only link if their heads, the first ``p + extra(p)`` n-grams,
+share ``extra + 1``.  Classes whose head shares fewer with all others are out;
+n-grams shared by the other heads give the candidate pairs, and the heads of a
+pair are compared first.  To verify what is left the order is cut into
 fragments: each fragment holds its slice of the candidates' sets, counts the
 partial overlaps of the pairs by itself, and the counts are summed per pair.
 
-Large groups never become all pairs.  Each prefix n-gram first compares its
+Large groups never become all pairs.  Each shared n-gram first compares its
 classes with one pivot class, then those outside the pivot's component with a
 second one; afterwards only pairs whose classes are in different components
 are left, and all of these are compared.  Classes in one component already
@@ -17,20 +20,21 @@ need no comparison, so no link between components is lost.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.arrays import U64, Rolling, mix, random_values, row_chunks, runs, text_bytes
-from corpusloom.llm.common import arrow_schema, components, save, shared_dir
+from corpusloom.llm.common import arrow_schema, components, free_names, maybe_broadcast, save, shared_dir
 
 #: Buckets of the histogram behind the order: its size does not grow.
 BUCKETS = 1 << 20
 #: Pairs that one task verifies at a time, per fragment.
-BLOCK = 4_000
+BLOCK = 20_000
 SPLIT = 4 << 20
 
 _SPACE = np.zeros(256, bool)
@@ -131,20 +135,35 @@ def _signature(s: np.ndarray) -> tuple[int, int]:
             int(np.bitwise_xor.reduce(mix(u + U64(0x1F83D9ABFB41BD6B)), initial=U64(0)).astype(np.int64)))
 
 
-def _prefix_table(docs: DataFrame, n: int, percent: int, heavy) -> DataFrame:
-    """Per document: size, 128-bit signature and prefix of its set."""
-    schema = "doc_id long, n int, s1 long, s2 long, prefix array<long>"
+def prefix_size(n, percent: int):
+    """How many of ``n`` n-grams must be looked at to meet one of any partner."""
+    return n - (percent * n + 99) // 100 + 1
+
+
+def extra(p):
+    """By how many n-grams a head is longer than its prefix."""
+    return p * 3 // 4 + 4
+
+
+#: Bits of an n-gram's place that heads keep: fewer bits only add candidates.
+HEAD_BITS = 44
+
+
+def _head_table(docs: DataFrame, n: int, percent: int, heavy) -> DataFrame:
+    """Per document: size, 128-bit signature and head of its set."""
+    schema = "doc_id long, n int, s1 long, s2 long, head array<long>"
     target = arrow_schema(docs.sparkSession.createDataFrame([], schema).schema)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n_, s1, s2, prefix = [], [], [], []
+            n_, s1, s2, head = [], [], [], []
             for s in ordered_sets(batch.column(1), n, heavy.value):
                 n_.append(len(s))
                 for out, v in zip((s1, s2), _signature(s)):
                     out.append(v)
-                prefix.append(s[:len(s) - (percent * len(s) + 99) // 100 + 1] if len(s) else s)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, f.type) for c, f in zip((n_, s1, s2, prefix), list(target)[1:]))], schema=target)
+                p = prefix_size(len(s), percent)
+                head.append(np.unique(s[:p + extra(p)] >> (63 - HEAD_BITS)) if len(s) else s)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, f.type) for c, f in zip((n_, s1, s2, head), list(target)[1:]))], schema=target)
 
     return docs.select("doc_id", "text").mapInArrow(build, schema)
 
@@ -181,32 +200,51 @@ def _overlap(key, sets, pairs):
     return out[out["part"] > 0]
 
 
+def _least(n: Column, percent: int) -> Column:
+    """Shared head n-grams that a set of ``n`` needs at least, whatever the
+    size of its partner (never under ``percent`` of its own)."""
+    m = F.ceil(n * percent / 100)
+    p = m - F.ceil(m * percent / 100) + 1
+    # equal leading bits may merge two n-grams of a head: one is left out of account
+    return F.greatest(F.least(F.floor(p * 3 / 4) + 4 + 1, m) - 1, F.lit(1))
+
+
 class _Verifier:
     """Links among candidate pairs, by fragments."""
 
-    def __init__(self, sets: DataFrame, fragments: int, percent: int, folder: str):
-        self.sets, self.fragments, self.percent, self.folder, self.round = sets, fragments, percent, folder, 0
+    def __init__(self, sets: DataFrame, heads: DataFrame, fragments: int, percent: int, folder: str):
+        self.sets, self.heads, self.fragments = sets, heads, fragments
+        self.percent, self.folder, self.round = percent, folder, 0
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """``(a, b, overlap)`` of the pairs (``a``, ``b``, ``na``, ``nb``) that reach the threshold."""
         self.round += 1
-        pairs = save(pairs.distinct(), f"{self.folder}/pairs-{self.round}")
-        total = pairs.count()
-        blocks = max(1, -(-total // BLOCK))
-        # a pair's block follows its first document, spread so that no block holds many more than BLOCK pairs
+        need = F.least(_least(F.col("na"), self.percent), _least(F.col("nb"), self.percent))
+        alike = self._overlaps(pairs.distinct(), self.heads, 1, "heads").where(F.col("overlap") >= need)
+        whole = self._overlaps(alike.drop("overlap"), self.sets, self.fragments, "sets")
+        linked = whole.where(F.lit(100) * F.col("overlap") >= F.lit(self.percent) * (F.col("na") + F.col("nb") - F.col("overlap")))
+        return save(linked.select("a", "b", "overlap"), f"{self.folder}/links-{self.round}")
+
+    def _overlaps(self, pairs: DataFrame, sets: DataFrame, fragments: int, name: str) -> DataFrame:
+        """``pairs`` with their ``overlap`` in ``sets``, where it is not 0.
+
+        Pairs are dealt to tiles by both of their documents, so that a
+        document goes to few of them; the pairs of a document of very many are
+        spread further.  A tile holds about ``BLOCK`` pairs and their sets."""
+        path = f"{self.folder}/{name}-{self.round}"
+        pairs = save(pairs, f"{path}-pairs")
+        side = math.ceil(math.sqrt(max(1, pairs.count()) / BLOCK))
         degree = pairs.groupBy("a").agg(F.count("*").alias("deg"))
         spread = F.pmod(F.xxhash64("b"), F.ceil(F.col("deg") / F.lit(BLOCK)).cast("long"))
-        placed = pairs.join(degree, "a").withColumn("block", F.pmod(F.xxhash64("a", spread), F.lit(blocks)))
-        placed = save(placed.select("block", "a", "b", "na", "nb"), f"{self.folder}/blocks-{self.round}")
+        tile = F.xxhash64(F.pmod(F.xxhash64("a"), F.lit(side)), F.pmod(F.xxhash64("b", F.lit(1)), F.lit(side)), spread)
+        placed = save(pairs.join(degree, "a").select(tile.alias("block"), "a", "b", "na", "nb"), f"{path}-tiles")
         members = placed.select("block", F.col("a").alias("doc_id")).unionAll(placed.select("block", F.col("b").alias("doc_id"))).distinct()
-        left = self.sets.join(members, "doc_id").groupBy("block", "frag")
+        left = sets.join(members, "doc_id").groupBy("block", "frag")
         # read anew: both sides of a cogroup may not come from one plan
-        again = placed.sparkSession.read.schema(placed.schema).parquet(f"{self.folder}/blocks-{self.round}")
-        right = (again.withColumn("frag", F.explode(F.sequence(F.lit(0), F.lit(self.fragments - 1)))).groupBy("block", "frag"))
+        again = placed.sparkSession.read.schema(placed.schema).parquet(f"{path}-tiles")
+        right = again.withColumn("frag", F.explode(F.sequence(F.lit(0), F.lit(fragments - 1)))).groupBy("block", "frag")
         parts = left.cogroup(right).applyInPandas(_overlap, "a long, b long, na int, nb int, part long")
-        whole = parts.groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("overlap"))
-        linked = whole.where(F.lit(100) * F.col("overlap") >= F.lit(self.percent) * (F.col("na") + F.col("nb") - F.col("overlap")))
-        return save(linked.select("a", "b", "overlap"), f"{self.folder}/links-{self.round}")
+        return parts.groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("overlap"))
 
 
 def jaccard_links(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text",
@@ -217,23 +255,39 @@ def jaccard_links(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str =
     spark, folder = docs.sparkSession, shared_dir(docs.sparkSession, "ngram")
     base = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     heavy = spark.sparkContext.broadcast(heavy_classes(base, n))
-    table = save(_prefix_table(base, n, percent, heavy), f"{folder}/sets")
+    table = save(_head_table(base, n, percent, heavy), f"{folder}/heads")
     narrow = table.select("doc_id", "n", "s1", "s2").where("n > 0 and doc_id is not null")
     # of rows that repeat an id the one with the smallest set stands for it
     own = narrow.groupBy("doc_id").agg(F.min(F.struct("n", "s1", "s2")).alias("s")).select("doc_id", "s.*")
-    classes = own.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"))
-    classes = save(classes, f"{folder}/classes")
+    classes = save(own.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep")), f"{folder}/classes")
     reps = classes.select(F.col("rep").alias("doc_id"), "n", "s1", "s2")
 
-    rows = (table.join(reps, ["doc_id", "n", "s1", "s2"], "left_semi").dropDuplicates(["doc_id"])
-            .select(F.explode("prefix").alias("key"), "doc_id", "n"))
-    shared = rows.groupBy("key").agg(F.min("doc_id").alias("p1"), F.max("doc_id").alias("last")).where("p1 <> last").select("key", "p1")
-    active = save(rows.join(shared, "key"), f"{folder}/active")
-
-    wanted = reps.select("doc_id", F.col("s1").alias("own")).join(active.select("doc_id").distinct(), "doc_id", "left_semi")
-    found = _fragments(base.join(wanted, "doc_id"), n, heavy, pivots(fragments))
+    # rows whose n-gram stands in another document's head, by class
+    rows = table.where("n > 0 and doc_id is not null").select(F.explode("head").alias("key"), "doc_id")
+    met = rows.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").select("key")
+    hits = save(rows.join(met, "key").join(own, "doc_id").join(classes, ["n", "s1", "s2"])
+                .select("key", F.col("rep").alias("doc_id"), "n").distinct(), f"{folder}/hits")
+    for k in range(2):  # classes that are out also free others of their n-grams
+        shared = hits.groupBy("key").agg(F.min("doc_id").alias("p1"), F.max("doc_id").alias("hi")).where("p1 <> hi").select("key", "p1")
+        hits = hits.select("key", "doc_id", "n").join(shared, "key")
+        enough = hits.groupBy("doc_id", "n").count().where(F.col("count") >= _least(F.col("n"), percent)).select("doc_id")
+        hits = save(hits.join(enough, "doc_id"), f"{folder}/active-{k}")
+    # of two linked heads the rarest n-grams, but for one less than they must share, have one in common
+    rare = hits.select("key", "doc_id", "n").join(hits.groupBy("key").agg(F.count("*").alias("df")), "key")
+    of_doc = Window.partitionBy("doc_id")
+    rare = (rare.withColumn("rank", F.row_number().over(of_doc.orderBy("df", "key"))).withColumn("held", F.count("*").over(of_doc))
+            .where(F.col("rank") <= F.col("held") - _least(F.col("n"), percent) + 1))
+    rare = save(rare.select("key", "doc_id", "n"), f"{folder}/rare")
+    shared = rare.groupBy("key").agg(F.min("doc_id").alias("p1"), F.max("doc_id").alias("hi")).where("p1 <> hi").select("key", "p1")
+    active = save(rare.join(shared.select("key"), "key"), f"{folder}/active")
+
+    wanted = save(reps.select("doc_id", F.col("s1").alias("own"), F.col("s2").alias("own2"), "n")
+                  .join(active.select("doc_id").distinct(), "doc_id", "left_semi"), f"{folder}/wanted")
+    heads = save(table.join(maybe_broadcast(wanted.select("doc_id", F.col("own").alias("s1"), F.col("own2").alias("s2"), "n"), 40), ["doc_id", "n", "s1", "s2"], "left_semi")
+                 .select("doc_id", F.lit(0).alias("frag"), F.col("head").alias("keys")).dropDuplicates(["doc_id"]), f"{folder}/compared")
+    found = _fragments(base.join(maybe_broadcast(wanted.select("doc_id", "own"), 24), "doc_id"), n, heavy, pivots(fragments))
     sets = save(found, f"{folder}/fragments")
-    verify = _Verifier(sets, fragments, percent, folder)
+    verify = _Verifier(sets, heads, fragments, percent, folder)
 
     def compatible(a: str, b: str):
         return F.lit(100) * F.least(a, b) >= F.lit(percent) * F.greatest(a, b)
@@ -291,5 +345,7 @@ def keep_one(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_
     """``docs`` with one document, that of the smallest id, of each component;
     rows without words stay."""
     found = jaccard_components(docs, n, percent, id_col, text_col)
-    lost = found.where("n_shingles > 0 and component_id <> doc_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(lost, id_col, "left_anti")
+    id_, = free_names(docs, "_id")
+    lost = save(found.where("n_shingles > 0 and component_id <> doc_id").select(F.col("doc_id").alias(id_)).distinct(),
+                shared_dir(docs.sparkSession, "ngram-lost"))
+    return docs.join(maybe_broadcast(lost, 16), F.col(f"`{id_col}`").cast("long") == F.col(id_), "left_anti")
