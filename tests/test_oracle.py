@@ -5,11 +5,12 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from corpusloom.plans import registry
 from tools.check_oracle import digest
 from corpusloom.sources.tables import TABLES, table_path
 from tests.conftest import SF_SMALL
 
-ORACLE = E.oracle_sql()
+ORACLE = registry.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -21,14 +22,15 @@ def con():
 
 
 def test_every_query_has_a_callable():
-    qs = E.queries()
+    qs = registry.queries()
+    assert set(qs) <= set(E.queries())
     assert set(ORACLE) <= set(qs)
     assert len(qs) >= 60
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_matches_oracle(spark, con, name):
-    df = E.queries()[name](spark, SF_SMALL)
+    df = registry.queries()[name](spark, SF_SMALL)
     rows = [tuple(r) for r in df.collect()]
     cur = con.execute(ORACLE[name])
     ocols = [d[0] for d in cur.description]
