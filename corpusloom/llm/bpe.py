@@ -23,7 +23,7 @@ from corpusloom.llm.common import TwoGenerations, arrow_schema
 
 #: Stands for the end-of-word suffix inside the automaton; no byte-level symbol.
 END = "\U0010fffd"
-CACHE = 200_000
+CACHE = 400_000
 PAIRS = 500_000
 ENCODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -176,7 +176,7 @@ class TextEncoder:
     distinct words between white space are kept (a bounded store)."""
 
     def __init__(self, model: BpeModel):
-        self.model, self.known, self.pieces = model, TwoGenerations(CACHE), TwoGenerations(CACHE)
+        self.model, self.known, self.pieces = model, TwoGenerations(CACHE), TwoGenerations(CACHE // 2)
 
     def __call__(self, text: str) -> tuple[int, str, str]:
         """(number of ids, ids joined by a space, decoded text)"""
@@ -185,29 +185,28 @@ class TextEncoder:
             words = [x for p in m.special_split.split(text) for x in ([p] if p in m.special else split_words(p))]
         else:
             words = split_words(text)
-        for w in self.known.missing(words):
-            self.known.new[w] = self._word(w)
-        known = self.known.new
-        entries = [e for e in [known[w] for w in words] if e]
+        entries = self.known.lookup(words, lambda new: [self._word(w) for w in new])
         if not entries:
             return 0, "", ""
         counts, ids, tokens = zip(*entries)
+        if 0 in counts:
+            ids, tokens = filter(None, ids), filter(None, tokens)
         return sum(counts), " ".join(ids), " ".join(tokens)
 
-    def _word(self, word: str) -> tuple[int, str, str] | None:
+    def _word(self, word: str) -> tuple[int, str, str]:
         m = self.model
         if word in m.special:
             return 1, str(m.special[word]), word
-        pieces = m.pieces(m.normalize(word))
-        for p in self.pieces.missing(pieces):
-            ids = m.encode_piece(p)
-            self.pieces.new[p] = (len(ids), " ".join(map(str, ids)), m.decode(ids))
-        entries = [self.pieces.new[p] for p in pieces]
-        if len(entries) < 2:
-            return entries[0] if entries else None
-        counts, ids, tokens = zip(*entries)
+        entries = self.pieces.lookup(m.pieces(m.normalize(word)), lambda new: [self._piece(p) for p in new])
+        if len(entries) == 1:
+            return entries[0]
+        counts, ids, tokens = zip(*entries) if entries else ((), (), ())
         return sum(counts), " ".join(ids), " ".join(tokens)
 
+    def _piece(self, piece: str) -> tuple[int, str, str]:
+        ids = self.model.encode_piece(piece)
+        return len(ids), " ".join(map(str, ids)), self.model.decode(ids)
+
 
 def split_words(text: str) -> list[str]:
     """Split at Unicode white space, which the four separators U+001C to

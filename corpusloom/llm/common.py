@@ -91,29 +91,28 @@ class AtomicFile:
 
 
 class TwoGenerations:
-    """A bounded store of results: when ``size`` new ones are held they become
-    the old generation, whose used entries move on to the next new one."""
+    """A bounded store of results (none is None): when ``size`` are held
+    they become the old generation, whose used entries move on to the next."""
 
     def __init__(self, size: int):
         self.size, self.new, self.old = size, {}, {}
 
-    def put(self, key, value) -> None:
-        if len(self.new) >= self.size:
-            self.old, self.new = self.new, {}
-        self.new[key] = value
-
-    def missing(self, keys) -> list:
-        """The distinct ``keys`` without a result; the others are in ``new`` afterwards."""
-        out = []
-        for k in {k for k in keys if k not in self.new}:
-            if k in self.old:
-                self.new[k] = self.old[k]
-            else:
-                out.append(k)
-        if len(self.new) + len(out) > 2 * self.size:  # what the keys need stays
-            self.old, self.new = {}, {k: self.new[k] for k in set(keys) if k in self.new}
-        elif len(self.new) + len(out) > self.size:
-            self.old, self.new = self.new, {k: self.new[k] for k in set(keys) if k in self.new}
+    def lookup(self, keys: list, compute) -> list:
+        """The results of ``keys``; ``compute`` gives those of a list of new keys."""
+        out = list(map(self.new.get, keys))
+        if not all(out):
+            lacking, fresh, new, old = [i for i, v in enumerate(out) if v is None], [], self.new, self.old
+            for k in {keys[i] for i in lacking}:
+                if (v := old.get(k)) is None:
+                    fresh.append(k)
+                else:
+                    new[k] = v
+            for k, v in zip(fresh, compute(fresh)):
+                new[k] = v
+            for i in lacking:
+                out[i] = new[keys[i]]
+            if len(new) > self.size:
+                self.old, self.new = new, {}
         return out
 
 

@@ -12,8 +12,8 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,44 +26,67 @@ from corpusloom.llm.common import AtomicFile, TwoGenerations, arrow_schema, file
 MANIFEST = "shard long, path string, n_docs long, n_tokens long, width int, has_ids boolean"
 READ = "doc_id long, start long, n_tokens long, ids array<int>"
 DIGEST = "doc_id long, start long, n_tokens long, ids_crc32 long"
-CACHE = 300_000
-#: A space beside other white space or at the end of the text.
-LONE_SPACES = re.compile(r" (?:\s|$)|\s ")
+CACHE = 600_000
+#: A space or line feed that does not stand alone.
+ADJACENT = ("  ", " \n", "\n ", "\n\n")
 
 
 class CachedEncoder:
     """Ids of whole texts as a byte-level tokenizer of the ``tokenizers``
     library gives them.
 
-    Its pre-tokens are encoded independently, and none spans the border
-    between a word and a single space after it.  So a text whose spaces stand
-    alone is cut before each space, and each distinct part goes to the library
+    Its pre-tokens are encoded independently.  None spans the border between
+    a word and a single space or line feed after it, so a text in which these
+    stand alone is cut before each, and each distinct part goes to the library
     once (a bounded store).  Other texts go to the library whole."""
 
     def __init__(self, path: str, dtype: str):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
-        self.library, self.dtype = Tokenizer.from_file(path), dtype
+        self.library, self.code = Tokenizer.from_file(path), {"<u2": "H", "<u4": "I"}[dtype]
         spec = json.loads(self.library.to_str())
         if spec["normalizer"] or spec["pre_tokenizer"] != {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}:
             raise ValueError(f"{path}: not a plain byte-level tokenizer")
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.known = TwoGenerations(CACHE)
+        self.known, self.stops = TwoGenerations(CACHE), {}
 
     def __call__(self, text: str) -> bytes:
-        if LONE_SPACES.search(text) or any(s in text for s in self.special):
+        if any(s in text for s in self.special) or any(s in text for s in ADJACENT):
             return self._whole(text)
-        first, *rest = text.split(" ")
-        store = self.known
-        if new := store.missing(rest):
-            for p, e in zip(new, self.library.encode_batch([" " + p for p in new], add_special_tokens=False)):
-                store.new[p] = np.array(e.ids, self.dtype).tobytes()
-        known = store.new
-        return self._whole(first) + b"".join([known[p] for p in rest])
+        first, *rest = text.replace("\n", " \n").split(" ")
+        if not first or first[-1].isspace():
+            return self._whole(text)
+        parts = self.known.lookup(rest, self._parts)
+        return self._whole(first) + b"".join(parts) if all(parts) else self._whole(text)
+
+    def _parts(self, new: list[str]) -> list[bytes]:
+        """Ids of parts that follow a space or begin with a line feed; empty
+        for those with white space at a border.  Letters and the stops after
+        them are pre-tokens of their own, so their results are joined if
+        known."""
+        out, ask, stops = dict.fromkeys(new, b""), [], self.stops
+        for p in new:
+            word = p[1:] if p[:1] == "\n" else p
+            if not word or word[0].isspace() or word[-1].isspace():
+                continue
+            letters = word.rstrip(".,")
+            if letters != word and letters.isalpha() and max(letters) < "\u0250" and (head := self.known.new.get(p[:len(p) - len(word) + len(letters)])):
+                tail = word[len(letters):]
+                if tail not in stops:
+                    if len(stops) > 1000:
+                        stops.clear()
+                    stops[tail] = self._whole(tail)
+                out[p] = head + stops[tail]
+            else:
+                ask.append(p)
+        given = [p if p[0] == "\n" else " " + p for p in ask]
+        for p, e in zip(ask, self.library.encode_batch_fast(given, add_special_tokens=False)):
+            out[p] = array(self.code, e.ids).tobytes()
+        return list(out.values())
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+        return array(self.code, self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
 
 _ENCODERS: dict[tuple, CachedEncoder] = {}
@@ -77,7 +100,7 @@ def cached_encoder(path: str, dtype: str) -> CachedEncoder:
 
 
 def write_tokens(docs: DataFrame, folder: str, encoder: Callable[[], Callable[[str], bytes]], end_id: int, width: int,
-                 shard_bytes: int = 32 << 20) -> DataFrame:
+                 shard_bytes: int = 8 << 20) -> DataFrame:
     """Write ``docs`` (``doc_id`` long, ``text`` string) in ascending id order;
     ``encoder`` is called once per task and makes a text's ids as little-endian
     integers of ``width`` bytes.  Returns the saved manifest with the prefix
@@ -99,7 +122,9 @@ def write_tokens(docs: DataFrame, folder: str, encoder: Callable[[], Callable[[s
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema)], schema=schema)
 
         for batch in batches:
-            for s, doc, text in zip(*(batch.column(c).to_pylist() for c in ("_shard", "doc_id", "text"))):
+            shards, docs_, texts = (batch.column(c) for c in ("_shard", "doc_id", "text"))
+            for s, doc, text in zip(shards.to_pylist(), docs_.to_pylist(), texts):
+                text = text.as_py()
                 if s != shard or (doc is not None) != known:
                     if out:
                         yield close()
@@ -178,7 +203,7 @@ def read_digests(manifest: DataFrame) -> DataFrame:
 
 
 def token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 2, folder: str | None = None,
-                id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = 32 << 20) -> DataFrame:
+                id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = 8 << 20) -> DataFrame:
     """Encode every whole text with the tokenizer file, append ``end_id``,
     write the token files and return their manifest.
 
