@@ -219,8 +219,9 @@ def identify(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     return predict(docs, model, {"doc_id": F.col("doc_id").cast("long"), "held_out": held_out()})
 
 
-def accept(docs: DataFrame, min_score: float = 0.5, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """``docs`` whose language is recognised with at least ``min_score``; same columns."""
+def accept(docs: DataFrame, min_score: float = 0.0, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """``docs`` with a recognised language (and at least ``min_score``, if
+    given: short texts of shared words can score low); same columns."""
     model = train(docs, ~held_out() & F.col("doc_id").isNotNull(), sample_rows=sample_rows)
     names = tuple(free_names(docs, "lang_pred", "score"))
     found = predict(docs, model, {c: F.col(f"`{c}`") for c in docs.columns}, names=names)
