@@ -8,6 +8,11 @@ deadline goes next.  As the weights fill the cycle exactly, every block meets
 its window, so at any slot each source is less than one block away from its
 target.  Later cycles repeat the first one.
 
+Where there are more sources than slots, those of about equal weight share
+the slots of a pool in turn.  Block ``k`` of the pool's member ``i`` of ``n``
+is the pool's block ``k n + i``, whose window lies within the member's own one
+at ``c / n`` of ``P`` slots, so the pool's schedule keeps every member's.
+
 Only the cycle, a table of fixed size, is scheduled step by step; every
 document finds its slot by arithmetic and a join with that table.  No document
 is dropped or repeated: where a source has run out its slots stay empty and
@@ -26,6 +31,10 @@ from corpusloom.operators.prefix import ordered_prefix
 CYCLE = 1000
 #: Documents of a block.
 BLOCK_ROWS = 16
+#: Slots of a cycle with pools, in CYCLEs; weight in slots from which a source has its own there.
+POOLED, OWN = 4, 16
+#: Pools by weight: so many to a factor of two, and in all.
+STEPS, POOLS = 4, 240
 
 
 def source_key(col: str) -> Column:
@@ -64,6 +73,24 @@ def schedule(targets: DataFrame, cycle: int = CYCLE) -> DataFrame:
         "key", "c", "j", "slot", F.expr(f"j * {cycle} DIV c").alias("release"), F.expr(f"((j + 1) * {cycle} + c - 1) DIV c").alias("deadline"))
 
 
+def pooled(sizes: DataFrame, cycle: int) -> DataFrame:
+    """``sizes`` (``key``, ``n``, ``weight``) with the ``pool`` of each source.
+    At most ``cycle / OWN`` sources are heavy enough for one of their own; the
+    others share at most ``POOLS + 1``, whose weights differ by a factor of
+    2 ** (1 / STEPS) but for the lightest."""
+    share = F.col("weight") / F.lit(sizes.agg(F.sum("weight")).first()[0]) * F.lit(cycle / OWN)
+    step = F.greatest(F.floor(F.log2(share) * STEPS), F.lit(-POOLS)).cast("string")
+    return sizes.withColumn("pool", F.when(share >= 1, F.col("key")).otherwise(F.concat(F.lit("#"), F.when(share > 0, step).otherwise(F.lit("")))))
+
+
+def members(sizes: DataFrame) -> DataFrame:
+    """``sizes`` (with ``pool``) and each source's place ``nth`` (from 0) among
+    the ``of`` sources of its pool, by the hash of its name."""
+    hashed = sizes.withColumn("at", F.shiftrightunsigned(F.xxhash64("key"), 12))
+    placed = ordered_prefix(hashed, ["at", "key"], None, "nth", ["pool"], inclusive=False).drop("at")
+    return placed.join(F.broadcast(sizes.groupBy("pool").agg(F.count("*").alias("of"))), "pool")
+
+
 def mix_order(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id", source_col: str = "source",
               block_rows: int = BLOCK_ROWS, cycle: int = CYCLE) -> DataFrame:
     """``doc_id``, ``source``, ``block`` (number in its source), ``slot``,
@@ -73,8 +100,9 @@ def mix_order(docs: DataFrame, weights: dict[str, float] | None = None, id_col:
     get one slot a cycle.  Without it weights go by the square root of a
     source's rows, which raises small sources.  A null source is a source of
     its own; null ids come first in theirs; rows that repeat an id follow each
-    other.  There may be at most ``cycle`` sources.  Empty input gives no
-    rows; other columns are ignored."""
+    other.  More than ``cycle`` sources share slots in pools, over a cycle of
+    ``POOLED * CYCLE`` slots at least.  Empty input gives no rows; other
+    columns are ignored."""
     base = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{source_col}`").cast("string").alias("source"),
                        source_key(source_col).alias("key"))
     folder = shared_dir(docs.sparkSession, "mixing")
@@ -84,17 +112,35 @@ def mix_order(docs: DataFrame, weights: dict[str, float] | None = None, id_col:
     else:
         given = F.create_map(*[x for s, w in weights.items() for x in (F.lit("=" + s), F.lit(float(w)))])
         weight = F.coalesce(given[F.col("key")], F.lit(0.0))
-    plan = save(schedule(slots(sizes.select("key", weight.alias("weight")), cycle), cycle), f"{folder}/cycle")
-    targets = plan.select("key", "c").distinct()
-
-    ranked = ordered_prefix(base, ["doc_id"], None, "rank", ["key"], materialize=True)
-    # both broadcast tables have at most ``cycle`` rows
-    placed = (ranked.withColumn("block", F.expr(f"(rank - 1) DIV {block_rows}")).join(F.broadcast(targets), "key")
-              .withColumn("j", F.expr("int(block % c)")).withColumn("turn", F.expr("block DIV c"))
-              .join(F.broadcast(plan.drop("c")), ["key", "j"]))
-    late = F.col("turn") * F.lit(cycle)
-    placed = placed.select("doc_id", "source", "rank", "block", (late + F.col("slot")).alias("slot"),
-                           (late + F.col("release")).alias("release"), (late + F.col("deadline")).alias("deadline"))
+    sizes = save(sizes.withColumn("weight", weight), f"{folder}/sizes")
+    many = sizes.count() > cycle
+    if many:
+        cycle = max(cycle, POOLED * CYCLE)
+        sizes = save(pooled(sizes, cycle), f"{folder}/pools")
+        entries = sizes.groupBy("pool").agg(F.sum("weight").alias("weight")).select(F.col("pool").alias("key"), "weight")
+        named = members(sizes)
+    else:
+        entries = sizes.select("key", "weight")
+        named = sizes.select("key", "n", F.col("key").alias("pool"), F.lit(0).alias("nth"), F.lit(1).alias("of"))
+    plan = save(schedule(slots(entries, cycle), cycle), f"{folder}/cycle")
+    # the plan has at most ``cycle`` rows
+    targets = named.join(F.broadcast(plan.select(F.col("key").alias("pool"), "c").distinct()), "pool").select("key", "n", "pool", "nth", "of", "c")
+
+    ranked = ordered_prefix(base, ["doc_id"], None, "rank", ["key"], materialize=True).withColumn("block", F.expr(f"(rank - 1) DIV {block_rows}"))
+    if many:
+        # sources of many rows, at most ``cycle``, are broadcast; the others are joined by shuffle
+        targets = save(targets, f"{folder}/targets")
+        large = F.col("n") * cycle >= F.lit(targets.agg(F.sum("n")).first()[0])
+        rows_of = targets.where(large).drop("n")
+        found = ranked.join(F.broadcast(rows_of), "key").unionByName(
+            ranked.join(F.broadcast(rows_of.select("key")), "key", "left_anti").join(targets.where(~large).drop("n"), "key"))
+    else:
+        found = ranked.join(F.broadcast(targets.drop("n")), "key")
+    turns = (found.withColumn("at", F.expr("block * of + nth")).withColumn("j", F.expr("int(at % c)"))
+             .join(F.broadcast(plan.select(F.col("key").alias("pool"), "j", F.col("slot").alias("first"))), ["pool", "j"]))
+    placed = turns.select("doc_id", "source", "rank", "block", F.expr(f"at DIV c * {cycle} + first").alias("slot"),
+                          F.expr(f"block * of * {cycle} DIV c").alias("release"),
+                          F.expr(f"((block + 1) * of * {cycle} + c - 1) DIV c").alias("deadline"))
     placed = save(placed, f"{folder}/placed")
     blocks = placed.groupBy("slot").agg(F.count("*").alias("rows"))
     first = ordered_prefix(blocks, ["slot"], "rows", "before", inclusive=False, materialize=True).select("slot", "before")

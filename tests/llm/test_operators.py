@@ -361,6 +361,19 @@ def test_mixing_odd(spark):
     assert abs(first["a"] - 60) <= 10 and abs(first["b"] - 20) <= 10
 
 
+def test_mixing_more_sources_than_slots(spark):
+    names = ["large"] * 400 + ["middle"] * 90 + [f"s{k}" for k in range(1009) for _ in range(1 + 19 * (k % 7 == 0))]
+    rows = [(i, "t", None, s) for i, s in enumerate(names)]
+    got = mixing.mix_order(docs(spark, rows, CLASH)).toPandas()
+    assert sorted(got["doc_id"]) == list(range(len(rows))) == sorted(got["position"])
+    assert ((got["release"] <= got["slot"]) & (got["slot"] < got["deadline"])).all()
+    assert (got.groupby("slot")[["source", "block"]].nunique() == 1).all().all()  # a slot is one block's
+    assert sorted(r["doc_id"] for r in mixing.mix(docs(spark, rows, CLASH)).collect()) == list(range(len(rows)))
+    few = mixing.mix_order(docs(spark, [(i, "t", None, str(i % 12)) for i in range(120)]), {"3": 5, "4": 1}, block_rows=2, cycle=8).toPandas()
+    assert sorted(few["doc_id"]) == list(range(120)) == sorted(few["position"])
+    assert ((few["release"] <= few["slot"]) & (few["slot"] < few["deadline"])).all()
+
+
 # --- HTML -----------------------------------------------------------------------------------
 
 ARTICLE = "<h1>Title &amp; more</h1><p>First <b>bold</b> paragraph, long enough to count as text.<p>Second&nbsp;one<br>with a break.</p>"
