@@ -43,6 +43,14 @@ AROUND = re.compile(r"(?:^|[-_\s])(?:ad|ads|adv|advert\w*|banner|breadcrumbs?|co
                     r"dialog|disclaimer|disqus|footer|gdpr|header|login|masthead|menu|modal|nav\w*|newsletter|notices?|pager|"
                     r"pagination|popup|promo\w*|recommend\w*|related|replies|reply|respond|search|share|sharing|sidebar\w*|"
                     r"signup|social|sponsor\w*|subscribe|tags|teaser|toolbar|widget\w*|alert|feedback|copyright|skip)(?:$|[-_\s\d])", re.I)
+#: Of these, words of text that may be longer than the article; the others also name layouts.
+BESIDE = re.compile(r"(?:^|[-_])(?:ad|ads|adv|advert\w*|comments?|consent|cookies?|copyright|disclaimer|disqus|feedback|gdpr|newsletter|notices?|"
+                    r"promo\w*|recommend\w*|related|replies|reply|respond|sponsor\w*|teaser)(?:$|[-_\d])", re.I)
+#: Words that say what a page or wrapper has, not what it is, and page builders' names of any block.
+STATE = re.compile(r"^(?:has|have|no|not|non|with|without)[-_]|^(?:comments?|sidebar|ads?)[-_](?:open|closed|enabled|disabled|on|off|none)$", re.I)
+BUILDER = re.compile(r"^elementor-(?:widget(?:-|$))?", re.I)
+#: Elements of running text, and the share of it that a layout holds.
+PROSE, BULK = {"p", "pre", "blockquote", "dd", "figcaption"}, 2 / 3
 LIKELY = re.compile(r"article|body|content|entry|main|page|post|story|text", re.I)
 MAX_DEPTH = 64
 VOTES = 3
@@ -55,7 +63,8 @@ class Page:
     parent: list[int] = field(default_factory=list)
     tag: list[str] = field(default_factory=list)
     path: list[str] = field(default_factory=list)
-    skip: list[bool] = field(default_factory=list)
+    mark: list[int] = field(default_factory=list)  # 1 layout word, 2 word of BESIDE, 3 tag of SKIP
+    skip: list[bool] = field(default_factory=list)  # below a mark that counts
     end: list[int] = field(default_factory=list)  # number of the first element after the subtree
     text: list[tuple[int, str | None]] = field(default_factory=list)  # element and text, None for a break
 
@@ -104,21 +113,102 @@ def read_page(source: str) -> Page:
             _close(page, stack, {name}, ())
     for k in stack:
         page.end[k] = len(page.tag)
+    _skip(page)
     return page
 
 
+def _mark(words: str) -> int:
+    found = [w for w in (BUILDER.sub("", w) for w in words.split() if not STATE.search(w)) if AROUND.search(w)]
+    return 2 if any(map(BESIDE.search, found)) else 1 if found else 0
+
+
+def _inherited(page: Page, least: int) -> list[bool]:
+    """Of every element, whether it is at or below a mark of ``least`` or more."""
+    out: list[bool] = []
+    for m, above in zip(page.mark, page.parent):
+        out.append(m >= least or above >= 0 and out[above])
+    return out
+
+
+def _skip(page: Page) -> None:
+    """Set ``skip``.  A layout word on a wrapper does not count: when every
+    article or main with text is below such words, those around the longest
+    one go, and so do those of a path that holds the bulk of the running text.
+    Words of BESIDE go only around an article on a page without other text."""
+    if not {1, 2} & set(page.mark):
+        page.skip = _inherited(page, 1)
+        return
+    n = len(page.tag)
+    size, prose, linked, running = [0] * n, [0] * n, [False] * n, [False] * n
+    for k in range(1, n):
+        above, tag = page.parent[k], page.tag[k]
+        linked[k] = tag == "a" or linked[above]
+        running[k] = tag in PROSE or tag not in CONTAINER and running[above]
+    for k, t in page.text:
+        if t and (length := len(t.strip())):
+            size[k] += length
+            if running[k] and not linked[k]:
+                prose[k] += length
+
+    def below(lengths: list[int], hidden: list[bool]) -> list[int]:
+        """Length of the text below every element, without what is hidden."""
+        sums = [0]
+        for k in range(n):
+            sums.append(sums[-1] + (0 if hidden[k] else lengths[k]))
+        return [sums[page.end[k]] - sums[k] for k in range(n)]
+
+    def lift(around: int, most: int) -> None:
+        paths = set()
+        while (around := page.parent[around]) > 0:
+            if 0 < page.mark[around] <= most:
+                paths.add(page.path[around])
+        for k in range(n):
+            if page.path[k] in paths and page.mark[k] <= most:
+                page.mark[k] = 0
+
+    articles = [k for k in range(n) if page.tag[k] in ("article", "main")]
+    hidden = _inherited(page, 2)
+    whole, shown = below(size, hidden), below(size, _inherited(page, 1))
+    if not any(shown[k] for k in articles):
+        best = max(articles, key=lambda k: whole[k], default=0)
+        if whole[best]:
+            lift(best, 1)
+    # beside an article or main, only what is in it can be a layout of the text
+    skip, inside = _inherited(page, 1), [False] * n
+    for k in range(1, n):
+        inside[k] = inside[page.parent[k]] or page.tag[k] in ("article", "main") and not skip[k] and whole[k] > 0
+    bulk = below(prose, [h or not i for h, i in zip(hidden, inside)] if any(inside) else hidden)
+    while True:
+        skip, held = _inherited(page, 1), {}
+        for k in range(1, n):
+            if page.mark[k] == 1 and not skip[page.parent[k]]:
+                held[page.path[k]] = held.get(page.path[k], 0) + bulk[k]
+        top = max(held, key=lambda p: held[p], default=None)
+        if top is None or held[top] <= BULK * bulk[0]:
+            break
+        for k in range(n):
+            if page.path[k] == top and page.mark[k] == 1:
+                page.mark[k] = 0
+    if articles and not below(size, _inherited(page, 1))[0]:
+        text = below(size, _inherited(page, 3))
+        best = max(articles, key=lambda k: text[k])
+        if text[best]:
+            lift(best, 2)
+    page.skip = _inherited(page, 1)
+
+
 def _open(page: Page, stack: list[int], name: str, attributes: str, above: str) -> int:
-    skip, key = name in SKIP, name
+    mark, key = 3 if name in SKIP else 0, name
     if attributes and "=" in attributes:
         found = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(attributes)}
-        words = " ".join(found.values())
-        skip = skip or name not in ("html", "body", "article", "main") and bool(AROUND.search(words))
+        if not mark and name not in ("html", "body", "article", "main"):
+            mark = _mark(" ".join(found.values()))
         if marks := sorted(set(re.sub(r"\d+", "#", w) for w in found.get("class", "").lower().split())):
             key += "." + ".".join(marks[:4])
     page.parent.append(stack[-1] if stack else -1)
     page.tag.append(name)
     page.path.append(f"{above}/{key}" if len(stack) <= MAX_DEPTH else above)
-    page.skip.append(skip or bool(stack) and page.skip[stack[-1]])
+    page.mark.append(mark)
     page.end.append(0)
     return len(page.tag) - 1
 

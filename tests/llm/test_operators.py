@@ -392,6 +392,19 @@ def test_main_text(around):
     assert htmltext.main_text(page, []) == WANT
 
 
+@pytest.mark.parametrize("around", [
+    *(f'<div class="{c}">{{}}<div class="sidebar"><p>Side</p></div></div>' for c in ("content no-sidebar", "main-content with-comments", "has_widgets")),
+    *(f'<div class="{c}"><article>{{}}</article><div class="widget">Side</div></div>' for c in ("layout has-sidebar", "sidebar-right", "page-header-wrap")),
+    '<div class="elementor-widget-container">{}</div><div class="elementor-widget-nav-menu"><p>Menu</p></div>',
+    '<div id="widget-area">{}</div><div class="comments"><p>' + "A reader says more than the article. " * 20 + "</p></div>",
+    '<div class="share-layout"><article>{}<div class="related"><article><p>Card</p></article></div></article></div>',
+    '<main>{}</main><div class="sidebar"><article><p>' + "A long card in the sidebar. " * 20 + "</p></article></div>",
+    '<div class="feedback-page"><article>{}</article></div>',
+])
+def test_layout_words_on_wrappers(around):
+    assert htmltext.main_text(f"<body><nav>Menu</nav>{around.format(ARTICLE)}<footer>Foot</footer></body>", []) == WANT
+
+
 def test_host_consensus(spark):
     good = '<body><div class="story-{}"><p>{}</p></div><div class="list"><p>{}</p></div></body>'
     rows = [(i, f"https://Host.example:80/{i}", good.format(i, "main text of the page " * 9, "x")) for i in range(6)]
