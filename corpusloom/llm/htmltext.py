@@ -228,8 +228,9 @@ def _close(page: Page, stack: list[int], names: set[str], barrier) -> None:
 
 
 def best_container(page: Page) -> tuple[int, float]:
-    """Element of the highest score: a paragraph's length, less what is in
-    links, counts for its container, and half for the next one."""
+    """Element of the highest score, widened to its article: a paragraph's
+    length, less what is in links, counts for its container, and half for the
+    next one."""
     n = len(page.tag)
     length, linked, in_link = [0] * n, [0] * n, [False] * n
     for k in range(1, n):
@@ -256,7 +257,35 @@ def best_container(page: Page) -> tuple[int, float]:
         if page.tag[k] in ("article", "main") or LIKELY.search(page.path[k].rpartition("/")[2].partition(".")[2]):
             score[k] *= 1.3
     best = max(range(n), key=lambda k: (score[k], -k))
-    return best, score[best]
+    return _widened(page, best, length, linked), score[best]
+
+
+def _widened(page: Page, best: int, length: list[int], linked: list[int]) -> int:
+    """The nearest article or main around ``best``; without any, the outermost
+    container below the body to which each step up adds text that is not
+    mostly links."""
+    above = best
+    while above > 0:
+        if page.tag[above] in ("article", "main"):
+            return above
+        above = page.parent[above]
+    if page.tag[best] in ("body", "html", "#root"):
+        return best
+    text, links = [0], [0]
+    for a, b in zip(length, linked):
+        text.append(text[-1] + a)
+        links.append(links[-1] + b)
+    inner, above = best, page.parent[best]
+    while above > 0 and page.tag[above] not in ("body", "html"):
+        if page.tag[above] in CONTAINER:
+            more, of_links = (x[page.end[above]] - x[above] - x[page.end[inner]] + x[inner] for x in (text, links))
+            if 2 * of_links > more:
+                break
+            inner = above
+            if more:
+                best = above
+        above = page.parent[above]
+    return best
 
 
 def text_below(page: Page, path: str) -> str:

@@ -405,6 +405,24 @@ def test_layout_words_on_wrappers(around):
     assert htmltext.main_text(f"<body><nav>Menu</nav>{around.format(ARTICLE)}<footer>Foot</footer></body>", []) == WANT
 
 
+BODY = "<p>" + "The body of the article is much longer than its lead. " * 12 + "</p>"
+
+
+@pytest.mark.parametrize("page", [
+    '<article><h1>Title</h1><p class="lead">Lead.</p><div class="entry-content">{}</div></article><div class="x"><p>Beside</p></div>',
+    '<main><h1>Title</h1><div><p>Lead.</p></div><div class="text"><div class="inner">{}</div></div></main>',
+    '<article><section class="intro"><h1>Title</h1><p>Lead.</p></section><section class="long">{}</section></article>',
+    '<div class="post"><h1>Title</h1><p>Lead.</p><div class="entry-content">{}</div></div><div class="list"><p>Beside</p></div>',
+    '<div class="wrap"><div class="post"><h1>Title</h1><p>Lead.</p><div class="story">{}</div></div><div class="list"><a href="/1">One more</a> <a href="/2">Two</a></div></div>',
+])
+def test_nested_and_sectioned_articles(spark, page):
+    html_ = f"<body><nav>Menu</nav>{page.format(BODY)}<footer>Foot</footer></body>"
+    want = "Title Lead. " + BODY[3:-4].strip()
+    assert htmltext.main_text(html_, []) == want
+    table = spark.createDataFrame([(i, f"https://a.example/{i}", html_) for i in range(3)], "page_id long, url string, html string")
+    assert {r["text"] for r in htmltext.extract(table).collect()} == {want}
+
+
 def test_host_consensus(spark):
     good = '<body><div class="story-{}"><p>{}</p></div><div class="list"><p>{}</p></div></body>'
     rows = [(i, f"https://Host.example:80/{i}", good.format(i, "main text of the page " * 9, "x")) for i in range(6)]
