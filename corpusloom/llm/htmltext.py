@@ -15,7 +15,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import arrow_schema
@@ -54,6 +54,8 @@ PROSE, BULK = {"p", "pre", "blockquote", "dd", "figcaption"}, 2 / 3
 LIKELY = re.compile(r"article|body|content|entry|main|page|post|story|text", re.I)
 MAX_DEPTH = 64
 VOTES = 3
+#: Shares of a host's paths that are ranked apart.
+SHARES = 256
 
 
 @dataclass
@@ -349,7 +351,9 @@ def host_paths(pages: DataFrame, host: str = "host", html_col: str = "html") ->
     votes = (pages.where(F.length(html_col) > 0).select(host, html_col).mapInArrow(vote, schema)
              .groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(F.log1p("score")).alias("score")))
     ranked = votes.select("host", F.struct("n", F.round("score", 6).alias("score"), "path").alias("v"))
-    # paths of one host are few (generalised); the best are kept by an aggregate, not a window
+    # class names can make about one path a page: the best of each share of a host's paths, then those of the host
+    share = Window.partitionBy("host", F.pmod(F.xxhash64("v.path"), F.lit(SHARES))).orderBy(F.desc("v"))
+    ranked = ranked.withColumn("place", F.row_number().over(share)).where(F.col("place") <= VOTES)
     return (ranked.groupBy("host").agg(F.expr(f"slice(reverse(array_sort(collect_list(v))), 1, {VOTES})").alias("v"))
             .select("host", F.col("v.path").alias("paths")))
 

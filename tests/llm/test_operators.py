@@ -436,6 +436,16 @@ def test_host_consensus(spark):
     assert htmltext.extract(table.limit(0)).count() == 0
 
 
+def test_host_paths_of_many_classes(spark, monkeypatch):
+    monkeypatch.setattr(htmltext, "SHARES", 7)
+    names = ["rare" + chr(97 + i // 26) + chr(97 + i % 26) for i in range(200)] + ["often"] * 9 + ["next"] * 5 + ["third"] * 3
+    rows = [(h, f'<div class="{c}"><p>Some text of the page.</p></div>') for h in ("", "a.example") for c in names]
+    got = htmltext.host_paths(spark.createDataFrame(rows, "host string, html string"))
+    assert {(r["host"], tuple(r["paths"])) for r in got.collect()} == {(h, tuple(f"/#root/div.{c}" for c in ("often", "next", "third"))) for h in ("", "a.example")}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" in plan  # ranked before any host's paths are gathered
+
+
 def test_pages_of_the_table(spark):
     d = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     for r in htmltext.extract(d).join(d.select("page_id", "html"), "page_id").collect():
