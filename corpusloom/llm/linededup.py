@@ -32,6 +32,10 @@ from corpusloom.llm.common import components, free_names, save, shared_dir
 MIN_CHARS = 32
 #: Lines that may share an index key before it is refined.
 SHARE = 16
+#: Edits by length, for jobs not tied to one distance: (edits, from so many characters).
+EDITS = ((1, 8), (2, 64))
+#: White space of Unicode besides the line feed.
+WHITE = " \t\r\v\f\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 
 def row_key(text_col: str) -> Column:
@@ -43,12 +47,12 @@ def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", white: str = " ") -> DataFrame:
     """``doc_id``, ``row``, ``pos`` and trimmed ``line`` of every line that is not blank."""
     base = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), row_key(text_col).alias("row"),
                        lines_of(F.col(f"`{text_col}`").cast("string")).alias("lines"))
     cut = base.select("doc_id", "row", F.posexplode("lines").alias("pos", "raw"))
-    return cut.select("doc_id", "row", "pos", F.trim("raw").alias("line")).where("line <> ''")
+    return cut.select("doc_id", "row", "pos", F.trim(F.col("raw"), F.lit(white)).alias("line")).where("line <> ''")
 
 
 def store_lines(lines: DataFrame, path: str) -> DataFrame:
@@ -205,16 +209,20 @@ def _pairs(index: DataFrame, probe: DataFrame) -> DataFrame:
 
 
 def line_classes(docs: DataFrame, threshold: int = 1, min_chars: int = MIN_CHARS, id_col: str = "doc_id",
-                 text_col: str = "text", share: int = SHARE) -> DataFrame:
+                 text_col: str = "text", share: int = SHARE, edits=None, white: str = " ") -> DataFrame:
     """``doc_id``, ``row``, ``pos``, ``keep`` of every line that is not blank:
     whether it is the first of its class.
 
+    ``edits`` lists (edits, least length of the shorter line) and stands for
+    ``threshold`` and ``min_chars``; lines are compared without the characters
+    of ``white`` around them.
     A null id comes after all others.  Repeated rows (equal id and text) are
     one document here."""
     folder = shared_dir(docs.sparkSession, "lines")
-    lines = occurrences(docs, id_col, text_col)
-    stored = store_lines(lines.where(F.char_length("line") >= min_chars), f"{folder}/lines")
-    labels = components(line_links(stored, folder, threshold, min_chars, share))
+    lines, edits = occurrences(docs, id_col, text_col, white), edits or [(threshold, min_chars)]
+    stored = store_lines(lines.where(F.char_length("line") >= min(least for _, least in edits)), f"{folder}/lines")
+    links = [line_links(stored.where(F.char_length("line") >= least), f"{folder}/{t}-{least}", t, least, share) for t, least in edits]
+    labels = components(functools.reduce(DataFrame.unionAll, links))
     narrow = lines.select("doc_id", "row", "pos", F.xxhash64("line").alias("h"), F.xxhash64("line", F.lit(1)).alias("h2"))
     # an unlinked line is told by 128 bits, a linked one by its component
     linked = labels.unionAll(labels.select(F.col("component").alias("node"), "component")).distinct().withColumnRenamed("node", "h")
@@ -227,10 +235,10 @@ def line_classes(docs: DataFrame, threshold: int = 1, min_chars: int = MIN_CHARS
 
 
 def removed_lines(docs: DataFrame, threshold: int = 1, min_chars: int = MIN_CHARS, id_col: str = "doc_id",
-                  text_col: str = "text", share: int = SHARE) -> DataFrame:
+                  text_col: str = "text", share: int = SHARE, edits=None, white: str = " ") -> DataFrame:
     """``doc_id``, ``row`` and the positions ``removed`` of the lines that go,
     for the documents that lose any."""
-    gone = line_classes(docs, threshold, min_chars, id_col, text_col, share).where("not keep")
+    gone = line_classes(docs, threshold, min_chars, id_col, text_col, share, edits, white).where("not keep")
     return gone.groupBy("doc_id", "row").agg(F.array_sort(F.collect_set("pos")).alias("removed"))
 
 
@@ -253,18 +261,18 @@ def report(docs: DataFrame, threshold: int = 1, min_chars: int = MIN_CHARS, id_c
 
 
 def remove_lines(docs: DataFrame, threshold: int = 1, min_chars: int = MIN_CHARS, id_col: str = "doc_id",
-                 text_col: str = "text", share: int = SHARE) -> DataFrame:
+                 text_col: str = "text", share: int = SHARE, edits=None, white: str = " ") -> DataFrame:
     """``docs`` without the lines that ``line_classes`` rejects, and without
     the documents of which only blank lines are left; texts that had no line
     before stay as they are.  An ``n_chars`` column follows the new text."""
     id_, row, gone, lines = free_names(docs, "_id", "_row", "_removed", "_lines")
-    removed = removed_lines(docs, threshold, min_chars, id_col, text_col, share).select(
+    removed = removed_lines(docs, threshold, min_chars, id_col, text_col, share, edits, white).select(
         F.col("doc_id").alias(id_), F.col("row").alias(row), F.col("removed").alias(gone))
     joined = docs.join(removed, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(id_)) & (row_key(text_col) == F.col(row)), "left")
     kept = F.filter(F.transform(lines_of(F.col(f"`{text_col}`")), lambda x, i: F.struct(x.alias("x"), i.alias("i"))),
                     lambda z: ~F.array_contains(F.col(gone), z["i"]))
     joined = joined.withColumn(lines, F.when(F.col(gone).isNotNull(), F.transform(kept, lambda z: z["x"])))
-    joined = joined.where(F.col(lines).isNull() | F.exists(lines, lambda x: F.trim(x) != ""))
+    joined = joined.where(F.col(lines).isNull() | F.exists(lines, lambda x: F.trim(x, F.lit(white)) != ""))
     text = F.coalesce(F.array_join(lines, "\n"), F.col(f"`{text_col}`"))
     size = F.when(F.col(lines).isNotNull(), F.char_length(text).cast("long"))
     cols = []

@@ -9,6 +9,7 @@ import random
 import re
 import zlib
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pytest
@@ -246,6 +247,15 @@ def test_lines_removed_and_odd(spark):
     assert linededup.report(docs(spark, [])).count() == 0 and linededup.remove_lines(docs(spark, [])).count() == 0
 
 
+def test_pipeline_lines_by_length(spark):
+    page = "The annual report of the society, page {} of {}, all rights reserved by it"
+    lines = ["Subscribe to our newsletter!", "Subscribe to our newsletter", "Read more", "Read more\r", "\tRead more\xa0", page.format(12, 30), page.format(13, 31),
+             "Item 1", "Item 2", "Page 12 of 30", "Page 23 of 31"]
+    left = corpus_pipeline.distinct_lines(spark, docs(spark, [(i, f"own {'abcdefghijk'[i] * 9}\n{x}") for i, x in enumerate(lines)], CLASH), "")
+    assert [r["doc_id"] for r in left.orderBy("doc_id").collect() if "\n" in r["text"]] == [0, 2, 5, 7, 8, 9, 10]
+    assert linededup.EDITS == ((1, 8), (2, 64))
+
+
 # --- language ----------------------------------------------------------------------
 
 def test_language_held_out(spark):
