@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import ann, bpe, exactdedup, htmltext, langid, linededup, mixing, ngramjoin, tokenfiles, warc
+from corpusloom.llm import ann, bpe, convrepair, exactdedup, htmltext, kmeans, langid, linededup, mixing, ngramjoin, tokenfiles, warc
 from corpusloom.sources.tables import load_table
 
 
@@ -67,8 +67,42 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdedup.exact_groups(load_table(spark, sf_dir, "documents"))
 
 
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest edits and digest of every repaired conversation."""
+    return convrepair.digests(convrepair.repair(convrepair.damaged(load_table(spark, sf_dir, "conversations"))))
+
+
+def op13_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten rounds of eight integer centroids over ``embeddings``."""
+    return kmeans.cluster(load_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (op1_warc, op2_bpe, op3_nearest, op4_line_dedup, op5_language, op6_ngram_join, op7_mixing,
-                                   op8_token_files, op9_html_text, op10_exact_dedup)}
+                                   op8_token_files, op9_html_text, op10_exact_dedup, op12_repair, op13_clusters)}
+
+def _clusters_sql(rounds: int = 10) -> str:
+    """SQL of ``op13_clusters``, one pair of expressions a round."""
+    text = """
+        WITH v AS MATERIALIZED (
+          SELECT row_number() OVER () AS rid, vec_id, [floor(1024 * x::DOUBLE)::BIGINT FOR x IN embedding] AS q FROM embeddings
+          WHERE len(embedding) = 64 AND len([x FOR x IN embedding IF x IS NOT NULL AND isfinite(x)]) = 64),
+        m0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id), q) - 1 AS c, q AS m FROM v
+          WHERE vec_id IS NOT NULL QUALIFY c < 8)"""
+    for r in range(rounds + 1):
+        text += f""",
+        a{r} AS MATERIALIZED (SELECT rid, vec_id, q, arg_min(c, [d, c]) AS c, min(d) AS d FROM (
+          SELECT rid, vec_id, q, c, list_sum([(q[i] - m[i]) * (q[i] - m[i]) FOR i IN range(1, 65)])::BIGINT AS d FROM v, m{r})
+          GROUP BY rid, vec_id, q)"""
+        if r < rounds:
+            text += f""",
+        m{r + 1} AS MATERIALIZED (SELECT c, coalesce(n, m) AS m FROM m{r} LEFT JOIN (
+          SELECT c, list(((s - ((s % k) + k) % k) // k)::BIGINT ORDER BY i) AS n FROM (
+            SELECT c, i, sum(q[i]) AS s, count(*) AS k FROM a{r}, range(1, 65) t(i) GROUP BY c, i) GROUP BY c) USING (c))"""
+    return text + f"""
+        SELECT vec_id, c::INT AS cluster, d AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia,
+          (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(m, ',')) AS centroid_sha256
+        FROM a{rounds} JOIN m{rounds} USING (c)"""
+
 
 ORACLE_SQL = {
     "op1_warc": """
@@ -132,4 +166,56 @@ ORACLE_SQL = {
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
         g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM d JOIN g USING (t)""",
+    "op12_repair": """
+        WITH RECURSIVE
+        bits(i, k, v) AS (SELECT i, 0, i FROM range(256) t(i) UNION ALL
+          SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM bits WHERE k < 8),
+        crc AS (SELECT list(v ORDER BY i) AS tab FROM bits WHERE k = 8),
+        src AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+          coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+        hit AS (SELECT conv_id, turn, role, text, xor(4294967295, list_reduce([ascii(x) FOR x IN string_split(key, '')],
+          lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1]), 4294967295)) % 20 AS kind FROM src, crc),
+        rows_ AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+            CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+            unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM hit),
+        bare AS (SELECT *, rtrim(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') AS t,
+            row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i FROM rows_),
+        item AS (SELECT *, CASE WHEN t = '' THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd'
+            WHEN right(t, 1) IN ('.', '!', '?') THEN 'k' ELSE 't' END AS fault,
+            lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS pair FROM bare),
+        told AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank,
+            count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+            count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM item GROUP BY conv_id),
+        step(st, role, nx) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+        put(st, role, nx) AS (VALUES (0, 'user', 2), (1, 'user', 2), (2, 'assistant', 3), (3, 'user', 2)),
+        edit(e) AS (VALUES ('K'), ('R'), ('D')),
+        way(conv_id, i, st, cost, audit, rep) AS (
+          SELECT conv_id, 0::BIGINT, 0, 0, '', []::VARCHAR[] FROM told
+          UNION ALL
+          SELECT conv_id, i, st, cost, audit, rep FROM (
+            SELECT w.conv_id, w.i + 1 AS i,
+              CASE e WHEN 'D' THEN w.st WHEN 'K' THEN s.nx ELSE p.nx END AS st,
+              w.cost + CASE e WHEN 'D' THEN 4 WHEN 'K' THEN 0 ELSE 3 END + CASE WHEN e <> 'D' AND fault = 't' THEN 3 ELSE 0 END AS cost,
+              w.audit || e AS audit,
+              CASE e WHEN 'D' THEN w.rep WHEN 'K' THEN list_append(w.rep, x.role || ':' || x.text)
+                ELSE list_append(w.rep, p.role || ':' || x.text) END AS rep
+            FROM (SELECT conv_id, i, st, cost, audit, rep FROM way
+                  UNION ALL SELECT conv_id, i, nx, cost + 3, audit || 'I', list_append(rep, role || ':') FROM way JOIN put USING (st)) w
+            JOIN item x ON w.conv_id IS NOT DISTINCT FROM x.conv_id AND x.i = w.i + 1
+            JOIN put p ON p.st = w.st
+            CROSS JOIN edit
+            LEFT JOIN step s ON s.st = w.st AND s.role = left(x.role, 1)
+            WHERE e = 'D' OR (fault IN ('k', 't') AND (e = 'R' OR s.nx IS NOT NULL)))
+          QUALIFY row_number() OVER (PARTITION BY conv_id, st ORDER BY cost, audit) = 1),
+        fin AS (SELECT conv_id, cost, audit, rep FROM (
+            SELECT w.* FROM way w JOIN told t ON w.conv_id IS NOT DISTINCT FROM t.conv_id AND w.i = t.n
+            UNION ALL SELECT conv_id, i, nx, cost + 3, audit || 'I', list_append(rep, role || ':') FROM (
+              SELECT w.* FROM way w JOIN told t ON w.conv_id IS NOT DISTINCT FROM t.conv_id AND w.i = t.n) JOIN put USING (st))
+          WHERE st IN (0, 3) QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY cost, audit) = 1)
+        SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+          coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit,
+          sha256(coalesce(array_to_string(rep, chr(10)), '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) c
+        LEFT JOIN told t ON c.conv_id IS NOT DISTINCT FROM t.conv_id LEFT JOIN fin f ON c.conv_id IS NOT DISTINCT FROM f.conv_id""",
+    "op13_clusters": _clusters_sql(),
 }
