@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corpusloom.llm import ann, bpe, convrepair, exactdedup, htmltext, kmeans, langid, linededup, mixing, ngramjoin, tokenfiles, warc
+from corpusloom.llm import (ann, bpe, convrepair, exactdedup, htmltext, kmeans, langid, linededup, mixing, ngramjoin, suffixdedup,
+                            tokenfiles, warc)
 from corpusloom.sources.tables import load_table
 
 
@@ -67,6 +69,12 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdedup.exact_groups(load_table(spark, sf_dir, "documents"))
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of ``documents`` in strings of 200 bytes that occur again anywhere."""
+    return suffixdedup.remove_repeats(load_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Faults, cheapest edits and digest of every repaired conversation."""
     return convrepair.digests(convrepair.repair(convrepair.damaged(load_table(spark, sf_dir, "conversations"))))
@@ -78,7 +86,8 @@ def op13_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_warc, op2_bpe, op3_nearest, op4_line_dedup, op5_language, op6_ngram_join, op7_mixing,
-                                   op8_token_files, op9_html_text, op10_exact_dedup, op12_repair, op13_clusters)}
+                                   op8_token_files, op9_html_text, op10_exact_dedup, op11_suffix_dedup,
+                                   op12_repair, op13_clusters)}
 
 def _clusters_sql(rounds: int = 10) -> str:
     """SQL of ``op13_clusters``, one pair of expressions a round."""
@@ -166,6 +175,18 @@ ORACLE_SQL = {
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
         g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM d JOIN g USING (t)""",
+    "op11_suffix_dedup": """
+        WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+        w AS (SELECT rid, s, b[s + 1:s + 200] AS t FROM (SELECT rid, b, unnest(range(octet_length(b) - 199)) AS s FROM d WHERE octet_length(b) >= 200)),
+        twice AS (SELECT rid, s FROM (SELECT rid, s, count(*) OVER (PARTITION BY t) AS n FROM w) WHERE n > 1),
+        edge AS (SELECT *, s > lag(s) OVER (PARTITION BY rid ORDER BY s) + 200 IS NOT FALSE AS fresh FROM twice),
+        isle AS (SELECT rid, s, sum((coalesce(fresh, true))::INT) OVER (PARTITION BY rid ORDER BY s) AS k FROM edge),
+        span AS (SELECT rid, k, min(s) AS a, max(s) + 200 AS z FROM isle GROUP BY rid, k),
+        per AS (SELECT rid, count(*) AS n_spans, sum(z - a)::BIGINT AS n_removed, list([a, z] ORDER BY a) AS sp FROM span GROUP BY rid)
+        SELECT doc_id, octet_length(b) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+          sha256(CASE WHEN sp IS NULL THEN b ELSE list_reduce([b[(CASE WHEN i = 0 THEN 0 ELSE sp[i][2] END) + 1:
+             CASE WHEN i = len(sp) THEN octet_length(b) ELSE sp[i + 1][1] END] FOR i IN range(len(sp) + 1)], lambda x, y: x || y) END) AS kept_sha256
+        FROM d LEFT JOIN per USING (rid)""",
     "op12_repair": """
         WITH RECURSIVE
         bits(i, k, v) AS (SELECT i, 0, i FROM range(256) t(i) UNION ALL

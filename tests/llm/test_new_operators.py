@@ -1,17 +1,18 @@
-"""Conversation repair and centroid clustering against brute force, and their odd inputs."""
+"""Suffix dedup, conversation repair and centroid clustering against brute force, and their odd inputs."""
 
 import hashlib
 import heapq
 import math
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.llm import convrepair, kmeans
+from corpusloom.llm import convrepair, kmeans, suffixdedup
 
 # --- conversation repair ------------------------------------------------------
 
@@ -163,3 +164,92 @@ def test_simplex_bounds_hold():
     assert (low <= true + 1e-3).all() and (true <= high + 1e-3).all()
     assert simplex.candidates(a, a[:40])[np.arange(400), true.argmin(1)].all()
     assert simplex.candidates(a, a[:5]).sum(1).max() < 5  # exact for centroids among the pivots
+
+
+# --- suffix dedup -----------------------------------------------------------------
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def removed_by_hand(texts, length):
+    """(bytes, removed, spans, kept) of each text."""
+    bodies = [(t or "").encode() for t in texts]
+    count, out = Counter(b[i:i + length] for b in bodies for i in range(len(b) - length + 1)), []
+    for b in bodies:
+        gone = np.zeros(len(b) + 2, bool)
+        for i in range(len(b) - length + 1):
+            if count[b[i:i + length]] > 1:
+                gone[i + 1:i + 1 + length] = True
+        spans = np.flatnonzero(gone[1:] != gone[:-1]).reshape(-1, 2)
+        out.append((len(b), int(gone.sum()), [tuple(map(int, s)) for s in spans], bytes(x for x, g in zip(b, gone[1:]) if not g)))
+    return out
+
+
+@pytest.mark.parametrize("length", [1, 6, 7, 13, 20])
+def test_merged_transforms(length):
+    r = random.Random(length)
+    for alphabet in (b"ab", b"abc\x00\xff", bytes(range(256))):
+        base, texts = bytes(r.choices(alphabet, k=60)), []
+        for _ in range(40):
+            at = r.randint(0, 50)
+            texts.append(bytes(r.choices(alphabet, k=r.randint(0, 30))) + base[at:at + r.randint(0, 40)] + bytes(r.choices(alphabet, k=5)))
+        count = Counter(t[i:i + length] for t in texts for i in range(len(t) - length + 1))
+        for shard in (1, 100, 10**6):
+            got = suffixdedup.repeated_windows(texts, length, shard)
+            for flags, t in zip(got, texts):
+                want = [count[t[i:i + length]] > 1 for i in range(len(t) - length + 1)]
+                assert flags[:len(want)].tolist() == want and not flags[len(want):].any()
+
+
+def test_merge_gives_common_prefixes():
+    shards = [suffixdedup.Shard([b"banana", b"bandana"]), suffixdedup.Shard([b"ananas"])]
+    who, rank, common = suffixdedup.merge(shards, 14)
+    suffixes = []
+    for k, j in zip(who, rank):
+        s = shards[k]
+        p = int(s.order[j])
+        suffixes.append(bytes((s.symbols[p:p + s.left[p]] - np.uint64(1)).astype(np.uint8)))
+    assert suffixes == sorted(suffixes) and len(suffixes) == 22
+    assert common.tolist() == [0] + [14 if a == b else 0 if a[:7] != b[:7] else 7 for a, b in zip(suffixes, suffixes[1:])]
+
+
+@pytest.mark.parametrize("options", [{}, {"group": 1}, {"merge_size": 50, "shard": 40}])
+def test_remove_repeats(spark, options):
+    r = random.Random(7)
+    words = ["".join(r.choices("abcdeé", k=r.randint(1, 6))) for _ in range(60)]
+    shared = [" ".join(r.choices(words, k=30)) for _ in range(4)]
+    texts = [" ".join(r.choices(words, k=r.randint(0, 40))) + " " + r.choice(shared)[r.randint(0, 40):] + r.choice(["", "xy", " é"])
+             for _ in range(60)]
+    texts += texts[:5] * 3 + [None, "", "short", "ab" * 200, "a" * 500, "日本" * 40, "x" * 24, "y" * 23]
+    rows = [(i // 2 if i % 9 else None, t, None, None, 0) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, DOCS).withColumn("tid", F.lit(1)).withColumn("body", F.lit("x")).withColumn("anchor", F.lit(1))
+    got = suffixdedup.remove_repeats(df, length=24, gram=8, **options).collect()
+    have = Counter((g["doc_id"], g["n_bytes"], g["n_removed"], tuple(map(tuple, g["spans"])), bytes(g["kept"])) for g in got)
+    assert have == Counter((i, a, b, tuple(c), d) for (i, *_), (a, b, c, d) in zip(rows, removed_by_hand(texts, 24)))
+
+
+def test_remove_repeats_odd(spark):
+    assert suffixdedup.remove_repeats(spark.createDataFrame([], DOCS)).count() == 0
+    long = "".join(random.Random(1).choices("abcdefgh \n", k=400_000))
+    got = suffixdedup.remove_repeats(spark.createDataFrame([(1, long, "", "", 0), (2, long[1000:1200], "", "", 0), (3, long[5000:5199], "", "", 0)],
+                                                           DOCS)).orderBy("doc_id").collect()
+    assert [(g["n_bytes"], g["n_removed"], len(g["spans"])) for g in got] == [(400_000, 200, 1), (200, 200, 1), (199, 0, 0)]
+
+
+@pytest.mark.parametrize("block", [64, 1000, 1 << 23])
+def test_pieces_do_not_depend_on_blocks(monkeypatch, block):
+    """The pieces of long texts partition their windows, and equal windows share anchor and place."""
+    monkeypatch.setattr(suffixdedup, "BLOCK_TEXT", block)
+    r = random.Random(3)
+    texts = [bytes(r.choices(b"abcd", k=n)) for n in (0, 10, 31, 32, 500, 2000)] + [b"ab" * 700]
+    texts.append(texts[5][100:900])
+    batch = pa.record_batch({"tid": pa.array(range(len(texts))), "body": pa.array(texts, pa.binary())})
+    windows = defaultdict(set)
+    starts = Counter()
+    for out in suffixdedup.occurrences(iter([batch]), 32, 8):
+        for g, _, tid, at in zip(*(c.to_pylist() for c in out.columns)):
+            for s in range(at >> 16, (at >> 16) + (at & 0xFFFF)):
+                windows[texts[tid][s:s + 32]].add(g)
+                starts[tid, s] += 1
+    assert starts == {(t, s): 1 for t, b in enumerate(texts) for s in range(len(b) - 31)}
+    assert all(len(g) == 1 for g in windows.values())
