@@ -40,8 +40,6 @@ LENGTH, GRAM = 200, 64
 GROUP = 8192
 #: Symbols of a shard and of a merge (passed only by the last group in it).
 SHARD, MERGE = 1 << 15, 1 << 17
-#: Symbols that a refinement round adds; seven of nine bits fill a 64-bit key.
-BLOCK, BITS = 7, 9
 POSITION = 24
 BLOCK_TEXT = 1 << 23
 VALUES = random_values(256, 11)
@@ -122,24 +120,27 @@ class Shard:
         inside = np.ones(n, bool)
         inside[self.start + lens - 1] = False
         self.symbols[inside] = np.frombuffer(b"".join(texts), np.uint8).astype(U64) + U64(1)
+        #: Symbols that a refinement round adds: what fills a 64-bit key (the byte 255, foreign to UTF-8, needs a ninth bit).
+        self.bits = 9 if n and self.symbols.max() > 255 else 8
+        self.block_size = 64 // self.bits
         self.left = np.repeat(self.start + lens - 1, lens) - np.arange(n)  # symbols before the terminator
         self.offset = np.arange(n) - np.repeat(self.start, lens)
         self.order = self._sort()
 
-    def block(self, size: int) -> np.ndarray:
+    def block(self, size: int, bits: int) -> np.ndarray:
         """The next ``size`` symbols from each position as one number, zeros behind the terminator."""
         n, out = len(self.symbols), self.symbols
         for j in range(1, size):
             nxt = np.zeros(n, U64)
             if j < n:
                 nxt[:n - j] = np.where(self.left[:n - j] >= j, self.symbols[j:], U64(0))
-            out = out << U64(BITS) | nxt
+            out = out << U64(bits) | nxt
         return out
 
     def _sort(self) -> np.ndarray:
-        n, depth = len(self.symbols), BLOCK
+        n, depth = len(self.symbols), self.block_size
         half = max(1, n.bit_length())
-        key = self.block(BLOCK)
+        key = self.block(depth, self.bits)
         order = np.argsort(key, kind="stable")
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(np.concatenate([[0], key[order][1:] != key[order][:-1]]))
@@ -167,28 +168,28 @@ def merge(shards: list[Shard], length: int) -> tuple[np.ndarray, np.ndarray, np.
     Returns, in merged order, the shard of each suffix, its place in that
     shard's order, and the symbols (in whole rounds, ``length`` at most) that it
     shares with the suffix before it."""
-    n = sum(len(s.order) for s in shards)
-    who = np.repeat(np.arange(len(shards)), [len(s.order) for s in shards]).astype(np.uint8 if len(shards) < 256 else np.int64)
-    common, depth = np.full(n, length), 0
-    common[:1] = 0
-    sizes = ([length % BLOCK] if length % BLOCK else []) + [BLOCK] * (length // BLOCK)
+    n, block = sum(len(s.order) for s in shards), min(s.block_size for s in shards)
+    who = np.repeat(np.arange(len(shards), dtype=np.int32 if len(shards) > 255 else np.uint8), [len(s.order) for s in shards])
+    common, edge, depth = np.full(n, length, np.int32), np.zeros(n, bool), 0
+    common[:1], edge[:1] = 0, True
+    sizes = ([length % block] if length % block else []) + [block] * (length // block)
     rules = {size: _rule(shards, size) for size in set(sizes)}
+    read, rank, at = np.empty(n, np.int32), np.empty(n, U64), np.arange(n, dtype=U64)
+    follow, low = np.empty(n, np.int32), U64(0xFFFFFFFF)
     for size in sizes:
         before, ends, ends_who = rules[size]
-        group = np.cumsum(common < length)
-        place = np.argsort(who, kind="stable")
-        read = np.empty(n, np.int64)
-        read[place] = before  # the block before each suffix, -1 if its text begins there
-        has = np.flatnonzero(read >= 0)
-        rank = np.concatenate([ends, read[has]]).astype(U64)
-        packed = rank << U64(32) | np.arange(n, dtype=U64)
+        read[np.argsort(who, kind="stable")] = before  # the block before each suffix, -1 if its text begins there
+        has = read >= 0
+        rank[:len(ends)], rank[len(ends):] = ends, read[has]
+        follow[:len(ends)], follow[len(ends):] = -1, np.cumsum(edge, dtype=np.int32)[has]
+        who = np.concatenate([ends_who, who[has]])
+        packed = rank << U64(32) | at
         packed.sort()
-        at = (packed & U64(0xFFFFFFFF)).astype(np.int64)
-        block = (packed >> U64(32)).astype(np.int64)
-        follow = np.concatenate([np.full(len(ends), -1), group[has]])[at]
-        who = np.concatenate([ends_who, who[has]])[at]
-        part = np.concatenate([[True], (block[1:] != block[:-1]) | (follow[1:] != follow[:-1])])
-        common = np.where(part & (common == length), depth, common)
+        order = (packed & low).astype(np.int64)
+        who, after, packed = who[order], follow[order], packed >> U64(32)
+        part = (packed[1:] != packed[:-1]) | (after[1:] != after[:-1])
+        new = np.flatnonzero(part & ~edge[1:]) + 1
+        common[new], edge[new] = depth, True
         depth += size
     place = np.argsort(who, kind="stable")
     rank = np.empty(n, np.int64)
@@ -200,19 +201,20 @@ def _rule(shards: list[Shard], size: int) -> tuple[np.ndarray, np.ndarray, np.nd
     """What a round of ``size`` symbols reads: per suffix in shard order the rank
     of the block before it (-1 for none), and ranks and shards of the suffixes
     that end within a block, in their order."""
-    keys = [s.block(size) for s in shards]
+    bits = max(s.bits for s in shards)
+    keys = [s.block(size, bits) for s in shards]
     _, rank = np.unique(np.concatenate(keys), return_inverse=True)
     before, ends, at = [], [], 0
     for k, s in enumerate(shards):
-        mine = rank[at:at + len(s.order)]
+        mine = rank[at:at + len(s.order)].astype(np.int32)
         at += len(s.order)
         whole = s.offset[s.order] >= size
-        before.append(np.where(whole, mine[np.where(whole, s.order - size, 0)], -1))
+        before.append(np.where(whole, mine[np.where(whole, s.order - size, 0)], np.int32(-1)))
         short = s.order[s.left[s.order] < size]
-        ends.append(np.stack([mine[short], np.full(len(short), k)]))
+        ends.append(np.stack([mine[short], np.full(len(short), k, np.int32)]))
     ends = np.concatenate(ends, 1)
     ends = ends[:, np.argsort(ends[0], kind="stable")]
-    return np.concatenate(before), ends[0], ends[1].astype(np.uint8 if len(shards) < 256 else np.int64)
+    return np.concatenate(before), ends[0], ends[1].astype(np.int32 if len(shards) > 255 else np.uint8)
 
 
 def repeated_windows(texts: list[bytes], length: int, shard: int = SHARD) -> list[np.ndarray]:
@@ -340,19 +342,27 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, **options) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for doc, body, found in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "body", "found"))):
-                spans = []
-                for s, e in sorted((f["start"], f["end"]) for f in found or ()):
-                    if spans and s <= spans[-1][1]:
-                        spans[-1][1] = max(spans[-1][1], e)
-                    else:
-                        spans.append([s, e])
-                ends = [0, *(x for pair in spans for x in pair), len(body)]
-                kept = b"".join(body[a:b] for a, b in zip(ends[::2], ends[1::2]))
-                rows.append((doc, len(body), len(body) - len(kept), [{"start": s, "end": e} for s, e in spans], kept))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)] if rows else
-                                             [pa.array([], f.type) for f in schema], schema=schema)
+            bodies, found = batch.column("body").to_pylist(), batch.column("found")
+            off = found.offsets.to_numpy()
+            start, end = (found.values.field(k).to_numpy() for k in (0, 1))
+            row = np.repeat(np.arange(len(bodies)), np.diff(off))
+            start, end = start[off[0]:off[-1]], end[off[0]:off[-1]]
+            order = np.lexsort((start, row))
+            row, start, end = row[order], start[order], end[order]
+            # found spans come from runs of windows apart from each other: their ends rise with their starts
+            head = np.ones(len(row), bool)
+            head[1:] = (row[1:] != row[:-1]) | (start[1:] > end[:-1])
+            tail = np.append(head[1:], True)[:len(head)]
+            row, start, end = row[head], start[head], end[tail]
+            first = np.searchsorted(row, np.arange(len(bodies) + 1))
+            kept, pairs = list(bodies), np.stack([start, end], 1)
+            for k in np.unique(row).tolist():
+                edges = [0, *pairs[first[k]:first[k + 1]].ravel().tolist(), len(bodies[k])]
+                kept[k] = b"".join([bodies[k][i:j] for i, j in zip(edges[::2], edges[1::2])])
+            spans = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.StructArray.from_arrays([start, end], ["start", "end"]))
+            size, left = (np.array([len(b) for b in x], np.int64) for x in (bodies, kept))
+            cols = [batch.column("doc_id"), pa.array(size), pa.array(size - left), spans, pa.array(kept, pa.binary())]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, schema)], schema=schema)
 
     return repeated_spans(docs, length, **options).mapInArrow(
         run, "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary")
