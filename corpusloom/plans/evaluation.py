@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusloom.functions.arrays import argmax, array_max_or, decode_label, scores_excluding, softmax
+from corpusloom.functions.literal import parse_literal_list
 from corpusloom.functions.numbers import confidence_band
 from corpusloom.operators import evaluate as EV
 from corpusloom.operators import labels as L
@@ -130,6 +131,36 @@ def parse_printed_list(spark, sf_dir):
     return round_cols(r, ["max_score"])
 
 
+def parse_literal_cells(spark, sf_dir):
+    """F-17: predictions with words of the text, printed as Python literals with
+    both kinds of quotes, escapes, constants and line breaks in place of commas,
+    parsed back; every seventh cell is cut short and gives no element."""
+    p = _preds(spark, sf_dir)
+
+    def quoted(word, q):
+        w = F.replace(word, F.lit("\\"), F.lit("\\\\"))
+        w = F.replace(F.replace(w, F.lit(q), F.lit("\\" + q)), F.lit("\n"), F.lit("\\n"))
+        return F.concat(F.lit(q), w, F.lit(q))
+
+    def item(x, i):
+        word = F.concat(F.substring(F.col("text"), i * 9 + 1, F.lit(30)), F.lit("it's \"so\""))
+        return F.concat(F.lit("{'word': "), F.when(i % 2 == 0, quoted(word, "'")).otherwise(quoted(word, '"')),
+                        F.lit(", 'ok': "), F.when(x["score"] > 0.99, "True").otherwise("None"),
+                        F.lit(", 'span': ("), i.cast("string"), F.lit(", "), (i + 30).cast("string"), F.lit(",), 'score': "),
+                        x["score"].cast("string"), F.lit("}"))
+
+    printed = F.transform("predictions", item)
+    items = F.when(F.col("doc_id") % 2 == 0, F.array_join(printed, ",\n ")).otherwise(F.array_join(printed, "\n "))
+    cell = F.concat(F.lit("["), items, F.when(F.col("doc_id") % 7 == 3, "").otherwise("]"))
+    parsed = parse_literal_list(cell, "struct<word:string,ok:boolean,span:array<int>,score:double>")
+    r = p.select("doc_id", parsed.alias("p")).select(
+        "doc_id", F.size("p").alias("n_parsed"), F.array_join("p.word", "|").alias("words"),
+        F.size(F.filter("p", lambda x: x["ok"])).alias("n_ok"), F.size(F.filter("p", lambda x: x["ok"].isNull())).alias("n_none"),
+        F.aggregate("p", F.lit(0), lambda a, x: a + x["span"][1]).alias("span_ends"),
+        F.array_max(F.transform("p", lambda x: x["score"])).alias("max_score"))
+    return round_cols(r, ["max_score"])
+
+
 def label_id_roundtrip(spark, sf_dir):
     """F-16: quantile labels encoded to ids and decoded back."""
     from corpusloom.functions.arrays import encode_label

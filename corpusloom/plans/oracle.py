@@ -586,6 +586,15 @@ SELECT doc_id, CAST(len(predictions) AS INTEGER) AS n_parsed,
   {r9('list_max(list_transform(predictions, lambda x: x.score))')} AS max_score,
   CAST(len(list_filter(predictions, lambda x: x.entity_group = 'ESG')) AS INTEGER) AS n_esg FROM preds"""
 
+ORACLE["parse_literal_cells"] = f"""WITH {PREDS},
+e AS (SELECT doc_id, text, CASE WHEN doc_id % 7 = 3 THEN [] ELSE predictions END AS p FROM preds JOIN documents USING (doc_id))
+SELECT doc_id, CAST(len(p) AS INTEGER) AS n_parsed,
+  coalesce(array_to_string(list_transform(range(len(p)), lambda i: substr(text, i::INTEGER * 9 + 1, 30) || 'it''s "so"'), '|'), '') AS words,
+  CAST(len(list_filter(p, lambda x: x.score > 0.99)) AS INTEGER) AS n_ok,
+  CAST(len(list_filter(p, lambda x: x.score <= 0.99)) AS INTEGER) AS n_none,
+  CAST(coalesce(list_sum(list_transform(range(len(p)), lambda i: i + 30)), 0) AS INTEGER) AS span_ends,
+  {r9('list_max(list_transform(p, lambda x: x.score))')} AS max_score FROM e"""
+
 ORACLE["label_id_roundtrip"] = f"""WITH {VOTES}, {MKT},
 q AS (SELECT quantile_cont(bullish_pct, 0.25) AS p25, quantile_cont(bullish_pct, 0.75) AS p75 FROM mkt),
 l AS (SELECT user_id, week, {_label_case('bullish_pct', 'p25', 'p75', 'bearish', 'bullish')} AS market_direction
