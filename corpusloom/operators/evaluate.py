@@ -108,7 +108,8 @@ def roc_points(df: DataFrame, logits_col: str, label_col: str, digits: int = 9)
     descending score order come from :func:`ordered_prefix` partitioned by
     class (no class-sized single window)."""
     probs = df.select(F.col(label_col).alias("y"), softmax(logits_col).alias("pr"))
-    ex = probs.select("y", F.posexplode("pr").alias("cls", "score"))
+    # the outer form: a plain explode pushes size(pr) > 0 to the scan, and with it the logits and their softmax a second time
+    ex = probs.select("y", F.posexplode_outer("pr").alias("cls", "score")).where(F.col("score").isNotNull())
     agg = ex.groupBy("cls", "score").agg(F.count_if(F.col("y") == F.col("cls")).alias("pos"),
                                          F.count_if(F.col("y") != F.col("cls")).alias("neg"))
     tot = agg.groupBy("cls").agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))

@@ -3,16 +3,17 @@
 Spark has no global row order except through a window with no partition,
 which funnels every row into one task.  ``ordered_prefix`` instead:
 
-1. takes approximate quantile split points of the leading order key (one
-   small scalar subquery),
-2. assigns each row a bucket with a deterministic, monotone expression,
+1. takes split points of the whole order key from a sample of bounded size
+   (the rows with the least hash, a top-k without a shuffle),
+2. finds each row's bucket by binary search, a deterministic, monotone
+   expression, so rows with equal leading keys are split by the next key,
 3. sums the values per bucket (a tiny table: ``n_buckets`` rows per
    partition group) and turns those into bucket offsets,
-4. runs the running sum inside each bucket (partitioned window) and adds the
-   offset.
+4. exchanges the rows once, by bucket, runs the sums inside each bucket and
+   adds the offsets.
 
-Rows with equal leading keys always share a bucket, so ties must be broken
-by the remaining ``order_cols`` for a repeatable result.
+Only rows equal in all order columns always share a bucket, so the order
+columns must identify a row for a repeatable result.
 """
 
 from __future__ import annotations
@@ -21,6 +22,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Sampled rows per bucket.
+SAMPLE_PER_BUCKET = 32
 
 
 def default_buckets(df: DataFrame) -> int:
@@ -28,66 +33,82 @@ def default_buckets(df: DataFrame) -> int:
     return max(4, n * 2)
 
 
-def _asc(c) -> Column:
+def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def ordered_prefix(df: DataFrame, order_cols: list, value_col=None, out: str = "prefix",
+def _order_key(df: DataFrame, order_cols: list, descending: bool) -> Column:
+    """A struct that sorts rows like ``order_cols`` do."""
+    lead = _col(order_cols[0])
+    if descending:
+        whole = isinstance(df.select(lead.alias("c")).schema["c"].dataType, T.IntegralType)
+        lead = F.bitwise_not(lead) if whole else -lead
+    return F.struct(lead.alias("k0"), *[_col(c).alias(f"k{i}") for i, c in enumerate(order_cols[1:], 1)])
+
+
+def _splits(df: DataFrame, key: Column, n_buckets: int) -> Column:
+    """A scalar: ``n_buckets - 1`` or fewer ascending split points of ``key``."""
+    size = SAMPLE_PER_BUCKET * n_buckets
+    sample = df.select(key.alias("k")).orderBy(F.xxhash64("k"), "k").limit(size)
+    step = F.greatest(F.floor(F.size("s") / F.lit(n_buckets)), F.lit(1)).cast("int")
+    every = F.filter("s", lambda _, i: (i > 0) & (i % step == 0))
+    return sample.agg(F.array_sort(F.collect_list("k")).alias("s")).select(every.alias("p")).scalar()
+
+
+def _bucket(splits: str, key: str, n_buckets: int) -> Column:
+    """How many of the sorted ``splits`` are at most ``key``, by binary search.
+    A sample of fewer rows than buckets has no more splits than rows."""
+    steps = (SAMPLE_PER_BUCKET * n_buckets).bit_length()
+    start = F.struct(F.lit(0).alias("lo"), F.size(splits).alias("hi"))
+
+    def halve(a: Column, _: Column) -> Column:
+        mid = F.shiftright(a["lo"] + a["hi"], 1)
+        right = F.get(F.col(splits), mid) <= F.col(key)
+        return F.when(a["lo"] >= a["hi"], a).when(right, F.struct((mid + 1).alias("lo"), a["hi"].alias("hi"))) \
+            .otherwise(F.struct(a["lo"].alias("lo"), mid.alias("hi")))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve, lambda a: a["lo"])
+
+
+def ordered_prefix(df: DataFrame, order_cols: list, value_col=None, out="prefix",
                    partition_cols: list | None = None, n_buckets: int | None = None,
                    inclusive: bool = True, descending: bool = False,
                    materialize: bool = False) -> DataFrame:
     """Add ``out`` = running sum of ``value_col`` (1 per row when ``None``)
-    in (partition_cols, order_cols) order.
+    in (partition_cols, order_cols) order; lists of both give several sums.
 
-    ``order_cols[0]`` must be numeric (it is range-bucketed).  ``inclusive``
-    includes the current row; ``descending`` orders the leading key from
-    high to low (used for score-ordered cumulative counts).
+    ``inclusive`` includes the current row; ``descending`` orders the leading
+    key, then a number, from high to low (used for score-ordered cumulative
+    counts).
 
-    The input is read three times (split points, bucket totals, running
-    sums).  ``materialize`` checkpoints it first (shared checkpoint folder),
-    which is worth it when the input is an expensive aggregate - pass a
-    narrow table, not text.
+    The input is read three times (sample, bucket totals, running sums) and
+    exchanged once.  ``materialize`` checkpoints it first (shared checkpoint
+    folder), which is worth it when the input is an expensive aggregate - pass
+    a narrow table, not text.
     """
     if materialize:
         from corpusloom.session import cut_lineage
         df = cut_lineage(df)
-    partition_cols = list(partition_cols or [])
+    parts = list(partition_cols or [])
     n_buckets = n_buckets or default_buckets(df)
-    # value_col may be a list (then ``out`` is a list of the same length)
-    key = _asc(order_cols[0]).cast("double")
-    if isinstance(value_col, (list, tuple)):
-        return _multi_prefix(df, order_cols, list(value_col), out, partition_cols, n_buckets,
-                             inclusive, descending)
-    val = F.lit(1).cast("bigint") if value_col is None else _asc(value_col)
-
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    splits = df.select(F.percentile_approx(key, probs, 10000).alias("s")).scalar()
-    # the split array is attached as a column: subqueries may not appear
-    # inside higher-order functions
-    if descending:
-        bucket = F.size(F.filter(F.col("_ps"), lambda s: s > key))
-    else:
-        bucket = F.size(F.filter(F.col("_ps"), lambda s: s <= key))
-
-    base = (df.withColumn("_ps", splits).withColumn("_pv", val)
-            .withColumn("_pb", bucket.cast("int")).drop("_ps"))
-    totals = base.groupBy(*partition_cols, "_pb").agg(F.sum("_pv").alias("_pt"))
-    ow = Window.partitionBy(*partition_cols).orderBy("_pb").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*partition_cols, "_pb",
-                            F.coalesce(F.sum("_pt").over(ow), F.lit(0)).alias("_po"))
-    if not partition_cols:
-        # bounded by n_buckets rows: safe to broadcast
+    outs, values = ([out], [value_col]) if isinstance(out, str) else (list(out), list(value_col))
+    held = [f"_pv{i}" for i in range(len(outs))]
+    key = _order_key(df, order_cols, descending)
+    base = (df.withColumns({h: F.lit(1).cast("bigint") if v is None else _col(v) for h, v in zip(held, values)})
+            .withColumn("_pk", key).withColumn("_ps", _splits(df, key, n_buckets))
+            .withColumn("_pb", _bucket("_ps", "_pk", n_buckets)).drop("_ps"))
+
+    totals = base.groupBy(*parts, "_pb").agg(*[F.sum(h).alias(f"{h}t") for h in held])
+    ow = Window.partitionBy(*parts).orderBy("_pb").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*parts, "_pb", *[F.coalesce(F.sum(f"{h}t").over(ow), F.lit(0)).alias(f"{h}o") for h in held])
+    if not parts:
+        # bounded by the number of buckets: safe to broadcast
         offsets = F.broadcast(offsets)
-    joined = _join_offsets(base, offsets, partition_cols)
+    joined = _join_offsets(base, offsets, parts)
 
-    order = [(_asc(c).desc() if (descending and i == 0) else _asc(c).asc())
-             for i, c in enumerate(order_cols)]
-    w = (Window.partitionBy(*partition_cols, "_pb").orderBy(*order)
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    running = F.sum("_pv").over(w) + F.col("_po")
-    if not inclusive:
-        running = running - F.col("_pv")
-    return joined.withColumn(out, running).drop("_pv", "_pb", "_po")
+    w = Window.partitionBy(*parts, "_pb").orderBy("_pk").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = {o: F.sum(h).over(w) + F.col(f"{h}o") - (0 if inclusive else F.col(h)) for h, o in zip(held, outs)}
+    return joined.withColumns(sums).drop("_pb", "_pk", *held, *[f"{h}o" for h in held])
 
 
 def _join_offsets(base: DataFrame, offsets: DataFrame, partition_cols: list[str]) -> DataFrame:
@@ -97,36 +118,3 @@ def _join_offsets(base: DataFrame, offsets: DataFrame, partition_cols: list[str]
     renamed = offsets.withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(keys)})
     same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
     return base.join(renamed, reduce(lambda a, b: a & b, same)).drop(*[f"_k{i}" for i in range(len(keys))])
-
-
-def _multi_prefix(df, order_cols, value_cols, outs, partition_cols, n_buckets, inclusive, descending):
-    """Several running sums over the same order in one pass: the values are
-    packed into a struct, bucketed once and summed field by field."""
-    tmp = [f"_mv{i}" for i in range(len(value_cols))]
-    base = df.withColumns({t: _asc(v) for t, v in zip(tmp, value_cols)})
-    # bucket/offset machinery is shared: run it for the first value and
-    # reuse the bucket column for the others through explicit windows
-    key = _asc(order_cols[0]).cast("double")
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    splits = df.select(F.percentile_approx(key, probs, 10000).alias("s")).scalar()
-    if descending:
-        bucket = F.size(F.filter(F.col("_ps"), lambda s: s > key))
-    else:
-        bucket = F.size(F.filter(F.col("_ps"), lambda s: s <= key))
-    base = base.withColumn("_ps", splits).withColumn("_pb", bucket.cast("int")).drop("_ps")
-    totals = base.groupBy(*partition_cols, "_pb").agg(*[F.sum(t).alias(t + "_t") for t in tmp])
-    ow = Window.partitionBy(*partition_cols).orderBy("_pb").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*partition_cols, "_pb",
-                            *[F.coalesce(F.sum(t + "_t").over(ow), F.lit(0)).alias(t + "_o") for t in tmp])
-    if not partition_cols:
-        offsets = F.broadcast(offsets)
-    joined = _join_offsets(base, offsets, partition_cols)
-    order = [(_asc(c).desc() if (descending and i == 0) else _asc(c).asc())
-             for i, c in enumerate(order_cols)]
-    w = (Window.partitionBy(*partition_cols, "_pb").orderBy(*order)
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    cols = {}
-    for t, o in zip(tmp, outs):
-        r = F.sum(t).over(w) + F.col(t + "_o")
-        cols[o] = r if inclusive else r - F.col(t)
-    return joined.withColumns(cols).drop("_pb", *tmp, *[t + "_o" for t in tmp])

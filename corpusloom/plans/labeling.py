@@ -8,7 +8,6 @@ from corpusloom.operators.quantiles import exact_quantiles
 from corpusloom.functions.numbers import pct_of, row_sum
 from corpusloom.operators import labels as L
 from corpusloom.plans.common import round_cols, votes
-from corpusloom.session import cut_lineage
 from corpusloom.sources.schemas import MARKET_LABELS, VOTE_COLUMNS, VOTE_PAIRS
 
 KEY = ["user_id", "week"]
@@ -17,10 +16,7 @@ PCT_COLS = [c for _n, neg, pos in VOTE_PAIRS for c in (f"{neg}_pct", f"{pos}_pct
 
 def vote_quantile_labels(spark, sf_dir):
     """M-01 on IN-1: three quantile labelings in one pass."""
-    # votes (an aggregate of events) feed the percentile subquery and the
-    # labeled rows: checkpoint the small aggregate once
-    v = L.add_vote_totals(cut_lineage(votes(spark, sf_dir)))
-    r = L.quantile_labels(v)
+    r = L.quantile_labels(L.add_vote_totals(votes(spark, sf_dir)))
     cols = (KEY + VOTE_COLUMNS + ["total_votes"] + [f"pair_votes_{n}" for n, _a, _b in VOTE_PAIRS]
             + PCT_COLS + [c for n, _a, _b in VOTE_PAIRS for c in (n, f"{n}_id")])
     return round_cols(r.select(*cols), PCT_COLS)

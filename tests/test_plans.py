@@ -50,7 +50,8 @@ def _single_windows(plan: str) -> bool:
         stack = [x for x in stack if x[0] < depth]
         if m[2].startswith("Exchange SinglePartition"):
             for _, name in reversed(stack):
-                if name.startswith("Window") and "_pb" in name:  # the bucket table of a prefix sum
+                # the bucket table of a prefix sum, the fixed bins of a quantile
+                if name.startswith("Window") and re.search("_pb|_bin|_total", name):
                     break
                 if name.startswith("Window"):
                     return True
