@@ -28,7 +28,7 @@ from corpusloom.llm.common import AtomicFile, arrow_schema, filesystem, save, sh
 #: Fixed, so that equal input gives equal bytes.
 WARC_DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Pages by digest, and per page and digest the record that a copy refers to.
+#: Pages by digest (hexadecimal), and per page and digest the record that a copy refers to.
 RECORDS = "page_id long, digest string, url string, payload binary"
 ROLES = "page_id long, digest string, payload_bytes long, refers_to long, refers_url string"
 MANIFEST = "shard long, seq int, path string, n_records long, n_bytes long, sha256 string"
@@ -40,6 +40,10 @@ def digest32(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
+def hex_to_32(digest: str) -> str:
+    return base64.b32encode(bytes.fromhex(digest)).decode()
+
+
 def record_id(page_id) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}>"
 
@@ -143,7 +147,7 @@ def write_archives(records: DataFrame, roles: DataFrame, folder: str, max_bytes:
                         yield rows(writer.done)
                     writer = ShardWriter(folder, row["_shard"], max_bytes)
                 writer.add(response_record(row["page_id"], row["url"], row["payload"], role["payload_bytes"], role["refers_to"],
-                                           role["refers_url"], row["digest"]))
+                                           role["refers_url"], hex_to_32(row["digest"])))
         if writer:
             writer.close()
             yield rows(writer.done)
@@ -227,7 +231,8 @@ def page_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     payload = F.encode(F.coalesce(F.col(f"`{html_col}`").cast("string"), F.lit("")), "UTF-8")
     base = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"),
                         payload.alias("payload"))
-    return base.withColumn("digest", F.sha1("payload")).withColumn("digest", base32(F.col("digest")))
+    # a digest that cannot be null: joins on it push no null test, and with it no second digest, to the scan
+    return base.withColumn("digest", F.coalesce(F.sha1("payload"), F.lit("")))
 
 
 def record_roles(records: DataFrame, min_bytes: int = 0) -> DataFrame:
@@ -246,18 +251,6 @@ def record_roles(records: DataFrame, min_bytes: int = 0) -> DataFrame:
         F.when(other, F.col("first_url")).alias("refers_url"))
 
 
-def base32(sha1_hex):
-    """Bare upper-case base32 of a 40-digit hexadecimal string: every ten
-    digits are eight letters of five bits."""
-    letters = F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
-    parts = []
-    for k in range(4):
-        v = F.conv(F.substring(sha1_hex, 1 + 10 * k, 10), 16, 10).cast("long")
-        parts += [F.substring(letters, (F.shiftright(v, 35 - 5 * i).bitwiseAND(F.lit(31)) + 1).cast("int"), F.lit(1))
-                  for i in range(8)]
-    return F.concat(*parts)
-
-
 def archive_pages(pages: DataFrame, folder: str | None = None, max_bytes: int = 64 << 20,
                   min_bytes: int = 0) -> DataFrame:
     """Write every row of ``pages`` (``page_id``, ``url``, ``html``) as a WARC
