@@ -8,8 +8,8 @@ deadline goes next.  As the weights fill the cycle exactly, every block meets
 its window, so at any slot each source is less than one block away from its
 target.  Later cycles repeat the first one.
 
-Where there are more sources than slots, those of about equal weight share
-the slots of a pool in turn.  Block ``k`` of the pool's member ``i`` of ``n``
+Where a source's weight is below one slot, sources of about equal weight share
+the slots of a pool in turn, over a longer cycle.  Block ``k`` of the pool's member ``i`` of ``n``
 is the pool's block ``k n + i``, whose window lies within the member's own one
 at ``c / n`` of ``P`` slots, so the pool's schedule keeps every member's.
 
@@ -33,8 +33,9 @@ CYCLE = 1000
 BLOCK_ROWS = 16
 #: Slots of a cycle with pools, in CYCLEs; weight in slots from which a source has its own there.
 POOLED, OWN = 4, 16
-#: Pools by weight: so many to a factor of two, and in all.
-STEPS, POOLS = 4, 240
+#: Pools by weight, so many to a factor of two: of sources with a slot or more, and with less.  The finer ones keep every
+#: member within one block of its target over a cycle, as 16 (2^(1/12) - 1) < 1; a lighter one has less than a block.
+FINE, STEPS = 12, 4
 
 
 def source_key(col: str) -> Column:
@@ -44,13 +45,15 @@ def source_key(col: str) -> Column:
 
 def slots(sizes: DataFrame, cycle: int = CYCLE) -> DataFrame:
     """``(key, c)``: slots per cycle from ``sizes`` (``key``, ``weight``, one
-    row per source).  Every source gets one; the others go by weight, what
-    rounding leaves to the largest remainders (ties: by name).  The windows
-    hold one row per source."""
+    row per source or pool).  Slots go by weight, what rounding leaves to the
+    largest remainders (ties: by name); an entry whose weight is below one slot
+    gets one before.  The windows hold one row per entry, fewer than slots."""
     every = Window.partitionBy(F.lit(0))
-    share = (sizes.withColumn("m", F.count("*").over(every))
-             .withColumn("x", (F.lit(cycle) - F.col("m")) * F.col("weight") / F.sum("weight").over(every)))
-    low = share.withColumn("c", (1 + F.floor("x")).cast("int")).withColumn("rest", F.round(F.col("x") - F.floor("x"), 9))
+    share = sizes.withColumn("least", F.lit(cycle) * F.col("weight") / F.sum("weight").over(every) < 1 - 1e-9)
+    rest = F.when(F.col("least"), 0.0).otherwise(F.col("weight"))
+    share = (share.withColumn("few", F.sum(F.col("least").cast("int")).over(every))
+             .withColumn("x", F.when(F.col("least"), 1.0).otherwise((F.lit(cycle) - F.col("few")) * rest / F.sum(rest).over(every))))
+    low = share.withColumn("c", F.floor("x").cast("int")).withColumn("rest", F.round(F.col("x") - F.floor("x"), 9))
     left = F.lit(cycle) - F.sum("c").over(every)
     rank = F.row_number().over(every.orderBy(F.desc("rest"), "key"))
     return low.withColumn("left", left).withColumn("rank", rank).select(
@@ -75,12 +78,19 @@ def schedule(targets: DataFrame, cycle: int = CYCLE) -> DataFrame:
 
 def pooled(sizes: DataFrame, cycle: int) -> DataFrame:
     """``sizes`` (``key``, ``n``, ``weight``) with the ``pool`` of each source.
-    At most ``cycle / OWN`` sources are heavy enough for one of their own; the
-    others share at most ``POOLS + 1``, whose weights differ by a factor of
-    2 ** (1 / STEPS) but for the lightest."""
-    share = F.col("weight") / F.lit(sizes.agg(F.sum("weight")).first()[0]) * F.lit(cycle / OWN)
-    step = F.greatest(F.floor(F.log2(share) * STEPS), F.lit(-POOLS)).cast("string")
-    return sizes.withColumn("pool", F.when(share >= 1, F.col("key")).otherwise(F.concat(F.lit("#"), F.when(share > 0, step).otherwise(F.lit("")))))
+    At most ``cycle / OWN`` sources are heavy enough for one of their own.
+    Others share pools of about equal weight; pools that do not fill a slot
+    become one, whose members have less than a block in a cycle."""
+    share = F.col("weight") / F.lit(sizes.agg(F.sum("weight")).first()[0]) * F.lit(cycle)
+    step = F.log2("share")
+    name = (F.when(F.col("share") >= OWN, F.col("key")).when(F.col("share") >= 1, F.concat(F.lit("#"), F.floor(step * FINE).cast("string")))
+            .when(F.col("share") > 0, F.concat(F.lit("#-"), F.floor(step * STEPS).cast("string"))).otherwise(F.lit("#")))
+    named = sizes.withColumn("share", share).withColumn("pool", name)
+    # pools of light sources: at most as many as there are steps between the doubles
+    full = (named.where("share < 1").groupBy("pool").agg(F.sum("share").alias("held")).where("held >= 1")
+            .select("pool", F.lit(True).alias("full")))
+    return named.join(F.broadcast(full), "pool", "left").select(
+        "key", "n", "weight", F.when((F.col("share") >= 1) | F.col("full"), F.col("pool")).otherwise(F.lit("#")).alias("pool"))
 
 
 def members(sizes: DataFrame) -> DataFrame:
@@ -97,11 +107,11 @@ def mix_order(docs: DataFrame, weights: dict[str, float] | None = None, id_col:
     ``release``, ``deadline`` and ``position`` (from 0) of every row.
 
     ``weights`` gives target weights by source name; sources it does not name
-    get one slot a cycle.  Without it weights go by the square root of a
+    share one slot a cycle.  Without it weights go by the square root of a
     source's rows, which raises small sources.  A null source is a source of
     its own; null ids come first in theirs; rows that repeat an id follow each
-    other.  More than ``cycle`` sources share slots in pools, over a cycle of
-    ``POOLED * CYCLE`` slots at least.  Empty input gives no rows; other
+    other.  If a weight is below one slot of ``cycle``, light sources share slots
+    in pools, over a cycle of ``POOLED * CYCLE`` slots at least.  Empty input gives no rows; other
     columns are ignored."""
     base = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{source_col}`").cast("string").alias("source"),
                        source_key(source_col).alias("key"))
@@ -113,7 +123,11 @@ def mix_order(docs: DataFrame, weights: dict[str, float] | None = None, id_col:
         given = F.create_map(*[x for s, w in weights.items() for x in (F.lit("=" + s), F.lit(float(w)))])
         weight = F.coalesce(given[F.col("key")], F.lit(0.0))
     sizes = save(sizes.withColumn("weight", weight), f"{folder}/sizes")
-    many = sizes.count() > cycle
+    least, total = sizes.agg(F.min("weight"), F.sum("weight")).first()
+    if total == 0:  # no source is named: all weigh the same
+        sizes = save(sizes.withColumn("weight", F.lit(1.0)), f"{folder}/equal")
+        least, total = 1.0, float(sizes.count())
+    many = total is not None and not least * cycle >= total * (1 - 1e-9)
     if many:
         cycle = max(cycle, POOLED * CYCLE)
         sizes = save(pooled(sizes, cycle), f"{folder}/pools")

@@ -66,7 +66,8 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of equal texts in ``documents``."""
-    return exactdedup.exact_groups(load_table(spark, sf_dir, "documents"))
+    return exactdedup.exact_groups(load_table(spark, sf_dir, "documents")).select(
+        "doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,8 +154,8 @@ ORACLE_SQL = {
     "op7_mixing": """
         WITH RECURSIVE d AS (SELECT doc_id, source, coalesce('=' || source, '') AS key FROM documents),
         sz AS (SELECT key, sqrt(count(*)::DOUBLE) AS w FROM d GROUP BY key),
-        sh AS (SELECT key, (1000 - count(*) OVER ()) * w / sum(w) OVER (ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS x FROM sz),
-        lo AS (SELECT key, 1 + floor(x)::INT AS c, round(x - floor(x), 9) AS rest FROM sh),
+        sh AS (SELECT key, 1000 * w / sum(w) OVER (ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS x FROM sz),
+        lo AS (SELECT key, floor(x)::INT AS c, round(x - floor(x), 9) AS rest FROM sh),
         tg AS (SELECT key, c + (row_number() OVER (ORDER BY rest DESC, key) <= 1000 - sum(c) OVER ())::INT AS c FROM lo),
         ar AS (SELECT list(c ORDER BY key) AS cs, list(key ORDER BY key) AS ks FROM tg),
         edf(t, done, pick) AS (

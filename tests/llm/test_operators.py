@@ -348,7 +348,7 @@ def test_mixing_stays_within_one_block(spark):
     supply = blocks.groupby("source")["max"].max().min()  # until the first source has run out
     share = {s: len(b[b["min"] < 100]) / 100 for s, b in blocks.groupby("source")} if supply >= 100 else None
     weight = {s: n ** 0.5 for s, n in ((s or "", n) for s, n in sizes.items())}
-    cycle = {s: 1 + int(96 * w / sum(weight.values())) for s, w in weight.items()}
+    cycle = {s: int(100 * w / sum(weight.values())) for s, w in weight.items()}
     for s, b in blocks.groupby("source"):
         taken = np.sort(b["min"].to_numpy())
         c = share[s] if share else None
@@ -371,6 +371,23 @@ def test_mixing_odd(spark):
     assert abs(first["a"] - 60) <= 10 and abs(first["b"] - 20) <= 10
 
 
+@pytest.mark.parametrize("m", [10, 500, 999, 1000, 1001])
+def test_mixing_shares_follow_the_weights(spark, m):
+    """One source of weight 0.9, one of a fiftieth, the others alike: after any number of slots in a cycle every share is
+    within two blocks of its target (one for the whole cycle's rounding, one for the place in it), at a cycle's end within one."""
+    weights = {"heavy": 0.9, "second": 0.02} | {f"s{k}": 0.08 / (m - 2) for k in range(m - 2)}
+    names = ["heavy"] * 4000 + ["second"] * 100 + [f"s{k}" for k in range(m - 2) for _ in range(max(2, 500 // m))]
+    rows = [(i, "t", None, s) for i, s in enumerate(names)]
+    got = mixing.mix_order(docs(spark, rows), weights, block_rows=1).toPandas()
+    period = 1000 if 0.08 / (m - 2) * 1000 >= 1 else mixing.POOLED * mixing.CYCLE
+    for source, w in weights.items():
+        taken = np.sort(got["slot"][got["source"] == source].to_numpy())
+        for t in (10, 100, 333, 999, period):
+            have = (taken < t).sum()
+            if have < len(taken):  # not run out
+                assert abs(have - t * w) < (1.001 if t == period else 2), (source, t, have, t * w)
+
+
 def test_mixing_more_sources_than_slots(spark):
     names = ["large"] * 400 + ["middle"] * 90 + [f"s{k}" for k in range(1009) for _ in range(1 + 19 * (k % 7 == 0))]
     rows = [(i, "t", None, s) for i, s in enumerate(names)]

@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 import corpus_pipeline
-from corpusloom.llm import bpe, queries
+from corpusloom.llm import bpe, queries, warc
 from corpusloom.llm.common import save, shared_dir
 
 SF = "/root/testdata/sf0.001"
@@ -78,4 +78,12 @@ def test_queries_equal_their_sql(spark, name):
     cols = sorted(c[0] for c in want.description)
     at = [[c[0] for c in want.description].index(c) for c in cols]
     rows = sorted((tuple(r[k] for k in at) for r in want.fetchall()), key=str)
-    assert sorted((tuple(r[c] for c in cols) for r in queries.QUERIES[name](spark, SF).collect()), key=str) == rows
+    got = queries.QUERIES[name](spark, SF)
+    assert sorted(got.columns) == cols
+    assert sorted((tuple(r[c] for c in cols) for r in got.collect()), key=str) == rows
+
+
+def test_pages_are_digested_once_a_scan(spark):
+    records = warc.page_records(spark.read.parquet(f"{SF}/pages.parquet"))
+    plan = warc.record_roles(records)._jdf.queryExecution().optimizedPlan().toString()
+    assert 1 <= plan.count("sha1(") <= plan.count("Relation [") and "sha1(" not in "".join(re.findall(r"Filter .*", plan))
