@@ -298,7 +298,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, grou
 
     seen = "anchor long, piece long, tid long, at long"
     found = save(bodies.select("tid", "body").mapInArrow(partial(occurrences, length=length, gram=gram), seen), f"{folder}/occurrences")
-    often = found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    # saved, as are the runs below: a join with a saved table can split a hot key
+    often = save(found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), f"{folder}/often")
     found = save(found.join(often, "anchor"), f"{folder}/again")
     pieces = save(found.groupBy("anchor", "piece").agg(F.count("*").alias("copies"), F.min(F.struct("tid", "at")).alias("one"))
                   .select("anchor", "piece", "copies", "one.*"), f"{folder}/pieces")
@@ -324,7 +325,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, grou
     windows_of = F.col("at").bitwiseAND(F.lit(0xFFFF))
     whole = pieces.where("copies > 1").select("anchor", "piece", F.lit(0).cast("long").alias("first"), windows_of.alias("end"))
     start = F.shiftright("at", 16)
-    spans = (found.join(whole.unionAll(spots), ["anchor", "piece"])
+    spans = (found.join(save(whole.unionAll(spots), f"{folder}/windows"), ["anchor", "piece"])
              .select("tid", F.struct((start + F.col("first")).alias("start"), (start + F.col("end") + (length - 1)).alias("end")).alias("span")))
     spans = save(spans.groupBy("tid").agg(F.collect_list("span").alias("found")), f"{folder}/spans")
     out = bodies.join(spans, "tid", "left").select("doc_id", "body", "found")
