@@ -863,3 +863,64 @@ a AS (SELECT *, CASE WHEN df % 2 = 0
   ELSE (asin(s) + CASE WHEN df > 1 THEN s * list_sum([exp(lgamma(k + 1) - lgamma(k + 1.5)) * sqrt(pi()) / 2
     * pow(c2, k + 0.5) for k in range((df - 1) // 2)]) ELSE 0 END) * 2 / pi() END AS inside FROM t)
 SELECT lag, n, {r9('spearman_correlation')} AS spearman_correlation, {r9('greatest(1 - inside, 0.0)')} AS p_value FROM a"""
+
+
+# ---------------------------------------------------------------- sub-words
+def _subwords(source: str) -> str:
+    """CTEs: the public vocabulary ``voc`` and, for the distinct words ``w`` of
+    ``source``, their pieces by longest match in ``pcs`` (w, pi, id, a, z: first
+    character and end)."""
+    from corpusloom.operators.subwords import byte_letters
+    from corpusloom.plans.subwords import FIRST, LAST, vocabulary_path
+    table = "[" + ", ".join("'" + c.replace("'", "''") + "'" for c in byte_letters()) + "]"
+    assert (FIRST, LAST) == (49406, 49407)
+    return f"""voc AS MATERIALIZED (
+  SELECT key AS piece, value::INT AS id FROM json_each((SELECT content FROM read_text('{vocabulary_path()}')), '$.model.vocab')),
+low AS (SELECT w, list_transform(string_split(w, ''), lambda c: CASE WHEN length(lower(c)) = 1 THEN lower(c) ELSE c END) AS cs
+  FROM (SELECT DISTINCT w FROM {source})),
+byt AS MATERIALIZED (SELECT w, array_to_string(list_transform(range(octet_length(encode(array_to_string(cs, '')))),
+    lambda i: {table}[('0x' || substr(hex(encode(array_to_string(cs, ''))), i::INT * 2 + 1, 2))::INT + 1]), '') AS m,
+  flatten(list_transform(range(len(cs)), lambda i: list_transform(range(octet_length(encode(cs[i + 1]))), lambda k: i))) AS at_char FROM low),
+cut(w, m, pos_, pi, id) AS (
+  SELECT w, m, 0::BIGINT, -1, -1 FROM byt
+  UNION ALL
+  SELECT w, m, pos_ + n, pi + 1, vid FROM (
+    SELECT c.w, c.m, c.pos_, c.pi, n, v.id AS vid, row_number() OVER (PARTITION BY c.w ORDER BY n DESC) AS r
+    FROM cut c JOIN range(1, 40) t(n) ON c.pos_ + n <= length(c.m)
+    JOIN voc v ON v.piece = substr(c.m, c.pos_ + 1, n) || CASE WHEN c.pos_ + n = length(c.m) THEN '</w>' ELSE '' END
+    WHERE c.pos_ < length(c.m)) WHERE r = 1),
+whole AS (SELECT w FROM cut WHERE pos_ = length(m)),
+steps AS (SELECT w, pi, id, lag(pos_) OVER (PARTITION BY w ORDER BY pi) AS a, pos_ AS z FROM cut SEMI JOIN whole USING (w)),
+pcs AS MATERIALIZED (SELECT w, pi, id, at_char[a + 1] AS a, at_char[z] + 1 AS z FROM steps JOIN byt USING (w) WHERE pi >= 0
+  UNION ALL SELECT w, 0, {LAST}, 0, length(w) FROM byt ANTI JOIN whole USING (w))"""
+
+
+def _subword_oracles() -> dict[str, str]:
+    spans = f"regexp_extract_all(coalesce(text, ''), '(?:{TOKRE})[{WSRE}]*')"
+    placed = f"""sp AS (SELECT doc_id, text, {spans} AS s FROM documents),
+un AS (SELECT doc_id, length(coalesce(text, '')) - coalesce(list_sum(list_transform(s, lambda x: length(x))), 0) AS lead,
+  unnest(s) AS x, unnest(range(len(s))) AS k FROM sp),
+tk AS (SELECT doc_id, k, regexp_extract(x, '{TOKRE}') AS w, lead + coalesce(sum(length(x)) OVER (PARTITION BY doc_id ORDER BY k
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos_ FROM un)"""
+    return {
+        "subword_counts": f"""WITH RECURSIVE {placed}, {_subwords('tk')},
+s AS (SELECT doc_id, count(*) AS n, count(*) FILTER (id = 49407) AS u, max(z - a) AS l FROM tk JOIN pcs USING (w) GROUP BY doc_id)
+SELECT doc_id, CAST(coalesce(n, 0) + 2 AS BIGINT) AS total_tokens, CAST(coalesce(u, 0) AS INTEGER) AS n_unknown,
+  CAST(coalesce(l, 0) AS INTEGER) AS longest FROM documents LEFT JOIN s USING (doc_id)""",
+        "subword_pad": f"""WITH RECURSIVE {placed}, {_subwords('tk')},
+r AS (SELECT doc_id, id, pos_ + z AS z, row_number() OVER (PARTITION BY doc_id ORDER BY k, pi) AS r FROM tk JOIN pcs USING (w)),
+s AS (SELECT doc_id, list(id ORDER BY r) AS ids, max(z) AS z FROM r WHERE r <= 510 GROUP BY doc_id)
+SELECT doc_id, md5(array_to_string(list_concat(list_concat(list_concat([49406], coalesce(ids, [])), [49407]),
+    list_transform(range(510 - coalesce(len(ids), 0)), lambda x: 0)), ' ')) AS ids_md5,
+  CAST(coalesce(len(ids), 0) + 2 AS INTEGER) AS n_real, CAST(coalesce(z, 0) AS INTEGER) AS n_chars_covered
+FROM documents LEFT JOIN s USING (doc_id)""",
+        "subword_alignment": f"""WITH RECURSIVE {WORD_TAGS},
+tk AS (SELECT doc, pos, g, unnest({toks('w')}) AS w, unnest(range(len({toks('w')}))) AS ti FROM t0), {_subwords('tk')},
+lab AS (SELECT doc, list(CASE WHEN ti = 0 AND pi = 0 THEN g ELSE -100 END ORDER BY pos, ti, pi) AS l FROM tk JOIN pcs USING (w) GROUP BY doc),
+part AS (SELECT doc, l, unnest(range(0, len(l), 510)) AS s FROM lab),
+fin AS (SELECT doc AS doc_id, CAST(s // 510 AS INTEGER) AS part, list_slice(l, s + 1, s + 510) AS b FROM part)
+SELECT doc_id, part, CAST(len(b) AS INTEGER) AS n_pieces, CAST(len(list_filter(b, lambda x: x <> -100)) AS INTEGER) AS n_labelled,
+  md5(array_to_string(list_concat(list_concat([-100], b), [-100]), ' ')) AS labels_md5 FROM fin"""}
+
+
+ORACLE |= _subword_oracles()
