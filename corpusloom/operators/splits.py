@@ -1,8 +1,8 @@
 """Sampling, shuffling, splits and folds (O-05..O-10).
 
-Row order is defined by a seeded 64-bit hash of a key (``xxhash64(key,
-seed)``) with the key as tie-break, so results do not depend on physical
-partitioning.  Positions come from :func:`ordered_prefix` (range-bucketed),
+Row order is defined by a seeded hash of a key (the leading 15 hexadecimal
+digits of ``md5(seed|key)``, which any SQL engine can repeat) with the key as
+tie-break, so results do not depend on physical partitioning.  Positions come from :func:`ordered_prefix` (range-bucketed),
 never from a single-partition window.
 """
 
@@ -16,8 +16,10 @@ from corpusloom.operators.prefix import ordered_prefix
 
 
 def seeded_hash(key_cols, seed: int = 42) -> Column:
-    cols = [F.col(c) for c in ([key_cols] if isinstance(key_cols, str) else key_cols)]
-    return F.xxhash64(F.lit(seed), *cols)
+    """60 bits of the MD5 of the seed and the keys; a NULL key counts as no text."""
+    cols = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ([key_cols] if isinstance(key_cols, str) else key_cols)]
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *cols))
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
 
 
 def head(df: DataFrame, order_cols, n: int) -> DataFrame:

@@ -1,12 +1,12 @@
-"""Named queries: batch inference with pluggable predictors (rows-only
-checks: the model is Python)."""
+"""Named queries: batch inference with pluggable predictors.  The bundled
+predictors follow fixed rules, so SQL can check what they give."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from corpusloom.operators import infer as INF
-from corpusloom.plans.common import T
+from corpusloom.plans.common import T, round_cols
 
 # fixed values: the demo lexicon (frequent function words of the four
 # languages in the supplied prose), standing in for a sentiment model
@@ -17,8 +17,10 @@ NEGATIVE = ["of", "de", "des", "die", "los", "en"]
 def batch_sentiment(spark, sf_dir):
     """D-06 + M-26 + F-28 + F-29: sentiment predictions for every
     conversation turn (blank turns get NULL outputs)."""
-    c = T(spark, sf_dir, "conversations").withColumn("row_key", F.col("conv_id") * 1000 + F.col("turn"))
-    return INF.sentiment_inference(c, "row_key", "text", INF.lexicon_sentiment(POSITIVE, NEGATIVE))
+    c = T(spark, sf_dir, "conversations").withColumn("key", F.struct("conv_id", "turn"))
+    r = INF.sentiment_inference(c, "key", "text", INF.lexicon_sentiment(POSITIVE, NEGATIVE))
+    return round_cols(r.select("key.conv_id", "key.turn", "sentiment_label", "sentiment_score", "confidence_level",
+                               F.coalesce(F.size("sentiment_class"), F.lit(0)).alias("n_classes")), ["sentiment_score"])
 
 
 def batch_entities(spark, sf_dir):

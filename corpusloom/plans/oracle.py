@@ -924,3 +924,53 @@ SELECT doc_id, part, CAST(len(b) AS INTEGER) AS n_pieces, CAST(len(list_filter(b
 
 
 ORACLE |= _subword_oracles()
+
+
+# ---------------------------------------------------------------- seeded orders and predictors
+def _h(key: str, seed: int) -> str:
+    return f"('0x' || substr(md5('{seed}|' || coalesce(CAST({key} AS VARCHAR), '')), 1, 15))::BIGINT"
+
+
+ORACLE["sample_exact"] = f"""SELECT event_id, user_id, event_type FROM events ORDER BY {_h('event_id', 42)}, event_id LIMIT 500"""
+
+ORACLE["seeded_shuffle"] = f"""SELECT event_id, row_number() OVER (ORDER BY {_h('event_id', 42)}, event_id) AS shuffle_pos FROM events"""
+
+LABELLED = "lb AS (SELECT d.doc_id, d.lang, l.quality FROM documents d JOIN labels l USING (doc_id))"
+
+ORACLE["split_exact"] = f"""WITH {LABELLED}
+SELECT doc_id, lang, quality, CASE WHEN row_number() OVER (ORDER BY {_h('doc_id', 42)}, doc_id) <= ceil((SELECT count(*) FROM lb) * 0.1::DOUBLE)
+  THEN 'test' ELSE 'train' END AS split FROM lb"""
+
+ORACLE["split_stratified"] = f"""WITH {LABELLED},
+t AS (SELECT count(*) AS n, ceil(count(*) * 0.1::DOUBLE) AS n_test FROM lb),
+q AS (SELECT quality, count(*) * max(n_test) / max(n) AS exact FROM lb, t GROUP BY quality),
+r AS (SELECT quality, floor(exact) + (row_number() OVER (ORDER BY exact - floor(exact) DESC, quality)
+  <= max(n_test) OVER () - sum(floor(exact)) OVER ())::INT AS quota FROM q, t)
+SELECT doc_id, lang, quality, CASE WHEN row_number() OVER (PARTITION BY quality ORDER BY {_h('doc_id', 42)}, doc_id) <= quota
+  THEN 'test' ELSE 'train' END AS split FROM lb JOIN r USING (quality)"""
+
+# the greedy walk over groups, one by one
+ORACLE["group_folds"] = f"""WITH RECURSIVE g AS (SELECT conv_id, size, row_number() OVER (ORDER BY size DESC, {_h('conv_id', 0)}, conv_id) AS k
+  FROM (SELECT conv_id, count(*) AS size FROM conversations GROUP BY conv_id)),
+walk(k, conv_id, fold, loads) AS (
+  SELECT 0::BIGINT, NULL::BIGINT, 0::BIGINT, [0, 0, 0, 0, 0]::BIGINT[]
+  UNION ALL
+  SELECT g.k, g.conv_id, list_position(loads, list_min(loads)) - 1,
+    [x + CASE WHEN i = list_position(loads, list_min(loads)) THEN g.size ELSE 0 END FOR x, i IN loads]
+  FROM walk JOIN g ON g.k = walk.k + 1)
+SELECT c.conv_id, c.turn, CAST(w.fold AS INTEGER) AS fold FROM conversations c JOIN walk w ON w.k > 0 AND w.conv_id = c.conv_id"""
+
+
+def _sentiment() -> str:
+    from corpusloom.plans.inference import NEGATIVE, POSITIVE
+    has = lambda ws: "len(list_filter(w, lambda x: x IN (" + ", ".join(f"'{x}'" for x in ws) + ")))"
+    return f"""WITH c AS (SELECT conv_id, turn, text, {words("lower(coalesce(text, ''))")} AS w FROM conversations),
+n AS (SELECT *, {has(POSITIVE)} AS p, {has(NEGATIVE)} AS q, len(w) > 0 AS ok FROM c),
+s AS (SELECT *, (greatest(p, q) + 1) / CAST(p + q + 2 AS DOUBLE) AS score FROM n)
+SELECT conv_id, turn, CASE WHEN ok THEN CASE WHEN p > q THEN 'bullish' WHEN q > p THEN 'bearish' ELSE 'neutral' END END AS sentiment_label,
+  CASE WHEN ok THEN {r9('score')} END AS sentiment_score,
+  CASE WHEN ok THEN CASE WHEN score > 0.9 THEN 'high' WHEN score > 0.7 THEN 'medium' ELSE 'low' END END AS confidence_level,
+  CAST(ok AS INTEGER) AS n_classes FROM s"""
+
+
+ORACLE["batch_sentiment"] = _sentiment()
