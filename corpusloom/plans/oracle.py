@@ -974,3 +974,35 @@ SELECT conv_id, turn, CASE WHEN ok THEN CASE WHEN p > q THEN 'bullish' WHEN q >
 
 
 ORACLE["batch_sentiment"] = _sentiment()
+
+
+# ---------------------------------------------------------------- text repair
+def _encoding_search() -> str:
+    from corpusloom.operators.mojibake import CODECS, detector
+    from corpusloom.plans.textprep import DAMAGE
+    quoted = {k: "[" + ", ".join("'" + c.replace("'", "''") + "'" if ord(c) else "chr(0)" for c in v) + "]" for k, v in CODECS.items()}
+
+    def broken(x: str, codec: str) -> str:
+        return f"array_to_string(list_transform(regexp_extract_all(hex(encode({x})), '..'), lambda h: {quoted[codec]}[('0x' || h)::INT + 1]), '')"
+
+    steps, cases, depth = ["d0 AS (SELECT doc_id, CAST(doc_id % 7 AS INTEGER) AS variant, coalesce(text, '') AS text FROM documents)"], [], []
+    for k, layers in enumerate(DAMAGE):
+        x = "left(text, length(text) // 2)" if layers == "half" else "text"
+        cases.append(f"WHEN {k} THEN octet_length(encode({x})) <> length({x})")
+        made, layers_ = x, ("cp1252",) if layers == "half" else layers
+        for codec in layers_:
+            made = broken(made, codec)
+        depth.append(f"WHEN {k} THEN {len(layers_)}")
+        tail = " || substr(text, length(text) // 2 + 1)" if layers == "half" else ""
+        steps.append(f"v{k} AS (SELECT doc_id, variant, text, {made}{tail} AS t FROM d0 WHERE variant = {k})")
+    union = " UNION ALL ".join(f"SELECT * FROM v{k}" for k in range(len(DAMAGE)))
+    return f"""WITH {", ".join(steps)}, u AS ({union})
+SELECT doc_id, variant, regexp_matches(t, '{detector()}') AS suspect, CAST(length(t) AS INTEGER) AS n_chars,
+  CAST(CASE WHEN CASE variant {" ".join(cases)} END THEN CASE variant {" ".join(depth)} END ELSE 0 END AS INTEGER) AS layers,
+  md5(text) AS restored_md5 FROM u"""
+
+
+ORACLE["encoding_search"] = _encoding_search()
+
+# a repaired text is its original again
+ORACLE["encoding_repair"] = "SELECT doc_id, CASE WHEN text IS NOT NULL THEN true END AS restored FROM documents"

@@ -12,6 +12,7 @@ from corpusloom.operators import textprep as TP
 from corpusloom.operators import vocabulary as V
 from corpusloom.operators.encoding import as_mojibake, repair_encoding
 from corpusloom.operators.lang import identify, train_profiles
+from corpusloom.operators.mojibake import damaged, detector, repair
 from corpusloom.session import cut_lineage
 from corpusloom.plans.common import T, round_cols, votes
 from corpusloom.sources import derived
@@ -158,3 +159,26 @@ def strip_text(spark, sf_dir):
     j = t0.join(t1, "conv_id")
     return j.select("conv_id", title_body("title", "body").alias("text"),
                     F.length(py_strip("title")).alias("title_len"))
+
+
+#: IN-8: how the text of a document is damaged, by its id modulo 7: layers of (codec) over the whole text or its first half.
+DAMAGE = [("cp1252",), ("latin-1",), ("mac-roman",), ("cp1252", "cp1252"), ("cp1252", "mac-roman"), "half", ()]
+
+
+def encoding_search(spark, sf_dir):
+    """K-09: documents damaged by one or two layers of three codecs, whole or in
+    their first half, and repaired: every text must be itself again."""
+    d = T(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 7).cast("int").alias("variant"), F.coalesce("text", F.lit("")).alias("text"))
+    half = F.floor(F.length("text") / 2).cast("int")
+    broken = F.col("text")
+    for k, layers in enumerate(DAMAGE):
+        if layers == "half":
+            made = F.concat(damaged(F.substring("text", F.lit(1), half), "cp1252"), F.substring("text", half + 1, F.length("text")))
+        else:
+            made = F.col("text")
+            for codec in layers:
+                made = damaged(made, codec)
+        broken = F.when(F.col("variant") == k, made).otherwise(broken)
+    d = d.select("doc_id", "variant", broken.alias("text"))
+    d = d.withColumn("suspect", F.col("text").rlike(detector())).withColumn("n_chars", F.length("text"))
+    return repair(d, "text", "layers").select("doc_id", "variant", "suspect", "n_chars", "layers", F.md5("text").alias("restored_md5"))
