@@ -3,6 +3,8 @@ join jobs (M-22, M-23, M-24)."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import collapse_ws, non_blank, year_int
@@ -11,7 +13,9 @@ from corpusloom.operators import shape as SH
 from corpusloom.operators.encoding import repair_encoding
 from corpusloom.plans.common import T, round_cols
 from corpusloom.sources import derived
+from corpusloom.session import ensure_checkpoint_dir
 from corpusloom.sources.files import file_key
+from corpusloom.sources.smallfiles import read_small_files
 
 VIEWS = ["view_created_at", "view_date_time", "view_datetime"]
 
@@ -19,7 +23,7 @@ VIEWS = ["view_created_at", "view_date_time", "view_datetime"]
 def _views(spark, sf_dir, with_order: bool = False):
     c = T(spark, sf_dir, "conversations")
     if with_order:
-        c = c.withColumn("_ord", F.col("conv_id") * 1000 + F.col("turn"))
+        c = c.withColumn("_ord", F.struct("conv_id", "turn"))
         return dict(zip(VIEWS, derived.mixed_header_sources(c, carry=("_ord",))))
     return dict(zip(VIEWS, derived.mixed_header_sources(c)))
 
@@ -127,3 +131,43 @@ def patent_join(spark, sf_dir):
     meta = derived.metadata(T(spark, sf_dir, "labels")).select("key", "doc_id", "quality", "toxic", "ord")
     j = J.inner_join_last(d.select("key", F.length("text").alias("text_chars")), meta, "key", ["ord", "doc_id"])
     return j
+
+
+def _turn_files(spark, sf_dir) -> str:
+    """Conversation turns written as many small files below the shared folder:
+    one file for each of ``turn % 3`` header styles and 211 ranges of
+    conversations, with planted bad lines.  Returns the folder."""
+    c = T(spark, sf_dir, "conversations").withColumn("style", F.pmod("turn", F.lit(3))).withColumn(
+        "part", F.concat(F.col("style").cast("string"), F.lit("-"), F.pmod("conv_id", F.lit(211)).cast("string")))
+    date = F.concat(F.lit("2020-"), F.lpad((F.col("conv_id") % 12 + 1).cast("string"), 2, "0"), F.lit("-01"))
+    cell = F.concat(F.lit('"'), F.replace("text", F.lit('"'), F.lit('""')), F.lit('"'))
+    line = (F.when(F.col("style") == 0, F.concat_ws(",", date, "role", cell, "conv_id", "turn"))
+            .when(F.col("style") == 1, F.concat_ws(",", date, F.concat(F.lpad((F.col("turn") % 24).cast("string"), 2, "0"), F.lit(":00")), cell, "conv_id"))
+            .otherwise(F.to_json(F.struct(date.alias("datetime"), F.col("text").alias("full_text"), F.col("role").alias("user")))))
+    header = (F.when(F.col("style") == 0, "created_at,user_name,tweet,a,b").when(F.col("style") == 1, "Date,time,Content,c"))
+    # a field too many, a broken quote, a cut object
+    bad = F.when(F.col("style") == 0, "x,y,z,1,2,3").when(F.col("style") == 1, 'x,"y').otherwise('{"datetime": "x", ')
+    rows = c.select("part", "style", F.concat(F.lit("1"), F.lpad("conv_id", 12, "0"), F.lpad("turn", 12, "0")).alias("ord"), line.alias("value"))
+    planted = c.where("conv_id % 11 = 0").select("part", "style", F.concat(F.lit("1"), F.lpad("conv_id", 12, "0"), F.lpad("turn", 12, "0"), F.lit("x")).alias("ord"),
+                                                 bad.alias("value"))
+    heads = c.select("part", "style").distinct().select("part", "style", F.lit("0").alias("ord"), header.alias("value")).where("value is not null")
+    folder = f"{ensure_checkpoint_dir(spark)}/turn-files-{uuid.uuid4().hex}"
+    lines = rows.unionAll(planted).unionAll(heads)
+    for kind, which in (("csv", "style < 2"), ("json", "style = 2")):
+        (lines.where(which).repartition("part").sortWithinPartitions("part", "ord").select("part", "value")
+         .write.partitionBy("part").option("compression", "none").text(f"{folder}/{kind}"))
+    return folder
+
+
+def small_files_scan(spark, sf_dir):
+    """S-01..S-08 + S-17: turns written as hundreds of small CSV and JSON files
+    of three headers and read back as one table; bad lines are rows with a reason."""
+    folder = _turn_files(spark, sf_dir)
+    out = []
+    for kind in ("csv", "json"):
+        good, bad = read_small_files(spark, f"{folder}/{kind}", "*.txt", merge_date_time=True, kind=kind)
+        out.append(good.select(F.lit(kind).alias("kind"), F.lit("good").alias("status"), "timestamp", "username", F.md5("tweet").alias("tweet_md5"))
+                   .unionByName(bad.select(F.lit(kind).alias("kind"), F.split("reason", r" \(").getItem(0).alias("status"),
+                                           F.lit(None).cast("string").alias("timestamp"), F.lit(None).cast("string").alias("username"),
+                                           F.md5("raw").alias("tweet_md5"))))
+    return SH.union_all(out)

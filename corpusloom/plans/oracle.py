@@ -1006,3 +1006,11 @@ ORACLE["encoding_search"] = _encoding_search()
 
 # a repaired text is its original again
 ORACLE["encoding_repair"] = "SELECT doc_id, CASE WHEN text IS NOT NULL THEN true END AS restored FROM documents"
+
+ORACLE["small_files_scan"] = """WITH c AS (SELECT *, turn % 3 AS style, '2020-' || lpad(CAST(conv_id % 12 + 1 AS VARCHAR), 2, '0') || '-01' AS d FROM conversations)
+SELECT CASE WHEN style < 2 THEN 'csv' ELSE 'json' END AS kind, 'good' AS status,
+  CASE WHEN style = 1 THEN d || ' ' || lpad(CAST(turn % 24 AS VARCHAR), 2, '0') || ':00' ELSE d END AS timestamp,
+  CASE WHEN style = 1 THEN NULL ELSE role END AS username, md5(CASE WHEN style = 2 THEN text ELSE nullif(text, '') END) AS tweet_md5 FROM c
+UNION ALL
+SELECT CASE WHEN style < 2 THEN 'csv' ELSE 'json' END, CASE style WHEN 0 THEN '6 fields instead of 5' WHEN 1 THEN 'unclosed quote' ELSE 'no JSON' END, NULL, NULL,
+  md5(CASE style WHEN 0 THEN 'x,y,z,1,2,3' WHEN 1 THEN 'x,"y' ELSE '{"datetime": "x", ' END) FROM c WHERE conv_id % 11 = 0"""
