@@ -1014,3 +1014,10 @@ SELECT CASE WHEN style < 2 THEN 'csv' ELSE 'json' END AS kind, 'good' AS status,
 UNION ALL
 SELECT CASE WHEN style < 2 THEN 'csv' ELSE 'json' END, CASE style WHEN 0 THEN '6 fields instead of 5' WHEN 1 THEN 'unclosed quote' ELSE 'no JSON' END, NULL, NULL,
   md5(CASE style WHEN 0 THEN 'x,y,z,1,2,3' WHEN 1 THEN 'x,"y' ELSE '{"datetime": "x", ' END) FROM c WHERE conv_id % 11 = 0"""
+
+# ---------------------------------------------------------------- runs and micro-batches
+ORACLE["stream_key_first"] = ORACLE["dedup_key_first"]
+ORACLE["stream_text_first"] = ORACLE["dedup_text_first"]
+ORACLE["ledger_outcomes"] = """SELECT CAST(page_id AS VARCHAR) AS key, CASE WHEN page_id % 10 = 3 THEN 'dead' ELSE 'done' END AS outcome,
+  CASE page_id % 10 WHEN 3 THEN 3 WHEN 5 THEN 2 ELSE 1 END AS attempt,
+  CASE WHEN page_id % 10 <> 3 THEN CAST(length(html) AS INTEGER) END AS n_chars FROM pages"""
