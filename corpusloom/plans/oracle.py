@@ -1021,3 +1021,15 @@ ORACLE["stream_text_first"] = ORACLE["dedup_text_first"]
 ORACLE["ledger_outcomes"] = """SELECT CAST(page_id AS VARCHAR) AS key, CASE WHEN page_id % 10 = 3 THEN 'dead' ELSE 'done' END AS outcome,
   CASE page_id % 10 WHEN 3 THEN 3 WHEN 5 THEN 2 ELSE 1 END AS attempt,
   CASE WHEN page_id % 10 <> 3 THEN CAST(length(html) AS INTEGER) END AS n_chars FROM pages"""
+
+# ---------------------------------------------------------------- files
+ORACLE["csv_roundtrip"] = """SELECT o_orderpriority, count(*) AS good, CAST(sum(o_orderkey) AS BIGINT) AS keys, round(sum(o_totalprice), 2) AS price
+FROM orders WHERE o_orderkey % 97 <> 0 GROUP BY o_orderpriority
+UNION ALL SELECT 'quarantine', count(*), CAST(sum(o_orderkey) AS BIGINT), NULL FROM orders WHERE o_orderkey % 97 = 0"""
+ORACLE["json_records_roundtrip"] = """SELECT conv_id, turn, role, md5(text) AS text_md5, 'good' AS status FROM conversations
+UNION ALL SELECT conv_id, turn, NULL, NULL, 'quarantine' FROM conversations WHERE conv_id % 11 = 0"""
+# the text writer ends a row with a line feed
+ORACLE["text_tree_scan"] = """SELECT page_id, CAST(length(html) + 1 AS INTEGER) AS n_chars, md5(html || chr(10)) AS text_md5, true AS has_key FROM pages"""
+ORACLE["partitioned_tables"] = "SELECT lang, count(*) AS documents, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY lang"
+ORACLE["pending_pages"] = "SELECT page_id, url FROM pages WHERE page_id % 3 <> 0"
+ORACLE["converted_pages"] = f"SELECT page_id, CASE WHEN page_id % 13 <> 0 THEN md5({_html('html')}) END AS text_md5 FROM pages"

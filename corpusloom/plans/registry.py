@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("labeling", "joining", "vocabulary", "trends", "evaluation", "textprep", "subwords", "incremental", "sampling", "ingest", "inference")
+MODULES = ("labeling", "joining", "vocabulary", "trends", "evaluation", "textprep", "subwords", "incremental", "files", "sampling", "ingest", "inference")
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 
