@@ -8,7 +8,7 @@ small.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.arrays import (argmax, array_max_or, array_median, drop_ignored,
@@ -121,97 +121,101 @@ def roc_points(df: DataFrame, logits_col: str, label_col: str, digits: int = 9)
         F.try_divide(F.col("cum_neg"), F.col("N")).alias("fpr"))
 
 
-def _span_flags(tag, prev, last_non_i, strict: bool):
-    """(inside, start) flags of one IOB2 tag column at one position.
-    Lenient (seqeval default): B starts, I after O / another type starts.
-    Strict (IOB2): only B starts; an I is inside only when the run of I tags
-    it belongs to is preceded by B of the same type."""
-    typ = F.substring_index(tag, "-", -1)
-    is_b, is_i = tag.startswith("B-"), tag.startswith("I-")
-    if strict:
-        ok = F.coalesce(last_non_i.startswith("B-") & (F.substring_index(last_non_i, "-", -1) == typ),
-                        F.lit(False))
-        return is_b | (is_i & ok), is_b
-    start = is_b | (is_i & (prev.isNull() | (prev == "O") | (F.substring_index(prev, "-", -1) != typ)))
-    return is_b | is_i, start
+def span_counts(tags: Column) -> Column:
+    """What one document's ``tags`` (an array of structs ``pred``, ``gold``)
+    adds to the entity metrics: a struct of ``n_tokens``, ``n_correct`` and, for
+    each mode, the numbers of gold spans, predicted spans and spans that are
+    both.
 
+    Lenient (the default of entity metrics): B starts a span, and an I after O,
+    after another type, or at the beginning does.  Strict (IOB2): only B starts
+    one; an I is inside only when the last tag that is no I is a B of its type.
 
-def span_report(df: DataFrame, doc_col: str, pred_ids: str, gold_ids: str, labels: list[str],
-                ignore: int = -100) -> DataFrame:
-    """M-17 + F-30 on array-shaped data: drop ignored positions, map ids to
-    names, then :func:`span_report_rows`."""
-    pairs = df.select(F.col(doc_col).alias("doc"),
-                      F.posexplode(drop_ignored(pred_ids, gold_ids, labels, ignore)).alias("pos", "pg"))
-    tok = pairs.select("doc", "pos", F.col("pg.pred").alias("pred"), F.col("pg.gold").alias("gold"))
-    return span_report_rows(tok)
+    One fold of fixed state.  A span is in both readings when both start at one
+    token with one type and have the same last token, so the state holds one
+    candidate: whether it is open on either side, and its last token there."""
+    modes, sides = ("strict", "lenient"), ("gold", "pred")
 
+    def kind(tag: Column) -> Column:
+        return F.substring_index(tag, "-", -1)
 
-def span_report_rows(tok: DataFrame) -> DataFrame:
-    """M-17 on a (doc, pos, pred, gold) tag-name table (ignored positions
-    already removed): entity-level strict and lenient P/R/F1 and token
-    accuracy (trap T-27 names).
-
-    One per-document window pass computes span ids for gold and predicted
-    tags in both modes; spans are aggregated once and matched by grouping
-    on (mode, doc, start, end, type) instead of a join."""
-    w = Window.partitionBy("doc").orderBy("pos")
-    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cols = {}
-    for src in ("gold", "pred"):
-        t = F.col(src)
-        prev = F.lag(src).over(w)
-        lni = F.last(F.when(~t.startswith("I-"), t), ignorenulls=True).over(upto)
-        for mode, strict in (("strict", True), ("lenient", False)):
-            inside, start = _span_flags(t, prev, lni, strict)
-            cols[f"{src}_{mode}_in"] = inside
-            cols[f"{src}_{mode}_st"] = start & inside
-    flagged = tok.withColumns(cols)
-    sids = {f"{k[:-3]}_sid": F.sum(F.col(k).cast("int")).over(upto) for k in cols if k.endswith("_st")}
-    flagged = flagged.withColumns(sids)
-    members = F.array(*[
-        F.struct(F.lit(src).alias("src"), F.lit(mode).alias("mode"),
-                 F.col(f"{src}_{mode}_sid").alias("sid"), F.col(f"{src}_{mode}_in").alias("inside"),
-                 F.substring_index(F.col(src), "-", -1).alias("type"), F.lit(None).cast("int").alias("ok"))
-        for src in ("gold", "pred") for mode in ("strict", "lenient")],
-        # one extra member per token carries token accuracy through the same
-        # pipeline (a second branch would re-read and re-window the tokens)
-        F.struct(F.lit("tok").alias("src"), F.lit("acc").alias("mode"), F.lit(0).cast("long").alias("sid"),
-                 F.lit(True).alias("inside"), F.lit("-").alias("type"),
-                 (F.col("pred") == F.col("gold")).cast("int").alias("ok")))
-    # only tokens inside a span (plus the accuracy member) are exploded
-    m = flagged.select("doc", "pos", F.explode(F.filter(members, lambda x: x["inside"])).alias("m"))
-    spans = m.groupBy("doc", "m.src", "m.mode", "m.sid").agg(
-        F.min("pos").alias("start"), F.max("pos").alias("end"), F.first("m.type").alias("type"),
-        F.count("*").alias("n_tok"), F.sum("m.ok").alias("n_ok"))
-    keyed = spans.groupBy("mode", "doc", "start", "end", "type").agg(
-        F.max((F.col("src") == "gold").cast("int")).alias("g"),
-        F.max((F.col("src") == "pred").cast("int")).alias("p"),
-        F.sum("n_tok").alias("n_tok"), F.sum("n_ok").alias("n_ok"))
-    per_mode = keyed.groupBy("mode").agg(F.sum("g").alias("gold_n"), F.sum("p").alias("pred_n"),
-                                         F.count_if((F.col("g") == 1) & (F.col("p") == 1)).alias("tp"),
-                                         F.sum("n_tok").alias("n_tokens"), F.sum("n_ok").alias("n_correct"))
-    row = per_mode.agg(*[F.max(F.when(F.col("mode") == md, F.struct("gold_n", "pred_n", "tp"))).alias(md)
-                         for md in ("strict", "lenient")],
-                       F.max(F.when(F.col("mode") == "acc", F.col("n_tokens"))).alias("n_tokens"),
-                       F.max(F.when(F.col("mode") == "acc", F.col("n_correct"))).alias("n_correct"))
-    r = row.select(F.struct("strict", "lenient").alias("_m"),
-                   F.coalesce("n_tokens", F.lit(0)).cast("bigint").alias("n_tokens"),
-                   F.try_divide(F.col("n_correct").cast("double"), F.col("n_tokens")).alias("token_accuracy"))
-    out = ["n_tokens", "token_accuracy"]
+    start = {"n": F.lit(0), "ok": F.lit(0)}
+    for side in sides:
+        start |= {f"{side}_prev": F.lit(None).cast("string"), f"{side}_base": F.lit(None).cast("string")}
+    for mode in modes:
+        start |= {f"{mode}_both": F.lit(0), f"{mode}_open": F.lit(False)}
+        for side in sides:
+            start |= {f"{mode}_{side}_n": F.lit(0), f"{mode}_{side}_on": F.lit(False), f"{mode}_{side}_last": F.lit(-1)}
+
+    def step(a: Column, x: Column) -> Column:
+        new = {"n": a["n"] + 1, "ok": a["ok"] + (x["pred"] == x["gold"]).cast("int")}
+        inside, begins, is_i = {}, {}, {}
+        for side in sides:
+            tag, prev = x[side], a[f"{side}_prev"]
+            is_b, is_i[side] = tag.startswith("B-"), tag.startswith("I-")
+            base = F.when(is_i[side], a[f"{side}_base"]).otherwise(tag)
+            in_b = F.coalesce(base.startswith("B-") & (kind(base) == kind(tag)), F.lit(False))
+            inside["strict", side], begins["strict", side] = is_b | is_i[side] & in_b, is_b
+            inside["lenient", side] = is_b | is_i[side]
+            begins["lenient", side] = is_b | is_i[side] & (prev.isNull() | (prev == "O") | (kind(prev) != kind(tag)))
+            new |= {f"{side}_prev": tag, f"{side}_base": base}
+        for mode in modes:
+            both = begins[mode, "gold"] & begins[mode, "pred"] & (kind(x["gold"]) == kind(x["pred"]))
+            same = a[f"{mode}_open"] & (a[f"{mode}_gold_last"] == a[f"{mode}_pred_last"])
+            new[f"{mode}_both"] = a[f"{mode}_both"] + (both & same).cast("int")
+            new[f"{mode}_open"] = a[f"{mode}_open"] | both
+            for side in sides:
+                on = both | a[f"{mode}_{side}_on"] & ~begins[mode, side] & is_i[side]
+                new[f"{mode}_{side}_on"] = on
+                new[f"{mode}_{side}_last"] = F.when(on & inside[mode, side], a["n"]).otherwise(a[f"{mode}_{side}_last"])
+                new[f"{mode}_{side}_n"] = a[f"{mode}_{side}_n"] + begins[mode, side].cast("int")
+        return F.struct(*[new[k].alias(k) for k in start])
+
+    def finish(a: Column) -> Column:
+        out = [a["n"].alias("n_tokens"), a["ok"].alias("n_correct")]
+        for mode in modes:
+            same = a[f"{mode}_open"] & (a[f"{mode}_gold_last"] == a[f"{mode}_pred_last"])
+            out += [a[f"{mode}_gold_n"].alias(f"{mode}_gold"), a[f"{mode}_pred_n"].alias(f"{mode}_pred"),
+                    (a[f"{mode}_both"] + same.cast("int")).alias(f"{mode}_both")]
+        return F.struct(*out)
+
+    return F.aggregate(tags, F.struct(*[v.alias(k) for k, v in start.items()]), step, finish)
+
+
+def span_metrics(counts: DataFrame, group_cols: list[str] | None = None) -> DataFrame:
+    """M-17 from a column ``c`` of ``span_counts``: entity-level strict and
+    lenient P/R/F1 and token accuracy (trap T-27 names), over all documents or
+    per group.  Documents add up on the map side."""
+    groups = list(group_cols or [])
+    names = ["n_tokens", "n_correct"] + [f"{m}_{k}" for m in ("strict", "lenient") for k in ("gold", "pred", "both")]
+    r = counts.groupBy(*groups).agg(*[F.coalesce(F.sum(f"c.{n}"), F.lit(0)).cast("bigint").alias(n) for n in names])
+    out = [*groups, "n_tokens", F.try_divide(F.col("n_correct").cast("double"), F.col("n_tokens")).alias("token_accuracy")]
     for mode in ("strict", "lenient"):
-        g = F.coalesce(F.col(f"_m.{mode}.gold_n"), F.lit(0)).cast("bigint")
-        p = F.coalesce(F.col(f"_m.{mode}.pred_n"), F.lit(0)).cast("bigint")
-        tp = F.coalesce(F.col(f"_m.{mode}.tp"), F.lit(0))
+        g, p, tp = (F.col(f"{mode}_{k}") for k in ("gold", "pred", "both"))
         prec = F.when(p > 0, tp / p).otherwise(F.lit(0.0))
         rec = F.when(g > 0, tp / g).otherwise(F.lit(0.0))
-        r = r.withColumn(f"{mode}_precision", prec).withColumn(f"{mode}_recall", rec)
-        pc, rc = F.col(f"{mode}_precision"), F.col(f"{mode}_recall")
-        r = r.withColumn(f"{mode}_f1", F.when(pc + rc > 0, 2 * pc * rc / (pc + rc)).otherwise(F.lit(0.0)))
-        r = r.withColumn(f"{mode}_gold_spans", g).withColumn(f"{mode}_pred_spans", p)
-        out += [f"{mode}_precision", f"{mode}_recall", f"{mode}_f1", f"{mode}_gold_spans", f"{mode}_pred_spans"]
+        f1 = F.when(prec + rec > 0, 2 * prec * rec / (prec + rec)).otherwise(F.lit(0.0))
+        out += [prec.alias(f"{mode}_precision"), rec.alias(f"{mode}_recall"), f1.alias(f"{mode}_f1"), g.alias(f"{mode}_gold_spans"),
+                p.alias(f"{mode}_pred_spans")]
     return r.select(*out)
 
 
+def span_report(df: DataFrame, doc_col: str, pred_ids: str, gold_ids: str, labels: list[str],
+                ignore: int = -100, group_cols: list[str] | None = None) -> DataFrame:
+    """M-17 + F-30 on array-shaped data: drop ignored positions, map ids to
+    names, count each document's spans in its row."""
+    pairs = drop_ignored(pred_ids, gold_ids, labels, ignore)
+    return span_metrics(df.select(*(group_cols or []), span_counts(pairs).alias("c")), group_cols)
+
+
+def span_report_rows(tok: DataFrame, group_cols: list[str] | None = None) -> DataFrame:
+    """M-17 on a (doc, pos, pred, gold) tag-name table (ignored positions
+    already removed): the tags of a document come together once."""
+    groups = list(group_cols or [])
+    docs = tok.groupBy(*groups, "doc").agg(F.sort_array(F.collect_list(F.struct("pos", "pred", "gold"))).alias("t"))
+    return span_metrics(docs.select(*groups, span_counts(F.col("t")).alias("c")), groups)
+
+
 def group_describe(df: DataFrame, group_col: str, value_col: str) -> DataFrame:
     """A-13: pandas ``describe`` per group: count, mean, std (sample), min,
     quartiles (linear interpolation), max."""

@@ -62,6 +62,23 @@ def text_column(df: DataFrame, aliases: list[str] = TEXT_ALIASES, keep: list[str
     raise ValueError(f"no text column among {aliases}: {df.columns}")
 
 
+def with_text_column(df: DataFrame, aliases: list[str] = TEXT_ALIASES) -> tuple[DataFrame, str]:
+    """P-06: ``df`` with its first known text alias named ``text``, other columns
+    as they are (one that clashes keeps its place under ``_text``), and the old
+    name; error if there is none."""
+    old = next((a for a in aliases if a in df.columns), None)
+    if old is None:
+        raise ValueError(f"no text column among {aliases}: {df.columns}")
+    names = {"text": "_text"} if old != "text" and "text" in df.columns else {}
+    return df.withColumnsRenamed(names).withColumnRenamed(old, "text"), old
+
+
+def restore_text_column(df: DataFrame, old: str) -> DataFrame:
+    """P-06: undo ``with_text_column``: give ``text`` its old name back."""
+    df = df.withColumnRenamed("text", old)
+    return df.withColumnRenamed("_text", "text") if old != "text" and "_text" in df.columns else df
+
+
 def combine_text_sources(sources: dict[str, DataFrame]) -> DataFrame:
     """U-02: union of the text columns of several sources with a ``source``
     column; sources without a text column are skipped."""

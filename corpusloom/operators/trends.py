@@ -96,8 +96,28 @@ def average_rank(df: DataFrame, part_cols: list[str], value_col: str, out: str)
     return df.withColumn(out, F.rank().over(w) + (F.count("*").over(ties) - 1) / 2.0)
 
 
+def month_index(period) -> Column:
+    """Months since year 0 of a ``yyyymm`` number: neighbours differ by one."""
+    p = F.col(period) if isinstance(period, str) else period
+    return F.floor(p / 100) * 12 + p % 100
+
+
+def period_gaps(df: DataFrame, index: Column) -> DataFrame:
+    """T-25: what lies between the first and the last period and is not there:
+    ``before`` and ``after`` (the periods' ``index``) and how many are
+    ``missing``.  Each period looks up its successor among the ends of gaps, so
+    no window holds all periods."""
+    present = df.select(index.cast("long").alias("i")).distinct().where("i is not null")
+    no_next = present.join(present.select((F.col("i") - 1).alias("i")), "i", "left_anti").select(F.col("i").alias("before"))
+    no_prev = present.join(present.select((F.col("i") + 1).alias("i")), "i", "left_anti").select(F.col("i").alias("after"))
+    # the k-th run of periods ends where the next one begins
+    ends = ordered_prefix(no_next, ["before"], None, out="k")
+    starts = ordered_prefix(no_prev, ["after"], None, out="n").withColumn("k", F.col("n") - 1).drop("n")
+    return ends.join(starts, "k").select("before", "after", (F.col("after") - F.col("before") - 1).alias("missing"))
+
+
 def lagged_spearman(a: DataFrame, b: DataFrame, period_col: str, x_col: str, y_col: str,
-                    max_lag: int = 5) -> DataFrame:
+                    max_lag: int = 5, calendar: Column | None = None) -> DataFrame:
     """M-06 (W-02 + W-04 + J-09): Spearman correlation of two per-period
     series aligned on their common periods, for positional lags -k..k.
 
@@ -105,11 +125,16 @@ def lagged_spearman(a: DataFrame, b: DataFrame, period_col: str, x_col: str, y_c
     positive lag pairs x at i + lag with y at i (trap T-25: positional, not
     calendar).  Ranks are recomputed inside each lag's overlap.  Positions
     come from :func:`ordered_prefix`; the lag pairing is an equi-join on
-    ``pos_y = pos_x - lag``.
+    ``pos_y = pos_x - lag``.  With ``calendar``, a whole number per period such
+    as ``month_index``, lags count calendar steps: a missing period pairs with
+    nothing instead of moving the others.
     """
     j = a.select(period_col, x_col).join(b.select(period_col, y_col), period_col, "inner")
     # the aligned series is one row per common period: materialise it once
-    j = ordered_prefix(j, [period_col], None, out="_pos", materialize=True).withColumn("_pos", F.col("_pos") - 1)
+    if calendar is not None:
+        j = j.withColumn("_pos", calendar.cast("long"))
+    else:
+        j = ordered_prefix(j, [period_col], None, out="_pos", materialize=True).withColumn("_pos", F.col("_pos") - 1)
     xs = j.select(F.col("_pos").alias("pos_x"), F.col(x_col).alias("x"),
                   F.explode(F.sequence(F.lit(-max_lag), F.lit(max_lag))).alias("lag"))
     ys = j.select(F.col("_pos").alias("pos_y"), F.col(y_col).alias("y"))

@@ -77,10 +77,11 @@ def vocab_stats(df: DataFrame, corpus_col: str = "corpus", text_col: str = "text
     return tot.join(ttr, F.col("corpus").eqNullSafe(F.col("_c")), "left").drop("_c").withColumn("ttr", F.coalesce("ttr", F.lit(0.0)))
 
 
-def js_distance(tt: DataFrame, pairs: DataFrame) -> DataFrame:
+def js_distance(tt: DataFrame, pairs: DataFrame, divergence: bool = False) -> DataFrame:
     """M-11: Jensen-Shannon *distance* (natural log) between the token
     distributions of each ``(corpus_a, corpus_b)`` pair, renormalised on the
-    shared vocabulary; no shared token -> 1.0 (trap T-21)."""
+    shared vocabulary; no shared token -> 1.0 (trap T-21).  ``divergence`` adds
+    the divergence itself, of which the distance is the square root."""
     a = tt.select(F.col("corpus").alias("corpus_a"), "token", F.col("cnt").alias("ca"))
     b = tt.select(F.col("corpus").alias("corpus_b"), "token", F.col("cnt").alias("cb"))
     shared = (pairs.join(a, "corpus_a").join(b, ["corpus_b", "token"]))
@@ -96,6 +97,7 @@ def js_distance(tt: DataFrame, pairs: DataFrame) -> DataFrame:
     return (pairs.join(js, ["corpus_a", "corpus_b"], "left")
             .select("corpus_a", "corpus_b",
                     F.coalesce("js_distance", F.lit(1.0)).alias("js_distance"),
+                    *([F.coalesce(F.col("js_distance") * F.col("js_distance"), F.lit(1.0)).alias("js_divergence")] if divergence else []),
                     F.coalesce("shared_tokens", F.lit(0)).cast("bigint").alias("shared_tokens")))
 
 

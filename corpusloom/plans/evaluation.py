@@ -9,6 +9,7 @@ from corpusloom.functions.literal import parse_literal_list
 from corpusloom.functions.numbers import confidence_band
 from corpusloom.operators import evaluate as EV
 from corpusloom.operators import labels as L
+from corpusloom.operators import splits as SP
 from corpusloom.plans.common import T, round_cols, votes
 from corpusloom.sources import derived
 from corpusloom.sources.schemas import SEQUENCE_TAGS
@@ -115,6 +116,16 @@ def span_report(spark, sf_dir):
                           "lenient_precision", "lenient_recall", "lenient_f1"])
 
 
+def span_report_folds(spark, sf_dir):
+    """M-25: entity metrics on each of the 5 group folds of the documents'
+    sources, a source never in two folds."""
+    d = T(spark, sf_dir, "documents")
+    folds = SP.group_folds(d.select("source", "doc_id"), "source", 5).select("source", "fold")
+    tags = derived.word_tags(d).join(d.select("doc_id", "source"), "doc_id").join(folds, "source")
+    r = EV.span_report(tags, "doc_id", "pred_ids", "gold_ids", SEQUENCE_TAGS, group_cols=["fold"])
+    return round_cols(r, [c for c in r.columns if c.startswith(("token_acc", "strict_", "lenient_")) and not c.endswith("_spans")])
+
+
 def parse_printed_list(spark, sf_dir):
     """F-17 + F-08: IN-5 predictions printed as a Python list literal, then
     parsed back (quotes normalised, JSON parse, error -> empty list)."""

@@ -75,6 +75,19 @@ def combine_text_sources(spark, sf_dir):
     return round_cols(c.withColumn("percent", F.col("rows") / n * 100), ["percent"])
 
 
+def text_alias_roundtrip(spark, sf_dir):
+    """P-06 + P-07: tables with two aliases are cleaned as ``text`` and get
+    their columns' old names back."""
+    out = []
+    for name, df, alias in (("documents", T(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("tweet")), "tweet"),
+                            ("benchmark", T(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), F.col("text").alias("sentence")), "sentence")):
+        work, old = SH.with_text_column(df)
+        back = SH.restore_text_column(work.withColumn("text", collapse_ws("text")), old)
+        assert old == alias and back.columns == df.columns
+        out.append(back.select(F.lit(name).alias("source"), "doc_id", F.lit(old).alias("alias"), F.md5(alias).alias("text_md5")))
+    return SH.union_all(out)
+
+
 def _records(spark, sf_dir):
     """IN-10-like metadata records from IN-4: NULL structs and lists in
     fixed places (doc_id % 3, % 4), year as text."""

@@ -1033,3 +1033,68 @@ ORACLE["text_tree_scan"] = """SELECT page_id, CAST(length(html) + 1 AS INTEGER)
 ORACLE["partitioned_tables"] = "SELECT lang, count(*) AS documents, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY lang"
 ORACLE["pending_pages"] = "SELECT page_id, url FROM pages WHERE page_id % 3 <> 0"
 ORACLE["converted_pages"] = f"SELECT page_id, CASE WHEN page_id % 13 <> 0 THEN md5({_html('html')}) END AS text_md5 FROM pages"
+
+
+# ---------------------------------------------------------------- versions and sketches of the vocabulary
+def _corpora_where(condition: str, bench: bool = True) -> str:
+    only = CORPORA.replace("FROM documents", f"FROM documents WHERE {condition}")
+    return only if bench else only.replace("FROM benchmark", "FROM benchmark WHERE false")
+
+
+LAST = _corpora_where("doc_id % 10 <> 0")
+_STATS = f"SELECT tot.corpus, total_tokens, unique_tokens, {r9('avg_freq')} AS avg_freq, {r9('coalesce(ttr, 0.0)')} AS ttr"
+ORACLE["vocab_stats_versions"] = f"""SELECT * FROM (WITH {_corpora_where('doc_id % 3 < 2', False)}, {TT}, {TOT}, {TTR}
+{_STATS}, 2 AS version FROM tot LEFT JOIN ttr USING (corpus))
+UNION ALL SELECT * FROM (WITH {LAST}, {TT}, {TOT}, {TTR}
+{_STATS}, 5 AS version FROM tot LEFT JOIN ttr USING (corpus))"""
+ORACLE["js_distance_versions"] = ORACLE["js_distance"].replace(CORPORA, LAST)
+ORACLE["keyword_density_versions"] = ORACLE["keyword_density"].replace(CORPORA, LAST)
+ORACLE["js_divergence"] = f"""SELECT corpus_a, corpus_b, js_distance, CASE WHEN shared_tokens = 0 THEN 1.0 ELSE {r9('d * d')} END AS js_divergence, shared_tokens
+FROM (SELECT * FROM ({ORACLE['js_distance'].replace(r9('js_distance') + ' AS js_distance', 'js_distance AS d, ' + r9('js_distance') + ' AS js_distance')}))"""
+ORACLE["distinct_sketch"] = f"""WITH {CORPORA}, {TT}, {TOT},
+p AS (SELECT corpus, count(DISTINCT doc_id % 10) AS n_parts FROM corpora WHERE len({toks('text')}) > 0 GROUP BY corpus)
+SELECT corpus, n_parts, unique_tokens, true AS within FROM tot JOIN p USING (corpus)"""
+
+
+# ---------------------------------------------------------------- entity metrics by fold
+def _span_report_folds() -> str:
+    whole = _span_report()
+    tokens_, counts = whole.split("acc AS (", 1)
+    spans = counts.split("),\n", 1)[1].rsplit("\nSELECT ", 1)[0]
+    for mode in ("strict", "lenient"):
+        old = f"{mode} AS (SELECT count(g.doc) AS gold_n, count(p.doc) AS pred_n,"
+        assert old in spans
+        spans = spans.replace(old, f"{mode} AS (SELECT fold, count(g.doc) AS gold_n, count(p.doc) AS pred_n,")
+        end = f"FROM {mode}_g g FULL OUTER JOIN {mode}_p p ON g.doc = p.doc AND g.s = p.s AND g.e = p.e AND g.typ = p.typ)"
+        assert end in spans
+        spans = spans.replace(end, end[:-1] + " JOIN fold_of f ON f.doc = coalesce(g.doc, p.doc) GROUP BY fold)")
+    select = "SELECT acc.fold, " + counts.rsplit("\nSELECT ", 1)[1].split("\nFROM ")[0]
+    head = tokens_.removeprefix("WITH\n")
+    return f"""WITH RECURSIVE sz AS (SELECT source, size, row_number() OVER (ORDER BY size DESC, {_h('source', 0)}, source) AS k
+  FROM (SELECT source, count(*) AS size FROM documents GROUP BY source)),
+walk(k, source, fold, loads) AS (
+  SELECT 0::BIGINT, NULL::VARCHAR, 0::BIGINT, [0, 0, 0, 0, 0]::BIGINT[]
+  UNION ALL
+  SELECT g.k, g.source, list_position(loads, list_min(loads)) - 1,
+    [x + CASE WHEN i = list_position(loads, list_min(loads)) THEN g.size ELSE 0 END FOR x, i IN loads]
+  FROM walk JOIN sz g ON g.k = walk.k + 1),
+fold_of AS (SELECT d.doc_id AS doc, CAST(w.fold AS INTEGER) AS fold FROM documents d JOIN walk w ON w.k > 0 AND w.source = d.source),
+{head}acc AS (SELECT fold, count(*) AS n_tokens, avg(CASE WHEN pred = gold THEN 1.0 ELSE 0.0 END) AS token_accuracy
+  FROM tk JOIN fold_of USING (doc) GROUP BY fold),
+{spans}
+{select}
+FROM acc JOIN strict ON strict.fold = acc.fold JOIN lenient ON lenient.fold = acc.fold"""
+
+
+ORACLE["span_report_folds"] = _span_report_folds()
+
+
+# ---------------------------------------------------------------- calendar lags, aliases
+ORACLE["lag_correlation_calendar"] = (
+    ORACLE["lag_correlation"].replace("JOIN b USING (period)", "JOIN b USING (period) WHERE period % 7 <> 0")
+    .replace("row_number() OVER (ORDER BY period) - 1 AS pos", "period // 100 * 12 + period % 100 AS pos"))
+ORACLE["month_gaps"] = ORACLE["lag_correlation"].split("j AS (")[0] + """j AS (SELECT period // 100 * 12 + period % 100 AS i FROM a JOIN b USING (period) WHERE period % 7 <> 0),
+n AS (SELECT i, lead(i) OVER (ORDER BY i) AS nx FROM j)
+SELECT CAST(i AS BIGINT) AS before, CAST(nx AS BIGINT) AS after, CAST(nx - i - 1 AS BIGINT) AS missing FROM n WHERE nx > i + 1"""
+ORACLE["text_alias_roundtrip"] = f"""SELECT 'documents' AS source, doc_id, 'tweet' AS alias, md5({collapse('text')}) AS text_md5 FROM documents
+UNION ALL SELECT 'benchmark', item_id, 'sentence', md5({collapse('text')}) FROM benchmark"""

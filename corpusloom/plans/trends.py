@@ -88,3 +88,20 @@ def lag_correlation_p(spark, sf_dir):
     a, b = _monthly(spark, sf_dir)
     r = TR.lagged_spearman(a, b, "period", "activity", "price", 5)
     return round_cols(r.withColumn("p_value", TR.correlation_p_value("spearman_correlation", "n")), ["spearman_correlation", "p_value"])
+
+
+def _some_months(spark, sf_dir):
+    """The monthly series without every seventh month."""
+    return [d.where(F.col("period") % 7 != 0) for d in _monthly(spark, sf_dir)]
+
+
+def lag_correlation_calendar(spark, sf_dir):
+    """M-06 by calendar months over series with missing ones."""
+    a, b = _some_months(spark, sf_dir)
+    return round_cols(TR.lagged_spearman(a, b, "period", "activity", "price", 5, TR.month_index("period")), ["spearman_correlation"])
+
+
+def month_gaps(spark, sf_dir):
+    """M-06 (trap T-25): the months missing from both series."""
+    a, b = _some_months(spark, sf_dir)
+    return TR.period_gaps(a.join(b, "period"), TR.month_index("period"))

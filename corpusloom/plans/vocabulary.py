@@ -6,13 +6,18 @@ table as the general-language baseline corpus ``benchmark``.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from corpusloom.functions.numbers import round_half_even
+from corpusloom.functions.tokens import tokens
+from corpusloom.operators import sketches as SK
 from corpusloom.operators import vocabulary as V
 from corpusloom.plans.common import T, round_cols
-from corpusloom.session import cut_lineage
+from corpusloom.session import cut_lineage, ensure_checkpoint_dir
 from corpusloom.sources import derived
+from corpusloom.streaming.vocabulary import VocabularyTable
 
 BASELINE = "benchmark"
 SPECIAL_TOKENS = 2  # [CLS] + [SEP] added by the reference's default tokenizer call
@@ -77,6 +82,54 @@ def js_distance(spark, sf_dir):
     return round_cols(V.js_distance(tt, _all_pairs(tt)), ["js_distance"])
 
 
+def js_divergence(spark, sf_dir):
+    """M-11 (trap T-21): distance and divergence for every pair of corpora."""
+    tt = _token_table(spark, sf_dir)
+    return round_cols(V.js_distance(tt, _all_pairs(tt), divergence=True), ["js_distance", "js_divergence"])
+
+
+def _versions(spark, sf_dir) -> VocabularyTable:
+    """The vocabulary after three lots of documents and the benchmark came in
+    and every tenth document went."""
+    table = VocabularyTable(spark, f"{ensure_checkpoint_dir(spark)}/vocabulary-{uuid.uuid4().hex}", _vocab(spark, sf_dir))
+    docs = T(spark, sf_dir, "documents").select(F.col("lang").alias("corpus"), "doc_id", "text")
+    for k in range(3):
+        table.add(docs.where(F.col("doc_id") % 3 == k))
+    table.add(_corpora(spark, sf_dir).where(F.col("corpus") == BASELINE))
+    table.remove(docs.where("doc_id % 10 = 0"))
+    return table
+
+
+def vocab_stats_versions(spark, sf_dir):
+    """M-10 from deltas: the last version, and the one after the second lot."""
+    table = _versions(spark, sf_dir)
+    parts = [table.vocab_stats(v).withColumn("version", F.lit(v)) for v in (2, table.version)]
+    return round_cols(parts[0].unionByName(parts[1]), ["avg_freq", "ttr"])
+
+
+def js_distance_versions(spark, sf_dir):
+    """M-11 from deltas, after they are made one."""
+    table = _versions(spark, sf_dir)
+    table.compact()
+    return round_cols(table.js_distance(_all_pairs(table.token_table())), ["js_distance"])
+
+
+def keyword_density_versions(spark, sf_dir):
+    """M-13 from deltas."""
+    return round_cols(_versions(spark, sf_dir).keyword_density(), ["density_per_1k", "coverage", "doc_coverage"])
+
+
+def distinct_sketch(spark, sf_dir):
+    """A-15 by sketches: distinct tokens of every corpus from sketches of its
+    documents' tenths, merged; whether the estimate is within four standard errors."""
+    tokens_ = _corpora(spark, sf_dir).select("corpus", (F.col("doc_id") % 10).alias("part"), F.explode(tokens("text")).alias("token"))
+    parts = SK.part_sketches(tokens_, "token", ["corpus"], "part")
+    exact = V.corpus_totals(_token_table(spark, sf_dir)).select("corpus", "unique_tokens")
+    r = SK.estimated(SK.merged(parts, ["corpus"])).join(exact, "corpus").join(parts.groupBy("corpus").agg(F.count("*").alias("n_parts")), "corpus")
+    off = F.abs(F.col("approx_distinct") - F.col("unique_tokens")) / F.col("unique_tokens")
+    return r.select("corpus", "n_parts", "unique_tokens", (off <= 4 * SK.relative_error()).alias("within"))
+
+
 def domain_concentration(spark, sf_dir):
     """M-12 + J-11 + O-03: share of each language corpus covered by its 1,000
     tokens most enriched against the benchmark corpus."""

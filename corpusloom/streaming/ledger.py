@@ -1,25 +1,22 @@
 """Bounded retries with a ledger of attempts (R-01, R-02, R-04, S-16).
 
 A run converts the inputs that are pending and writes one row per input, with
-its outcome, into a folder of its own.  It counts from the moment its manifest,
-a file that names the folder, gets its final name by a rename.  Readers follow
-the manifests, so the remains of a run that died between its data and its
-manifest are never read and its inputs are pending again: each input's output
-appears exactly once.  An input that failed ``attempts`` times is a dead letter.
-
-One run at a time per ledger.  What reaches the driver is one name per run;
-``compact`` turns many runs into one.
+its outcome, as a version of the ledger (see ``manifests``).  The remains of a
+run that died between its data and its manifest are never read and its inputs
+are pending again: each input's output appears exactly once.  An input that
+failed ``attempts`` times is a dead letter.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusloom.streaming.manifests import Manifests
+
 
 class Ledger:
     """Attempts below ``folder`` on the shared storage.
@@ -27,40 +24,14 @@ class Ledger:
     ``schema`` is that of the converted rows without ``key``.  The key is text."""
 
     def __init__(self, spark: SparkSession, folder: str, schema: T.StructType, attempts: int = 3):
-        self.spark, self.folder, self.attempts = spark, folder.rstrip("/"), attempts
+        self.spark, self.manifests, self.attempts = spark, Manifests(spark, folder), attempts
         self.schema = T.StructType([T.StructField("key", T.StringType()), T.StructField("attempt", T.IntegerType()),
                                     T.StructField("error", T.StringType()), *schema.fields])
 
-    # --- manifests on whatever storage Spark reads -------------------------------
-    def _fs(self, path: str):
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
-
-    def runs(self) -> list[str]:
-        """Names of the runs that count, oldest first: the last ``all-`` run, which
-        stands for every run of a smaller number, and the runs from its number on."""
-        fs, p = self._fs(f"{self.folder}/manifests")
-        names = sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
-        whole = max((n for n in names if n.startswith("all-")), default=None)
-        first = _number(whole) if whole else 0
-        return ([whole] if whole else []) + [n for n in names if n.startswith("run-") and _number(n) >= first]
-
-    def _next(self, kind: str) -> str:
-        return f"{kind}-{max((_number(n) + n.startswith('run-') for n in self.runs()), default=0):08d}-{uuid.uuid4().hex}"
-
-    def commit(self, name: str) -> None:
-        """Give the manifest of run ``name`` its final name."""
-        fs, tmp = self._fs(f"{self.folder}/manifests/_tmp-{name}")
-        fs.create(tmp, True).close()
-        _, final = self._fs(f"{self.folder}/manifests/{name}")
-        if not fs.rename(tmp, final):
-            raise RuntimeError(f"manifest of {name} was not committed")
-
     # --- reading ----------------------------------------------------------------
     def entries(self) -> DataFrame:
         """All attempts that count: ``key``, ``attempt``, ``error`` (NULL for success), and the converted columns."""
-        paths = [f"{self.folder}/data/{n}" for n in self.runs()]
-        if not paths:
+        if not (paths := self.manifests.paths()):
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).parquet(*paths)
 
@@ -91,23 +62,18 @@ class Ledger:
         run; returns the number of inputs tried.  ``convert`` keeps ``key`` and
         ``attempt`` and adds ``error`` and the converted columns; it runs as a
         Spark job, and what it raises ends the run without a trace in the ledger."""
-        name = self._next("run")
-        path = f"{self.folder}/data/{name}"
+        name, path = self.manifests.new()
         convert(self.pending(inputs)).select(*self.schema.fieldNames()).write.parquet(path)
         tried = self.spark.read.schema(self.schema).parquet(path).count()
         if before_commit:
             before_commit()
         if tried:
-            self.commit(name)
+            self.manifests.commit(name)
         return tried
 
     def compact(self) -> None:
         """All runs as one: its manifest alone, once renamed, makes readers skip
         the older ones, whose files stay."""
-        name = self._next("all")
-        self.entries().write.parquet(f"{self.folder}/data/{name}")
-        self.commit(name)
-
-
-def _number(name: str) -> int:
-    return int(name.split("-")[1])
+        name, path = self.manifests.new("all")
+        self.entries().write.parquet(path)
+        self.manifests.commit(name)

@@ -34,11 +34,11 @@ def test_each_input_appears_once_and_failures_end(spark, tmp_path, inputs):
     assert {(r["key"], r["failed"], r["last_error"]) for r in ledger.dead_letters().collect()} == {(f"k{i}", 3, "bad 3") for i in range(3, 60, 10)}
     before = sorted(map(tuple, ledger.entries().collect()))
     ledger.compact()
-    assert len(ledger.runs()) == 1 and sorted(map(tuple, ledger.entries().collect())) == before
+    assert len(ledger.manifests.runs()) == 1 and sorted(map(tuple, ledger.entries().collect())) == before
     more = inputs.unionAll(spark.createDataFrame([("k99", "b99")], inputs.schema))
-    assert ledger.run(more, _convert) == 1 and len(ledger.runs()) == 2
+    assert ledger.run(more, _convert) == 1 and len(ledger.manifests.runs()) == 2
     ledger.compact()
-    assert len(ledger.runs()) == 1 and ledger.outputs().count() == 55
+    assert len(ledger.manifests.runs()) == 1 and ledger.outputs().count() == 55
 
 
 def test_a_run_that_dies_between_data_and_manifest(spark, tmp_path, inputs):
@@ -52,7 +52,7 @@ def test_a_run_that_dies_between_data_and_manifest(spark, tmp_path, inputs):
     ledger.run(inputs.limit(20), _convert)
     with pytest.raises(Killed):
         ledger.run(inputs, _convert, before_commit=kill)
-    assert len(list((tmp_path / "data").iterdir())) == 2 and len(ledger.runs()) == 1
+    assert len(list((tmp_path / "data").iterdir())) == 2 and len(ledger.manifests.runs()) == 1
     again = Ledger(spark, str(tmp_path), SCHEMA)  # a new driver
     while again.run(inputs, _convert):
         pass
