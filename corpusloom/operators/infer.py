@@ -14,16 +14,19 @@ can be plugged in.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from corpusloom.functions.arrays import first_prediction
 from corpusloom.functions.numbers import confidence_band
-from corpusloom.functions.text import non_blank
+from corpusloom.functions.text import non_blank, py_strip
+from corpusloom.functions.tokens import token_spans
 from corpusloom.operators.textprep import fixed_windows
 
 SENTIMENT = T.ArrayType(T.StructType([T.StructField("label", T.StringType()),
@@ -102,6 +105,97 @@ def batch_predict(df: DataFrame, text_col: str, keep_cols: list[str], factory: C
     return df.select(*keep_cols, text_col).mapInPandas(run, schema)
 
 
+class Batches:
+    """Texts in batches of at most ``budget`` padded tokens: the longest text of
+    a batch times its number of texts.  Calls ``predict`` batch by batch."""
+
+    def __init__(self, predict: Callable, budget: int):
+        self.predict, self.budget, self.rows, self.longest, self.seen = predict, budget, [], 0, []
+
+    def _flush(self) -> list[tuple]:
+        if not self.rows:
+            return []
+        self.seen.append(self.longest * len(self.rows))
+        got = list(zip((k for k, _ in self.rows), self.predict([t for _, t in self.rows])))
+        self.rows, self.longest = [], 0
+        return got
+
+    def add(self, key, text: str, n_tokens: int) -> list[tuple]:
+        """Take one text; returns (key, prediction) of a batch that was full."""
+        if n_tokens > self.budget:
+            raise ValueError(f"{n_tokens} tokens in one text: more than the budget of {self.budget}")
+        longest = max(self.longest, n_tokens)
+        done = self._flush() if longest * (len(self.rows) + 1) > self.budget else []
+        self.rows.append((key, text))
+        self.longest = max(self.longest, n_tokens)
+        return done
+
+    def end(self) -> list[tuple]:
+        return self._flush()
+
+
+def budget_predict(df: DataFrame, key_col: str, text_col: str, tokens_col: str, factory: Callable, pred_type: T.DataType,
+                   budget: int = 16_384, n_devices: int = 1) -> DataFrame:
+    """D-06 with bounded batches: ``key_col`` and ``predictions``.  Rows are
+    ranged by length, so texts of a batch are about as long and little is padded;
+    no batch passes ``budget``, and predictions do not depend on the batches."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    schema = T.StructType([df.schema[key_col], T.StructField("predictions", pred_type)])
+    target = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+        ctx = TaskContext.get()
+        work = Batches(factory((ctx.partitionId() % n_devices) if ctx is not None else 0), budget)
+
+        def rows(pairs: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_pylist([{key_col: k, "predictions": p} for k, p in pairs], target)
+
+        for batch in batches:
+            done: list[tuple] = []
+            for k, t, c in zip(*(x.to_pylist() for x in batch.columns)):
+                done += work.add(k, t, c)
+            yield rows(done)
+        yield rows(work.end())
+
+    ranged = df.select(key_col, text_col, tokens_col).repartitionByRange(n, tokens_col, key_col).sortWithinPartitions(tokens_col, key_col)
+    return ranged.mapInArrow(run, schema)
+
+
+def placed_windows(df: DataFrame, key_col: str, text_col: str = "text", window: int = 512) -> DataFrame:
+    """K-03 with places: (key, chunk_id, chunk_text, n_tokens, start), where
+    ``start`` is the chunk's first character in the text."""
+    base = df.select(key_col, F.length(text_col).alias("_len"), token_spans(text_col).alias("_sp")).where(F.size("_sp") > 0)
+    starts = F.sequence(F.lit(1), F.size("_sp"), F.lit(window))
+    chunks = F.transform(starts, lambda s: F.struct(F.array_join(F.slice("_sp", s, window), "").alias("t"),
+                                                    F.size(F.slice("_sp", s, window)).alias("n")))
+    base = base.select(key_col, "_len", chunks.alias("_ch"))
+    # each chunk starts where the ones before it end; the first one after the white space at the text's start
+    whole = F.aggregate("_ch", F.lit(0), lambda a, c: a + F.length(c["t"]))
+    place = F.aggregate("_ch", F.array(F.col("_len") - whole), lambda a, c: F.concat(a, F.array(F.element_at(a, -1) + F.length(c["t"]))))
+    out = base.select(key_col, F.posexplode(F.arrays_zip(F.col("_ch").alias("c"), F.slice(place, F.lit(1), F.size("_ch")).alias("s")))
+                      .alias("chunk_id", "_z"))
+    return out.select(key_col, "chunk_id", py_strip("_z.c.t").alias("chunk_text"), F.col("_z.c.n").alias("n_tokens"), F.col("_z.s").alias("start"))
+
+
+def document_entities(df: DataFrame, key_col: str, text_col: str, factory: Callable, window: int = 512, budget: int = 16_384,
+                      n_devices: int = 1) -> DataFrame:
+    """M-27 with places in the document (trap T-22): ``predictions`` of each text
+    in order, ``start`` and ``end`` counted in its characters, each with its
+    ``chunk_id``.  Texts without a token have no row."""
+    chunks = placed_windows(df, key_col, text_col, window).withColumn("_ck", F.struct(key_col, "chunk_id", "start"))
+    pred = budget_predict(chunks.select("_ck", "chunk_text", "n_tokens"), "_ck", "chunk_text", "n_tokens", factory, ENTITIES, budget, n_devices)
+
+    def moved(p):
+        return (p.withField("start", p["start"] + F.col("_ck.start")).withField("end", p["end"] + F.col("_ck.start"))
+                .withField("chunk_id", F.col("_ck.chunk_id")))
+
+    tagged = pred.select(F.col("_ck").getField(key_col).alias(key_col),
+                         F.struct(F.col("_ck.chunk_id").alias("chunk_id"), F.transform("predictions", moved).alias("p")).alias("c"))
+    g = tagged.groupBy(key_col).agg(F.sort_array(F.collect_list("c")).alias("_cs"))
+    return g.select(key_col, F.flatten(F.col("_cs.p")).alias("predictions")).withColumn("num_preds", F.size("predictions"))
+
+
 def sentiment_inference(df: DataFrame, key_col: str, text_col: str, factory: Callable,
                         n_devices: int = 1) -> DataFrame:
     """M-26: predictions for non-blank texts; top label / score (F-29) and

@@ -28,3 +28,13 @@ def batch_entities(spark, sf_dir):
     every document, regrouped per document in chunk order."""
     d = T(spark, sf_dir, "documents").select("doc_id", "text")
     return INF.entity_inference(d, "doc_id", "text", INF.capitalised_entities(7), 512)
+
+
+def document_entities(spark, sf_dir):
+    """D-06 + M-27 (trap T-22): entities of every document from batches of
+    bounded tokens, with places in the document, where the text must hold them."""
+    d = T(spark, sf_dir, "documents").select("doc_id", "text")
+    r = INF.document_entities(d, "doc_id", "text", INF.capitalised_entities(7), 512, 8192).join(d, "doc_id")
+    found = F.transform("predictions", lambda p: F.concat_ws(":", p["start"], p["end"], p["word"]))
+    held = F.forall("predictions", lambda p: F.substring(F.col("text"), p["start"] + 1, p["end"] - p["start"]) == p["word"])
+    return r.select("doc_id", "num_preds", F.md5(F.array_join(found, "|")).alias("entities_md5"), held.alias("text_holds_them"))

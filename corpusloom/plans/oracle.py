@@ -1098,3 +1098,14 @@ n AS (SELECT i, lead(i) OVER (ORDER BY i) AS nx FROM j)
 SELECT CAST(i AS BIGINT) AS before, CAST(nx AS BIGINT) AS after, CAST(nx - i - 1 AS BIGINT) AS missing FROM n WHERE nx > i + 1"""
 ORACLE["text_alias_roundtrip"] = f"""SELECT 'documents' AS source, doc_id, 'tweet' AS alias, md5({collapse('text')}) AS text_md5 FROM documents
 UNION ALL SELECT 'benchmark', item_id, 'sentence', md5({collapse('text')}) FROM benchmark"""
+
+
+# ---------------------------------------------------------------- entities with places
+ORACLE["document_entities"] = f"""WITH r AS (SELECT doc_id, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_]+') AS s FROM documents
+  WHERE len({toks('text')}) > 0),
+u AS (SELECT doc_id, unnest(s) AS x, unnest(range(len(s))) AS k FROM r),
+p AS (SELECT *, coalesce(sum(length(x)) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM u),
+e AS (SELECT doc_id, k, a, regexp_extract(x, '^\\p{{L}}[\\p{{L}}\\p{{N}}]{{6,}}') AS w FROM p),
+f AS (SELECT doc_id, count(*) AS n, string_agg(a::BIGINT || ':' || (a + length(w))::BIGINT || ':' || w, '|' ORDER BY k) AS t FROM e
+  WHERE w <> '' AND upper(w[1]) = w[1] AND lower(w[1]) <> w[1] GROUP BY doc_id)
+SELECT doc_id, CAST(coalesce(n, 0) AS INTEGER) AS num_preds, md5(coalesce(t, '')) AS entities_md5, true AS text_holds_them FROM r LEFT JOIN f USING (doc_id)"""
