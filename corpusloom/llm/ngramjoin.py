@@ -11,10 +11,11 @@ pair are compared first.  To verify what is left the order is cut into
 fragments: each fragment holds its slice of the candidates' sets, counts the
 partial overlaps of the pairs by itself, and the counts are summed per pair.
 
-Large groups never become all pairs.  Each shared n-gram first compares its
-classes with one pivot class, then those outside the pivot's component with a
-second one; afterwards only pairs whose classes are in different components
-are left, and all of these are compared.  Classes in one component already
+Large groups never become all pairs.  Each class is first compared with one
+other.  Then each shared n-gram compares the classes outside the component of
+its pivot class with that one, then with a second pivot; afterwards only pairs
+whose classes are in different components are left.  Of these, sizes and the n-grams that a class has to itself rule out
+what cannot link, and the rest is compared.  Classes in one component already
 need no comparison, so no link between components is lost.
 """
 
@@ -33,6 +34,8 @@ from corpusloom.llm.common import arrow_schema, components, free_names, maybe_br
 
 #: Buckets of the histogram behind the order: its size does not grow.
 BUCKETS = 1 << 20
+#: Counters by which sets are told apart before they are fetched.
+COUNTERS = 128
 #: Pairs that one task verifies at a time, per fragment.
 BLOCK = 20_000
 SPLIT = 4 << 20
@@ -115,9 +118,10 @@ def heavy_classes(docs: DataFrame, n: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(out.astype(np.int32)), pa.array(total[out])], names=["bucket", "count"])
 
     rows = (docs.select("text").mapInArrow(count, "bucket int, count long").groupBy("bucket").agg(F.sum("count").alias("count"))
-            .toPandas())  # at most BUCKETS rows
+            .toArrow())  # at most BUCKETS rows
     heavy = np.zeros(BUCKETS, np.uint8)
-    heavy[rows["bucket"]] = np.minimum(7, 1 + np.log2(rows["count"] / 8 + 1) / 2).astype(np.uint8)
+    bucket, times = (rows.column(c).to_numpy() for c in ("bucket", "count"))
+    heavy[bucket] = np.minimum(7, 1 + np.log2(times / 8 + 1) / 2).astype(np.uint8)
     return heavy
 
 
@@ -150,22 +154,26 @@ HEAD_BITS = 44
 
 
 def _head_table(docs: DataFrame, n: int, percent: int, heavy) -> DataFrame:
-    """Per document: size, 128-bit signature and head of its set."""
-    schema = "doc_id long, n int, s1 long, s2 long, head array<long>"
+    """Per document: size, 128-bit signature and head of its set, how many of
+    its n-grams fall to each of ``COUNTERS`` (255 at most), and a number ``rid``
+    of the row."""
+    schema = "doc_id long, n int, s1 long, s2 long, head array<long>, spread array<smallint>"
     target = arrow_schema(docs.sparkSession.createDataFrame([], schema).schema)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n_, s1, s2, head = [], [], [], []
+            n_, s1, s2, head, spread = [], [], [], [], []
             for s in ordered_sets(batch.column(1), n, heavy.value):
                 n_.append(len(s))
                 for out, v in zip((s1, s2), _signature(s)):
                     out.append(v)
                 p = prefix_size(len(s), percent)
                 head.append(np.unique(s[:p + extra(p)] >> (63 - HEAD_BITS)) if len(s) else s)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, f.type) for c, f in zip((n_, s1, s2, head), list(target)[1:]))], schema=target)
+                spread.append(np.minimum(np.bincount(s & (COUNTERS - 1), minlength=COUNTERS), 255).astype(np.int16))
+            cols = (n_, s1, s2, head, spread)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, f.type) for c, f in zip(cols, list(target)[1:]))], schema=target)
 
-    return docs.select("doc_id", "text").mapInArrow(build, schema)
+    return docs.select("doc_id", "text").mapInArrow(build, schema).withColumn("rid", F.monotonically_increasing_id())
 
 
 def _fragments(docs: DataFrame, n: int, heavy, borders: np.ndarray) -> DataFrame:
@@ -190,14 +198,15 @@ def _fragments(docs: DataFrame, n: int, heavy, borders: np.ndarray) -> DataFrame
     return docs.select("doc_id", "text", "own").mapInArrow(build, schema)
 
 
-def _overlap(key, sets, pairs):
+def _overlap(sets: pa.Table, pairs: pa.Table) -> pa.Table:
     """Partial overlaps of the pairs of one block in one fragment."""
-    import pandas as pd
-
-    of = dict(zip(sets["doc_id"], sets["keys"]))
-    got = [len(np.intersect1d(of[a], of[b], assume_unique=True)) for a, b in zip(pairs["a"], pairs["b"])]
-    out = pd.DataFrame({"a": pairs["a"], "b": pairs["b"], "na": pairs["na"], "nb": pairs["nb"], "part": np.array(got, np.int64)})
-    return out[out["part"] > 0]
+    keys = sets.column("keys").combine_chunks()
+    ends, values = keys.offsets.to_numpy(), keys.values.to_numpy()
+    of = {d: values[i:j] for d, i, j in zip(sets.column("doc_id").to_pylist(), ends[:-1], ends[1:])}
+    got = np.array([len(np.intersect1d(of[a], of[b], assume_unique=True))
+                    for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist())], np.int64)
+    out = pairs.select(["a", "b", "na", "nb"]).append_column("part", pa.array(got))
+    return out.filter(pa.array(got > 0))
 
 
 def _least(n: Column, percent: int) -> Column:
@@ -243,10 +252,41 @@ class _Verifier:
         # read anew: both sides of a cogroup may not come from one plan
         again = placed.sparkSession.read.schema(placed.schema).parquet(f"{path}-tiles")
         right = again.withColumn("frag", F.explode(F.sequence(F.lit(0), F.lit(fragments - 1)))).groupBy("block", "frag")
-        parts = left.cogroup(right).applyInPandas(_overlap, "a long, b long, na int, nb int, part long")
+        parts = left.cogroup(right).applyInArrow(_overlap, "a long, b long, na int, nb int, part long")
         return parts.groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("overlap"))
 
 
+def _band(n: str, percent: int) -> Column:
+    """Bands of sizes such that two sizes that can link are in one or in neighbours (the ratio has a margin for rounding)."""
+    return F.floor(F.log(F.col(n).cast("double")) / math.log(100 / percent * (1 + 1e-6))).cast("int")
+
+
+def _unlinked(left: DataFrame, percent: int, possible) -> DataFrame:
+    """Pairs (``a``, ``b``, ``na``, ``nb``) of rows with one ``key`` in different components that can still link.
+
+    The smaller set of a link has few n-grams to itself, and the sizes lie in
+    one band or in neighbours.  Two sets differ by as many n-grams at least as
+    their ``spread`` does, which leaves few pairs of a group that is alike but
+    not enough."""
+    if percent >= 100:
+        return left.select(*(F.col("doc_id").alias(x) for x in "ab"), *(F.col("n").alias("n" + x) for x in "ab")).limit(0)
+    small, large = (left.select("key", F.col("doc_id").alias(x), F.col("n").alias("n" + x), F.col("alone").alias("alone" + x),
+                                F.col("comp").alias("c" + x), F.col("spread").alias("spread" + x)) for x in "ab")
+    small = small.where(F.lit(100) * (F.col("na") - F.col("alonea")) >= F.lit(percent) * (F.col("na") + F.col("alonea"))).withColumn(
+        "band", _band("na", percent))
+    large = large.withColumn("band", F.explode(F.array(_band("nb", percent), _band("nb", percent) - 1)))
+    order = (F.col("na") < F.col("nb")) | (F.col("na") == F.col("nb")) & (F.col("a") < F.col("b"))
+    apart = F.aggregate(F.zip_with("spreada", "spreadb", lambda x, y: F.abs(x - y).cast("int")), F.lit(0), lambda s, x: s + x)
+    most = (F.col("na") + F.col("nb") - apart) / 2
+    alike = F.lit(100) * most >= F.lit(percent) * (F.col("na") + F.col("nb") - most)
+    # part of the join, so that pairs beyond it are never rows
+    met = small.alias("s").join(large.alias("l"), (F.col("s.key") == F.col("l.key")) & (F.col("s.band") == F.col("l.band")) & order
+                                & (F.col("ca") != F.col("cb")) & possible("a", "b") & alike)
+    turned = F.col("a") > F.col("b")
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(turned, F.col("nb")).otherwise(F.col("na")).alias("na"),
+                      F.when(turned, F.col("na")).otherwise(F.col("nb")).alias("nb"))
+
+
 def jaccard_links(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text",
                   fragments: int = 8) -> tuple[DataFrame, DataFrame]:
     """``(sets, links)``: per row of ``docs`` its ``doc_id``, set size ``n``
@@ -256,68 +296,80 @@ def jaccard_links(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str =
     base = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     heavy = spark.sparkContext.broadcast(heavy_classes(base, n))
     table = save(_head_table(base, n, percent, heavy), f"{folder}/heads")
-    narrow = table.select("doc_id", "n", "s1", "s2").where("n > 0 and doc_id is not null")
+    narrow = table.select("doc_id", "n", "s1", "s2", "rid").where("n > 0 and doc_id is not null")
     # of rows that repeat an id the one with the smallest set stands for it
-    own = narrow.groupBy("doc_id").agg(F.min(F.struct("n", "s1", "s2")).alias("s")).select("doc_id", "s.*")
-    classes = save(own.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep")), f"{folder}/classes")
-    reps = classes.select(F.col("rep").alias("doc_id"), "n", "s1", "s2")
-
-    # rows whose n-gram stands in another document's head, by class
-    rows = table.where("n > 0 and doc_id is not null").select(F.explode("head").alias("key"), "doc_id")
-    met = rows.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").select("key")
-    hits = save(rows.join(met, "key").join(own, "doc_id").join(classes, ["n", "s1", "s2"])
-                .select("key", F.col("rep").alias("doc_id"), "n").distinct(), f"{folder}/hits")
-    for k in range(2):  # classes that are out also free others of their n-grams
-        shared = hits.groupBy("key").agg(F.min("doc_id").alias("p1"), F.max("doc_id").alias("hi")).where("p1 <> hi").select("key", "p1")
-        hits = hits.select("key", "doc_id", "n").join(shared, "key")
-        enough = hits.groupBy("doc_id", "n").count().where(F.col("count") >= _least(F.col("n"), percent)).select("doc_id")
-        hits = save(hits.join(enough, "doc_id"), f"{folder}/active-{k}")
+    own = narrow.groupBy("doc_id").agg(F.min(F.struct("n", "s1", "s2", "rid")).alias("s")).select("doc_id", "s.*")
+    classes = save(own.groupBy("n", "s1", "s2").agg(F.min(F.struct("doc_id", "rid")).alias("one"))
+                   .select("n", "s1", "s2", F.col("one.doc_id").alias("rep"), F.col("one.rid").alias("rid")), f"{folder}/classes")
+
+    # one head per class
+    heads = table.select("rid", "doc_id", "n", "head").join(maybe_broadcast(classes.select("rid"), 16), "rid", "left_semi")
+    rows = heads.select(F.explode("head").alias("key"), "doc_id")
+    met = rows.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
+    needed = _least(F.col("n"), percent)
+    sizes = heads.select("doc_id", "n", F.size("head").alias("held"))
+
+    def by_class(hits: DataFrame, sizes: DataFrame) -> DataFrame:
+        """Classes with enough n-grams that stand in another head (at most a head each)."""
+        return (hits.groupBy("doc_id").agg(F.collect_set(F.struct("df", "key")).alias("keys")).join(sizes, "doc_id")
+                .where(F.size("keys") >= needed))
+
+    some = save(by_class(rows.join(met, "key"), sizes), f"{folder}/some")
+    # again among the classes that are left, of sizes that can link: these stand in the same band of sizes or in the next
+    banded = (some.select("doc_id", "n", "held", F.explode("keys").alias("k")).select("doc_id", "n", "held", "k.df", "k.key")
+              .withColumn("band", F.explode(F.array(_band("n", percent), _band("n", percent) + 1))))
+    near = banded.groupBy("key", "band").agg(F.count("*").alias("c")).where("c > 1").select("key", "band")
+    some = by_class(banded.join(near, ["key", "band"]), some.select("doc_id", "n", "held"))
     # of two linked heads the rarest n-grams, but for one less than they must share, have one in common
-    rare = hits.select("key", "doc_id", "n").join(hits.groupBy("key").agg(F.count("*").alias("df")), "key")
-    of_doc = Window.partitionBy("doc_id")
-    rare = (rare.withColumn("rank", F.row_number().over(of_doc.orderBy("df", "key"))).withColumn("held", F.count("*").over(of_doc))
-            .where(F.col("rank") <= F.col("held") - _least(F.col("n"), percent) + 1))
-    rare = save(rare.select("key", "doc_id", "n"), f"{folder}/rare")
+    rarest = F.slice(F.array_sort("keys"), F.lit(1), (F.size("keys") - needed + 1).cast("int"))
+    rare = some.select("doc_id", "n", (F.col("held") - F.size("keys")).alias("alone"), F.explode(rarest).alias("k"))
+    rare = save(rare.select("k.key", "doc_id", "n", "alone"), f"{folder}/rare")
     shared = rare.groupBy("key").agg(F.min("doc_id").alias("p1"), F.max("doc_id").alias("hi")).where("p1 <> hi").select("key", "p1")
     active = save(rare.join(shared.select("key"), "key"), f"{folder}/active")
 
-    wanted = save(reps.select("doc_id", F.col("s1").alias("own"), F.col("s2").alias("own2"), "n")
+    wanted = save(classes.select(F.col("rep").alias("doc_id"), F.col("s1").alias("own"), "rid")
                   .join(active.select("doc_id").distinct(), "doc_id", "left_semi"), f"{folder}/wanted")
-    heads = save(table.join(maybe_broadcast(wanted.select("doc_id", F.col("own").alias("s1"), F.col("own2").alias("s2"), "n"), 40), ["doc_id", "n", "s1", "s2"], "left_semi")
-                 .select("doc_id", F.lit(0).alias("frag"), F.col("head").alias("keys")).dropDuplicates(["doc_id"]), f"{folder}/compared")
+    heads = save(table.select("rid", "doc_id", "head").join(maybe_broadcast(wanted.select("rid"), 16), "rid", "left_semi")
+                 .select("doc_id", F.lit(0).alias("frag"), F.col("head").alias("keys")), f"{folder}/compared")
     found = _fragments(base.join(maybe_broadcast(wanted.select("doc_id", "own"), 24), "doc_id"), n, heavy, pivots(fragments))
     sets = save(found, f"{folder}/fragments")
+    heavy.destroy()  # all that needs it is saved
     verify = _Verifier(sets, heads, fragments, percent, folder)
 
-    def compatible(a: str, b: str):
-        return F.lit(100) * F.least(a, b) >= F.lit(percent) * F.greatest(a, b)
+    def possible(a: str, b: str) -> Column:
+        """Whether sizes ``n`` and numbers ``alone`` of n-grams in no other head leave room for the overlap of a link."""
+        most = F.least(F.col(f"n{a}") - F.col(f"alone{a}"), F.col(f"n{b}") - F.col(f"alone{b}"))
+        return F.lit(100) * most >= F.lit(percent) * (F.col(f"n{a}") + F.col(f"n{b}") - most)
 
-    def against(pivot: DataFrame) -> DataFrame:
-        """Pairs of each row with the pivot (``key``, ``p``, ``np``) of its n-gram."""
-        return (active.join(pivot, "key").where(F.col("p") != F.col("doc_id")).where(compatible("n", "np"))
+    def against(rows: DataFrame, pivot: DataFrame) -> DataFrame:
+        """Pairs of each of ``rows`` with the pivot (``key``, ``p``) of its n-gram, unless both are in one component."""
+        turned = F.col("p") < F.col("doc_id")
+        of = rows.select("key", F.col("doc_id").alias("p"), F.col("n").alias("np"), F.col("alone").alias("alonep"), F.col("comp").alias("compp"))
+        return (rows.join(pivot.join(of, ["key", "p"]), "key").where(F.col("comp") != F.col("compp")).where(possible("", "p"))
                 .select(F.least("p", "doc_id").alias("a"), F.greatest("p", "doc_id").alias("b"),
-                        F.when(F.col("p") < F.col("doc_id"), F.col("np")).otherwise(F.col("n")).alias("na"),
-                        F.when(F.col("p") < F.col("doc_id"), F.col("n")).otherwise(F.col("np")).alias("nb")))
-
-    def sized(p: DataFrame) -> DataFrame:
-        return p.join(reps.select(F.col("doc_id").alias("p"), F.col("n").alias("np")), "p")
-
-    links = verify.links(against(sized(shared.select("key", F.col("p1").alias("p")))))
-    for last in (False, True):
+                        F.when(turned, F.col("np")).otherwise(F.col("n")).alias("na"), F.when(turned, F.col("n")).otherwise(F.col("np")).alias("nb")))
+
+    # each class is compared with one other first, the least that stands first under any of its n-grams
+    single = active.withColumn("comp", F.col("doc_id")).join(shared, "key")
+    first = single.groupBy("doc_id").agg(F.min(F.struct("p1", "key")).alias("m")).select("doc_id", "m.key")
+    chosen = active.join(first, ["doc_id", "key"]).unionAll(
+        active.join(shared, "key").where("doc_id = p1").select(*active.columns)).withColumn("comp", F.col("doc_id")).distinct()
+    links = verify.links(against(chosen, shared.withColumnRenamed("p1", "p")))
+    for k in range(3):
         labels = components(links)
         marked = (active.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
                   .withColumn("comp", F.coalesce("component", "doc_id")).drop("component"))
         mixed = (marked.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi"))
-        left = save(marked.join(mixed, "key"), f"{folder}/left-{int(last)}")
+        left = save(marked.join(mixed, "key"), f"{folder}/left-{k}")
         if left.isEmpty():
             break
-        if not last:
-            second = left.where("comp = hi").groupBy("key").agg(F.min("doc_id").alias("p"))
-            pairs = against(sized(second))
+        if k < 2:
+            side = left if k == 0 else left.where("comp = hi")
+            pairs = against(left, side.groupBy("key").agg(F.min("doc_id").alias("p")))
         else:
-            a, b = (left.select("key", F.col("doc_id").alias(x), F.col("n").alias("n" + x), F.col("comp").alias("c" + x)) for x in "ab")
-            pairs = (a.join(b, "key").where("a < b and ca <> cb").where(compatible("na", "nb")).select("a", "b", "na", "nb"))
-        links = save(links.unionAll(verify.links(pairs)).distinct(), f"{folder}/all-{int(last)}")
+            spreads = table.select("rid", "spread").join(maybe_broadcast(wanted.select("rid", "doc_id"), 16), "rid")
+            pairs = _unlinked(left.join(spreads.drop("rid"), "doc_id"), percent, possible)
+        links = save(links.unionAll(verify.links(pairs)).distinct(), f"{folder}/all-{k}")
     members = table.select("doc_id", "n", "s1", "s2").join(classes, ["n", "s1", "s2"], "left")
     return members.select("doc_id", "n", "rep"), links
 
