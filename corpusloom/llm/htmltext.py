@@ -9,7 +9,10 @@ that lacks the path follows the next one, and at last its own best container.
 
 from __future__ import annotations
 
+import functools
+import hashlib
 import html
+import itertools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -18,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import arrow_schema
+from corpusloom.llm.common import arrow_schema, maybe_broadcast, save, shared_dir
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -49,10 +52,11 @@ BESIDE = re.compile(r"(?:^|[-_])(?:ad|ads|adv|advert\w*|comments?|consent|cookie
 #: Words that say what a page or wrapper has, not what it is, and page builders' names of any block.
 STATE = re.compile(r"^(?:has|have|no|not|non|with|without)[-_]|^(?:comments?|sidebar|ads?)[-_](?:open|closed|enabled|disabled|on|off|none)$", re.I)
 BUILDER = re.compile(r"^elementor-(?:widget(?:-|$))?", re.I)
+#: Layout words that are as often markup of the text: in an article they count only where links outweigh running text.
+SOFT = re.compile(r"(?:^|[-_])(?:alert|search|skip|social|tags|widget\w*)(?:$|[-_\d])", re.I)
 #: Elements of running text, and the share of it that a layout holds.
 PROSE, BULK = {"p", "pre", "blockquote", "dd", "figcaption"}, 2 / 3
 LIKELY = re.compile(r"article|body|content|entry|main|page|post|story|text", re.I)
-MAX_DEPTH = 64
 VOTES = 3
 #: Shares of a host's paths that are ranked apart.
 SHARES = 256
@@ -64,8 +68,10 @@ class Page:
 
     parent: list[int] = field(default_factory=list)
     tag: list[str] = field(default_factory=list)
-    path: list[str] = field(default_factory=list)
+    key: list[str] = field(default_factory=list)  # tag and classes
+    path: list[str] = field(default_factory=list)  # digest of the keys from the root on
     mark: list[int] = field(default_factory=list)  # 1 layout word, 2 word of BESIDE, 3 tag of SKIP
+    soft: set[int] = field(default_factory=set)  # elements marked by words of SOFT only
     skip: list[bool] = field(default_factory=list)  # below a mark that counts
     end: list[int] = field(default_factory=list)  # number of the first element after the subtree
     text: list[tuple[int, str | None]] = field(default_factory=list)  # element and text, None for a break
@@ -119,9 +125,17 @@ def read_page(source: str) -> Page:
     return page
 
 
-def _mark(words: str) -> int:
+def _mark(words: str) -> tuple[int, bool]:
+    """(mark, whether words of SOFT alone gave it)"""
     found = [w for w in (BUILDER.sub("", w) for w in words.split() if not STATE.search(w)) if AROUND.search(w)]
-    return 2 if any(map(BESIDE.search, found)) else 1 if found else 0
+    if any(map(BESIDE.search, found)):
+        return 2, False
+    return (1, all(map(SOFT.search, found))) if found else (0, False)
+
+
+@functools.lru_cache(1 << 16)
+def _path(above: str, key: str) -> str:
+    return hashlib.blake2b(f"{above}/{key}".encode(errors="surrogatepass"), digest_size=12).hexdigest()
 
 
 def _inherited(page: Page, least: int) -> list[bool]:
@@ -141,16 +155,24 @@ def _skip(page: Page) -> None:
         page.skip = _inherited(page, 1)
         return
     n = len(page.tag)
-    size, prose, linked, running = [0] * n, [0] * n, [False] * n, [False] * n
+    size, prose, links = [0] * n, [0] * n, [0] * n
+    linked, running, in_article = [False] * n, [False] * n, [False] * n
     for k in range(1, n):
         above, tag = page.parent[k], page.tag[k]
         linked[k] = tag == "a" or linked[above]
         running[k] = tag in PROSE or tag not in CONTAINER and running[above]
+        in_article[k] = tag in ("article", "main") or in_article[above]
     for k, t in page.text:
         if t and (length := len(t.strip())):
             size[k] += length
-            if running[k] and not linked[k]:
+            if linked[k]:
+                links[k] += length
+            elif running[k]:
                 prose[k] += length
+    before = list(itertools.accumulate((a - b for a, b in zip(prose, links)), initial=0))
+    for k in page.soft:
+        if in_article[k] and before[page.end[k]] > before[k]:
+            page.mark[k] = 0
 
     def below(lengths: list[int], hidden: list[bool]) -> list[int]:
         """Length of the text below every element, without what is hidden."""
@@ -179,7 +201,10 @@ def _skip(page: Page) -> None:
     skip, inside = _inherited(page, 1), [False] * n
     for k in range(1, n):
         inside[k] = inside[page.parent[k]] or page.tag[k] in ("article", "main") and not skip[k] and whole[k] > 0
-    bulk = below(prose, [h or not i for h, i in zip(hidden, inside)] if any(inside) else hidden)
+    if any(inside):  # all text of an article counts, lists and headings too
+        bulk = below([a - b for a, b in zip(size, links)], [h or not i for h, i in zip(hidden, inside)])
+    else:
+        bulk = below(prose, hidden)
     while True:
         skip, held = _inherited(page, 1), {}
         for k in range(1, n):
@@ -201,15 +226,20 @@ def _skip(page: Page) -> None:
 
 def _open(page: Page, stack: list[int], name: str, attributes: str, above: str) -> int:
     mark, key = 3 if name in SKIP else 0, name
+    if name == "header" and any(page.tag[k] == "article" for k in stack):
+        mark = 0  # an article's own head
     if attributes and "=" in attributes:
         found = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(attributes)}
         if not mark and name not in ("html", "body", "article", "main"):
-            mark = _mark(" ".join(found.values()))
+            mark, soft = _mark(" ".join(found.values()))
+            if soft:
+                page.soft.add(len(page.tag))
         if marks := sorted(set(re.sub(r"\d+", "#", w) for w in found.get("class", "").lower().split())):
-            key += "." + ".".join(marks[:4])
+            key += "." + ".".join(marks)
     page.parent.append(stack[-1] if stack else -1)
     page.tag.append(name)
-    page.path.append(f"{above}/{key}" if len(stack) <= MAX_DEPTH else above)
+    page.key.append(key)
+    page.path.append(_path(above, key))
     page.mark.append(mark)
     page.end.append(0)
     return len(page.tag) - 1
@@ -256,7 +286,7 @@ def best_container(page: Page) -> tuple[int, float]:
                     share /= 2
                 above = page.parent[above]
     for k in range(n):
-        if page.tag[k] in ("article", "main") or LIKELY.search(page.path[k].rpartition("/")[2].partition(".")[2]):
+        if page.tag[k] in ("article", "main") or LIKELY.search(page.key[k].partition(".")[2]):
             score[k] *= 1.3
     best = max(range(n), key=lambda k: (score[k], -k))
     return _widened(page, best, length, linked), score[best]
@@ -367,7 +397,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     columns are ignored."""
     base = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"),
                         F.col(f"`{html_col}`").cast("string").alias("html")).withColumn("host", host_of("url"))
-    joined = base.join(host_paths(base), "host", "left").select("page_id", "url", "html", "paths")
+    # saved, so that it is broadcast if small and a hot host can be split otherwise
+    paths = save(host_paths(base), f"{shared_dir(pages.sparkSession, 'hosts')}/paths")
+    joined = base.join(maybe_broadcast(paths, 200), "host", "left").select("page_id", "url", "html", "paths")
     schema = "page_id long, url string, text string, n_chars long"
     target = arrow_schema(pages.sparkSession.createDataFrame([], schema).schema)
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.llm import convrepair, kmeans, suffixdedup
+from corpusloom.llm import convrepair, htmltext, kmeans, suffixdedup
 
 # --- conversation repair ------------------------------------------------------
 
@@ -253,3 +253,67 @@ def test_pieces_do_not_depend_on_blocks(monkeypatch, block):
                 starts[tid, s] += 1
     assert starts == {(t, s): 1 for t, b in enumerate(texts) for s in range(len(b) - 31)}
     assert all(len(g) == 1 for g in windows.values())
+
+
+# --- main text: what the article holds, whatever its markup is called -------------------
+
+LONG = "<p>" + "Long paragraph text that counts here. " * 5 + "</p>"
+
+
+def _text(markup):
+    return htmltext.main_text(markup, [])
+
+
+def test_layout_words_in_an_article_are_judged_by_what_they_hold():
+    searched = '<section class="search"><h2>How search works</h2><p>Search looks things up in an index.</p></section>'
+    assert "How search works Search looks things up" in _text(f"<article>{LONG}{searched}{LONG}</article>")
+    assert "Mind the gap" in _text(f'<article>{LONG}<div class="alert alert-info"><p>Mind the gap, please.</p></div>{LONG}</article>')
+    for word in ("social", "tags", "widget-7"):
+        links = f'<div class="{word}"><a href="x">Share this</a> <a href="y">Follow that</a></div>'
+        assert "Share" not in _text(f"<article>{LONG}{links}{LONG}</article>")
+    assert "Aside text" not in _text(f'<article>{LONG}<div class="sidebar"><p>Aside text here.</p></div></article>')
+    assert "Told you" not in _text(f'<article>{LONG}</article><div class="alert"><p>Told you.</p></div>')
+
+
+def test_the_head_of_an_article_stays():
+    page = f"<header><h1>Site</h1></header><article><header><h1>Title</h1></header>{LONG}</article>"
+    assert _text(page).startswith("Title Long") and "Site" not in _text(page)
+
+
+def test_paths_tell_all_classes_and_depths():
+    page = f'<body><div class="a b c d main1">{LONG}{LONG}</div><div class="a b c d zzz"><p>unrelated words</p></div></body>'
+    assert "unrelated" not in _text(page)
+    deep = "<div>" * 90
+    page = htmltext.read_page(f"<body>{deep}<p class=x>one</p></div><p class=x>two</p>")
+    inner, outer = (k for k, key in enumerate(page.key) if key == "p.x")
+    assert page.path[inner] != page.path[outer] and len({len(p) for p in page.path}) == 1
+    assert _text(f"<body>{'<div>' * 300}{LONG * 50}") == htmltext.main_text(LONG * 50, [])
+
+
+def test_random_pages_equal_a_walk_of_what_was_built(spark):
+    """Pages built from known blocks: the text is what stands in the article, in order."""
+    rng, rows, want = random.Random(6), [], {}
+    around = ['<nav><a href="/">Home</a></nav>', '<div class="sidebar"><p>Side text.</p></div>', "<footer>Foot</footer>",
+              '<div class="comments"><p>Reader says so at length, again and again.</p></div>', "<script>var p='<p>no</p>'</script>",
+              '<div class="cookie-notice">We use cookies</div>', "<!-- <p>gone</p> -->", "<form><input><p>Sign up</p></form>"]
+    for k in range(150):
+        blocks, text = [], []
+        for b in range(rng.randint(2, 9)):
+            words = " ".join(rng.choices(["alpha", "beta", "gamma &amp; co", "caf&eacute;", "x&lt;y", "delta"], k=rng.randint(8, 30)))
+            tag = rng.choice(["p", "h2", "li", "blockquote", "pre"])
+            inner = rng.choice([words, f"<em>{words}</em>", words.replace(" ", "\n ", 2)])
+            blocks.append(f"<ul><li class='c{b}'>{inner}</ul>" if tag == "li" else f"<{tag} class='c{b} d e f g'>{inner}</{tag}>")
+            text.append(words.replace("&amp;", "&").replace("&eacute;", "é").replace("&lt;", "<"))
+            if rng.random() < 0.3:
+                blocks.append(rng.choice(around))
+        wrap = rng.choice(["<article>{}</article>", "<main><article class='post-{k}'>{}</article></main>", "<div class='layout'><article><div>{}</div></article></div>"])
+        page = "".join(rng.sample(around, 2)) + wrap.replace("{k}", str(k)).replace("{}", "".join(blocks)) + "".join(rng.sample(around, 2))
+        rows.append((k // 2 * 2, f"http://h{k % 3}.org/{k}", f"<html><body>{page}</body></html>"))
+        want.setdefault(k // 2 * 2, []).append(" ".join(text))
+    rows.append((999, None, "<p>" + "long text " * 200_000 + "</p>"))
+    want[999] = [("long text " * 200_000).strip()]
+    got = defaultdict(list)
+    for r in htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit(1))).collect():
+        got[r["page_id"]].append(r["text"])
+        assert r["n_chars"] == len(r["text"])
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
