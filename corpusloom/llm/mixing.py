@@ -21,10 +21,12 @@ the others follow in their order.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import free_names, save, shared_dir
+from corpusloom.llm.common import free_names, maybe_broadcast, save, shared_dir
 from corpusloom.operators.prefix import ordered_prefix
 
 #: Slots of a cycle: target weights hold to 1 / CYCLE.
@@ -170,14 +172,26 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str =
     equal id and source, whatever their other columns, share the positions of
     that id in any order."""
     id_, key, nth, place = free_names(docs, "_id", "_key", "_n", "_position")
-    order = mix_order(docs, weights, id_col, source_col, block_rows, cycle).withColumn("key", source_key("source"))
-    again = Window.partitionBy("doc_id", "key").orderBy("position")
-    order = order.select(F.col("doc_id").alias(id_), F.col("key").alias(key), F.row_number().over(again).alias(nth),
-                         F.col("position").alias(place))
-    numbered = docs.withColumn(id_, F.col(f"`{id_col}`").cast("long")).withColumn(key, source_key(source_col))
-    numbered = numbered.withColumn(nth, F.row_number().over(Window.partitionBy(id_, key).orderBy(F.lit(0))))
-    joined = numbered.join(order, numbered[id_].eqNullSafe(order[id_]) & (numbered[key] == order[key])
-                           & (numbered[nth] == order[nth]))
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return (joined.select(*[numbered[f"`{c}`"] for c in docs.columns], order[place])
-            .repartitionByRange(n, place).sortWithinPartitions(place).drop(place))
+    spark, folder = docs.sparkSession, shared_dir(docs.sparkSession, "mix")
+    order = save(mix_order(docs, weights, id_col, source_col, block_rows, cycle)
+                 .select(F.col("doc_id").alias(id_), source_key("source").alias(key), F.col("position").alias(place)), f"{folder}/order")
+    again = save(order.groupBy(id_, key).agg(F.count("*").alias("c")).where("c > 1").select(id_, key), f"{folder}/again")
+    keyed = docs.withColumn(id_, F.col(f"`{id_col}`").cast("long")).withColumn(key, source_key(source_col))
+
+    def same(a: DataFrame, b: DataFrame, *more: str) -> Column:
+        found = a[id_].eqNullSafe(b[id_]) & (a[key] == b[key])
+        return functools.reduce(lambda x, c: x & (a[c] == b[c]), more, found)
+
+    def placed(rows: DataFrame, places: DataFrame, *more: str) -> DataFrame:
+        return rows.join(places, same(rows, places, *more)).select(*[rows[f"`{c}`"] for c in docs.columns], places[place])
+
+    # rows of their own id and source find their place by these; only repeated ones are numbered
+    parts = [placed(keyed, maybe_broadcast(order.join(again, same(order, again), "left_anti"), 48))]
+    if not again.isEmpty():
+        within = Window.partitionBy(id_, key)
+        repeated = keyed.join(again, same(keyed, again), "left_semi").withColumn(nth, F.row_number().over(within.orderBy(F.lit(0))))
+        places = order.join(again, same(order, again), "left_semi").withColumn(nth, F.row_number().over(within.orderBy(place)))
+        parts.append(placed(repeated, places, nth))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    joined = functools.reduce(DataFrame.unionAll, parts)
+    return joined.repartitionByRange(n, place).sortWithinPartitions(place).drop(place)
