@@ -151,6 +151,20 @@ ORACLE_SQL = {
                 string_agg(pos::VARCHAR, ',' ORDER BY pos) FILTER (k > 1) AS removed FROM f GROUP BY doc_id)
         SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(removed, '') AS removed
         FROM documents d LEFT JOIN g USING (doc_id)""",
+    "op6_ngram_join": r"""
+        WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+            'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        sh AS MATERIALIZED (SELECT DISTINCT doc_id, gram FROM (
+          SELECT doc_id, unnest(CASE WHEN len(ws) >= 3 THEN [ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] FOR i IN range(1, len(ws) - 1)]
+            WHEN len(ws) > 0 THEN ['=' || array_to_string(ws, ' ')] ELSE [] END) AS gram FROM w)),
+        n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+        met AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both_ FROM sh a JOIN sh b USING (gram) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+        link AS MATERIALIZED (SELECT a, b FROM met JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * both_ >= 90 * (x.n + y.n - both_)),
+        edge AS MATERIALIZED (SELECT a AS u, b AS v FROM link UNION SELECT b, a FROM link),
+        reach(u, v) AS (SELECT u, u FROM edge UNION SELECT r.u, e.v FROM reach r JOIN edge e ON r.v = e.u),
+        comp AS (SELECT u, min(v) AS c FROM reach GROUP BY u)
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c, d.doc_id) AS component_id
+        FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN comp ON comp.u = d.doc_id""",
     "op7_mixing": """
         WITH RECURSIVE d AS (SELECT doc_id, source, coalesce('=' || source, '') AS key FROM documents),
         sz AS (SELECT key, sqrt(count(*)::DOUBLE) AS w FROM d GROUP BY key),
