@@ -46,13 +46,21 @@ def decode_label(idx, labels: list[str]) -> Column:
     return F.try_element_at(arr, _c(idx).cast("int") + 1)
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once, also where ``use`` names it
+    in lambdas (which compute a plain expression for every element)."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def softmax(logits) -> Column:
     """F-26: numerically stable softmax of a numeric array."""
-    a = F.transform(_c(logits), lambda x: x.cast("double"))
-    m = F.array_max(a)
-    e = F.transform(a, lambda x: F.exp(x - m))
-    tot = F.aggregate(e, F.lit(0.0), lambda acc, x: acc + x)
-    return F.transform(e, lambda x: x / tot)
+    def powers(a):
+        return bound(F.array_max(a), lambda m: F.transform(a, lambda x: F.exp(x - m)))
+
+    def shares(e):
+        return bound(F.aggregate(e, F.lit(0.0), lambda acc, x: acc + x), lambda total: F.transform(e, lambda x: x / total))
+
+    return bound(F.transform(_c(logits), lambda x: x.cast("double")), lambda a: bound(powers(a), shares))
 
 
 def argmax(arr) -> Column:

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _cols(c) -> list[str]:
@@ -132,8 +133,15 @@ def join_reconciliation(left: DataFrame, right: DataFrame, key) -> DataFrame:
         F.count_if(rn > 1).alias("right_dup_keys"))
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 2_000_000) -> DataFrame:
-    """Broadcast a lookup side only after checking its size (one count on
+def broadcast_if_small(df: DataFrame, max_bytes: int = 64 << 20) -> DataFrame:
+    """Broadcast a lookup side only after adding up its bytes (one aggregate on
     the small side); beyond the bound the planner's shuffle join is kept."""
-    n = df.count()
-    return F.broadcast(df) if n <= max_rows else df
+    size = F.lit(16 * len(df.columns))
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            size = size + F.coalesce(F.octet_length(c), F.lit(0))
+        elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            size = size + F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0))
+    n = df.agg(F.sum(size.cast("long"))).first()[0] or 0
+    return F.broadcast(df) if n <= max_bytes else df

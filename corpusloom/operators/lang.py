@@ -5,8 +5,8 @@ joins and aggregates.
 Training: character n-grams of lower-cased text, counted per (language,
 gram); each language keeps its ``top_k`` most frequent grams with
 add-one-smoothed log probabilities (a bounded profile: languages x top_k
-rows, broadcast after a size check).  Scoring: n-gram counts per document,
-joined with the profile; grams outside a language's profile score that
+rows, broadcast after a size check).  Scoring: the n-grams of a document
+meet the profile; grams outside a language's profile score that
 language's smoothing floor; the best-scoring language wins (ties by name).
 """
 
@@ -52,36 +52,28 @@ def _profiles(counts: DataFrame) -> DataFrame:
 
 def identify(df: DataFrame, profiles: DataFrame, key_col: str, text_col: str = "text", n: int = 3,
              out: str = "language") -> DataFrame:
-    """Best language per row; NULL or blank text -> NULL.
-
-    score(doc, lang) = sum of matched gram log-probabilities + unmatched
-    grams x the language's floor.  A matched gram never scores below the
-    floor, so the only candidates are the languages with a hit plus the one
-    language with the highest floor (a scalar subquery) - no documents x
-    languages product is formed.
-
-    Plan: grams are exploded and joined with the profile (map-side while it
-    is small, by gram beyond), so only (doc, language) partial sums
-    are shuffled - never (doc, gram) pairs; a row's gram total comes from
-    its length, not from counting."""
+    """Best language per row; NULL or blank text -> NULL, as is all without a
+    profile.  Ties go to the language that sorts first.
+
+    score(doc, lang) = grams of the text x the language's floor + sum over its
+    grams of what their log probability is above that floor.
+
+    Plan: the profile is turned to one row per gram with a column per language
+    (their list, one row a language, is collected), so each gram of a text meets
+    one row - map-side while the profile is small, by gram beyond - and
+    the sums of a text are one row; only these are shuffled."""
+    floors = {r["lang"]: r["floor"] for r in profiles.groupBy("lang").agg(F.first("floor").alias("floor")).collect()}
+    langs = sorted(floors)
+    keys = df.select(key_col)
+    if not langs:
+        return keys.withColumn(out, F.lit(None).cast("string"))
+    above = F.col("logp") - F.col("floor")
+    wide = profiles.groupBy("gram").agg(*[F.max(F.when(F.col("lang") == x, above)).alias(f"_d{i}") for i, x in enumerate(langs)])
     pre = df.select(key_col, gram_text(text_col).alias("_gt"))
     pre = pre.select(key_col, "_gt", F.greatest(F.length("_gt") - n + 1, F.lit(0)).cast("bigint").alias("_tot"))
-    total = pre.select(key_col, "_tot").where(F.col("_tot") > 0)
-    grams = pre.select(key_col, F.explode(char_ngrams("_gt", n)).alias("gram"))
-    prof = broadcast_if_small(profiles.select("lang", "gram", "logp"))
-    hit = grams.join(prof, "gram").groupBy(key_col, "lang").agg(
-        F.sum("logp").alias("_s"), F.count("*").alias("_m"))
-    return _best_language(df.select(key_col), total, hit, profiles, key_col, out)
-
-
-def _best_language(keys: DataFrame, total: DataFrame, hit: DataFrame, profiles: DataFrame, key_col: str,
-                   out: str) -> DataFrame:
-    floors = profiles.groupBy("lang").agg(F.first("floor").alias("floor"))
-    best_floor = floors.select(F.max(F.struct("floor", "lang")).getField("lang").alias("l")).scalar()
-    fallback = total.select(key_col, best_floor.alias("lang"), F.lit(0.0).alias("_s"),
-                            F.lit(0).cast("bigint").alias("_m"))
-    cand = hit.unionByName(fallback).groupBy(key_col, "lang").agg(F.sum("_s").alias("_s"), F.sum("_m").alias("_m"))
-    sc = cand.join(total, key_col).join(broadcast_if_small(floors), "lang").select(
-        key_col, "lang", (F.col("_s") + (F.col("_tot") - F.col("_m")) * F.col("floor")).alias("score"))
-    best = sc.groupBy(key_col).agg(F.min(F.struct((-F.col("score")).alias("ns"), "lang")).alias("b"))
-    return keys.join(best.select(key_col, F.col("b.lang").alias(out)), key_col, "left")
+    grams = pre.select(key_col, "_tot", F.explode(char_ngrams("_gt", n)).alias("gram"))
+    sums = grams.join(broadcast_if_small(wide), "gram", "left").groupBy(key_col, "_tot").agg(
+        *[F.coalesce(F.sum(f"_d{i}"), F.lit(0.0)).alias(f"_s{i}") for i in range(len(langs))])
+    scores = [F.struct((-(F.col(f"_s{i}") + F.col("_tot") * F.lit(floors[x]))).alias("ns"), F.lit(x).alias("lang")) for i, x in enumerate(langs)]
+    best = sums.select(key_col, F.array_min(F.array(*scores))["lang"].alias(out))
+    return keys.join(best, key_col, "left")

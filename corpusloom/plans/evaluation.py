@@ -92,7 +92,7 @@ CLASS_NAMES = [f"class_{i}" for i in range(10)]
 
 
 def prediction_summary(spark, sf_dir):
-    """M-20 + F-28 + F-29: distribution of top label and confidence band
+    """M-20 + F-28: distribution of top label and confidence band
     over all rows (NULL labels stay in the denominator)."""
     lg = _logits(spark, sf_dir)
     pr = lg.select(softmax("logits").alias("p"))

@@ -67,7 +67,7 @@ def combine_text_sources(spark, sf_dir):
     with a source column (a table without a text column is skipped), and
     each source's share."""
     srcs = {"documents": T(spark, sf_dir, "documents"), "conversations": T(spark, sf_dir, "conversations"),
-            "posts": _views(spark, sf_dir)["view_created_at"], "benchmark": T(spark, sf_dir, "benchmark"),
+            "posts": SH.union_all([SH.standardise_columns(v) for v in _views(spark, sf_dir).values()]), "benchmark": T(spark, sf_dir, "benchmark"),
             "labels": T(spark, sf_dir, "labels")}
     u = SH.combine_text_sources(srcs)
     c = u.groupBy("source").agg(F.count("*").alias("rows"), F.sum(F.length("text")).alias("chars"))

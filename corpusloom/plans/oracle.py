@@ -3,11 +3,13 @@
 The tables ``region nation customer supplier part orders lineitem events
 documents embeddings pages benchmark labels conversations`` are views.  The
 derived inputs of FIXTURES.md are re-stated here as CTEs, so the oracle
-shares no code with the Spark side.  DuckDB lambdas use ``lambda x: ...``.
+shares no code with the Spark side, only fixed patterns and code tables.  DuckDB lambdas use ``lambda x: ...``.
 """
 
 from __future__ import annotations
 
+from importlib.util import find_spec
+
 from corpusloom.functions.text import ALNUM_CLASS, WS_CHARS, WS_CLASS
 from corpusloom.functions.tokens import TOKEN_PATTERN
 
@@ -811,7 +813,7 @@ SELECT timestamp, username, tweet FROM k WHERE rn = 1"""
 ORACLE["combine_text_sources"] = f"""WITH {VIEWS_SQL},
 u AS (SELECT text, 'documents' AS source FROM documents
   UNION ALL SELECT text, 'conversations' FROM conversations
-  UNION ALL SELECT tweet, 'posts' FROM std WHERE source = 'view_created_at'
+  UNION ALL SELECT tweet, 'posts' FROM std
   UNION ALL SELECT text, 'benchmark' FROM benchmark)
 SELECT source, count(*) AS rows, sum(length(text)) AS chars,
   {r9('CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM u) * 100')} AS percent FROM u GROUP BY source"""
@@ -923,7 +925,8 @@ SELECT doc_id, part, CAST(len(b) AS INTEGER) AS n_pieces, CAST(len(list_filter(b
   md5(array_to_string(list_concat(list_concat([-100], b), [-100]), ' ')) AS labels_md5 FROM fin"""}
 
 
-ORACLE |= _subword_oracles()
+if find_spec("public_tokenizers"):  # the vocabulary file of these queries
+    ORACLE |= _subword_oracles()
 
 
 # ---------------------------------------------------------------- seeded orders and predictors

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions.numbers import clip_lower, human_number, scale
 from corpusloom.functions.text import non_blank, py_strip, title_body
 from corpusloom.operators import labels as L
+from corpusloom.operators import markdown as MD
 from corpusloom.operators import textprep as TP
 from corpusloom.operators import vocabulary as V
 from corpusloom.operators.encoding import as_mojibake, repair_encoding
@@ -102,6 +103,12 @@ def html_to_text(spark, sf_dir):
     return p.select("page_id", TP.html_to_text("html").alias("text"))
 
 
+def html_to_markdown(spark, sf_dir):
+    """K-11 + F-09: pages converted to Markdown by their structure."""
+    p = T(spark, sf_dir, "pages")
+    return p.select("page_id", MD.html_to_markdown("html", TP.PATENT_BANNER).alias("markdown"))
+
+
 def language_id(spark, sf_dir):
     """K-10 + X-11: character-trigram language model trained on the
     labelled documents of one half (by a hash of the id), applied to every

@@ -10,7 +10,7 @@ import pytest
 from corpusloom.plans import registry as E
 from tests.conftest import SF_SMALL
 
-PYTHON_OK = {"document_entities", "small_files_scan", "encoding_search", "subword_counts", "subword_pad", "subword_alignment", "batch_sentiment", "batch_entities", "encoding_repair", "posts_ingest"}
+PYTHON_OK = {"html_to_markdown", "document_entities", "small_files_scan", "encoding_search", "subword_counts", "subword_pad", "subword_alignment", "batch_sentiment", "batch_entities", "encoding_repair", "posts_ingest"}
 # windows over a single partition are allowed only on tables bounded by the
 # number of labels / buckets (never row data)
 SINGLE_WINDOW_OK = {"split_stratified"}
