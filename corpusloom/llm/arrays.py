@@ -33,7 +33,7 @@ class Rolling:
     def __init__(self, symbols: np.ndarray, values: np.ndarray):
         n = len(symbols)
         if len(Rolling._powers) < n + 1:
-            size = max(n + 1, 2 * CHUNK)
+            size = max(2 * n, 1 << 16)
             Rolling._powers = _geometric(self.BASE, size)
             Rolling._inverse = _geometric(pow(self.BASE, -1, 1 << 64), size)
         self.sums = np.zeros(n + 1, U64)

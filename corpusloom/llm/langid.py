@@ -25,8 +25,10 @@ from corpusloom.llm.common import arrow_schema, free_names
 MAX_GRAM = 5
 #: Expected number of labelled rows that the classifier is fitted on, at most.
 SAMPLE_ROWS = 4_000
+#: Expected rows of a language in the sample, at least (or all it has).
+LEAST_ROWS = 50
 SMOOTH = 0.5
-CHUNK = 1 << 19
+CHUNK = 1 << 18
 PREDICTED = "doc_id long, lang_pred string, score double"
 
 
@@ -88,12 +90,17 @@ def train(docs: DataFrame, labelled: Column, text_col: str = "text", lang_col: s
           sample_rows: int = SAMPLE_ROWS) -> "Model":
     """Fit on the rows where ``labelled`` holds and the language is not null:
     all of them, or a sample of ``sample_rows`` (expected) chosen by a hash of
-    the id.  N-gram counts are summed in Spark; the model's size is bounded by
+    the id, but at least ``LEAST_ROWS`` of each language.  N-gram counts are summed in Spark; the model's size is bounded by
     the sample."""
     rows = docs.where(labelled & F.col(f"`{lang_col}`").isNotNull() & F.col(f"`{text_col}`").isNotNull())
-    total = rows.count()
-    part = F.pmod(F.xxhash64(F.col(f"`{id_col}`").cast("string")), F.lit(1 << 40)) < int(min(1.0, sample_rows / max(total, 1)) * (1 << 40))
-    rows = rows.where(part).select(F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    lang = F.col(f"`{lang_col}`").cast("string")
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy(lang.alias("lang")).count().collect()}  # one row per language
+    langs, total = sorted(sizes), sum(sizes.values())
+    # 40 bits of a hash against the share of the language
+    share = F.coalesce(*[F.when(lang == x, F.lit(int(min(1.0, max(sample_rows / total, LEAST_ROWS / sizes[x])) * (1 << 40)))) for x in langs],
+                       F.lit(0))
+    rows = rows.where(F.pmod(F.xxhash64(F.col(f"`{id_col}`").cast("string")), F.lit(1 << 40)) < share).select(
+        lang.alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -108,9 +115,8 @@ def train(docs: DataFrame, labelled: Column, text_col: str = "text", lang_col: s
 
     counts = (rows.mapInArrow(count, "lang string, size int, hash long, count long")
               .groupBy("lang", "size", "hash").agg(F.sum("count").alias("count")))
-    langs = sorted(r["lang"] for r in rows.select("lang").distinct().collect())
     number = F.coalesce(*[F.when(F.col("lang") == x, F.lit(k)) for k, x in enumerate(langs)], F.lit(-1)).cast("int")
-    return Model(langs, counts.select(number.alias("lang"), "size", "hash", "count").toPandas())
+    return Model(langs, counts.select(number.alias("lang"), F.col("size").cast("tinyint"), "hash", F.col("count").cast("int")).toArrow())
 
 
 class Model:
@@ -119,7 +125,7 @@ class Model:
 
     def __init__(self, langs: list[str], counts):
         self.langs = langs
-        lang, size, hashes, count = (counts[c].to_numpy(np.int64) for c in ("lang", "size", "hash", "count"))
+        lang, size, hashes, count = (counts.column(c).to_numpy() for c in ("lang", "size", "hash", "count"))
         words = np.bincount(lang[size == 0], weights=count[size == 0], minlength=len(self.langs))
         self.keys, self.logs = [], []
         for n in range(MAX_GRAM + 1):
@@ -221,8 +227,11 @@ def identify(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
 
 def accept(docs: DataFrame, min_score: float = 0.0, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """``docs`` with a recognised language (and at least ``min_score``, if
-    given: short texts of shared words can score low); same columns."""
+    given: short texts of shared words can score low); same columns.  All stay
+    when no row has a label to learn from."""
     model = train(docs, ~held_out() & F.col("doc_id").isNotNull(), sample_rows=sample_rows)
+    if not model.langs:
+        return docs
     names = tuple(free_names(docs, "lang_pred", "score"))
     found = predict(docs, model, {c: F.col(f"`{c}`") for c in docs.columns}, names=names)
     return found.where((F.col(names[0]) != "und") & (F.col(names[1]) >= min_score)).drop(*names)

@@ -265,6 +265,52 @@ def test_language_held_out(spark):
     assert r[0] >= 0.98 and r[1] > 200 and 0 <= r[2] <= r[3] <= 1
 
 
+def brute_languages(rows, asked):
+    """(language, score) of each asked text from dictionaries of words and n-grams."""
+    def words(text):
+        return re.findall(r"[^\W\d_]+", text.lower())
+
+    langs = sorted({la for _, la in rows})
+    counts = [collections.defaultdict(collections.Counter) for _ in range(langid.MAX_GRAM + 1)]
+    for text, la in rows:
+        for w in words(text):
+            counts[0][w][la] += 1
+            for n in range(1, langid.MAX_GRAM + 1):
+                for k in range(len(w) - n + 1):
+                    counts[n][w[k:k + n]][la] += 1
+    total = {la: sum(c[la] for c in counts[0].values()) for la in langs}
+
+    def log(n, key):
+        return [np.log((counts[n][key][la] + langid.SMOOTH) / (total[la] + langid.SMOOTH * len(counts[n]))) for la in langs]
+
+    out = []
+    for text in asked:
+        sums, found = np.zeros(len(langs)), words(text or "")
+        for w in found:
+            if w in counts[0]:
+                sums += log(0, w)
+                continue
+            for n in range(langid.MAX_GRAM, 0, -1):
+                if known := [w[k:k + n] for k in range(len(w) - n + 1) if w[k:k + n] in counts[n]]:
+                    sums += np.mean([log(n, g) for g in known], 0)
+                    break
+        best = int(np.argmax(sums))
+        out.append((langs[best], 1 / np.exp(sums - sums[best]).sum()) if found else ("und", 0.0))
+    return out
+
+
+def test_language_equals_dictionaries(spark):
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("text is not null").select("doc_id", "text", "lang").collect()
+    train = [(r["text"], r["lang"]) for r in d if r["lang"] and zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2]
+    rng = random.Random(2)
+    mixed = [" ".join(rng.choices(" ".join(r["text"] for r in rng.sample(d, 2)).split(), k=rng.randint(1, 4))) for _ in range(60)]
+    asked = [r["text"] for r in d] + mixed + ["xqz" + w[2:] for w in mixed] + ["", "12 %", "a", "ŋŋŋ word"]
+    model = langid.train(spark.createDataFrame([(i, t, la) for i, (t, la) in enumerate(train)], "doc_id long, text string, lang string"), F.lit(True))
+    for text, got, want in zip(asked, model.predict(asked), brute_languages(train, asked)):
+        assert abs(got[1] - want[1]) < 1e-3, text
+        assert got[0] == want[0] or want[1] < 0.51, text
+
+
 def test_language_backs_off_and_odd(spark):
     rows = [(i, "the cat sat on the mat", "en") for i in range(20)] + [(i, "der hund lag im garten", "de") for i in range(20, 40)]
     asked = [(100, "hundegarten"), (101, "catmat"), (102, None), (103, "12 !!"), (104, "жжж"), (None, "the"), *ODD]
@@ -274,6 +320,11 @@ def test_language_backs_off_and_odd(spark):
     assert {r["held_out"] for r in got.values() if r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2} == {True}
     assert {r["lang_pred"] for r in langid.identify(docs(spark, [(1, "a"), (2, None)])).collect()} == {"und"}
     assert langid.identify(docs(spark, [])).count() == 0
+    unlabelled = docs(spark, [(1, "a"), (2, None), (3, "12")], CLASH)
+    assert sorted(r["doc_id"] for r in langid.accept(unlabelled).collect()) == [1, 2, 3]
+    rare = [(i, "le chat est sur la table", "fr") for i in range(2000, 2060)]
+    few = langid.train(docs(spark, rows * 20 + rare), F.lit(True), sample_rows=10)
+    assert few.langs == ["de", "en", "fr"] and few.predict(["chat la table"])[0][0] == "fr"
     left = langid.accept(docs(spark, rows + asked, CLASH))
     assert left.columns == docs(spark, [], CLASH).columns and left.where("doc_id in (102, 103)").count() == 0 and left.count() > 40
 
@@ -312,6 +363,25 @@ def test_ngram_components(spark, n, percent):
     assert got == brute_components(rows, n, percent)
 
 
+@pytest.mark.parametrize("n,percent", [(3, 90), (5, 80)])
+def test_ngram_groups_around_the_threshold(spark, n, percent):
+    """Large groups over one passage whose members are 0.6 to 0.97 alike: few links, and many n-grams that all share."""
+    rng = random.Random(percent)
+    rows, i = [], 0
+    for size, edits in ((60, (2, 6)), (60, (1, 3)), (40, (0, 2)), (30, (4, 9))):
+        passage = [f"g{size}{edits}{k}" for k in range(rng.choice([60, 90]))]
+        for _ in range(size):
+            w = list(passage)
+            for _ in range(rng.randint(*edits)):
+                at = rng.randrange(len(w))
+                w[at:at + rng.choice([0, 1])] = rng.choice([[], [f"n{rng.randrange(40)}"], [f"u{i}-{at}"]])
+            rows.append((i, " ".join(w[rng.randrange(3):])))
+            i += 1
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngramjoin.jaccard_components(docs(spark, rows), n, percent).collect()}
+    want = brute_components(rows, n, percent)
+    assert got == want and len({c for _, c in want.values()}) > 20
+
+
 def test_ngram_odd_and_long(spark, monkeypatch):
     got = [(r["doc_id"], r["component_id"]) for r in ngramjoin.jaccard_components(docs(spark, ODD, CLASH)).collect()]
     assert len(got) == len(ODD) and {(1, 1), (2, 2), (4, 4), (None, 4)} <= set(got)
