@@ -34,6 +34,8 @@ from corpusloom.llm.common import arrow_schema, components, free_names, maybe_br
 
 #: Buckets of the histogram behind the order: its size does not grow.
 BUCKETS = 1 << 20
+#: Bytes of text that a task hashes at a time.
+CHUNK = 1 << 18
 #: Counters by which sets are told apart before they are fetched.
 COUNTERS = 128
 #: Pairs that one task verifies at a time, per fragment.
@@ -91,7 +93,7 @@ def ordered_sets(column: pa.Array, n: int, heavy: np.ndarray) -> Iterator[np.nda
     """The n-gram set of each row as ascending positions in the global order
     (int64): the weight class of the n-gram's bucket, then its hash."""
     data, offsets = text_bytes(column)
-    for a, b in row_chunks(offsets):
+    for a, b in row_chunks(offsets, CHUNK):
         keys, rows = set_keys(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a], n)
         place = ((heavy[(keys % U64(BUCKETS)).astype(np.int64)].astype(U64) << U64(60)) | (keys >> U64(3))).astype(np.int64)
         by = np.argsort(rows, kind="stable")
@@ -110,7 +112,7 @@ def heavy_classes(docs: DataFrame, n: int) -> np.ndarray:
         total = np.zeros(BUCKETS, np.int64)
         for batch in batches:
             data, offsets = text_bytes(batch.column(0))
-            for a, b in row_chunks(offsets):
+            for a, b in row_chunks(offsets, CHUNK):
                 keys, _ = set_keys(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a], n)
                 np.add.at(total, (keys % U64(BUCKETS)).astype(np.int64), 1)
         mean = total.mean()
@@ -305,25 +307,27 @@ def jaccard_links(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str =
     # one head per class
     heads = table.select("rid", "doc_id", "n", "head").join(maybe_broadcast(classes.select("rid"), 16), "rid", "left_semi")
     rows = heads.select(F.explode("head").alias("key"), "doc_id")
-    met = rows.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
+    # an n-gram goes with its number of heads as one long, the rarer ones first
+    rank = F.shiftleft(F.least("df", F.lit((1 << (63 - HEAD_BITS)) - 1)), HEAD_BITS).bitwiseOR(F.col("key"))
+    met = rows.groupBy("key").agg(F.count("*").alias("df")).where("df > 1").select("key", rank.alias("rank"))
     needed = _least(F.col("n"), percent)
     sizes = heads.select("doc_id", "n", F.size("head").alias("held"))
 
     def by_class(hits: DataFrame, sizes: DataFrame) -> DataFrame:
         """Classes with enough n-grams that stand in another head (at most a head each)."""
-        return (hits.groupBy("doc_id").agg(F.collect_set(F.struct("df", "key")).alias("keys")).join(sizes, "doc_id")
+        return (hits.groupBy("doc_id").agg(F.array_distinct(F.collect_list("rank")).alias("keys")).join(sizes, "doc_id")
                 .where(F.size("keys") >= needed))
 
     some = save(by_class(rows.join(met, "key"), sizes), f"{folder}/some")
     # again among the classes that are left, of sizes that can link: these stand in the same band of sizes or in the next
-    banded = (some.select("doc_id", "n", "held", F.explode("keys").alias("k")).select("doc_id", "n", "held", "k.df", "k.key")
-              .withColumn("band", F.explode(F.array(_band("n", percent), _band("n", percent) + 1))))
-    near = banded.groupBy("key", "band").agg(F.count("*").alias("c")).where("c > 1").select("key", "band")
-    some = by_class(banded.join(near, ["key", "band"]), some.select("doc_id", "n", "held"))
+    banded = (some.select("doc_id", "n", F.explode("keys").alias("rank"))
+              .select("doc_id", "rank", F.explode(F.array(_band("n", percent), _band("n", percent) + 1)).alias("band")))
+    near = banded.groupBy("rank", "band").agg(F.count("*").alias("c")).where("c > 1").select("rank", "band")
+    some = by_class(banded.join(near, ["rank", "band"]), some.select("doc_id", "n", "held"))
     # of two linked heads the rarest n-grams, but for one less than they must share, have one in common
     rarest = F.slice(F.array_sort("keys"), F.lit(1), (F.size("keys") - needed + 1).cast("int"))
-    rare = some.select("doc_id", "n", (F.col("held") - F.size("keys")).alias("alone"), F.explode(rarest).alias("k"))
-    rare = save(rare.select("k.key", "doc_id", "n", "alone"), f"{folder}/rare")
+    rare = some.select("doc_id", "n", (F.col("held") - F.size("keys")).alias("alone"), F.explode(rarest).alias("key"))
+    rare = save(rare.select("key", "doc_id", "n", "alone"), f"{folder}/rare")
     shared = rare.groupBy("key").agg(F.min("doc_id").alias("p1"), F.max("doc_id").alias("hi")).where("p1 <> hi").select("key", "p1")
     active = save(rare.join(shared.select("key"), "key"), f"{folder}/active")
 
