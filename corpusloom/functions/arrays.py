@@ -3,6 +3,10 @@ F-30), written with Spark higher-order functions."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -81,3 +85,16 @@ def drop_ignored(pred_ids, gold_ids, labels: list[str], ignore: int = -100) -> C
     kept = F.filter(z, lambda x: x["g"] != F.lit(ignore))
     return F.transform(kept, lambda x: F.struct(decode_label(x["p"], labels).alias("pred"),
                                                 decode_label(x["g"], labels).alias("gold")))
+
+
+def row_slices(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """(first, past the last) of runs of rows that hold at most ``most`` in all, or one row."""
+    ends, at = np.cumsum(sizes), 0
+    while at < len(sizes):
+        upto = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right"))
+        yield at, (at := max(at + 1, upto))
+
+
+def list_sizes(lists: pa.Array) -> np.ndarray:
+    """Elements of each list; NULL has none."""
+    return lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)

@@ -2,9 +2,10 @@
 
 A vocabulary becomes a trie, and every word is cut greedily into the longest
 pieces that the vocabulary has.  Words come from the default tokenizer
-expression on the JVM; Arrow batches of them are cut in Python, each distinct
-word of a task once.  Pieces carry the place of their characters, so windows,
-padding and labels follow from columns.
+expression on the JVM; Arrow batches of them are cut in Python, some rows at a
+time and each distinct word of these once, and leave as Arrow arrays of integers:
+no token or piece of a batch is a Python object.  Pieces carry the place of
+their characters, so windows, padding and labels follow from columns.
 
 Vocabularies mark either the pieces inside a word (``##ing``) or those that
 end one (``ing</w>``); with ``byte_level`` they are written in the printable
@@ -17,16 +18,20 @@ import functools
 import json
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.functions.arrays import list_sizes, row_slices
 from corpusloom.functions.tokens import token_spans, tokens
 
 PIECE = "array<struct<id:int,start:int,end:int,word:int>>"
 _PIECE = pa.list_(pa.struct([("id", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("word", pa.int32())]))
 #: Words cut in a task that are remembered, at most.
 MEMORY = 1 << 17
+#: Tokens cut at once, but for those of a single row.
+AT_ONCE = 1 << 16
 
 
 @functools.cache
@@ -106,6 +111,30 @@ class PieceTrie:
         return out
 
 
+def _before(sizes: np.ndarray) -> np.ndarray:
+    return np.cumsum(sizes) - sizes
+
+
+def _cut_tokens(trie: PieceTrie, tokens_: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The token of each piece, the pieces' (id, start, end) and the tokens' lengths."""
+    coded = tokens_.dictionary_encode()
+    words, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+    cut = [trie.cut(w.rstrip()) for w in words]
+    n = np.fromiter(map(len, cut), np.int64, len(cut))
+    parts = np.array([x for c in cut for x in c], np.int32).reshape(-1, 3)
+    k = n[codes]
+    owner = np.repeat(np.arange(len(codes)), k)
+    at = np.arange(len(owner)) + np.repeat(_before(n)[codes] - _before(k), k)
+    return owner, parts[at], np.fromiter(map(len, words), np.int64, len(words))[codes]
+
+
+def _piece_lists(rows: np.ndarray, n_rows: int, *fields: np.ndarray) -> pa.Array:
+    """Pieces in the order of their ``rows`` as one list a row."""
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=n_rows))]).astype(np.int32)
+    arrays = [pa.array(f.astype(np.int32)) for f in fields]
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(arrays, fields=list(_PIECE.value_type)))
+
+
 class _Vocabulary:
     """What a worker needs to cut words; it builds the trie once."""
 
@@ -140,8 +169,9 @@ class Subwords:
     def _udf(self, run: Callable) -> Callable:
         spec = self.spec
 
-        def cut(*columns: pa.Array) -> pa.Array:
-            return pa.array(run(spec.value.trie, *(c.to_pylist() for c in columns)), _PIECE)
+        def cut(lists: pa.Array, *others: pa.Array) -> pa.Array:
+            done = [run(spec.value.trie, *(c.slice(a, b - a) for c in (lists, *others))) for a, b in row_slices(list_sizes(lists), AT_ONCE)]
+            return pa.concat_arrays(done) if done else pa.array([], _PIECE)
 
         return F.arrow_udf(cut, PIECE)
 
@@ -150,32 +180,30 @@ class Subwords:
         ``word`` (its number).  NULL text has none."""
         text = F.col(text) if isinstance(text, str) else text
 
-        def run(trie: PieceTrie, spans: list, sizes: list) -> list:
-            out = []
-            for row, size in zip(spans, sizes):
-                at, found = (size or 0) - sum(map(len, row or ())), []
-                for k, span in enumerate(row or ()):
-                    found += [(n, at + a, at + b, k) for n, a, b in trie.cut(span.rstrip())]
-                    at += len(span)
-                out.append(found)
-            return out
+        def run(trie: PieceTrie, spans: pa.Array, lengths: pa.Array) -> pa.Array:
+            n = list_sizes(spans)
+            row, first = np.repeat(np.arange(len(n)), n), _before(n)
+            owner, parts, size = _cut_tokens(trie, spans.flatten())
+            ends = np.concatenate([[0], np.cumsum(size)])
+            # the spans end where the text does; white space may come before them
+            at = (lengths.fill_null(0).to_numpy(zero_copy_only=False) - ends[first + n])[row] + ends[:-1]
+            word = np.arange(len(row)) - first[row]
+            return _piece_lists(row[owner], len(n), parts[:, 0], parts[:, 1] + at[owner], parts[:, 2] + at[owner], word[owner])
 
         return self._udf(run)(token_spans(text), F.length(text))
 
     def word_pieces(self, words) -> Column:
         """The pieces of an array of words; ``start`` and ``end`` are places in
         the word."""
-        def run(trie: PieceTrie, rows: list) -> list:
-            out = []
-            for row in rows:
-                found = []
-                for k, parts in enumerate(row or ()):
-                    at = 0
-                    for token in parts or ():
-                        found += [(n, at + a, at + b, k) for n, a, b in trie.cut(token)]
-                        at += len(token)
-                out.append(found)
-            return out
+        def run(trie: PieceTrie, rows: pa.Array) -> pa.Array:
+            n, by_word = list_sizes(rows), rows.flatten()
+            m = list_sizes(by_word)
+            row, word = np.repeat(np.arange(len(n)), n), np.repeat(np.arange(len(m)), m)
+            owner, parts, size = _cut_tokens(trie, by_word.flatten())
+            before = _before(size)
+            at = before - before[np.minimum(_before(m), max(len(before) - 1, 0))][word] if len(before) else before
+            of = word[owner]
+            return _piece_lists(row[of], len(n), parts[:, 0], parts[:, 1] + at[owner], parts[:, 2] + at[owner], (np.arange(len(row)) - _before(n)[row])[of])
 
         return self._udf(run)(F.transform(words, lambda w: tokens(w)))
 
@@ -208,13 +236,14 @@ def align_labels_subwords(words_df: DataFrame, sub: Subwords, doc_col: str, pos_
     numbered by ``part``; ``input_ids`` holds the pieces of the sequence."""
     per = words_df.groupBy(doc_col).agg(F.sort_array(F.collect_list(F.struct(F.col(pos_col).alias("pos"), F.col(word_col).alias("w"),
                                                                              F.col(tag_col).alias("t")))).alias("_ws"))
-    cut = per.select(doc_col, F.col("_ws.t").alias("_t"), sub.word_pieces(F.col("_ws.w")).alias("_p")).where(F.size("_p") > 0)
+    cut = per.select(doc_col, F.col("_ws.t").alias("_t"), sub.word_pieces(F.col("_ws.w")).alias("_p"))
     first = lambda p, i: (i == 0) | (F.get(F.col("_p"), i - 1)["word"] != p["word"])
     labels = F.transform("_p", lambda p, i: F.struct(p["id"].alias("id"), F.when(first(p, i), F.get(F.col("_t"), p["word"]))
                                                      .otherwise(F.lit(ignore)).alias("label")))
     size = max_length - 2
     cut = cut.select(doc_col, labels.alias("_l"))
-    parts = F.transform(F.sequence(F.lit(1), F.size("_l"), F.lit(size)), lambda s: F.slice("_l", s, size))
+    # no filter on the pieces: it would sink below the cutting, and every word be cut for it once more
+    parts = F.when(F.size("_l") > 0, F.transform(F.sequence(F.lit(1), F.size("_l"), F.lit(size)), lambda s: F.slice("_l", s, size)))
     out = cut.select(doc_col, F.posexplode(parts).alias("part", "_b"))
     edge = F.array(F.lit(ignore))
     return out.select(doc_col, "part", F.col("_b.id").alias("input_ids"), F.concat(edge, F.col("_b.label"), edge).alias("labels"))

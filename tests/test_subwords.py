@@ -1,7 +1,9 @@
 """Sub-word pieces against a brute-force longest match, their offsets, and labels."""
 
 import random
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,3 +90,30 @@ def test_vocabulary_files(spark, tmp_path):
     one = spark.createDataFrame([("unaffable",)], "t string")
     assert [p["id"] for p in one.select(SW.Subwords.from_lines(spark, str(path)).pieces("t").alias("p")).first()["p"]] == [4, 5, 6]
     assert one.select(F.size(SW.Subwords.from_lines(spark, str(path), lowercase=False).pieces("t")).alias("n")).first()["n"] == 3
+
+
+def test_a_batch_is_cut_in_little_memory(spark, sub, monkeypatch):
+    monkeypatch.setattr(SW.F, "arrow_udf", lambda run, _type: lambda *_columns: run)
+    cut, cut_words = sub.pieces("t"), sub.word_pieces(F.col("w"))
+    words = ["ab", "unaffable", "zzz"] * 130
+    spans, lengths = pa.array([[w + " " for w in words]] * 3000), pa.array([2 + sum(len(w) + 1 for w in words)] * 3000, pa.int32())
+    by_word = pa.array([[[w] for w in words]] * 3000)
+    cut(spans.slice(0, 1), lengths.slice(0, 1))
+    tracemalloc.start()
+    got, got_words = cut(spans, lengths), cut_words(by_word)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 << 20
+    at, want = 2, []
+    for k, w in enumerate(words):
+        want += [{"id": n, "start": at + a, "end": at + b, "word": k} for n, a, b in longest(w, VOCAB)]
+        at += len(w) + 1
+    assert len(got) == 3000 and got[0].as_py() == got[2999].as_py() == want
+    assert [(p["id"], p["word"]) for p in got_words[1700].as_py()] == [(p["id"], p["word"]) for p in want]
+    assert got_words[2999].as_py()[1:4] == [{"id": n, "start": a, "end": b, "word": 1} for n, a, b in longest("unaffable", VOCAB)]
+
+
+def test_labels_cut_each_word_once(spark, sub):
+    words = spark.createDataFrame([(1, 0, "unaffable!", 7)], "d int, p int, w string, tag int")
+    plan = SW.align_labels_subwords(words, sub, "d", "p", "w", "tag", 5)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
