@@ -91,7 +91,7 @@ def js_divergence(spark, sf_dir):
 def _versions(spark, sf_dir) -> VocabularyTable:
     """The vocabulary after three lots of documents and the benchmark came in
     and every tenth document went."""
-    table = VocabularyTable(spark, f"{ensure_checkpoint_dir(spark)}/vocabulary-{uuid.uuid4().hex}", _vocab(spark, sf_dir))
+    table = VocabularyTable(spark, f"{ensure_checkpoint_dir(spark)}/vocabulary-{uuid.uuid4().hex}", cut_lineage(_vocab(spark, sf_dir)))
     docs = T(spark, sf_dir, "documents").select(F.col("lang").alias("corpus"), "doc_id", "text")
     for k in range(3):
         table.add(docs.where(F.col("doc_id") % 3 == k))

@@ -67,7 +67,8 @@ def vocabulary(benchmark: DataFrame) -> DataFrame:
              .select(alnum_only("w").alias("term"))
              .where(F.length("term") >= 6)
              .distinct())
-    planted = benchmark.sparkSession.createDataFrame([(t,) for t in planted_terms()], "term string")
+    # made by the JVM: local rows would start a Python worker per core in each job that reads them
+    planted = benchmark.sparkSession.range(0, 1, 1, 1).select(F.explode(F.array(*map(F.lit, planted_terms()))).alias("term"))
     return words.unionByName(planted).distinct()
 
 

@@ -20,6 +20,11 @@ def optimized(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_vocabulary_needs_no_python(spark):
+    v = derived.vocabulary(spark.range(1).select(F.lit("Ledgers of a consensus").alias("text")))
+    assert "RDD" not in optimized(v) and {r["term"] for r in v.collect()} == {"ledgers", "consensus", "two words", "UPPER", "hy-phen"}
+
+
 def test_list_sizes_of_null_lists():
     import pyarrow as pa
 
