@@ -25,6 +25,18 @@ def test_vocabulary_needs_no_python(spark):
     assert "RDD" not in optimized(v) and {r["term"] for r in v.collect()} == {"ledgers", "consensus", "two words", "UPPER", "hy-phen"}
 
 
+def test_a_delta_tokenises_once(spark, tmp_path):
+    docs = spark.createDataFrame([("a", 1, "The ledgers, ledgers consensus"), ("a", 2, "none here"), ("b", 3, None), (None, 4, "Ledgers! -")],
+                                 "corpus string, doc_id int, text string")
+    vocab = spark.createDataFrame([("ledgers",), ("consensus",), ("two words",)], "term string")
+    counts = VocabularyTable(spark, str(tmp_path / "v"), vocab)._counts(docs)
+    assert optimized(counts).count("regexp_extract_all(") == 1
+    got = {(r["kind"], r["corpus"], r["token"]): r["cnt"] for r in counts.where("kind <> 'token'").collect()}
+    assert got == {("keyword", "a", "ledgers"): 2, ("keyword", "a", "consensus"): 1, ("keyword", None, "ledgers"): 1, ("hit document", "a", ""): 1,
+                   ("hit document", None, ""): 1, ("document", "a", ""): 2, ("document", "b", ""): 1, ("document", None, ""): 1,
+                   ("words", "a", ""): 6, ("words", "b", ""): 0, ("words", None, ""): 2}
+
+
 def test_list_sizes_of_null_lists():
     import pyarrow as pa
 
