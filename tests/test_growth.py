@@ -37,6 +37,41 @@ def test_a_delta_tokenises_once(spark, tmp_path):
                    ("words", "a", ""): 6, ("words", "b", ""): 0, ("words", None, ""): 2}
 
 
+def spans(tags, mode):
+    """Spans (start, last token, type) of one side by a walk over its tags."""
+    out, start, prev, base = [], None, None, None
+    for k, tag in enumerate(tags):
+        kind = tag.rsplit("-", 1)[-1]
+        i = tag.startswith("I-")
+        base = base if i else tag
+        begins = tag.startswith("B-") or mode == "lenient" and i and (prev in (None, "O") or prev.rsplit("-", 1)[-1] != kind)
+        if begins or not i:
+            start = None
+        if begins:
+            out.append([k, k, kind])
+            start = out[-1]
+        elif start and i and (mode == "lenient" or base and base.startswith("B-") and base.rsplit("-", 1)[-1] == kind):
+            start[1] = k
+        prev = tag
+    return {tuple(x) for x in out}
+
+
+def test_span_counts_without_a_fold(spark):
+    rng, names = random.Random(4), ["O", "B-X", "I-X", "B-Y", "I-Y"]
+    rows = [(d, [tuple(rng.choices(names, k=2)) if rng.random() < 0.4 else (x, x) for x in rng.choices(names, k=rng.randrange(30))]) for d in range(400)]
+    df = spark.createDataFrame(rows + [(400, None), (401, [("B-X", None), ("I-X", "I-X")])], "d int, t array<struct<pred:string,gold:string>>")
+    r = df.select("d", EV.span_counts(F.col("t")).alias("c"))
+    assert "lambda" not in optimized(r)
+    got = {x["d"]: x["c"] for x in r.collect()}
+    for d, tags in rows:
+        want = [len(tags), sum(p == g for p, g in tags)]
+        for mode in ("strict", "lenient"):
+            p, g = (spans([t[k] for t in tags], mode) for k in (0, 1))
+            want += [len(g), len(p), len(g & p)]
+        assert list(got[d]) == want, (tags, got[d], want)
+    assert got[400] is None and got[401]["n_tokens"] == 2 and got[401]["strict_gold"] is None and got[401]["strict_pred"] == 1
+
+
 def test_list_sizes_of_null_lists():
     import pyarrow as pa
 
