@@ -15,6 +15,10 @@ from corpusloom.sources import files as FS
 from corpusloom.streaming.incremental import convert_pages
 
 
+#: Files of a lot of pages, at most.
+LOT_FILES = 12
+
+
 def _folder(spark, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -55,7 +59,9 @@ def text_tree_scan(spark, sf_dir):
     """S-09 + S-10 + S-11: pages as one text file each, in folders by site range,
     read back whole with the key of their folder."""
     p, folder = T(spark, sf_dir, "pages"), _folder(spark, "tree")
-    (p.select("page_id", F.col("html").alias("value")).repartition("page_id").write.partitionBy("page_id").option("compression", "none").text(folder))
+    # a new folder that is read only after the write: its tasks may move their own files, of which the first algorithm leaves every one to the driver
+    (p.select("page_id", F.col("html").alias("value")).repartition("page_id").write.partitionBy("page_id").option("compression", "none")
+     .option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(folder))
     t = FS.read_text_tree(spark, folder, "*.txt", ".txt")
     return t.select(F.split("subdir", "=")[1].cast("long").alias("page_id"), F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"),
                     F.startswith("key", F.lit("part-")).alias("has_key"))
@@ -83,7 +89,8 @@ def converted_pages(spark, sf_dir):
     p, folder = T(spark, sf_dir, "pages"), _folder(spark, "pages")
     p = p.withColumn("html", F.when(F.col("page_id") % 13 == 0, F.lit("<!-- nothing -->")).otherwise(F.col("html")))
     for part in ("page_id % 2 = 0", "page_id % 2 = 1"):
-        p.where(part).write.mode("append").parquet(f"{folder}/in")
+        # a lot's number of files, and so of micro-batches, does not grow with the table
+        p.where(part).coalesce(LOT_FILES).write.mode("append").parquet(f"{folder}/in")
         convert_pages(spark, f"{folder}/in", f"{folder}/out", f"{folder}/empty", f"{folder}/checkpoint", max_files_per_trigger=3)
     done = spark.read.parquet(os.path.join(folder, "out")).select("page_id", F.md5("text").alias("text_md5"))
     none = spark.read.parquet(os.path.join(folder, "empty")).select("page_id", F.lit(None).cast("string").alias("text_md5"))

@@ -35,15 +35,20 @@ def convert_pages(spark: SparkSession, input_dir: str, output_dir: str, quaranti
     of its own per input and output, given again after a restart."""
     src = (spark.readStream.schema(schema).format(fmt)
            .option("maxFilesPerTrigger", max_files_per_trigger).load(input_dir))
-    converted = src.select("page_id", "url", html_to_text("html").alias("text"))
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        ok = F.coalesce(F.length("text") > 0, F.lit(False))
-        batch.where(ok).write.mode("overwrite").parquet(os.path.join(output_dir, f"batch={batch_id}"))
-        batch.where(~ok).select("page_id", "url", F.lit("empty conversion").alias("error")) \
-            .write.mode("overwrite").parquet(os.path.join(quarantine_dir, f"batch={batch_id}"))
-
-    q = (converted.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
+        # a batch of few files is dealt to all cores, and each page converted once for both outputs
+        dealt = batch.select("page_id", "url", "html").repartition(max(spark.sparkContext.defaultParallelism, 1))
+        converted = dealt.select("page_id", "url", html_to_text("html").alias("text")).persist()
+        try:
+            ok = F.coalesce(F.length("text") > 0, F.lit(False))
+            converted.where(ok).write.mode("overwrite").parquet(os.path.join(output_dir, f"batch={batch_id}"))
+            converted.where(~ok).select("page_id", "url", F.lit("empty conversion").alias("error")) \
+                .write.mode("overwrite").parquet(os.path.join(quarantine_dir, f"batch={batch_id}"))
+        finally:
+            converted.unpersist()
+
+    q = (src.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     if wait:
         q.awaitTermination()

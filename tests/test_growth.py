@@ -72,6 +72,17 @@ def test_span_counts_without_a_fold(spark):
     assert got[400] is None and got[401]["n_tokens"] == 2 and got[401]["strict_gold"] is None and got[401]["strict_pred"] == 1
 
 
+def test_micro_batches_do_not_grow_with_the_table(spark, tmp_path):
+    pages = spark.range(0, 160, 1, 80).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.concat(F.lit("<p>page "), "id", F.lit("</p>")).alias("html"))
+    pages.write.parquet(str(tmp_path / "pages.parquet"))
+    here = ensure_checkpoint_dir(spark).removeprefix("file:")
+    before = set(os.listdir(here))
+    got = {r["page_id"]: r["text_md5"] for r in PF.converted_pages(spark, str(tmp_path)).collect()}
+    assert len(got) == 160 and sum(v is None for v in got.values()) == 13
+    (folder,) = [x for x in os.listdir(here) if x.startswith("pages-") and x not in before]
+    assert len([x for x in os.listdir(f"{here}/{folder}/out") if x.startswith("batch=")]) <= 8
+
+
 def test_list_sizes_of_null_lists():
     import pyarrow as pa
 
