@@ -33,12 +33,21 @@ def char_ngrams(prepared_col: str, n: int = 3):
     return F.regexp_extract_all(F.col(prepared_col), F.lit(f"(?s)(?=(.{{{n}}}))."), F.lit(1))
 
 
+def word_units(prepared_col: str, n: int = 3):
+    """The words of a prepared text, each with the space before it and the
+    ``n - 1`` characters after it: from ``n`` = 3 on, the n-grams of a text are
+    those of its units, and a unit comes again where a text does not."""
+    return F.regexp_extract_all(F.col(prepared_col), F.lit(f"(?s)(?=( [^ ]+.{{0,{n - 1}}})) [^ ]+"), F.lit(1))
+
+
 def train_profiles(df: DataFrame, text_col: str = "text", lang_col: str = "lang", n: int = 3) -> DataFrame:
     """(lang, gram, logp, floor) profile rows: all of each language's
     grams with add-one smoothed log probabilities and its floor."""
-    g = df.select(F.col(lang_col).alias("lang"), gram_text(text_col).alias("_gt")) \
-        .select("lang", F.explode(char_ngrams("_gt", n)).alias("gram"))
-    counts = g.groupBy("lang", "gram").agg(F.count("*").alias("cnt"))
+    text = df.select(F.col(lang_col).alias("lang"), gram_text(text_col).alias("_gt"))
+    # n-grams of each distinct unit, not of each text
+    unit = text.select("lang", F.explode(word_units("_gt", n)).alias("_u")) if n >= 3 else text.withColumnRenamed("_gt", "_u")
+    units = unit.groupBy("lang", "_u").agg(F.count("*").alias("_c"))
+    counts = units.select("lang", "_c", F.explode(char_ngrams("_u", n)).alias("gram")).groupBy("lang", "gram").agg(F.sum("_c").alias("cnt"))
     return _profiles(counts)
 
 

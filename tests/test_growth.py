@@ -83,6 +83,17 @@ def test_micro_batches_do_not_grow_with_the_table(spark, tmp_path):
     assert len([x for x in os.listdir(f"{here}/{folder}/out") if x.startswith("batch=")]) <= 8
 
 
+def test_profiles_come_from_distinct_words(spark):
+    texts = ["Le chat  noir a\nmangé le chat", "a b c", "", None, " x ", "\U0001f600 ab \U0001f600", "word"]
+    df = spark.createDataFrame([("fr" if i % 2 else "en", t) for i, t in enumerate(texts)], "lang string, text string")
+    plain = df.select("lang", LG.gram_text("text").alias("g")).select("lang", F.explode(LG.char_ngrams("g")).alias("gram")).groupBy("lang", "gram").count()
+    units = df.select("lang", LG.gram_text("text").alias("g")).select("lang", F.explode(LG.word_units("g")).alias("u"))
+    got = units.select("lang", F.explode(LG.char_ngrams("u")).alias("gram")).groupBy("lang", "gram").count()
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.collect())) and got.count() > 20
+    assert units.count() == 15
+    assert "_c" in optimized(LG.train_profiles(df))
+
+
 def test_list_sizes_of_null_lists():
     import pyarrow as pa
 
