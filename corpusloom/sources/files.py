@@ -97,8 +97,10 @@ def read_text_tree(spark: SparkSession, root: str, glob: str = "*.md", extension
     """S-09 + S-10 + S-11: one row per file (whole file as ``text``) over a
     directory tree, with the sub-directory and the file-name key.  The
     ``wholetext`` reader option is passed as a keyword: as ``.option`` it is
-    overridden by the method default and lines would be split."""
+    overridden by the method default and lines would be split.  Small files come
+    a few dozen to a partition; one task reads several of these partitions."""
     df = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
+    df = df.coalesce(max(4 * spark.sparkContext.defaultParallelism, -(-df.rdd.getNumPartitions() // 16)))
     p = F.col("_metadata.file_path")
     return df.select(file_key(p, extension).alias("key"), parent_dir(p).alias("subdir"),
                      p.alias("path"), F.col("value").alias("text"))

@@ -94,6 +94,20 @@ def test_profiles_come_from_distinct_words(spark):
     assert "_c" in optimized(LG.train_profiles(df))
 
 
+def test_small_files_share_tasks(spark, tmp_path):
+    for i in range(200):
+        (tmp_path / f"k={i}").mkdir()
+        (tmp_path / f"k={i}" / "part-x.txt").write_text(f"text {i}\nmore")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(4 << 20))
+    try:
+        t = FS.read_text_tree(spark, str(tmp_path), "*.txt", ".txt")
+        assert t.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism < 200
+        assert {(r["subdir"], r["text"]) for r in t.collect()} == {(f"k={i}", f"text {i}\nmore") for i in range(200)}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
 def test_list_sizes_of_null_lists():
     import pyarrow as pa
 
