@@ -136,10 +136,10 @@ class Batches:
 
 def budget_predict(df: DataFrame, key_col: str, text_col: str, tokens_col: str, factory: Callable, pred_type: T.DataType,
                    budget: int = 16_384, n_devices: int = 1) -> DataFrame:
-    """D-06 with bounded batches: ``key_col`` and ``predictions``.  Rows are
-    ranged by length, so texts of a batch are about as long and little is padded;
-    no batch passes ``budget``, and predictions do not depend on the batches."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """D-06 with bounded batches: ``key_col`` and ``predictions``.  Rows of a
+    partition go by length, so texts of a batch are about as long and little is
+    padded; no batch passes ``budget``, and predictions do not depend on the
+    batches.  No text is shuffled, or computed once more to find ranges of lengths."""
     schema = T.StructType([df.schema[key_col], T.StructField("predictions", pred_type)])
     target = to_arrow_schema(schema)
 
@@ -158,17 +158,17 @@ def budget_predict(df: DataFrame, key_col: str, text_col: str, tokens_col: str,
             yield rows(done)
         yield rows(work.end())
 
-    ranged = df.select(key_col, text_col, tokens_col).repartitionByRange(n, tokens_col, key_col).sortWithinPartitions(tokens_col, key_col)
-    return ranged.mapInArrow(run, schema)
+    return df.select(key_col, text_col, tokens_col).sortWithinPartitions(tokens_col, key_col).mapInArrow(run, schema)
 
 
 def placed_windows(df: DataFrame, key_col: str, text_col: str = "text", window: int = 512) -> DataFrame:
     """K-03 with places: (key, chunk_id, chunk_text, n_tokens, start), where
     ``start`` is the chunk's first character in the text."""
-    base = df.select(key_col, F.length(text_col).alias("_len"), token_spans(text_col).alias("_sp")).where(F.size("_sp") > 0)
-    starts = F.sequence(F.lit(1), F.size("_sp"), F.lit(window))
+    # NULL chunks instead of a filter, which would sink below the tokenizer and run it once more
+    base = df.select(key_col, F.length(text_col).alias("_len"), token_spans(text_col).alias("_sp"))
+    starts = F.when(F.size("_sp") > 0, F.sequence(F.lit(1), F.size("_sp"), F.lit(window)))
     chunks = F.transform(starts, lambda s: F.struct(F.array_join(F.slice("_sp", s, window), "").alias("t"),
-                                                    F.size(F.slice("_sp", s, window)).alias("n")))
+                                                    F.least(F.size("_sp") - s + 1, F.lit(window)).alias("n")))
     base = base.select(key_col, "_len", chunks.alias("_ch"))
     # each chunk starts where the ones before it end; the first one after the white space at the text's start
     whole = F.aggregate("_ch", F.lit(0), lambda a, c: a + F.length(c["t"]))

@@ -108,6 +108,13 @@ def test_small_files_share_tasks(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
 
+def test_windows_tokenise_once_and_move_no_text(spark):
+    df = spark.createDataFrame([(1, "a b c")], "id int, t string")
+    assert optimized(INF.placed_windows(df, "id", "t", 2)).count("regexp_extract_all(") == 1
+    r = INF.document_entities(df, "id", "t", INF.capitalised_entities(7), 512, 8192)
+    assert "RepartitionByExpression" not in optimized(r)
+
+
 def test_list_sizes_of_null_lists():
     import pyarrow as pa
 
