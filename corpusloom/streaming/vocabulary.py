@@ -33,7 +33,7 @@ class VocabularyTable:
         """``SCHEMA`` of ``docs`` (``corpus``, ``doc_id``, ``text``)."""
         # three plain passes: arrays that are exploded under a name get a filter on their size, which repeats their
         # expressions, and columns that several branches read are computed in each
-        token = docs.select("corpus", F.explode(tokens("text")).alias("token")).groupBy("corpus", "token").agg(F.count("*").alias("cnt"))
+        token = docs.select(F.lit("token").alias("kind"), "corpus", F.explode(tokens("text")).alias("token"), F.lit(1).cast("long").alias("cnt"))
         known = broadcast_if_small(self.vocab.select(F.col("term").alias("token")).where(F.length("term") > 0))
         word = docs.select("corpus", F.monotonically_increasing_id().alias("row"), clean_word_list("text").alias("words"))
         word = word.select("corpus", "row", F.explode("words").alias("token")).join(known, "token")
@@ -42,13 +42,13 @@ class VocabularyTable:
         both = word.select("corpus", F.explode(F.array(F.struct("token", none.cast("long").alias("row")), F.struct(none.cast("string").alias("token"), "row"))).alias("e"))
         both = both.groupBy("corpus", "e.token", "e.row").agg(F.count("*").alias("cnt"))
         one = F.col("row").isNull()
-        hits = both.groupBy(F.when(one, "keyword").otherwise("hit document").alias("kind"), "corpus", F.coalesce("token", F.lit("")).alias("token")).agg(
-            F.sum(F.when(one, F.col("cnt")).otherwise(1)).alias("cnt"))
+        hits = both.select(F.when(one, "keyword").otherwise("hit document").alias("kind"), "corpus", F.coalesce("token", F.lit("")).alias("token"),
+                           F.when(one, F.col("cnt")).otherwise(1).alias("cnt"))
         whole = docs.select("corpus", F.size(split_words("text")).alias("n_words")).groupBy("corpus").agg(
             F.count("*").alias("document"), F.sum(F.greatest("n_words", F.lit(0))).alias("words"))
         whole = whole.select("corpus", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("cnt")) for k in ("document", "words")]))
                              .alias("e")).select("e.kind", "corpus", F.lit("").alias("token"), "e.cnt")
-        return token.select(F.lit("token").alias("kind"), "corpus", "token", "cnt").unionByName(hits).unionByName(whole)
+        return token.unionByName(hits).groupBy("kind", "corpus", "token").agg(F.sum("cnt").alias("cnt")).unionByName(whole)
 
     def _apply(self, docs: DataFrame, sign: int) -> int:
         name, path = self.manifests.new()
