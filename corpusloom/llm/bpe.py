@@ -11,6 +11,7 @@ back-pointers give the exact ids, in time linear in the pre-token.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 import re
 from collections.abc import Iterator
@@ -23,8 +24,14 @@ from corpusloom.llm.common import TwoGenerations, arrow_schema
 
 #: Stands for the end-of-word suffix inside the automaton; no byte-level symbol.
 END = "\U0010fffd"
-CACHE = 400_000
-PAIRS = 500_000
+#: Entries of a generation of distinct words and of pre-tokens, words of a text
+#: looked up at a time, and pairs of tokens: bounds of a Python worker's memory.
+CACHE = 100_000
+WORDS = 4_096
+PAIRS = 250_000
+#: Text in letters and signs up to U+017F, composed and of settled classes in every Unicode
+#: table; without the white space beyond ASCII and the letter with two code points in lower case.
+LATIN = re.compile(r"[\x00-\x7f\xa1-\u012f\u0131-\u017f]*").fullmatch
 ENCODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -53,7 +60,7 @@ class BpeModel:
         if any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"]):
             raise ValueError(f"{path}: added tokens must be matched as they are")
         self.token_of |= {i: t for t, i in self.special.items()}
-        self._normalizers(path, spec.get("normalizer") or {"type": "Sequence", "normalizers": []})
+        self._normalizers(path, spec)
         self._pre_tokenizer(path, spec["pre_tokenizer"], regex)
         self.special_split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
@@ -65,24 +72,27 @@ class BpeModel:
             a, b, c = vocab[left], vocab[right], vocab[left + right]
             if c in self.rank:
                 raise ValueError(f"{path}: two merges make one token")
-            self.rank[c], self.parts[c], self.merged[a, b] = rank, (a, b), rank
+            self.rank[c], self.parts[c] = rank, (parts := (a, b))
+            self.merged[parts] = rank
         self.automaton = ahocorasick.Automaton()
         for token, i in vocab.items():
             if i in self.rank or len(token.removesuffix(self.suffix) if self.suffix else token) == 1:
                 word = token[:-len(self.suffix)] + END if self.suffix and token.endswith(self.suffix) else token
                 self.automaton.add_word(word, (i, len(word)))
         self.automaton.make_automaton()
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.n_ids, self.pairs = max(self.token_of) + 1, {}  # by left * n_ids + right: whether they are compatible
 
     def _normalizers(self, path: str, spec: dict) -> None:
         from tokenizers import Tokenizer
 
-        kinds = [(n["type"], n.get("pattern"), n.get("content")) for n in spec.get("normalizers", [spec])]
+        rules = spec.get("normalizer") or {"type": "Sequence", "normalizers": []}
+        kinds = [(n["type"], n.get("pattern"), n.get("content")) for n in rules.get("normalizers", [rules])]
         known = [("NFC", None, None), ("Replace", {"Regex": "\\s+"}, " "), ("Lowercase", None, None)]
         if any(k not in known for k in kinds):
             raise ValueError(f"{path}: unknown normalizer")
         self.lower = known[2] in kinds
-        library = Tokenizer.from_file(path)  # for text beyond ASCII the library's Unicode tables hold
+        # for text beyond LATIN the library's Unicode tables hold; it needs no second copy of the vocabulary
+        library = Tokenizer.from_str(json.dumps(spec | {"added_tokens": [], "model": {"type": "BPE", "vocab": {}, "merges": []}}))
         self.normalizer, self.pre_tokenizer = library.normalizer, library.pre_tokenizer
 
     def _pre_tokenizer(self, path: str, spec: dict, regex) -> None:
@@ -95,14 +105,17 @@ class BpeModel:
     # --- encoding ---
 
     def normalize(self, text: str) -> str:
-        if text.isascii():
+        if text.isascii() or LATIN(text):
             return text.lower() if self.lower else text
         return self.normalizer.normalize_str(text) if self.normalizer else text
 
     def pieces(self, text: str) -> list[str]:
         """Pre-tokens of a normalized text, as symbols of their bytes."""
-        if text.isascii():
-            return ["".join([self.symbol[b] for b in p.encode()]) for p in self.find(text)]
+        if (plain := text.isascii()) or LATIN(text):
+            found = self.find(text)
+            if plain and text.isprintable() and " " not in text:  # these bytes stand for themselves
+                return found
+            return ["".join(map(self.symbol.__getitem__, p.encode())) for p in found]
         return [p for p, _ in self.pre_tokenizer.pre_tokenize_str(text)]
 
     def encode_piece(self, symbols: str) -> list[int]:
@@ -110,7 +123,7 @@ class BpeModel:
         if self.suffix:
             symbols += END
         n = len(symbols)
-        last, start, known = [-1] * (n + 1), [0] * (n + 1), self.pairs
+        last, start, known, n_ids = [-1] * (n + 1), [0] * (n + 1), self.pairs, self.n_ids
         for end, (token, length) in self.automaton.iter(symbols):
             end += 1
             if last[end] >= 0:
@@ -120,12 +133,12 @@ class BpeModel:
                 prev = last[before]
                 if prev < 0:
                     continue
-                fits = known.get((prev, token))
+                fits = known.get(prev * n_ids + token)
                 if fits is None:
                     fits = self.compatible(prev, token)
                     if len(known) >= PAIRS:
                         known.clear()
-                    known[prev, token] = fits
+                    known[prev * n_ids + token] = fits
                 if not fits:
                     continue
             last[end], start[end] = token, before
@@ -172,11 +185,13 @@ def byte_symbols() -> list[str]:
 
 
 class TextEncoder:
-    """Encodes whole texts.  No pre-token spans white space, so the results of
-    distinct words between white space are kept (a bounded store)."""
+    """Encodes whole texts.  No pre-token spans white space, so the ids of
+    distinct words between white space are kept (a bounded store), as one
+    string each; the tokens follow from the ids."""
 
     def __init__(self, model: BpeModel):
-        self.model, self.known, self.pieces = model, TwoGenerations(CACHE), TwoGenerations(CACHE // 2)
+        self.model, self.known, self.pieces = model, TwoGenerations(CACHE), TwoGenerations(CACHE)
+        self.token_at = {str(i): t for i, t in model.token_of.items()}
 
     def __call__(self, text: str) -> tuple[int, str, str]:
         """(number of ids, ids joined by a space, decoded text)"""
@@ -185,27 +200,25 @@ class TextEncoder:
             words = [x for p in m.special_split.split(text) for x in ([p] if p in m.special else split_words(p))]
         else:
             words = split_words(text)
-        entries = self.known.lookup(words, lambda new: [self._word(w) for w in new])
-        if not entries:
-            return 0, "", ""
-        counts, ids, tokens = zip(*entries)
-        if 0 in counts:
-            ids, tokens = filter(None, ids), filter(None, tokens)
-        return sum(counts), " ".join(ids), " ".join(tokens)
-
-    def _word(self, word: str) -> tuple[int, str, str]:
+        count, ids, tokens = 0, [], []
+        for at in range(0, len(words), WORDS):
+            found = " ".join(filter(None, self.known.lookup(words[at:at + WORDS], self._words)))
+            if found:
+                each = found.split(" ")
+                count += len(each)
+                ids.append(found)
+                tokens.append(" ".join(map(self.token_at.__getitem__, each)))
+        return count, " ".join(ids), " ".join(tokens)
+
+    def _words(self, new: list[str]) -> list[str]:
+        """Ids of each word, joined by a space."""
         m = self.model
-        if word in m.special:
-            return 1, str(m.special[word]), word
-        entries = self.pieces.lookup(m.pieces(m.normalize(word)), lambda new: [self._piece(p) for p in new])
-        if len(entries) == 1:
-            return entries[0]
-        counts, ids, tokens = zip(*entries) if entries else ((), (), ())
-        return sum(counts), " ".join(ids), " ".join(tokens)
-
-    def _piece(self, piece: str) -> tuple[int, str, str]:
-        ids = self.model.encode_piece(piece)
-        return len(ids), " ".join(map(str, ids)), self.model.decode(ids)
+        split = [() if w in m.special else m.pieces(m.normalize(w)) for w in new]
+        ids = iter(self.pieces.lookup(list(itertools.chain.from_iterable(split)), self._pieces))
+        return [str(m.special[w]) if w in m.special else " ".join(itertools.islice(ids, len(s))) for w, s in zip(new, split)]
+
+    def _pieces(self, new: list[str]) -> list[str]:
+        return [" ".join(map(str, self.model.encode_piece(p))) for p in new]
 
 
 def split_words(text: str) -> list[str]:

@@ -7,6 +7,7 @@ import hashlib
 import html
 import random
 import re
+import sys
 import zlib
 
 import corpus_pipeline
@@ -142,6 +143,36 @@ def test_bpe_prefixes_have_one_last_token():
         assert all(model.compatible(a, b) for a, b in zip(ids, ids[1:]))
 
 
+def test_bpe_settled_letters_equal_the_library():
+    library, model = Tokenizer.from_file(WORD), bpe.BpeModel(WORD)
+    for c in (c for c in map(chr, range(0x250)) if bpe.split_words(c) == [c]):
+        for t in (f"a{c}1{c}!{c}{c}B'{c}s", f"{c}x{c}"):
+            want = library.normalizer.normalize_str(t)
+            assert model.normalize(t) == want
+            assert model.pieces(want) == [p for p, _ in library.pre_tokenizer.pre_tokenize_str(want)]
+
+
+def test_bpe_store_stays_small(monkeypatch):
+    """Bytes that a worker holds after 300,000 distinct words; a text longer than a look-up is encoded whole."""
+    encode, library, r = bpe.TextEncoder(bpe.BpeModel(WORD)), Tokenizer.from_file(WORD), random.Random(5)
+    monkeypatch.setattr(encode.model, "encode_piece", lambda p: [len(p), 300, 3000])  # any ids
+    for _ in range(60):
+        encode(" ".join("".join(r.choices("abcdefghijkl", k=10)) for _ in range(5000)))
+    held = {}
+    for part in (x for s in (encode.known, encode.pieces) for x in (s.new, s.old)):
+        held[id(part)] = sys.getsizeof(part)
+        for x in (y for kv in part.items() for y in kv):
+            held[id(x)] = sys.getsizeof(x)
+            if isinstance(x, tuple):
+                held |= {id(y): sys.getsizeof(y) for y in x}
+    assert sum(held.values()) < 80 << 20
+    monkeypatch.undo()
+    encode.known, encode.pieces = (type(encode.known)(50) for _ in range(2))
+    text = "".join(r.choice(("of the ", "Été\xa0", "x1, ", "<|endoftext|>", "\x00 ")) for _ in range(3 * 4096))
+    want = library.encode(text, add_special_tokens=False).ids
+    assert encode(text) == (len(want), " ".join(map(str, want)), library.decode(want, skip_special_tokens=False))
+
+
 def test_bpe_odd(spark):
     got = bpe.encode_documents(docs(spark, ODD, CLASH), WORD).collect()
     assert len(got) == len(ODD) and [r["ids"] for r in got if r["doc_id"] in (1, 2, 3)] == [[], [], []]
