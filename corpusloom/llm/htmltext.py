@@ -58,6 +58,8 @@ SOFT = re.compile(r"(?:^|[-_])(?:alert|search|skip|social|tags|widget\w*)(?:$|[-
 PROSE, BULK = {"p", "pre", "blockquote", "dd", "figcaption"}, 2 / 3
 LIKELY = re.compile(r"article|body|content|entry|main|page|post|story|text", re.I)
 VOTES = 3
+#: Characters of a path that is kept as it is.
+PLAIN = 64
 #: Shares of a host's paths that are ranked apart.
 SHARES = 256
 
@@ -69,7 +71,7 @@ class Page:
     parent: list[int] = field(default_factory=list)
     tag: list[str] = field(default_factory=list)
     key: list[str] = field(default_factory=list)  # tag and classes
-    path: list[str] = field(default_factory=list)  # digest of the keys from the root on
+    path: list[str] = field(default_factory=list)  # the keys from the root on, or a digest of them
     mark: list[int] = field(default_factory=list)  # 1 layout word, 2 word of BESIDE, 3 tag of SKIP
     soft: set[int] = field(default_factory=set)  # elements marked by words of SOFT only
     skip: list[bool] = field(default_factory=list)  # below a mark that counts
@@ -135,7 +137,11 @@ def _mark(words: str) -> tuple[int, bool]:
 
 @functools.lru_cache(1 << 16)
 def _path(above: str, key: str) -> str:
-    return hashlib.blake2b(f"{above}/{key}".encode(errors="surrogatepass"), digest_size=12).hexdigest()
+    """Short paths as they are, others, and those with a key that could be taken for two, as a digest."""
+    path = f"{above}/{key}"
+    if len(path) <= PLAIN and path.isascii() and "/" not in key:
+        return path
+    return hashlib.blake2b(path.encode(errors="surrogatepass"), digest_size=12).hexdigest()
 
 
 def _inherited(page: Page, least: int) -> list[bool]:
