@@ -26,7 +26,7 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import components, free_names, save, shared_dir
+from corpusloom.llm.common import components, free_names, save, save_counted, shared_dir
 
 #: Lines shorter than this are equal or different, never near.
 MIN_CHARS = 32
@@ -177,9 +177,9 @@ def line_links(lines: DataFrame, folder: str, threshold: int, min_chars: int = M
     if threshold < 1:
         return lines.select(F.col("h").alias("a"), F.col("h").alias("b")).limit(0)
     index, probe = index_keys(lines, threshold), probe_keys(lines, threshold, min_chars)
-    hot = save(index.groupBy("key").count().where(F.col("count") > share).select("key"), f"{folder}/shared-0")
+    hot, some = save_counted(index.groupBy("key").count().where(F.col("count") > share).select("key"), f"{folder}/shared-0")
     found = [_pairs(index.join(hot, "key", "left_anti"), probe)]
-    if not hot.isEmpty():
+    if some:
         def first(rows: DataFrame, *extra: str) -> DataFrame:
             rest = F.lit(None)
             for i in range(threshold + 1):
@@ -192,9 +192,9 @@ def line_links(lines: DataFrame, folder: str, threshold: int, min_chars: int = M
             level += 1
             a = save(_refined(a, threshold, False), f"{folder}/index-{level}")
             b = save(_refined(b, threshold, True), f"{folder}/probe-{level}")
-            hot = save(a.where("not done").groupBy("key").count().where(F.col("count") > share).select("key"), f"{folder}/shared-{level}")
+            hot, some = save_counted(a.where("not done").groupBy("key").count().where(F.col("count") > share).select("key"), f"{folder}/shared-{level}")
             found.append(_pairs(a.join(hot, "key", "left_anti"), b.join(hot, "key", "left_anti")))
-            if hot.isEmpty():
+            if not some:
                 break
             a, b = a.where("not done").join(hot, "key", "left_semi"), b.where("not done").join(hot, "key", "left_semi")
     pairs = save(functools.reduce(DataFrame.unionAll, found).distinct(), f"{folder}/pairs")

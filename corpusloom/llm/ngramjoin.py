@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.arrays import U64, Rolling, mix, random_values, row_chunks, runs, text_bytes
-from corpusloom.llm.common import arrow_schema, components, free_names, maybe_broadcast, save, shared_dir
+from corpusloom.llm.common import arrow_schema, components, free_names, maybe_broadcast, save, save_counted, shared_dir
 
 #: Buckets of the histogram behind the order: its size does not grow.
 BUCKETS = 1 << 20
@@ -227,14 +227,14 @@ class _Verifier:
         self.sets, self.heads, self.fragments = sets, heads, fragments
         self.percent, self.folder, self.round = percent, folder, 0
 
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """``(a, b, overlap)`` of the pairs (``a``, ``b``, ``na``, ``nb``) that reach the threshold."""
+    def links(self, pairs: DataFrame) -> tuple[DataFrame, int]:
+        """``(a, b, overlap)`` of the pairs (``a``, ``b``, ``na``, ``nb``) that reach the threshold, and their number."""
         self.round += 1
         need = F.least(_least(F.col("na"), self.percent), _least(F.col("nb"), self.percent))
         alike = self._overlaps(pairs.distinct(), self.heads, 1, "heads").where(F.col("overlap") >= need)
         whole = self._overlaps(alike.drop("overlap"), self.sets, self.fragments, "sets")
         linked = whole.where(F.lit(100) * F.col("overlap") >= F.lit(self.percent) * (F.col("na") + F.col("nb") - F.col("overlap")))
-        return save(linked.select("a", "b", "overlap"), f"{self.folder}/links-{self.round}")
+        return save_counted(linked.select("a", "b", "overlap"), f"{self.folder}/links-{self.round}")
 
     def _overlaps(self, pairs: DataFrame, sets: DataFrame, fragments: int, name: str) -> DataFrame:
         """``pairs`` with their ``overlap`` in ``sets``, where it is not 0.
@@ -243,8 +243,10 @@ class _Verifier:
         document goes to few of them; the pairs of a document of very many are
         spread further.  A tile holds about ``BLOCK`` pairs and their sets."""
         path = f"{self.folder}/{name}-{self.round}"
-        pairs = save(pairs, f"{path}-pairs")
-        side = math.ceil(math.sqrt(max(1, pairs.count()) / BLOCK))
+        pairs, rows = save_counted(pairs, f"{path}-pairs")
+        if not rows:
+            return pairs.withColumn("overlap", F.lit(0).cast("long"))
+        side = math.ceil(math.sqrt(rows / BLOCK))
         degree = pairs.groupBy("a").agg(F.count("*").alias("deg"))
         spread = F.pmod(F.xxhash64("b"), F.ceil(F.col("deg") / F.lit(BLOCK)).cast("long"))
         tile = F.xxhash64(F.pmod(F.xxhash64("a"), F.lit(side)), F.pmod(F.xxhash64("b", F.lit(1)), F.lit(side)), spread)
@@ -294,6 +296,11 @@ def jaccard_links(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str =
     """``(sets, links)``: per row of ``docs`` its ``doc_id``, set size ``n``
     and class (``rep``, the smallest id with an equal set); and the verified
     ``(a, b, overlap)`` between classes, enough to connect every component."""
+    return _joined(docs, n, percent, id_col, text_col, fragments)[:2]
+
+
+def _joined(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str, fragments: int = 8) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``jaccard_links`` and the ``components`` of the links."""
     spark, folder = docs.sparkSession, shared_dir(docs.sparkSession, "ngram")
     base = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     heavy = spark.sparkContext.broadcast(heavy_classes(base, n))
@@ -301,11 +308,11 @@ def jaccard_links(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str =
     narrow = table.select("doc_id", "n", "s1", "s2", "rid").where("n > 0 and doc_id is not null")
     # of rows that repeat an id the one with the smallest set stands for it
     own = narrow.groupBy("doc_id").agg(F.min(F.struct("n", "s1", "s2", "rid")).alias("s")).select("doc_id", "s.*")
-    classes = save(own.groupBy("n", "s1", "s2").agg(F.min(F.struct("doc_id", "rid")).alias("one"))
+    classes, n_classes = save_counted(own.groupBy("n", "s1", "s2").agg(F.min(F.struct("doc_id", "rid")).alias("one"))
                    .select("n", "s1", "s2", F.col("one.doc_id").alias("rep"), F.col("one.rid").alias("rid")), f"{folder}/classes")
 
     # one head per class
-    heads = table.select("rid", "doc_id", "n", "head").join(maybe_broadcast(classes.select("rid"), 16), "rid", "left_semi")
+    heads = table.select("rid", "doc_id", "n", "head").join(maybe_broadcast(classes.select("rid"), 16, rows=n_classes), "rid", "left_semi")
     rows = heads.select(F.explode("head").alias("key"), "doc_id")
     # an n-gram goes with its number of heads as one long, the rarer ones first
     rank = F.shiftleft(F.least("df", F.lit((1 << (63 - HEAD_BITS)) - 1)), HEAD_BITS).bitwiseOR(F.col("key"))
@@ -331,11 +338,11 @@ def jaccard_links(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str =
     shared = rare.groupBy("key").agg(F.min("doc_id").alias("p1"), F.max("doc_id").alias("hi")).where("p1 <> hi").select("key", "p1")
     active = save(rare.join(shared.select("key"), "key"), f"{folder}/active")
 
-    wanted = save(classes.select(F.col("rep").alias("doc_id"), F.col("s1").alias("own"), "rid")
+    wanted, n_wanted = save_counted(classes.select(F.col("rep").alias("doc_id"), F.col("s1").alias("own"), "rid")
                   .join(active.select("doc_id").distinct(), "doc_id", "left_semi"), f"{folder}/wanted")
-    heads = save(table.select("rid", "doc_id", "head").join(maybe_broadcast(wanted.select("rid"), 16), "rid", "left_semi")
+    heads = save(table.select("rid", "doc_id", "head").join(maybe_broadcast(wanted.select("rid"), 16, rows=n_wanted), "rid", "left_semi")
                  .select("doc_id", F.lit(0).alias("frag"), F.col("head").alias("keys")), f"{folder}/compared")
-    found = _fragments(base.join(maybe_broadcast(wanted.select("doc_id", "own"), 24), "doc_id"), n, heavy, pivots(fragments))
+    found = _fragments(base.join(maybe_broadcast(wanted.select("doc_id", "own"), 24, rows=n_wanted), "doc_id"), n, heavy, pivots(fragments))
     sets = save(found, f"{folder}/fragments")
     heavy.destroy()  # all that needs it is saved
     verify = _Verifier(sets, heads, fragments, percent, folder)
@@ -358,24 +365,28 @@ def jaccard_links(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str =
     first = single.groupBy("doc_id").agg(F.min(F.struct("p1", "key")).alias("m")).select("doc_id", "m.key")
     chosen = active.join(first, ["doc_id", "key"]).unionAll(
         active.join(shared, "key").where("doc_id = p1").select(*active.columns)).withColumn("comp", F.col("doc_id")).distinct()
-    links = verify.links(against(chosen, shared.withColumnRenamed("p1", "p")))
+    links, new = verify.links(against(chosen, shared.withColumnRenamed("p1", "p")))
+    labels = components(links)
     for k in range(3):
-        labels = components(links)
-        marked = (active.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-                  .withColumn("comp", F.coalesce("component", "doc_id")).drop("component"))
-        mixed = (marked.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi"))
-        left = save(marked.join(mixed, "key"), f"{folder}/left-{k}")
-        if left.isEmpty():
+        if new or k == 0:  # else the components are those of the last round
+            marked = (active.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+                      .withColumn("comp", F.coalesce("component", "doc_id")).drop("component"))
+            mixed = (marked.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi"))
+            left, rest = save_counted(marked.join(mixed, "key"), f"{folder}/left-{k}")
+        if not rest:
             break
         if k < 2:
             side = left if k == 0 else left.where("comp = hi")
             pairs = against(left, side.groupBy("key").agg(F.min("doc_id").alias("p")))
         else:
-            spreads = table.select("rid", "spread").join(maybe_broadcast(wanted.select("rid", "doc_id"), 16), "rid")
+            spreads = table.select("rid", "spread").join(maybe_broadcast(wanted.select("rid", "doc_id"), 16, rows=n_wanted), "rid")
             pairs = _unlinked(left.join(spreads.drop("rid"), "doc_id"), percent, possible)
-        links = save(links.unionAll(verify.links(pairs)).distinct(), f"{folder}/all-{k}")
+        found, new = verify.links(pairs)
+        if new:  # between components so far, so none of them is known
+            links = links.unionAll(found)
+            labels = components(links)
     members = table.select("doc_id", "n", "s1", "s2").join(classes, ["n", "s1", "s2"], "left")
-    return members.select("doc_id", "n", "rep"), links
+    return members.select("doc_id", "n", "rep"), links, labels
 
 
 def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id",
@@ -390,8 +401,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: s
     with different sets the smallest set stands for the id; the others join
     only the class of an equal set, if there is one.  Empty input gives no
     rows; other columns are ignored."""
-    members, links = jaccard_links(docs, n, percent, id_col, text_col)
-    labels = components(links.select("a", "b"))
+    members, _, labels = _joined(docs, n, percent, id_col, text_col)
     return (members.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
             .select("doc_id", F.col("n").cast("long").alias("n_shingles"),
                     F.coalesce("component", "rep", "doc_id").alias("component_id")))
@@ -402,6 +412,6 @@ def keep_one(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_
     rows without words stay."""
     found = jaccard_components(docs, n, percent, id_col, text_col)
     id_, = free_names(docs, "_id")
-    lost = save(found.where("n_shingles > 0 and component_id <> doc_id").select(F.col("doc_id").alias(id_)).distinct(),
-                shared_dir(docs.sparkSession, "ngram-lost"))
-    return docs.join(maybe_broadcast(lost, 16), F.col(f"`{id_col}`").cast("long") == F.col(id_), "left_anti")
+    lost, rows = save_counted(found.where("n_shingles > 0 and component_id <> doc_id").select(F.col("doc_id").alias(id_)).distinct(),
+                              shared_dir(docs.sparkSession, "ngram-lost"))
+    return docs.join(maybe_broadcast(lost, 16, rows=rows), F.col(f"`{id_col}`").cast("long") == F.col(id_), "left_anti")

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from corpusloom.llm import ann, bpe, exactdedup, htmltext, langid, linededup, mixing, ngramjoin, tokenfiles, warc
-from corpusloom.llm.common import components, shared_dir
+from corpusloom.llm.common import components, save_counted, shared_dir
 
 WORD, BYTE = (str(public_tokenizers.path(f)) for f in ("word_bpe_49k.json", "byte_bpe_50k.json"))
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -579,3 +579,39 @@ def test_pages_of_the_table(spark):
     for r in htmltext.extract(d).join(d.select("page_id", "html"), "page_id").collect():
         inner = re.search(r"<article>(.*?)(?:</article>|$)", r["html"], re.S)[1]
         assert r["text"] == " ".join(html.unescape(re.sub(r"<[^>]*>", " ", re.sub(r"</?b>", "", inner))).split())
+
+
+def executions(spark, run):
+    """What ``run`` returns, and how many executions of Spark SQL it took."""
+    def total():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        return spark._jsparkSession.sharedState().statusStore().executionsCount()
+
+    before = total()
+    return run(), total() - before
+
+
+def test_rows_are_counted_while_they_are_saved(spark):
+    df = spark.range(1000)
+    for rows in (df, df.where("id % 7 = 0").distinct(), df.where("id < 0"), df.limit(0), df.join(df.where("id < -1"), "id")):
+        (saved, n), took = executions(spark, lambda: save_counted(rows, shared_dir(spark, "t")))
+        assert n == saved.count() == rows.count() and took == 1
+
+
+def test_components_take_one_execution_a_step(spark):
+    star = spark.createDataFrame([(1, k) for k in range(2, 9)], "a long, b long")
+    found, took = executions(spark, lambda: components(star))
+    assert {tuple(r) for r in found.collect()} == {(k, 1) for k in range(2, 9)} and took == 2
+    found, took = executions(spark, lambda: components(star.where("a = b")))
+    assert found.count() == 0 and took == 1
+
+
+def test_ngram_rounds_without_a_link_are_few_steps(spark):
+    """Pairs that are alike but not enough: no round finds a link, so none labels or compares more than it must."""
+    common = [f"w{i}" for i in range(60)]
+    rows = [(d, " ".join(common[:45] + [f"o{d}x{i}" for i in range(15)])) for d in range(8)] + [(9, None), (10, common[0])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found, took = executions(spark, lambda: ngramjoin.keep_one(docs, n=5, percent=80))
+    assert sorted(r[0] for r in found.collect()) == [*range(8), 9, 10] and took <= 30, took
+    linked = docs.unionAll(spark.createDataFrame([(20, rows[3][1] + " end"), (21, "start " + rows[3][1] + " end")], docs.schema))
+    assert sorted(r[0] for r in ngramjoin.keep_one(linked, n=5, percent=80).collect()) == [*range(8), 9, 10]
