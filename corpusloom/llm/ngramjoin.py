@@ -246,15 +246,23 @@ class _Verifier:
         pairs, rows = save_counted(pairs, f"{path}-pairs")
         if not rows:
             return pairs.withColumn("overlap", F.lit(0).cast("long"))
-        side = math.ceil(math.sqrt(rows / BLOCK))
-        degree = pairs.groupBy("a").agg(F.count("*").alias("deg"))
-        spread = F.pmod(F.xxhash64("b"), F.ceil(F.col("deg") / F.lit(BLOCK)).cast("long"))
-        tile = F.xxhash64(F.pmod(F.xxhash64("a"), F.lit(side)), F.pmod(F.xxhash64("b", F.lit(1)), F.lit(side)), spread)
-        placed = save(pairs.join(degree, "a").select(tile.alias("block"), "a", "b", "na", "nb"), f"{path}-tiles")
+        tiles = f"{path}-pairs"
+        if rows > BLOCK:  # else all pairs are one tile as they are
+            side = math.ceil(math.sqrt(rows / BLOCK))
+            degree = pairs.groupBy("a").agg(F.count("*").alias("deg"))
+            spread = F.pmod(F.xxhash64("b"), F.ceil(F.col("deg") / F.lit(BLOCK)).cast("long"))
+            tile = F.xxhash64(F.pmod(F.xxhash64("a"), F.lit(side)), F.pmod(F.xxhash64("b", F.lit(1)), F.lit(side)), spread)
+            tiles = f"{path}-tiles"
+            pairs = save(pairs.join(degree, "a").select(tile.alias("block"), "a", "b", "na", "nb"), tiles)
+
+        def dealt(rows: DataFrame) -> DataFrame:
+            return rows if "block" in rows.columns else rows.withColumn("block", F.lit(0).cast("long"))
+
+        placed = dealt(pairs)
         members = placed.select("block", F.col("a").alias("doc_id")).unionAll(placed.select("block", F.col("b").alias("doc_id"))).distinct()
         left = sets.join(members, "doc_id").groupBy("block", "frag")
         # read anew: both sides of a cogroup may not come from one plan
-        again = placed.sparkSession.read.schema(placed.schema).parquet(f"{path}-tiles")
+        again = dealt(pairs.sparkSession.read.schema(pairs.schema).parquet(tiles))
         right = again.withColumn("frag", F.explode(F.sequence(F.lit(0), F.lit(fragments - 1)))).groupBy("block", "frag")
         parts = left.cogroup(right).applyInArrow(_overlap, "a long, b long, na int, nb int, part long")
         return parts.groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("overlap"))
