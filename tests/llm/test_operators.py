@@ -615,3 +615,16 @@ def test_ngram_rounds_without_a_link_are_few_steps(spark):
     assert sorted(r[0] for r in found.collect()) == [*range(8), 9, 10] and took <= 28, took
     linked = docs.unionAll(spark.createDataFrame([(20, rows[3][1] + " end"), (21, "start " + rows[3][1] + " end")], docs.schema))
     assert sorted(r[0] for r in ngramjoin.keep_one(linked, n=5, percent=80).collect()) == [*range(8), 9, 10]
+
+
+def test_ngram_pairs_in_one_tile_and_in_many(spark, monkeypatch):
+    random.seed(4)
+    sets = {d: sorted(random.sample(range(40), 25)) for d in range(12)}
+    pairs = [(a, b, 25, 25) for a in sets for b in sets if a < b]
+    want = {(a, b): len(set(sets[a]) & set(sets[b])) for a, b, _, _ in pairs}
+    kept = spark.createDataFrame([(d, f, [x for x in s if x % 2 == f]) for d, s in sets.items() for f in (0, 1)], "doc_id long, frag int, keys array<long>")
+    asked = spark.createDataFrame(pairs, "a long, b long, na int, nb int")
+    for block in (ngramjoin.BLOCK, 5):
+        monkeypatch.setattr(ngramjoin, "BLOCK", block)
+        got = ngramjoin._Verifier(kept, kept, 2, 50, shared_dir(spark, "t"))._overlaps(asked, kept, 2, "sets")
+        assert {(r["a"], r["b"]): r["overlap"] for r in got.collect()} == want
