@@ -26,7 +26,7 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import components, free_names, save, save_counted, shared_dir
+from corpusloom.llm.common import components, free_names, save, save_counted, shared_dir, shuffles_removed
 
 #: Lines shorter than this are equal or different, never near.
 MIN_CHARS = 32
@@ -62,7 +62,8 @@ def store_lines(lines: DataFrame, path: str) -> DataFrame:
     distinct = (lines.select(F.xxhash64("line").alias("h"), "line").groupBy("h").agg(F.collect_set("line").alias("line"))
                 .select("h", F.explode("line").alias("line")))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    distinct.write.bucketBy(n, "h").sortBy("h").option("path", path).option("compression", "zstd").saveAsTable(name)
+    with shuffles_removed(spark):
+        distinct.write.bucketBy(n, "h").sortBy("h").option("path", path).option("compression", "zstd").saveAsTable(name)
     return spark.table(name)
 
 

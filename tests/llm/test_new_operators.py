@@ -12,7 +12,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.llm import convrepair, htmltext, kmeans, suffixdedup
+from corpusloom.llm import convrepair, htmltext, kmeans, linededup, suffixdedup
+from corpusloom.llm.common import CLEANUP, save_counted, shared_dir
 
 # --- conversation repair ------------------------------------------------------
 
@@ -317,3 +318,22 @@ def test_random_pages_equal_a_walk_of_what_was_built(spark):
         got[r["page_id"]].append(r["text"])
         assert r["n_chars"] == len(r["text"])
     assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+
+
+# --- steps on disk --------------------------------------------------------------
+
+def test_saved_steps_leave_no_shuffle_files(spark):
+    def files():
+        held = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {n for n in (held.apply(i).getName() for i in range(held.size())) if n.startswith("shuffle_")}
+
+    before, kept, folder = files(), spark.conf.get(CLEANUP), shared_dir(spark, "t")
+    assert kept == "false"
+    rows = spark.range(2000).select((F.col("id") % 700).alias("n")).groupBy("n").count()
+    held, n = save_counted(rows, f"{folder}/a")
+    lines = linededup.store_lines(held.select(F.concat(F.lit("line "), "n").alias("line")), f"{folder}/lines")
+    assert not files() - before
+    assert (n, lines.count(), spark.conf.get(CLEANUP)) == (700, 700, kept)
+    with pytest.raises(Exception):
+        save_counted(rows.select(F.raise_error(F.lit("no")).alias("x")), f"{folder}/b")
+    assert spark.conf.get(CLEANUP) == kept
