@@ -9,14 +9,17 @@ import uuid
 from pyspark.sql import functions as F
 from pyspark.sql import types as T_
 
+from corpusloom.operators.joins import broadcast_if_small
 from corpusloom.plans.common import T
-from corpusloom.session import ensure_checkpoint_dir
+from corpusloom.session import cut_lineage, ensure_checkpoint_dir
 from corpusloom.sources import files as FS
 from corpusloom.streaming.incremental import convert_pages
 
 
 #: Files of a lot of pages, at most.
 LOT_FILES = 12
+#: Pages of 2 to this power of ids are a folder.
+RANGE_BITS = 10
 
 
 def _folder(spark, name: str) -> str:
@@ -58,12 +61,21 @@ def json_records_roundtrip(spark, sf_dir):
 def text_tree_scan(spark, sf_dir):
     """S-09 + S-10 + S-11: pages as one text file each, in folders by site range,
     read back whole with the key of their folder."""
-    p, folder = T(spark, sf_dir, "pages"), _folder(spark, "tree")
-    # a new folder that is read only after the write: its tasks may move their own files, of which the first algorithm leaves every one to the driver
-    (p.select("page_id", F.col("html").alias("value")).repartition("page_id").write.partitionBy("page_id").option("compression", "none")
-     .option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(folder))
+    p, folder = T(spark, sf_dir, "pages").select("page_id", "html"), _folder(spark, "tree")
+    # rows that repeat an id share its file, so they meet in one task; all others are written where they are read
+    again = cut_lineage(p.groupBy("page_id").count().where("count > 1 or page_id is null").select(F.col("page_id").alias("again")))
+    if again.isEmpty():
+        lots = [p]
+    else:
+        again = broadcast_if_small(again)
+        lots = [p.join(again, F.col("page_id") == F.col("again"), "left_anti").where("page_id is not null"),
+                p.join(again, F.col("page_id").eqNullSafe(F.col("again")), "left_semi").repartition("page_id").sortWithinPartitions("page_id")]
+    for rows in lots:
+        FS.write_text_tree(rows, folder, F.concat(F.lit("pages="), F.coalesce(F.shiftright("page_id", RANGE_BITS).cast("string"), F.lit("none"))),
+                           F.concat(F.lit("part-"), F.coalesce(F.col("page_id").bitwiseAND((1 << RANGE_BITS) - 1).cast("string"), F.lit("none")), F.lit(".txt")), F.col("html"))
     t = FS.read_text_tree(spark, folder, "*.txt", ".txt")
-    return t.select(F.split("subdir", "=")[1].cast("long").alias("page_id"), F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"),
+    page = F.shiftleft(F.split("subdir", "=")[1].try_cast("long"), RANGE_BITS) + F.split("key", "-")[1].try_cast("long")
+    return t.select(page.alias("page_id"), F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"),
                     F.startswith("key", F.lit("part-")).alias("has_key"))
 
 

@@ -7,13 +7,28 @@ files itself, so there is no per-file Python loop.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 CORRUPT = "_corrupt_record"
 
 
+def filesystem(path: str):
+    """(pyarrow file system, path in it) of a plain path or URI."""
+    from pyarrow import fs
+
+    if path.startswith("file:"):
+        path = "/" + path[len("file:"):].lstrip("/")
+    if "://" in path:
+        return fs.FileSystem.from_uri(path)
+    return fs.LocalFileSystem(), path
+
+
 def _with_corrupt(schema: T.StructType) -> T.StructType:
     if CORRUPT in schema.fieldNames():
         return schema
@@ -106,6 +121,39 @@ def read_text_tree(spark: SparkSession, root: str, glob: str = "*.md", extension
                      p.alias("path"), F.col("value").alias("text"))
 
 
+def write_text_tree(df: DataFrame, root: str, folder: Column, name: Column, text: Column) -> None:
+    """S-09 sink: each row of ``df`` as the text file ``name`` in ``folder``
+    below ``root``, ended by a line feed (a null text is an empty line).  Rows
+    that follow each other in a partition with the same folder and name share a
+    file; else a file is one row's.  Tasks write their files themselves, each
+    under a temporary name first, so a repeated attempt replaces them by equal
+    ones and nothing is left for the driver to move."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (store, base), attempt = filesystem(root), TaskContext.get().taskAttemptId()
+        made, at, out, n = set(), None, None, 0
+
+        def finish():
+            if out:
+                out.close()
+                store.move(f"{at}.tmp-{attempt}", at)
+
+        for batch in batches:
+            for sub, file, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                if (path := f"{base}/{sub}/{file}") != at:
+                    finish()
+                    if sub not in made:
+                        store.create_dir(f"{base}/{sub}", recursive=True)
+                        made.add(sub)
+                    at, n = path, n + 1
+                    out = store.open_output_stream(f"{path}.tmp-{attempt}", compression=None)
+                out.write((data.as_py() or b"") + b"\n")
+        finish()
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["files"])
+
+    rows = df.select(folder.alias("folder"), name.alias("name"), text.cast("binary").alias("text"))
+    rows.mapInArrow(run, "files long").write.format("noop").mode("overwrite").save()
+
+
 def write_parquet(df: DataFrame, path: str, mode: str = "overwrite", partition_by: list[str] | None = None):
     """S-13 + S-14: columnar sink."""
     w = df.write.mode(mode)

@@ -1,5 +1,6 @@
 """Steps whose time or memory must not grow faster than their input."""
 
+import itertools
 import os
 import random
 
@@ -108,6 +109,30 @@ def test_small_files_share_tasks(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
 
+def test_pages_share_folders_and_no_text_is_shuffled(spark, tmp_path):
+    import glob
+    import hashlib
+
+    texts = [(i, f"page {i}\nßé" if i % 7 else None) for i in [*range(-1500, 1500), 10**15]]
+    again = [(5, "second"), (5, "third"), (None, "nothing"), (1024, "page 1024\nßé")]
+    here = ensure_checkpoint_dir(spark).removeprefix("file:")
+    for k, rows in enumerate((texts, texts + again)):
+        (tmp_path / str(k)).mkdir()
+        spark.createDataFrame(rows, "page_id long, html string").write.parquet(str(tmp_path / str(k) / "pages.parquet"))
+        before = set(glob.glob(f"{here}/tree-*"))
+        got = {r["page_id"]: r for r in PF.text_tree_scan(spark, str(tmp_path / str(k))).collect()}
+        (folder,) = set(glob.glob(f"{here}/tree-*")) - before
+        assert len(os.listdir(folder)) == 5 + k and len(glob.glob(f"{folder}/*/*")) == len(got) == 3001 + k
+        assert not glob.glob(f"{folder}/**/.*", recursive=True)  # no checksum beside each file
+        want = {}
+        for i, t in rows:
+            want.setdefault(i, []).append((t or "") + "\n")
+        for i, parts in want.items():
+            r = got[i]
+            assert r["has_key"] and r["n_chars"] == sum(map(len, parts))
+            assert r["text_md5"] in {hashlib.md5("".join(x).encode()).hexdigest() for x in itertools.permutations(parts)}
+
+
 def test_windows_tokenise_once_and_move_no_text(spark):
     df = spark.createDataFrame([(1, "a b c")], "id int, t string")
     assert optimized(INF.placed_windows(df, "id", "t", 2)).count("regexp_extract_all(") == 1
